@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, tokenbin
+from . import mixing, neardup, tokenbin
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), neardup.Plan(k=3, percent=85))
+
+
 def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_table(spark, _table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
 
@@ -55,7 +59,7 @@ FROM placed
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_tokens": op6_tokens, "op7_mixing": op7_mixing}
+    return {"op5_minmax_dedup": op5_minmax_dedup, "op6_tokens": op6_tokens, "op7_mixing": op7_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
