@@ -1,6 +1,7 @@
 """Token-ID output: shards of raw ids with a minimal perfect hash index from document key to offset.
 
-A shard file holds, in this order: a 16-byte head (magic, version), the payload of little-endian uint32 ids, the
+A shard file holds, in this order: a 16-byte head (magic, version, bytes an id), the payload of little-endian ids of 2
+bytes (vocabularies up to 65,536 ids) or 4, the
 documents' keys (int64) and lengths (uint32) in payload order, the levels of the hash, one (fingerprint uint32, ordinal
 uint32) pair for each slot, and a fixed-size tail that says where each part begins. Documents lie in ascending key
 order within a shard and from shard to shard, so a shard's first global offset is the sum of the earlier shards' ids.
@@ -33,7 +34,7 @@ MAGIC, VERSION = b"LXFTOK\x00\x00", 1
 TAIL = struct.Struct("<8sQQQQQQQQ")
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, first_key long, last_key long"
 #: Units kept with their ids by each worker; the cache starts anew beyond it.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 900_000
 LONGEST_UNIT = 48
 #: A single blank between other characters begins a pre-token.
 _CUTS = re.compile(r"(?<=\S)(?= \S)")
@@ -64,7 +65,12 @@ class Encoder:
         self.merges.pre_tokenizer = CharDelimiterSplit(chr(266))  # the symbol of a line feed
         self.symbols = _symbols()
         self.marks = dict(zip(",.;:!?\n", self._bytes(list(",.;:!?\n")), strict=True))
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.long: list[str] = []
+
+    def width(self, *ids: int) -> int:
+        """Bytes that hold any id of the vocabulary and the further ones."""
+        return 2 if max(self.tokenizer.get_vocab_size(), *(i + 1 for i in ids)) <= 1 << 16 else 4
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,7 +88,7 @@ class Encoder:
         return out
 
     def _learn(self, units: set[str]) -> None:
-        """Puts the ids of unknown units into the cache; a unit stands for itself after one blank or, with its own line feed, after that."""
+        """Puts the ids of unknown units into the cache; a unit stands for itself after one blank or, with its own line feed, after that. Units at which white space meets have no ids of their own."""
         known, words, tails, others = self.known, set(), [], []
         for u in units:
             if u.isalpha():
@@ -92,8 +98,12 @@ class Encoder:
                 tails.append(u)
             elif u[:1] == "\n" and u[1:].isalpha():
                 words.add(u)
+            elif not u or u[-1].isspace() or u[0].isspace() and (u[0] != "\n" or u[1].isspace()):
+                known[u] = None
             else:
                 others.append(u)
+            if len(u) > LONGEST_UNIT:
+                self.long.append(u)
         fresh = [u for u in words if u not in known]
         for u, ids in zip(fresh, self._words([u[1:] if u[0] == "\n" else f" {u}" for u in fresh]), strict=True):
             known[u] = self.marks["\n"] + ids if u[0] == "\n" else ids
@@ -106,20 +116,34 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian uint32."""
         out: list[bytes] = [b""] * len(texts)
-        split: list[tuple[int, bytes, list[str]]] = []
+        split: list[tuple[int, list[str]]] = []
         units: set[str] = set()
         for i, text in enumerate(texts):
             if not text:
                 continue
             if any(x in text for x in self.special):
                 out[i] = self._bytes([text])[0]
-            elif len(text.split()) == text.count(" ") + text.count("\n") + 1:  # all white space is single blanks and line feeds
-                split.append((i, b"", f"\n{text}".replace("\n", " \n").split(" ")[1:]))
             else:
-                first, *parts = _CUTS.split(text)
-                split.append((i, self._bytes([first])[0], [x[1:] for x in parts]))
-        for *_, parts in split:
+                split.append((i, f"\n{text}".replace("\n", " \n").split(" ")[1:]))
+        for _, parts in split:
             units.update(parts)
+        self._need(units)
+        known = self.known
+        for i, parts in split:
+            try:
+                out[i] = b"".join(map(known.__getitem__, parts))[4:]
+            except TypeError:  # blanks beside other white space
+                first, *parts = _CUTS.split(texts[i])
+                parts = [x[1:] for x in parts]
+                self._need(set(parts))
+                out[i] = self._bytes([first])[0] + b"".join(map(known.__getitem__, parts))
+        if self.long:
+            for u in self.long:
+                known.pop(u, None)
+            self.long.clear()
+        return out
+
+    def _need(self, units: set[str]) -> None:
         known = self.known
         missing = units.difference(known)
         if len(known) + len(missing) > CACHE_UNITS:
@@ -127,13 +151,6 @@ class Encoder:
             missing = units
         if missing:
             self._learn(missing)
-        for i, head, parts in split:
-            ids = b"".join(map(known.__getitem__, parts))
-            out[i] = head + ids if head else ids[4:]
-        for u in missing:
-            if len(u) > LONGEST_UNIT:
-                del known[u]
-        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -197,9 +214,10 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
 class ShardWriter:
     """Streams one shard into a local temporary file of the task, to be copied to its place once whole."""
 
-    def __init__(self):
+    def __init__(self, width: int = 4):
+        self.width = width
         self.file = tempfile.TemporaryFile()  # noqa: SIM115
-        self.file.write(MAGIC + struct.pack("<II", VERSION, 4))
+        self.file.write(MAGIC + struct.pack("<II", VERSION, width))
         self.keys: list[int] = []
         self.lengths: list[int] = []
         self.nulls = 0
@@ -209,7 +227,7 @@ class ShardWriter:
             self.nulls += 1
         self.keys.append(key or 0)
         self.lengths.append(len(ids) // 4)
-        self.file.write(ids)
+        self.file.write(np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.width == 2 else ids)
 
     def finish(self, filesystem: fs.FileSystem, path: str) -> dict:
         keys, lengths = np.array(self.keys, dtype="<i8"), np.array(self.lengths, dtype="<u4")
@@ -245,6 +263,7 @@ class Shard:
     def __init__(self, filesystem: fs.FileSystem, path: str):
         self.file = filesystem.open_input_file(path)
         size = self.file.size()
+        self.width = struct.unpack("<8sII", self.file.read(16))[2]
         self.file.seek(size - TAIL.size)
         magic, self.n_docs, self.n_tokens, self.nulls, at_keys, at_lengths, at_levels, at_slots, n_levels = TAIL.unpack(self.file.read(TAIL.size))
         if magic != MAGIC:
@@ -273,8 +292,8 @@ class Shard:
     def ids(self, ordinal: int, count: int = 1) -> np.ndarray:
         """The ids of ``count`` documents from the given one on."""
         a, b = self.starts[ordinal], self.starts[ordinal + count]
-        self.file.seek(16 + 4 * int(a))
-        return np.frombuffer(self.file.read(4 * int(b - a)), "<u4")
+        self.file.seek(16 + self.width * int(a))
+        return np.frombuffer(self.file.read(self.width * int(b - a)), f"<u{self.width}").astype("<u4")
 
     def get(self, key: int) -> np.ndarray | None:
         """The ids of the document with this key, in constant time."""
@@ -305,7 +324,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, key
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                writer = writer or ShardWriter()
+                writer = writer or ShardWriter(enc.width(end_id))
                 for k, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                     writer.add(k, ids + end)
         if writer:
@@ -336,12 +355,11 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, out: str) -> DataFrame
                 own = shard.keys[shard.nulls :]
                 if not np.array_equal(shard.keys[shard.ordinals(own)], own):
                     raise ValueError(f"the index of {row['path']} doesn't find its keys")
-                step = 2048
+                step = 512
                 for a in range(0, shard.n_docs, step):
                     b = min(shard.n_docs, a + step)
-                    crcs = []
-                    for i in range(a, b):
-                        crcs.append(zlib.crc32(shard.ids(i).tobytes()))
+                    ids, cuts = shard.ids(a, b - a).tobytes(), ((shard.starts[a : b + 1] - shard.starts[a]) * 4).tolist()
+                    crcs = [zlib.crc32(ids[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
                     keys = pa.array(shard.keys[a:b], mask=np.arange(a, b) < shard.nulls)
                     yield pa.RecordBatch.from_arrays([keys, pa.array(shard.starts[a:b] + row["base"]), pa.array(shard.lengths[a:b]), pa.array(crcs, pa.int64()), pa.array([row["shard"]] * (b - a), pa.int32())], names=names)
 
