@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, tokenbin
+from . import langid, mixing, neardup, tokenbin, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,8 +62,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_minmax_dedup": op5_minmax_dedup, "op6_tokens": op6_tokens, "op7_mixing": op7_mixing, "op9_language": op9_language}
+    return {"op5_minmax_dedup": op5_minmax_dedup, "op6_tokens": op6_tokens, "op7_mixing": op7_mixing, "op9_language": op9_language, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,7 +40,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _block_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def block_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and start of each word of a block."""
     edge = np.diff(np.concatenate([[True], _BLANK[raw], [True]]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -59,7 +59,7 @@ def _long_words(raw: np.ndarray) -> np.ndarray:
             blanks = np.flatnonzero(_BLANK[raw[at:end]])
             end = at + int(blanks[-1]) + 1 if len(blanks) else end
             whole = len(blanks) > 0
-        words, _ = _block_words(raw[at:end])
+        words, _ = block_words(raw[at:end])
         if carry is not None:
             if len(words) and not _BLANK[raw[at]]:
                 words[:1] = mixed(words[:1] + carry * np.uint64(3))
@@ -95,7 +95,7 @@ def words_of(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         keep = np.ones(len(raw), bool)
         keep[own[1:] - 1] = False
         raw[keep] = data[offsets[i] : offsets[j]]
-        words, start = _block_words(raw)
+        words, start = block_words(raw)
         cuts = np.searchsorted(start, own)
         for k in range(i, j):
             yield k, words[cuts[k - i] : cuts[k - i + 1]] if valid[k] else words[:0]
