@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, tokenbin, toxicity
+from . import langid, mixing, neardup, quality, tokenbin, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ FROM placed
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(_table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_minmax_dedup": op5_minmax_dedup, "op6_tokens": op6_tokens, "op7_mixing": op7_mixing, "op9_language": op9_language, "op10_toxicity": op10_toxicity}
+    return {"op5_minmax_dedup": op5_minmax_dedup, "op6_tokens": op6_tokens, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_language": op9_language, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
