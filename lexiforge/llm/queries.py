@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, quality, tokenbin, toxicity
+from . import langid, mixing, neardup, neighbours, quality, tokenbin, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op5_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), neardup.Plan(k=3, percent=85))
 
@@ -71,7 +75,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_minmax_dedup": op5_minmax_dedup, "op6_tokens": op6_tokens, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_language": op9_language, "op10_toxicity": op10_toxicity}
+    return {"op4_multiprobe": op4_multiprobe, "op5_minmax_dedup": op5_minmax_dedup, "op6_tokens": op6_tokens, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_language": op9_language, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
