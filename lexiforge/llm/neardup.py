@@ -5,9 +5,10 @@ A text's set is its distinct k-word shingles. Under each permutation both the sm
 confirmed on the full sets. Texts of one set are folded into one representative first, so copies cost no pairs.
 
 Within a band's bucket the members are compared with the bucket's smallest member, not with each other. Only buckets
-that still hold members of different components afterwards are looked at again: there, members of different components
-are compared, if their sizes and one-bit signatures allow a link at all. So every candidate link is either confirmed,
-refuted, or joins two texts that are connected anyway. A group of n near copies costs about n comparisons.
+that still hold members of different components afterwards are looked at again, first around the member that shares most
+shingles with others, then pair by pair between different components; there, the shingles that a text shares with any
+other bound its similarity to all, and one-bit signatures refute most of the rest. So every candidate link is either
+confirmed, refuted, or joins two texts that are connected anyway. A group of n near copies costs about n comparisons.
 
 Defined cases: a null, empty or blank text has an empty set and is linked with nothing; a text with fewer than k words
 has its whole sequence as its one shingle; rows that share a doc_id
@@ -24,7 +25,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shingles import mixed, shingles, words_of
@@ -150,11 +151,29 @@ def components(spark: SparkSession, edges: DataFrame, path: str) -> DataFrame:
 def _confirmed(pairs: DataFrame, members: DataFrame, plan: Plan) -> DataFrame:
     """Those of the pairs (a, b) whose full sets are alike enough."""
     left, right = (members.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    joined = pairs.join(left, "a").join(right, "b")
+    joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     joined = joined.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
     return joined.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * plan.percent).select("a", "b")
 
 
+def _shared(ids: DataFrame, shingled: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
+    """(doc_id, n, shared, bits) of those documents that can have a link: ``shared`` of the n shingles occur in another one of ``ids``.
+
+    No two sets have more in common than either shares at all, so a document that shares less than the threshold of its
+    own size has no link.
+    """
+    alone = shingled.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    sizes = reps.select("doc_id", "n", "bits").join(ids, "doc_id", "left_semi").join(alone, "doc_id", "left")
+    return sizes.select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), "bits").where(F.col("shared") * 100 >= F.col("n") * plan.percent)
+
+
+def _possible(plan: Plan) -> Column:
+    """Whether a pair's sizes, shared shingles and one-bit signatures allow a link."""
+    most = F.least("shareda", "sharedb", "na", "nb")
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.get("bitsa", F.lit(i)).bitwiseXOR(F.get("bitsb", F.lit(i)))) for i in range((2 * plan.perms + 63) // 64)])
+    return (most * 100 >= (F.col("na") + F.col("nb") - most) * plan.percent) & (differ <= plan.most_bits)
+
+
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
     """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
     spark = docs.sparkSession
@@ -171,24 +190,35 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     near = written(banded.join(hubs, "key"), f"{out}/near")
     pairs = written(near.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), f"{out}/pairs")
     involved = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    shingled = written(sets(rows.join(involved, "doc_id", "left_semi"), plan.k).dropDuplicates(["doc_id"]), f"{out}/sets")
+    shingled = written(sets(rows.join(involved.hint("merge"), "doc_id", "left_semi"), plan.k).dropDuplicates(["doc_id"]), f"{out}/sets")
     links = written(_confirmed(pairs, shingled, plan), f"{out}/links")
     label = components(spark, links, f"{out}/stars")
 
-    # Buckets that still hold several components.
-    held = near.select("key", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    split = held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    held = held.join(split, "key", "left_semi").join(reps.select("doc_id", "n", "bits"), "doc_id")
-    held = written(held, f"{out}/held")
-    one, two = (held.select("key", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "c", "n", "bits")]) for x in "ab")
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.get("bitsa", F.lit(i)).bitwiseXOR(F.get("bitsb", F.lit(i)))) for i in range((2 * plan.perms + 63) // 64)])
-    more = one.join(two, "key").where((F.col("doc_ida") < F.col("doc_idb")) & (F.col("ca") != F.col("cb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * plan.percent) & (differ <= plan.most_bits))
-    more = more.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = written(_confirmed(more, shingled, plan), f"{out}/more")
-    if more.isEmpty():
-        joined = label
-    else:
+    tested = pairs
+    for round_ in ("second", "rest"):
+        # Buckets that still hold several components. A first look compares their members with the one that shares most
+        # with others, which is the middle of a group of near copies; the last look compares whatever can still be linked.
+        held = near.select("key", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        if round_ == "second":
+            some = held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+            held = written(held.join(some, "key"), f"{out}/open")
+            shared = written(_shared(held.select("doc_id").distinct(), shingled, reps, plan), f"{out}/shared")
+        held = held.join(shared, "doc_id")
+        split = held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by(F.struct("doc_id", "c", "n", "shared", "bits"), F.struct("shared", -F.col("doc_id"))).alias("hub")).where("low < high").drop("low", "high")
+        held = held.join(split, "key").where(F.col("c") != F.col("hub.c"))
+        one = held.select("key", "hub", *[F.col(c).alias(f"{c}a") for c in ("doc_id", "c", "n", "shared", "bits")])
+        if round_ == "second":
+            two = one.select("*", *[F.col(f"hub.{c}").alias(f"{c}b") for c in ("doc_id", "c", "n", "shared", "bits")])
+        else:
+            other = near.select("key", "doc_id").join(split.select("key"), "key", "left_semi").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c")).join(shared, "doc_id")
+            two = one.join(other.select("key", *[F.col(c).alias(f"{c}b") for c in ("doc_id", "c", "n", "shared", "bits")]), "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("hub.c")) | (F.col("doc_ida") < F.col("doc_idb"))))
+        more = two.where(_possible(plan)).select(F.least("doc_ida", "doc_idb").alias("a"), F.greatest("doc_ida", "doc_idb").alias("b")).distinct()
+        more = written(more.join(tested, ["a", "b"], "left_anti"), f"{out}/{round_}-pairs")
+        found = written(_confirmed(more, shingled, plan), f"{out}/{round_}-links")
+        if found.isEmpty():
+            continue
+        tested = tested.unionByName(more)
         stars = label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        joined = components(spark, stars.unionByName(more), f"{out}/all")
-    result = member.select("doc_id", "n", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
+        label = components(spark, stars.unionByName(found), f"{out}/{round_}")
+    result = member.select("doc_id", "n", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "rep")).alias("kept"))
