@@ -222,3 +222,18 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
         label = components(spark, stars.unionByName(found), f"{out}/{round_}")
     result = member.select("doc_id", "n", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "rep")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
+    """``docs`` with one document of each group of near duplicates: that of the smallest doc_id. Rows without a doc_id stay.
+
+    Where rows share a doc_id, one of them stays; only such rows are compared for that.
+    """
+    found = near_duplicates(docs, plan)
+    found = written(found.select("doc_id", "kept"), f"{shared_dir(docs.sparkSession)}/kept")
+    left = docs.join(found.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    if again.isEmpty():
+        return left
+    same = left["doc_id"] == F.col("_again")
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id"]))

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import langid, mixing, neardup, neighbours, quality, tokenbin, toxicity
+from . import decontaminate, htmltext, langid, mixing, neardup, neighbours, quality, secrets, tokenbin, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +19,18 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -75,7 +86,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_multiprobe": op4_multiprobe, "op5_minmax_dedup": op5_minmax_dedup, "op6_tokens": op6_tokens, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_language": op9_language, "op10_toxicity": op10_toxicity}
+    found = (op1_decontaminate, op2_main_text, op3_secrets, op4_multiprobe, op5_minmax_dedup, op6_tokens, op7_mixing, op8_quality, op9_language, op10_toxicity)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
