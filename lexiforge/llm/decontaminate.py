@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import mixed, words_of
+from .work import ship
 
 RATE, LEAST_WORDS, SLICE_BYTES = 0.2, 5, 32 << 20
 _GAPS = re.compile(r"\W+")
@@ -141,6 +142,7 @@ def slices(benchmark: DataFrame, rate: float) -> Iterator[Items]:
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, distance (word edits), end_word: a row for each item that a document holds within the budget."""
+    ship(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     out = None
     for items in slices(benchmark, rate):
@@ -162,6 +164,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` that hold no item, unchanged; the decision travels with its row, without a join."""
+    ship(docs.sparkSession)
     names = docs.columns
     rows = docs.select(*[docs[c].alias(f"_{i}") for i, c in enumerate(names)], docs["text"].cast("string").alias("_text"))
     for items in slices(benchmark, rate):

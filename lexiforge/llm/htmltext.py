@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .work import ship
+
 # HTML's elements by how they are treated.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr nobr center".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -418,6 +420,7 @@ def trained() -> Trees:
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every row."""
+    ship(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(trained())  # some kilobytes
     rows = pages.select(pages[key].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), pages[html].cast("string").alias("html"))
 

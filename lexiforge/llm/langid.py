@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .learning import fold, sampled
 from .shingles import mixed
+from .work import ship
 
 GRAMS, SIZE, EACH, PASSES = 3, 1 << 14, 1200, 3
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.002, 0.5
@@ -130,6 +131,7 @@ class Model:
 
 def learn(rows: DataFrame, each: int = EACH) -> Model:
     """Fits on rows (doc_id, text, lang); all of them give document frequencies, about ``each`` a language the weights."""
+    ship(rows.sparkSession)
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     df, n = frequencies(rows.select("text"))
     chosen = sampled(rows.select("doc_id", "lang"), "doc_id", "lang", each).distinct()
@@ -164,6 +166,7 @@ def learn(rows: DataFrame, each: int = EACH) -> Model:
 def identify(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
     """``keep`` of each row with lang_pred and score of its text."""
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)  # its size is that of the feature table
     rows = docs.select(*keep, docs["text"].cast("string").alias("_text"))
     kept = rows.drop("_text")

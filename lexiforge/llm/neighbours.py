@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .work import ship
+
 SAMPLE, FIT_QUERIES, BLOCK_ROWS, TASK_ROWS = 6000, 100, 512, 60_000
 
 
@@ -147,6 +149,7 @@ def _numbers(column: pa.Array, dim: int) -> np.ndarray:
 def nearest(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
     spark = table.sparkSession
+    ship(spark)
     rows = table.select(table[key].cast("long").alias("id"), table[vector].cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.coalesce(fine, F.lit(False)))

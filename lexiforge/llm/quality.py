@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from .learning import fold, sampled, sigmoid
 from .shingles import BLOCK, block_words
+from .work import ship
 
 WORDS, EACH, HIDDEN, ROUNDS = 60, 1200, 16, 250
 #: Classes of bytes whose shares are features.
@@ -131,6 +132,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, each: int = EACH) -> dict[str, np.ndarray] | float:
     """Parameters from about ``each`` labelled documents of either label, none of the fold left out; a constant without both labels."""
+    ship(docs.sparkSession)
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != out))
     chosen = sampled(marks, "doc_id", "label", each).dropDuplicates(["doc_id"])
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by the sample's size
@@ -148,6 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, each
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | float, folds: int, out: int, cut: float) -> DataFrame:
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kilobytes
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (fold(docs["doc_id"], folds) == out).alias("held_out"), docs["text"].cast("string").alias("text"))
 

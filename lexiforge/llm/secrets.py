@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .work import ship
+
 _CANDIDATE = re.compile(r"[A-Za-z0-9_\-./+=:@~%]{12,}")
 _TRIM = re.compile(r"^(?:[A-Za-z_\-.]{2,24}[=:]+)?[\"'=:./]*(.*?)[\"'.:,]*$", re.DOTALL)
 _WORD = re.compile(r"[A-Za-z]{2,}")
@@ -215,6 +217,7 @@ def trained() -> Forest:
 
 def scan(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """doc_id, start and length in code points, and score of every candidate that is likelier a secret than ``least``."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trained())  # some kilobytes
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 

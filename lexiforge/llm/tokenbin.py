@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .work import shared_dir, written
+from .work import shared_dir, ship, written
 
 MAGIC, VERSION = b"LXFTOK\x00\x00", 1
 TAIL = struct.Struct("<8sQQQQQQQQ")
@@ -316,6 +316,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, key
     One shuffle of key and text, by ranges of the key. A retried task writes a file of another name, and only files
     named in the manifest, itself a written table, count.
     """
+    ship(docs.sparkSession)
     rows = docs.select(docs[key].cast("long").alias("key"), docs[text].cast("string").alias("text"))
     rows = (rows.repartitionByRange(shards, "key") if shards else rows.repartitionByRange("key")).sortWithinPartitions("key", "text")
 
@@ -343,6 +344,7 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, out: str) -> DataFrame
 
     The index is held against the document table of each shard while it is read: every key must lead to its first row.
     """
+    ship(spark)
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = placed.select("shard", "path", "base").repartition("shard")
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "shard"]

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .learning import Rows, fold, sampled, sigmoid
 from .shingles import block_words, mixed
+from .work import ship
 
 SIZE, EACH, ROUNDS = 1 << 17, 1500, 150
 L1, L2, TWINS = 2e-4, 1e-5, 1.0
@@ -122,6 +123,7 @@ def fit(rows: Rows, labels: np.ndarray, more: Rows, less: Rows, size: int = SIZE
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, each: int = EACH) -> np.ndarray:
     """Weights from about ``each`` labelled documents of either label, none of the fold left out."""
+    ship(docs.sparkSession)
     marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != out))
     chosen = sampled(marks, "doc_id", "label", each).dropDuplicates(["doc_id"])
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by the sample's size
@@ -150,6 +152,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, each
 
 
 def score(docs: DataFrame, weights: np.ndarray, folds: int, out: int, cut: float) -> DataFrame:
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # its size is that of the feature table
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (fold(docs["doc_id"], folds) == out).alias("held_out"), docs["text"].cast("string").alias("text"))
 
