@@ -42,7 +42,8 @@ def targets(sizes: DataFrame, weights: Sequence[float], budget: float, repeats:
     before = Window.partitionBy(F.lit(0)).orderBy("full_at", "s").rowsBetween(Window.unboundedPreceding, -1)
     w = w.withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(budget)))
     w = w.withColumn("time", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    w = w.withColumn("cut", F.min(F.when(F.col("time") <= F.col("full_at"), F.col("time"))).over(everything))
+    # Sources before the first that ends below its cap run full; at later ones the quotient only falls.
+    w = w.withColumn("cut", F.max(F.when(F.col("time") <= F.col("full_at"), F.col("time"))).over(everything))
     return w.select("s", "source_size", "weight", F.when(F.col("cut").isNull() | (F.col("cut") >= F.col("full_at")), F.col("cap")).otherwise(F.col("cut") * F.col("weight")).alias("target"))
 
 

@@ -60,7 +60,7 @@ timed AS (
   SELECT *, cap / weight AS full_at,
          (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS t
   FROM weighted WINDOW before AS (ORDER BY cap / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-cut AS (SELECT min(t) AS c FROM timed WHERE t <= full_at),
+cut AS (SELECT max(t) AS c FROM timed WHERE t <= full_at),
 goals AS (
   SELECT s, source_size, CASE WHEN c IS NULL OR c >= full_at THEN cap ELSE c * weight END AS target FROM timed, cut),
 placed AS (
