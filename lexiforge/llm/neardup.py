@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shingles import mixed, shingles, words_of
-from .work import pick, shared_dir, written
+from .work import pick, shared_dir, ship, written
 
 
 @dataclass(frozen=True)
@@ -153,18 +153,35 @@ def _confirmed(pairs: DataFrame, members: DataFrame, plan: Plan) -> DataFrame:
     left, right = (members.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     joined = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     joined = joined.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return joined.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * plan.percent).select("a", "b")
+    return joined.where(_alike(F.col("na"), F.col("nb"), F.col("both"), plan)).select("a", "b")
 
 
-def _shared(ids: DataFrame, shingled: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
-    """(doc_id, n, shared, bits) of those documents that can have a link: ``shared`` of the n shingles occur in another one of ``ids``.
+def _able(ids: DataFrame, shingled: DataFrame, reps: DataFrame, plan: Plan) -> DataFrame:
+    """(doc_id, n, shared, bits, keys, s) of those documents that can have a link: ``shared`` of the n shingles occur in another one of ``ids``.
 
     No two sets have more in common than either shares at all, so a document that shares less than the threshold of its
     own size has no link.
     """
-    alone = shingled.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    sizes = reps.select("doc_id", "n", "bits").join(ids, "doc_id", "left_semi").join(alone, "doc_id", "left")
-    return sizes.select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), "bits").where(F.col("shared") * 100 >= F.col("n") * plan.percent)
+    own = shingled.join(ids.hint("merge"), "doc_id", "left_semi")
+    alone = own.select("doc_id", F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id")).where("c = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
+    known = reps.join(ids, "doc_id", "left_semi").join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), "bits", "keys")
+    return known.where(F.col("shared") * 100 >= F.col("n") * plan.percent).join(own.hint("merge"), "doc_id")
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    return rows.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+
+
+def _joined(spark: SparkSession, label: DataFrame, found: DataFrame, path: str) -> DataFrame:
+    """The components after further links."""
+    if found.isEmpty():
+        return label
+    stars = label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(spark, stars.unionByName(found), path)
+
+
+def _alike(na: Column, nb: Column, both: Column, plan: Plan) -> Column:
+    return both * 100 >= (na + nb - both) * plan.percent
 
 
 def _possible(plan: Plan) -> Column:
@@ -177,6 +194,7 @@ def _possible(plan: Plan) -> Column:
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa: B008
     """A row for each row of ``docs``: doc_id, n_shingles, component_id, kept (doc_id = component_id)."""
     spark = docs.sparkSession
+    ship(spark)
     out = shared_dir(spark)
     rows = pick(docs, doc_id="long", text="string")
     sketch = written(sketches(rows, plan), f"{out}/sketch")
@@ -194,32 +212,27 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     links = written(_confirmed(pairs, shingled, plan), f"{out}/links")
     label = components(spark, links, f"{out}/stars")
 
-    tested = pairs
-    for round_ in ("second", "rest"):
-        # Buckets that still hold several components. A first look compares their members with the one that shares most
-        # with others, which is the middle of a group of near copies; the last look compares whatever can still be linked.
-        held = near.select("key", "doc_id").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-        if round_ == "second":
-            some = held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-            held = written(held.join(some, "key"), f"{out}/open")
-            shared = written(_shared(held.select("doc_id").distinct(), shingled, reps, plan), f"{out}/shared")
-        held = held.join(shared, "doc_id")
-        split = held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max_by(F.struct("doc_id", "c", "n", "shared", "bits"), F.struct("shared", -F.col("doc_id"))).alias("hub")).where("low < high").drop("low", "high")
-        held = held.join(split, "key").where(F.col("c") != F.col("hub.c"))
-        one = held.select("key", "hub", *[F.col(c).alias(f"{c}a") for c in ("doc_id", "c", "n", "shared", "bits")])
-        if round_ == "second":
-            two = one.select("*", *[F.col(f"hub.{c}").alias(f"{c}b") for c in ("doc_id", "c", "n", "shared", "bits")])
-        else:
-            other = near.select("key", "doc_id").join(split.select("key"), "key", "left_semi").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c")).join(shared, "doc_id")
-            two = one.join(other.select("key", *[F.col(c).alias(f"{c}b") for c in ("doc_id", "c", "n", "shared", "bits")]), "key").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("hub.c")) | (F.col("doc_ida") < F.col("doc_idb"))))
-        more = two.where(_possible(plan)).select(F.least("doc_ida", "doc_idb").alias("a"), F.greatest("doc_ida", "doc_idb").alias("b")).distinct()
-        more = written(more.join(tested, ["a", "b"], "left_anti"), f"{out}/{round_}-pairs")
-        found = written(_confirmed(more, shingled, plan), f"{out}/{round_}-links")
-        if found.isEmpty():
-            continue
-        tested = tested.unionByName(more)
-        stars = label.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        label = components(spark, stars.unionByName(found), f"{out}/{round_}")
+    # Buckets that still hold several components: first their members against the one that shares most with others,
+    # which is the middle of a group of near copies, then members of other components against all.
+    held = _labelled(near.select("key", "doc_id"), label)
+    split = held.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    held = written(held.join(split, "key").select("key", "doc_id"), f"{out}/open")
+    able = written(_able(held.select("doc_id").distinct(), shingled, reps, plan), f"{out}/able")
+    held = held.join(able.select("doc_id", "n", "shared"), "doc_id")
+    hubs = held.groupBy("key").agg(F.max_by("doc_id", F.struct("shared", -F.col("doc_id"))).alias("hub"))
+    around = held.join(hubs, "key").where("doc_id <> hub").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    found = written(_confirmed(around, able, plan), f"{out}/middle")
+    label = _joined(spark, label, found, f"{out}/middles")
+
+    held = _labelled(held.select("key", "doc_id"), label)
+    split = held.join(hubs, "key").groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(F.when(F.col("doc_id") == F.col("hub"), F.col("c"))).alias("most")).where("low < high").select("key", "most")
+    held = held.join(split, "key").join(able.hint("merge"), "doc_id")
+    one, two = (held.select("key", "most", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "c", "n", "shared", "bits", "keys", "s")]) for x in "ab")
+    # A bucket's members outside its middle's component against all of it; a pair counts in the first bucket that both are in.
+    side = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("doc_ida") < F.col("doc_idb")))
+    rest = one.where("ca <> most").join(two.drop("most"), "key").where(side & _possible(plan) & (F.get(F.array_intersect("keysa", "keysb"), F.lit(0)) == F.col("key")) & _alike(F.col("na"), F.col("nb"), F.size(F.array_intersect("sa", "sb")), plan))
+    found = written(rest.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")), f"{out}/rest")
+    label = _joined(spark, label, found, f"{out}/all")
     result = member.select("doc_id", "n", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "rep")).alias("kept"))
 
