@@ -1,0 +1 @@
+"""Queries over whole tables and the whole learning plan."""
