@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package's source, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    _SHIPPED.add(app)
-    top = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="lexiforge-source-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)  # executors fetch it from the driver at any time
-    path = f"{folder}/lexiforge-source.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(path)
+__all__ = ["pick", "shared_dir", "ship", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
