@@ -21,8 +21,8 @@ def matches(source: DataFrame, targets: DataFrame, dictionary: DataFrame, keys:
     occurrence's translations in the verse the longest is the primary one, ties by code point.
     """
     found = probes(source).join(dictionary.select(F.col("term").alias("k"), F.col("target").alias("target_term")), "k")
-    found = found.select(*keys, F.col("pos").alias("src_pos"), F.col("term").alias("source_term"), "target_term").distinct()
-    found = found.join(targets.select(*keys, F.col("term").alias("target_term")), [*keys, "target_term"])
+    found = found.select(*keys, F.col("pos").alias("src_pos"), F.col("term").alias("source_term"), "target_term")
+    found = found.join(targets.select(*keys, F.col("term").alias("target_term")), [*keys, "target_term"]).distinct()
     rank = F.row_number().over(Window.partitionBy(*keys, "src_pos").orderBy(F.length("target_term").desc(), "target_term"))
     found = found.withColumn("rank", rank).withColumn("is_primary", F.col("rank") == 1)
     return found.select(*keys, "src_pos", "source_term", "target_term", "rank", "is_primary", F.when(F.col("is_primary"), PRIMARY).otherwise(ALTERNATIVE).alias("score"))
