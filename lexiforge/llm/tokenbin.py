@@ -133,10 +133,11 @@ class Encoder:
             try:
                 out[i] = b"".join(map(known.__getitem__, parts))[4:]
             except TypeError:  # blanks beside other white space
+                # The first and the last piece may begin or end with white space of their own.
                 first, *parts = _CUTS.split(texts[i])
-                parts = [x[1:] for x in parts]
+                ends, parts = self._bytes([first, *parts[-1:]]), [x[1:] for x in parts[:-1]]
                 self._need(set(parts))
-                out[i] = self._bytes([first])[0] + b"".join(map(known.__getitem__, parts))
+                out[i] = ends[0] + b"".join(map(known.__getitem__, parts)) + b"".join(ends[1:])
         if self.long:
             for u in self.long:
                 known.pop(u, None)
