@@ -83,27 +83,36 @@ class Index:
         return np.array(out).astype(np.int64)
 
 
-def fit(sample: np.ndarray, norm: float, k: int, goal: float = 0.97, width: float = 2.0, most: int = 512) -> Index:
-    """The fewest probes (a power of two, or 1.5 times one) whose recall of the k nearest reaches ``goal`` within the sample."""
-    ix = Index(sample.shape[1], norm, width, 16)
+def fit(sample: np.ndarray, norm: float, k: int, goal: float = 0.97, widths: tuple[float, ...] = (2.0, 2.5, 3.0, 4.0, 6.0, 12.0, 100.0), most: int = 128) -> Index:
+    """The narrowest cells, and for them the fewest probes, whose recall of the k nearest reaches ``goal`` within the sample.
+
+    Widths are in deviations of the sample's projections; probes are powers of two or 1.5 times one, at most ``most``.
+    The last width puts nearly everything into one cell, so some width always reaches the goal.
+    """
+    ix = Index(sample.shape[1], norm, 1.0, 16)
     base, asked = ix.lifted(sample, False), ix.lifted(sample[:FIT_QUERIES], True)
-    ix.width = float(ix.places(base).std(axis=1).mean() * ix.width * width)
+    spread = float((ix.places(base) - ix.shift).std(axis=1).mean())
     s = asked[:, :-1] @ sample.T
     s[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
     top = np.argsort(-s, axis=1)[:, : min(k, len(sample) - 1)]
-    if not top.size:
-        return ix
-    home, ask = ix.names(np.floor(ix.places(base)).astype(np.int64)), ix.places(asked)
-    while True:
-        hits = 0
-        for i in range(len(asked)):
-            found = np.zeros(top.shape[1], bool)
-            for t in range(ix.tables):
-                found |= np.isin(home[t][top[i]], ix.names(ix.visits(ask[t, i])))
-            hits += found.sum()
-        if hits >= goal * top.size or ix.probes >= most:
+    for width in widths:
+        ix.width, ix.probes = max(spread * width, 1e-9), 16
+        if not top.size:
             return ix
-        ix.probes = ix.probes * 3 // 2 if ix.probes & (ix.probes - 1) == 0 else ix.probes * 4 // 3
+        home, ask = ix.names(np.floor(ix.places(base)).astype(np.int64)), ix.places(asked)
+        while ix.probes <= most:
+            hits = 0
+            for i in range(len(asked)):
+                found = np.zeros(top.shape[1], bool)
+                for t in range(ix.tables):
+                    found |= np.isin(home[t][top[i]], ix.names(ix.visits(ask[t, i])))
+                hits += found.sum()
+            if hits >= goal * top.size:
+                return ix
+            if ix.probes == most:
+                break
+            ix.probes = ix.probes * 3 // 2 if ix.probes & (ix.probes - 1) == 0 else ix.probes * 4 // 3
+    return ix
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
