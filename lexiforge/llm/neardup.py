@@ -132,7 +132,8 @@ def components(spark: SparkSession, edges: DataFrame, path: str) -> DataFrame:
     written table. It ends when a round changes nothing.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{path}/0")
-    state = None
+    sign = lambda t: tuple(t.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 2**40), F.max("u")).first())
+    state = sign(now)
     for i in range(1, 64):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -141,7 +142,7 @@ def components(spark: SparkSession, edges: DataFrame, path: str) -> DataFrame:
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         now = written(small, f"{path}/{i}")
-        last, state = state, tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 2**40), F.max(F.col("u"))).first())
+        last, state = state, sign(now)
         if last == state:
             break
     tops = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
