@@ -21,7 +21,7 @@ from .learning import fold, sampled
 from .shingles import mixed
 from .work import ship
 
-GRAMS, SIZE, EACH, PASSES = 3, 1 << 14, 1200, 3
+GRAMS, SIZE, EACH, PASSES = 3, 1 << 14, 700, 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.002, 0.5
 UNKNOWN = "und"
 _STEP = 1 << 20
@@ -141,9 +141,9 @@ def learn(rows: DataFrame, each: int = EACH) -> Model:
         for batch in batches:
             out = [(i.as_py(), name.as_py(), c) for i, text, name in zip(*batch.columns, strict=True) if (c := counts(text.as_py())) is not None]
             at = [np.flatnonzero(c) for *_, c in out]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in out], pa.int64()), "lang": pa.array([x[1] for x in out], pa.string()), "at": pa.array(at, pa.list_(pa.int32())), "c": pa.array([c[a] for (*_, c), a in zip(out, at, strict=True)], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in out], pa.int64()), "lang": pa.array([x[1] for x in out], pa.string()), "at": pa.array(at, pa.list_(pa.int32())), "c": pa.array([c[a].astype(np.int32) for (*_, c), a in zip(out, at, strict=True)], pa.list_(pa.int32()))})
 
-    got = picked.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, at array<int>, c array<long>").toArrow()
+    got = picked.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, at array<int>, c array<int>").toArrow()
     if not n or not got.num_rows:
         return Model([], np.zeros(SIZE), np.zeros((SIZE + 1, 0)), 1.0)
     got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
@@ -155,7 +155,7 @@ def learn(rows: DataFrame, each: int = EACH) -> Model:
     for at, c in zip(got.column("at"), got.column("c"), strict=True):
         at, c = at.values.to_numpy(), c.values.to_numpy()
         v = (1 + np.log(c)) * idf[at]
-        made.append((at, v / np.sqrt((v * v).sum())))
+        made.append((at, (v / np.sqrt((v * v).sum())).astype(np.float32)))
     order = np.random.Generator(np.random.PCG64(9)).permutation(len(made))
     held, own = order[: len(made) // 5], order[len(made) // 5 :]
     w = fit([made[i] for i in own], labels[own], len(names))
