@@ -76,9 +76,13 @@ def tuning_averages(metrics: DataFrame) -> DataFrame:
 
 
 def keep_newest(rows: DataFrame, owner: str, name: str, count: int = 2) -> DataFrame:
-    """``keep`` for the ``count`` last names of each owner in descending order."""
+    """``keep`` for the ``count`` last names of each owner in descending order.
+
+    The names to keep are found first, cut to ``count`` before they are shuffled, so an owner of many rows isn't one task.
+    """
     order = Window.partitionBy(owner).orderBy(F.desc(name))
-    return rows.withColumn("keep", F.row_number().over(order) <= count)
+    newest = rows.select(owner, name).withColumn("r", F.row_number().over(order)).where(F.col("r") <= count).select(owner, name, F.lit(True).alias("newest"))
+    return rows.join(newest, [owner, name], "left").withColumn("keep", F.coalesce("newest", F.lit(False))).drop("newest")
 
 
 def expired(rows: DataFrame, at: str, now: Column, days: int = 7) -> DataFrame:
