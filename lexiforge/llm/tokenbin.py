@@ -33,7 +33,7 @@ from .work import shared_dir, ship, written
 MAGIC, VERSION = b"LXFTOK\x00\x00", 1
 TAIL = struct.Struct("<8sQQQQQQQQ")
 MANIFEST = "shard int, path string, n_docs long, n_tokens long, first_key long, last_key long"
-#: Units kept with their ids by each worker; the cache starts anew beyond it.
+#: Units kept with their ids by each worker; beyond it the cache starts anew with the next block.
 CACHE_UNITS = 600_000
 LONGEST_UNIT = 48
 #: A single blank between other characters begins a pre-token.
@@ -136,7 +136,7 @@ class Encoder:
                 # The first and the last piece may begin or end with white space of their own.
                 first, *parts = _CUTS.split(texts[i])
                 ends, parts = self._bytes([first, *parts[-1:]]), [x[1:] for x in parts[:-1]]
-                self._need(set(parts))
+                self._learn(set(parts).difference(known))  # without emptying the cache, whose units the block's other texts need
                 out[i] = ends[0] + b"".join(map(known.__getitem__, parts)) + b"".join(ends[1:])
         if self.long:
             for u in self.long:
@@ -145,6 +145,7 @@ class Encoder:
         return out
 
     def _need(self, units: set[str]) -> None:
+        """Makes a block's units known; only here, before any of them is read, may the cache be emptied."""
         known = self.known
         missing = units.difference(known)
         if len(known) + len(missing) > CACHE_UNITS:

@@ -259,6 +259,20 @@ def test_token_round_trip(spark, tmp_path):
     assert tokenbin.token_table(spark, docs_of(spark, []), path).isEmpty()
 
 
+@pytest.mark.parametrize("cap", [1, 4, 12])
+def test_tokens_beyond_the_cache(monkeypatch, cap):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(tokenbin, "CACHE_UNITS", cap)
+    blocks = [["one two three", "four  five six\n\nseven eight nine", "one two ten", "a  b c\n\n d e", "ten one, two"], [None, "", "one  more two", "two three"], [prose(3, 50), "x  " + prose(4, 50), prose(3, 50)]]
+    t, encoder = Tokenizer.from_file(path), tokenbin.Encoder(path)
+    for texts in blocks:
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
 def test_perfect_hash():
     keys = np.unique(np.random.Generator(np.random.PCG64(1)).integers(-(2**62), 2**62, 20_000))
     h = tokenbin.PerfectHash.build(keys)
