@@ -9,6 +9,7 @@ The trees are trained on pages that ``training_pages`` makes by rule, with a mar
 each run.
 
 Defined cases: a null or empty page has an empty text; unclosed and stray tags are repaired as browsers do for blocks;
+an open head ends at the first tag or text that can't stand in one;
 scripts, styles, form controls, comments and the head never give text; repeated rows are extracted one by one; an empty
 table gives no rows; further columns are kept out of the result.
 """
@@ -31,6 +32,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNREAD = frozenset("script style noscript template textarea title svg math iframe object select option button canvas audio video head datalist".split())
 RAW = frozenset("script style textarea title iframe noscript template xmp noembed noframes".split())
+IN_HEAD = frozenset("html head title base link meta style script noscript noframes template".split())
 CLOSED_BY_BLOCK = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul details figcaption".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}}
 SCOPE = frozenset("table ul ol dl html body div section article aside main nav header footer form td th".split())
@@ -94,6 +96,8 @@ def parse(source: str | None) -> Page:
     while at < size:
         m = _TAG.search(source, at)
         end = m.start() if m else size
+        if names[-1] == "head" and end > at and source[at:end].strip(" \t\n\f\r"):
+            close(len(names) - 1)
         if end > at and not unread:
             words.append(source[at:end])
             if in_link:
@@ -105,6 +109,8 @@ def parse(source: str | None) -> Page:
         if name is None:
             continue
         name = name.lower()
+        if names[-1] == "head" and (name in ("body", "html", "br") if m[1] else name not in IN_HEAD):
+            close(len(names) - 1)
         if name == "br":
             if not unread:
                 words.append(" ")

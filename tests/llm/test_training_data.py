@@ -95,6 +95,15 @@ def test_main_text(spark):
     assert htmltext.main_text(df.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("begin", ["<body>", "", "</body>", "<BODY class=x>", "<br>", "<div>", "<b>first</b>", "some words"])
+def test_main_text_without_end_of_head(begin):
+    head = "<html><head><meta charset=utf-8><title>x</title>\n<link rel=a><script>var a = '<p>no</p>';</script> <style>p{}</style>\n"
+    rest = f"{begin}<article><p>{prose(1, 40)}.</p><p>{prose(2, 40)}.</p></article>"
+    text = lambda s: "\n".join(t for _, t, _ in htmltext.parse(s).blocks)
+    assert text(f"{head}{rest}</html>") == text(f"{head}</head>{rest}</html>")
+    assert htmltext.extract([f"{head}{rest}</html>"], htmltext.trained())[0].endswith(f"{prose(1, 40)}.\n{prose(2, 40)}.")
+
+
 def test_main_text_held_out():
     pages = [htmltext.parse(s) for s in htmltext.training_pages(120, seed=1234)]
     odds = htmltext.trained().score(htmltext.features(pages))
