@@ -5,8 +5,11 @@ product is the least Euclidean distance. Each of ``tables`` hashes is ``width``-
 projections. A query visits its own bucket and those that perturb single coordinates by one cell, in the order of the
 estimated chance of success; all candidates are then ranked by their exact inner product in double precision.
 
-Cell width and number of probes are fitted on a sample of at most ``SAMPLE`` vectors; every vector is indexed. Buckets
-aren't capped: a full one is cut into blocks of vectors and of queries, and each pair of blocks is compared by itself.
+Cell width and number of probes are fitted on a sample of at most ``SAMPLE`` vectors, on queries from as many different
+cells as there are, so that a group of copies counts little, to a mean recall and to one that nearly every query reaches;
+every vector is indexed. Buckets aren't capped: a full one is cut into blocks of vectors and of queries, and each pair of
+blocks is compared by itself. Queries whose buckets hold fewer than k candidates though the table has more are compared
+with every vector, in blocks as well.
 
 Defined cases: vectors that are null, empty, zero, of another length than most, or hold a null or non-finite component
 take no part, nor do rows without an id; rows that share an id are the same candidate (the best score counts) and the
@@ -25,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import ship
+from .work import shared_dir, ship, written
 
-SAMPLE, FIT_QUERIES, BLOCK_ROWS, TASK_ROWS = 6000, 100, 512, 60_000
+SAMPLE, FIT_QUERIES, BLOCK_ROWS, OPEN_ROWS, TASK_ROWS = 6000, 100, 512, 2048, 60_000
 
 
 @dataclass
@@ -83,17 +86,30 @@ class Index:
         return np.array(out).astype(np.int64)
 
 
-def fit(sample: np.ndarray, norm: float, k: int, goal: float = 0.97, widths: tuple[float, ...] = (2.0, 2.5, 3.0, 4.0, 6.0, 12.0, 100.0), most: int = 128) -> Index:
-    """The narrowest cells, and for them the fewest probes, whose recall of the k nearest reaches ``goal`` within the sample.
+def dealt(cells: np.ndarray) -> np.ndarray:
+    """Places in the order of dealing: the first of each cell, then the second of each, and so on."""
+    order = np.argsort(cells, kind="stable")
+    first = np.concatenate([[True], cells[order][1:] != cells[order][:-1]]) if len(cells) else np.zeros(0, bool)
+    turn = np.empty(len(cells), np.int64)
+    turn[order] = np.arange(len(cells)) - np.maximum.accumulate(np.where(first, np.arange(len(cells)), 0))
+    return np.argsort(turn, kind="stable")
 
+
+def fit(sample: np.ndarray, norm: float, k: int, goal: float = 0.97, each: float = 0.9, share: float = 0.95, widths: tuple[float, ...] = (2.0, 2.5, 3.0, 4.0, 6.0, 12.0, 100.0), most: int = 128) -> Index:
+    """The narrowest cells, and for them the fewest probes, whose recall of the k nearest within the sample reaches ``goal`` on average and ``each`` for a ``share`` of the queries.
+
+    The queries are dealt over the narrowest cells of one table, one from each cell, then a second, and so on.
     Widths are in deviations of the sample's projections; probes are powers of two or 1.5 times one, at most ``most``.
     The last width puts nearly everything into one cell, so some width always reaches the goal.
     """
     ix = Index(sample.shape[1], norm, 1.0, 16)
-    base, asked = ix.lifted(sample, False), ix.lifted(sample[:FIT_QUERIES], True)
+    base = ix.lifted(sample, False)
     spread = float((ix.places(base) - ix.shift).std(axis=1).mean())
+    ix.width = max(spread * widths[0], 1e-9)
+    chosen = dealt(ix.names(np.floor(ix.places(base)[0]).astype(np.int64)))[:FIT_QUERIES]
+    asked = ix.lifted(sample[chosen], True)
     s = asked[:, :-1] @ sample.T
-    s[np.arange(len(asked)), np.arange(len(asked))] = -np.inf
+    s[np.arange(len(asked)), chosen] = -np.inf
     top = np.argsort(-s, axis=1)[:, : min(k, len(sample) - 1)]
     for width in widths:
         ix.width, ix.probes = max(spread * width, 1e-9), 16
@@ -101,13 +117,13 @@ def fit(sample: np.ndarray, norm: float, k: int, goal: float = 0.97, widths: tup
             return ix
         home, ask = ix.names(np.floor(ix.places(base)).astype(np.int64)), ix.places(asked)
         while ix.probes <= most:
-            hits = 0
+            hits = np.zeros(len(asked))
             for i in range(len(asked)):
                 found = np.zeros(top.shape[1], bool)
                 for t in range(ix.tables):
                     found |= np.isin(home[t][top[i]], ix.names(ix.visits(ask[t, i])))
-                hits += found.sum()
-            if hits >= goal * top.size:
+                hits[i] = found.mean()
+            if hits.mean() >= goal and (hits >= each).mean() >= share:
                 return ix
             if ix.probes == most:
                 break
@@ -192,6 +208,14 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
 
         return run
 
+    def packed(asks: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, m = _numbers(batch.column(1), dim), batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, asks)), pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int64)), batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["side", "t", "b", "id", "v"])
+
+        return run
+
     asked = rows.where(F.col("id") % every == 0)
     counts = rows.mapInArrow(hashed(False, True), kept).unionByName(asked.mapInArrow(hashed(True, True), kept)).groupBy("t", "b").agg(F.count_if(~F.col("side")).alias("vectors"), F.count_if("side").alias("queries"))
     blocks = counts.where("vectors > 0 AND queries > 0").select("t", "b", F.ceil(F.col("vectors") / BLOCK_ROWS).cast("int").alias("vparts"), F.ceil(F.col("queries") / BLOCK_ROWS).cast("int").alias("qparts"))
@@ -200,9 +224,12 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
     vectors = rows.mapInArrow(hashed(False, False), kept).join(blocks, ["t", "b"]).withColumn("vp", own("vparts")).withColumn("qp", every_part("qparts"))
     queries = asked.mapInArrow(hashed(True, False), kept).join(blocks, ["t", "b"]).withColumn("qp", own("qparts")).withColumn("vp", every_part("vparts"))
     names = ["t", "b", "vp", "qp"]
-    both = vectors.select(*names, "side", "id", "v").unionByName(queries.select(*names, "side", "id", "v"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * index.tables // TASK_ROWS))
-    placed = both.repartition(tasks, *names).sortWithinPartitions(*names, "side")
+
+    def placed(vectors: DataFrame, queries: DataFrame, copies: int) -> DataFrame:
+        both = vectors.select(*names, "side", "id", "v").unionByName(queries.select(*names, "side", "id", "v"))
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * copies // TASK_ROWS))
+        return both.repartition(tasks, *names).sortWithinPartitions(*names, "side")
+
     part_schema = pa.schema([("query_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("scores", pa.list_(pa.float64()))])
 
     def listed(found: dict) -> pa.RecordBatch:
@@ -230,7 +257,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
         if found:
             yield listed(found)
 
-    parts = placed.mapInArrow(search, "query_id long, ids array<long>, scores array<double>")
+    parts_of = "query_id long, ids array<long>, scores array<double>"
     groups = max(1, -(-n // (every * 200)))
 
     def merge(group: pa.Table) -> pa.Table:
@@ -244,4 +271,24 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
         sizes = [len(x[0]) for x in found.values()]
         return pa.table({"query_id": pa.array(np.repeat(list(found), sizes), pa.int64()), "rank": pa.array(np.concatenate([np.arange(1, s + 1) for s in sizes]), pa.int32()), "vec_id": np.concatenate([x[0] for x in found.values()]), "score": np.concatenate([x[1] for x in found.values()])})
 
-    return parts.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups))).groupBy("g").applyInArrow(merge, schema)
+    def merged(parts: DataFrame) -> DataFrame:
+        return parts.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups))).groupBy("g").applyInArrow(merge, schema)
+
+    folder = shared_dir(spark)
+    got = written(merged(placed(vectors, queries, index.tables).mapInArrow(search, parts_of)), f"{folder}/neighbours")
+    # An id is a candidate once, however many rows share it, and never for itself.
+    least = min(k, rows.select("id").distinct().limit(k + 1).count() - 1)
+    counts = got.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("found"))
+    short = written(asked.select("id").distinct().join(counts, "id", "left").where(F.coalesce("found", F.lit(0)) < least).select("id"), f"{folder}/short")
+    open_queries = short.count()
+    if not open_queries:
+        return got
+    # Every open query meets every vector; vectors travel once for each block of queries, so these are larger here.
+    qparts, vparts = -(-open_queries // OPEN_ROWS), -(-n // OPEN_ROWS)
+    to = lambda parts: F.pmod(F.xxhash64("id", F.lit(11)), F.lit(parts)).cast("int")
+    all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    plain = lambda table, asks: table.mapInArrow(packed(asks), kept)
+    left = plain(asked.join(short, "id", "left_semi"), True).withColumn("qp", to(qparts)).withColumn("vp", all_of(vparts))
+    every_row = plain(rows, False).withColumn("vp", to(vparts)).withColumn("qp", all_of(qparts))
+    whole = merged(placed(every_row, left, qparts).mapInArrow(search, parts_of))
+    return got.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(whole)

@@ -165,6 +165,36 @@ def test_neighbours(spark):
     assert [(r["query_id"], r["rank"]) for r in few] == [(0, 1), (0, 2)]
 
 
+def test_neighbours_beside_copies(spark):
+    rng = np.random.Generator(np.random.PCG64(18))
+    x = rng.normal(size=(1200, 16))
+    hot = np.arange(1200) % 40 != 0
+    x[hot] = x[1] + rng.normal(size=(int(hot.sum()), 16)) * 1e-3
+    got = defaultdict(set)
+    for r in neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    recall = []
+    for q in range(0, 1200, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(got[q]) == 20
+        recall.append(len(got[q] & set(np.argsort(-s)[:20].tolist())) / 20)
+    assert np.quantile(recall, 0.05) >= 0.85 and np.mean(recall) >= 0.95
+
+
+def test_neighbours_of_few_candidates(spark, monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(19))
+    x = rng.normal(size=(300, 8))
+    monkeypatch.setattr(neighbours, "OPEN_ROWS", 7)
+    monkeypatch.setattr(neighbours, "fit", lambda sample, norm, k: neighbours.Index(sample.shape[1], norm, 0.01, 1))
+    got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist())], "vec_id long, embedding array<double>"), k=10).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"]) for r in got] == [(q, i) for q in range(0, 300, 20) for i in range(1, 11)]
+    for q in range(0, 300, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert [r["vec_id"] for r in got if r["query_id"] == q] == np.argsort(-s)[:10].tolist()
+
+
 # 5
 
 
