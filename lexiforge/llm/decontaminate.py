@@ -1,14 +1,14 @@
 """Benchmark decontamination: pigeonhole search for test items within an edit budget, verified bit-parallel.
 
-Texts and items are sequences of words (letters, digits and underscores, in lower case). An item of n words may differ
-from a passage in ``floor(rate * n)`` word edits. It is split into one piece more than its budget, so a passage within
+Texts and items are sequences of words (letters, digits and underscores, in lower case); in scripts that set no blanks
+between words each character is a word. An item of n words may differ from a passage in ``floor(rate * n)`` word edits. It is split into one piece more than its budget, so a passage within
 the budget holds one piece unchanged; pieces are found by hash, and the passage around each hit is verified with Myers'
 bit-parallel edit distance over words, with free ends in the text.
 
 The items are sent to all executors in slices of at most ``SLICE_BYTES``; a larger benchmark takes several slices.
 
-Defined cases: a null or empty text holds nothing; a null item and one of fewer than ``LEAST_WORDS`` words isn't looked
-for; items that share an id are looked for one by one and the best match counts; rows of one doc_id are searched one by
+Defined cases: a null or empty text holds nothing; a null item and one without words isn't looked for;
+one too short for a budget, down to a single word, is found where it stands unchanged; items that share an id are looked for one by one and the best match counts; rows of one doc_id are searched one by
 one; an empty table on either side gives no match; columns other than those named aren't read, and ``clean`` keeps them.
 """
 
@@ -27,13 +27,15 @@ from pyspark.sql import functions as F
 from .shingles import mixed, words_of
 from .work import ship
 
-RATE, LEAST_WORDS, SLICE_BYTES = 0.2, 5, 32 << 20
-_GAPS = re.compile(r"\W+")
+RATE, SLICE_BYTES = 0.2, 32 << 20
+# Letters and marks of scripts without blanks between words: Thai, Lao, Myanmar, Khmer, Tai scripts, Balinese, Javanese, kana, Yi, Han.
+_UNSPACED = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u0edc-\u0edf\u1000-\u103f\u1050-\u108f\u109a-\u109d\u1780-\u17d3\u17dc\u17dd\u1950-\u19c9\u1a20-\u1a7c\u1b00-\u1b4c\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48c\ua980-\ua9c0\ua9e0-\ua9ef\ua9fa-\ua9fe\uaa60-\uaa76\uaa7a-\uaac2\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+_GAPS, _ALONE = re.compile(rf"[^\w{_UNSPACED}]+"), re.compile(f"[{_UNSPACED}]")
 
 
 def words(texts: list[str | None]) -> list[np.ndarray]:
     """Hashes of the words of each text."""
-    clean = pa.array([_GAPS.sub(" ", t.lower()) if t else "" for t in texts], pa.string())
+    clean = pa.array([_ALONE.sub(r" \g<0> ", _GAPS.sub(" ", t.lower())) if t else "" for t in texts], pa.string())
     return [w.copy() for _, w in words_of(clean)]
 
 
@@ -78,7 +80,7 @@ class Items:
 
     def add(self, item_id: int, w: np.ndarray) -> None:
         n = len(w)
-        if n < LEAST_WORDS:
+        if not n:
             return
         budget = int(self.rate * n)
         size = n // (budget + 1)
@@ -110,16 +112,20 @@ class Items:
         found: dict[int, tuple[int, int]] = {}
         for at, starts in near.items():
             item_id, own, budget, masks = self.items[at]
-            done = None
-            for start in sorted(starts):
-                low, high = max(0, start - budget), min(len(w), start + len(own) + budget)
-                if done is not None and high <= done:
-                    continue
+            starts = sorted(starts)
+            if not budget:
+                end = next((i + len(own) for i in starts if w[i : i + len(own)].tolist() == own), None)
+                if end is not None and (item_id not in found or (0, end) < found[item_id]):
+                    found[item_id] = (0, end)
+                continue
+            k = 0
+            while k < len(starts):
+                low, high = max(0, starts[k] - budget), min(len(w), starts[k] + len(own) + budget)
+                k += 1
                 # Starts close together are verified in one stretch.
-                for other in sorted(starts):
-                    if start < other <= high:
-                        high = min(len(w), other + len(own) + budget)
-                done = high
+                while k < len(starts) and starts[k] <= high:
+                    high = min(len(w), starts[k] + len(own) + budget)
+                    k += 1
                 distance, end = myers(masks, len(own), w[low:high].tolist())
                 if distance <= budget and (item_id not in found or (distance, low + end) < found[item_id]):
                     found[item_id] = (distance, low + end)

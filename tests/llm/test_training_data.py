@@ -78,6 +78,15 @@ def test_decontamination(spark):
     assert decontaminate.matches(docs_of(spark, rows), bench.limit(0)).isEmpty()
 
 
+def test_decontamination_of_short_and_unspaced_items(spark):
+    zh, ja, thai = "今天的天气非常好我们一起去公园散步吧", "吾輩は猫である名前はまだ無い", "กินข้าวหรือยังครับวันนี้"
+    rows = [(20, "So: Who wrote Hamlet? Nobody.", "en", "a"), (21, "who else wrote hamlet", "en", "a"), (22, f"他说:{zh}。然后他走了。", "zh", "a"), (23, f"前文{zh.replace('非常', '真')}後文", "zh", "a"), (24, f"昔々{ja}と書いた", "ja", "a"), (25, f"เขาถาม{thai}แล้วไป", "th", "a"), (26, "完全不同的一句话在这里", "zh", "a"), (27, "hamlet " * 3000, "en", "a")]
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, zh), (3, ja), (4, thai), (5, "Ophelia"), (6, "猫である"), (7, "?!"), (8, "Hamlet hamlet")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.matches(docs_of(spark, rows), bench).collect()}
+    assert got == {(20, 1): 0, (22, 2): 0, (23, 2): 2, (24, 3): 0, (24, 6): 0, (25, 4): 0, (27, 8): 0}
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs_of(spark, rows), bench).collect()) == [21, 26]
+
+
 # 2
 
 
