@@ -1,6 +1,7 @@
 """Secret scan: candidate strings, judged by a random forest.
 
-Candidates are runs of 12 or more characters of keys and tokens that hold a digit or mixed case. Their features are
+Candidates are runs of 12 or more characters of keys and tokens that hold a digit or mixed case, and whatever a word such
+as password or secret assigns: a value of any length and any characters up to a blank, or all between quotes. Features are
 length, classes of characters and changes between them, how far common letter pairs and known words cover them, whether
 they look like a path, address or identifier, and the words beside them. The forest is trained on findings that
 ``findings`` makes by rule, with labels, and is the same at each run.
@@ -26,9 +27,13 @@ from .work import ship
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9_\-./+=:@~%]{12,}")
 _TRIM = re.compile(r"^(?:[A-Za-z_\-.]{2,24}[=:]+)?[\"'=:./]*(.*?)[\"'.:,]*$", re.DOTALL)
+# A name that ends in a word for a secret, and what assigns it; the quote that follows is kept apart.
+_ASSIGNS = r"(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|credentials?|authorization|bearer|api[_-]?key|(?<![a-z])(?:pass|key|auth))(?:[_-]?(?:key|token|value|hash))?[\"'`\])]{0,3}\s{0,4}(?::=|=>|==?|:|\bis\b|\bwas\b)\s{0,4}"
+_ASSIGNED = re.compile(_ASSIGNS + r"(?:(?P<q>[\"'`])(?P<quoted>(?:(?!(?P=q))[^\n\\]|\\.)++)(?P=q)|(?P<plain>(?:(?![&;,]\w+=)\S)+))", re.IGNORECASE)
+_LEAD = re.compile(_ASSIGNS + r"[\"'`]?$", re.IGNORECASE)
 _WORD = re.compile(r"[A-Za-z]{2,}")
 # Words that speak for a secret nearby, words that speak against one, common words of prose and code.
-FOR = frozenset("password passwd pwd pass secret token key apikey api auth bearer credential credentials access private aws client login authorization".split())
+FOR = frozenset("password passwd passphrase passcode pwd pass secret token key apikey api auth bearer credential credentials access private aws client login authorization".split())
 AGAINST = frozenset("example sample test dummy placeholder hash sha sha1 sha256 md5 checksum commit digest uuid guid id revision version fixture demo fake build etag image".split())
 COMMON = frozenset("the and for with that this from have are was not you all can has but his her one our out day get use man new now way may say each which their time will about there when make like long look many some then them these other into more write number people water first sound called found work over such part long great world year live back give most very after thing just name good sentence think where help through much before line right too mean old any same tell boy follow came want show also around form small end put home read hand port large spell add even land here must big high act why ask men change went light kind off need house picture try again animal point mother build self earth father file path user data config server client index value string number list array class function return import export default static public private test main http https www html com org net json yaml config master branch release update install module package service system network license version request response error message table column query select insert where null true false".split())
 _PAIRS: dict[str, float] = {}
@@ -50,7 +55,18 @@ def _kind(c: str) -> int:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Where candidates begin and end; an assignment's name and marks around a value are left out."""
+    """Where candidates begin and end, each once; an assignment's name and marks around a value are left out."""
+    assigned = set()
+    for m in _ASSIGNED.finditer(text):
+        a, b = m.span("quoted") if m["q"] else m.span("plain")
+        if not m["q"]:
+            while a < b and text[a] in "\"'`":
+                a += 1
+            while a < b and (text[b - 1] in "\"'`.:,;" or text[b - 1] in ")]}>" and "([{<"[")]}>".index(text[b - 1])] not in text[a:b]):
+                b -= 1
+        if a < b and (a, b) not in assigned:
+            assigned.add((a, b))
+            yield a, b
     for m in _CANDIDATE.finditer(text):
         own = _TRIM.match(m[0])
         if not own:
@@ -58,7 +74,17 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
         value = own[1]
         if len(value) >= 12 and (any(c.isdigit() for c in value) or (value.lower() != value and value.upper() != value and not value.istitle())):
             a = m.start() + own.start(1)
-            yield a, a + len(value)
+            if (a, a + len(value)) not in assigned:
+                yield a, a + len(value)
+
+
+def outermost(spans: list[tuple[int, int]]) -> list[bool]:
+    """Which spans (first and end) lie in no other."""
+    out, high = [True] * len(spans), -1
+    for i in sorted(range(len(spans)), key=lambda i: (spans[i][0], -spans[i][1])):
+        out[i] = spans[i][1] > high
+        high = max(high, spans[i][1])
+    return out
 
 
 def features(text: str, a: int, b: int) -> list[float]:
@@ -101,6 +127,9 @@ def features(text: str, a: int, b: int) -> list[float]:
         float(sum(w in AGAINST for w in left)) + 0.5 * sum(w in AGAINST for w in right),
         float(before.rstrip("\"' ")[-1:] in ("=", ":") if before else 0),
         float(before[-1:] in "\"'" if before else 0),
+        float(bool(_LEAD.search(before))),
+        sum(c.isspace() for c in value) / n,
+        sum(c in "()[]{}<>$" for c in value) / n,
         float(any(x in low for x in ("example", "xxxx", "0000", "1234", "abcd", "test", "placeholder", "your", "changeme"))),
     ]
 
@@ -207,6 +236,36 @@ def findings(count: int = 3000, seed: int = 31) -> Iterator[tuple[str, int, int,
         for a, b in candidates(text):
             if a < len(head) + len(value) and b > len(head):
                 yield text, a, b, label
+    # Values that a word assigns, of any length and any characters.
+    names = "password passwd pwd pass secret token passphrase db_password auth_token client_secret credential".split()
+    phrase = lambda: pick(["-", "_", " ", "."]).join(pick(common) if rng.random() < 0.5 else some("aeioustrnldhcmpbgk", size(4, 9)) for _ in range(size(4, 7)))
+    marked = lambda: "".join(rng.permutation(list(some(low + up, size(3, 9)) + some(digits, size(1, 4)) + some("!#$&*?%^@", size(1, 4)))))
+    given = [
+        (1, lambda: some("aeioustrnldhcmpbgk", size(4, 9)) + some(digits, size(1, 5)), "=:q"),
+        (1, lambda: pick(common) + some(digits, size(2, 5)), "=:q"),
+        (1, marked, "=:qi"),
+        (1, marked, "=:qi"),
+        (1, lambda: some(low + up + digits, size(6, 15)), "=:qi"),
+        (1, lambda: phrase(), "q"),
+        (1, lambda: re.sub("[-_.]", " ", phrase()), "q"),
+        (1, lambda: phrase().replace(" ", "-"), "=:q"),
+        (1, lambda: some(digits, size(4, 9)), "=q"),
+        (0, lambda: pick(common), "=:i"),
+        (0, lambda: pick("required incorrect wrong missing invalid expired not the a null none true false str string optional str, bytes, needed stored kept very never always".split()), "=:i"),
+        (0, lambda: pick(["os.environ['PASSWORD']", "get_token()", "getpass.getpass()", "config.password", "request.form['pass']", "self.secret", "${PASSWORD}", "$PASSWORD", "{{ secret }}", "<password>", "%s", "********", "******", "None", "null", "settings.SECRET_KEY", f"{pick(common)}.{pick(common)}", f"{pick(common)}_{pick(common)}({pick(common)})", f"{pick(common)}()", f"${{{pick(common).upper()}}}", f"<{pick(common)}>"]), "=:q"),
+        (0, lambda: pick(["changeme", "xxxx", "your-password", "your_token_here", "example", "placeholder", "test1234", "yourpassword", "YOUR_SECRET"]), "=:q"),
+        (0, lambda: f"{pick(['enter', 'please', 'your', 'the', 'forgot', 'choose'])} {pick(['your', 'a', 'the', 'new'])} {pick(['password', 'secret', 'token'])}{pick(['', ' here', ' again', ' to continue'])}", "q"),
+    ]
+    for _ in range(count // 2):
+        label, make, ways = pick(given)
+        value, way, name = make(), pick(ways), pick(names)
+        name = pick([name, name.upper(), name.capitalize()])
+        lead, end = {"=": (pick(["=", " = "]), ""), ":": (": ", ""), "q": (pick(['="', ' = "', ': "']), '"'), "i": (pick([" is ", " was "]), "")}[way]
+        head = f"{prose(size(1, 8))} {name}{lead}"
+        text = f"{head}{value}{end} {prose(size(1, 8))}"
+        for a, b in candidates(text):
+            if a == len(head):
+                yield text, a, b, label
 
 
 @lru_cache(maxsize=1)
@@ -216,7 +275,7 @@ def trained() -> Forest:
 
 
 def scan(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """doc_id, start and length in code points, and score of every candidate that is likelier a secret than ``least``."""
+    """doc_id, start and length in code points, and score of every candidate that is likelier a secret than ``least`` and lies in no other such."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trained())  # some kilobytes
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
@@ -224,17 +283,21 @@ def scan(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
                 found, x = [], []
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                for row, (i, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                     for a, b in candidates(text or ""):
-                        found.append((i, a, b - a))
+                        found.append((row, i, a, b - a))
                         x.append(features(text, a, b))
                 if found:
                     s = forest.score(np.array(x))
                     keep = np.flatnonzero(s >= least)
+                    own: dict[int, list[int]] = {}
+                    for j in keep.tolist():
+                        own.setdefault(found[j][0], []).append(j)
+                    keep = [j for js in own.values() for j, k in zip(js, outermost([(found[j][2], found[j][2] + found[j][3]) for j in js]), strict=True) if k]
                     if len(keep):
-                        yield pa.RecordBatch.from_arrays([pa.array([found[j][0] for j in keep], pa.int64()), pa.array([found[j][1] for j in keep], pa.int64()), pa.array([found[j][2] for j in keep], pa.int32()), pa.array(s[keep])], names=["doc_id", "start", "length", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array([found[j][1] for j in keep], pa.int64()), pa.array([found[j][2] for j in keep], pa.int64()), pa.array([found[j][3] for j in keep], pa.int32()), pa.array(s[keep])], names=["doc_id", "start", "length", "score"])
 
     return rows.mapInArrow(run, "doc_id long, start long, length int, score double")

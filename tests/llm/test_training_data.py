@@ -139,6 +139,25 @@ def test_secrets(spark):
     assert secrets.scan(docs_of(spark, rows).limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("value, text", [("hunter22", "use password=hunter22 for now"), ("Tr0ub4dor&3!x", "the password: Tr0ub4dor&3!x works"), ("x7#Kq$9*fP?2", 'db_password = "x7#Kq$9*fP?2" in the file'), ("correct horse battery staple", 'passphrase = "correct horse battery staple" as set'), ("pab-rilon-tesk-mordel", "secret=pab-rilon-tesk-mordel kept")])
+def test_secrets_that_a_word_assigns(value, text):
+    spans = list(secrets.candidates(text))
+    a = text.index(value)
+    assert (a, a + len(value)) in spans
+    assert secrets.trained().score(np.array([secrets.features(text, a, a + len(value))]))[0] > 0.5
+
+
+def test_assigned_values_have_any_length():
+    value = " ".join(["horse"] * 5000)
+    assert list(secrets.candidates(f'pass phrase: x, passphrase = "{value}" end')) == [(30, 30 + len(value))]
+
+
+def test_secrets_not_assigned():
+    for text in ("the password is required here", "password: str", "token = get_token()", 'password = os.environ["PASSWORD"]', 'label: password = "enter your password here"', "the key is very old"):
+        spans = list(secrets.candidates(text))
+        assert spans and (secrets.trained().score(np.array([secrets.features(text, a, b) for a, b in spans])) < 0.5).all(), text
+
+
 def test_secrets_held_out():
     rows = list(secrets.findings(600, seed=5))
     s = secrets.trained().score(np.array([secrets.features(t, a, b) for t, a, b, _ in rows]))
