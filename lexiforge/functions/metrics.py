@@ -16,10 +16,15 @@ def bleu(rows: DataFrame, keys: list[str], hypothesis: str, reference: str, long
         t = F.col(c)
         return F.flatten(F.transform(sizes, lambda n: F.transform(F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(n.alias("n"), F.array_join(F.slice(t, i, n), " ").alias("g")))))
 
-    sides = [rows.select(*keys, F.explode(grams(c)).alias("x"), F.lit(h).alias("h"), F.lit(1 - h).alias("r")) for c, h in ((hypothesis, 1), (reference, 0))]
-    counted = sides[0].unionByName(sides[1]).groupBy(*keys, "x.n", "x.g").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    def side(c: str, h: int):
+        return F.transform(grams(c), lambda x: F.struct(x.n.alias("n"), x.g.alias("g"), F.lit(h).alias("h")))
+
+    both = F.concat(side(hypothesis, 1), side(reference, 0))
+    # One shuffle, of the rows; all counting happens where a row lies.
+    spread = rows.repartition(*keys).select(*keys, F.size(hypothesis).alias("hl"), F.size(reference).alias("rl"), F.explode_outer(both).alias("x"))
+    counted = spread.groupBy(*keys, "hl", "rl", "x.n", "x.g").agg(F.sum("x.h").alias("h"), F.sum(1 - F.col("x.h")).alias("r"))
     clipped = [F.sum(F.when(F.col("n") == i, F.least("h", "r")).otherwise(0)).alias(f"m{i}") for i in range(1, longest + 1)]
-    found = rows.select(*keys, F.size(hypothesis).alias("hl"), F.size(reference).alias("rl")).join(counted.groupBy(*keys).agg(*clipped), keys, "left")
+    found = counted.groupBy(*keys, "hl", "rl").agg(*clipped)
     logs = sum((F.ln(F.when(F.coalesce(F.col(f"m{i}"), F.lit(0)) > 0, F.col(f"m{i}")).otherwise(F.lit(smoothing)) / F.greatest(F.lit(1), F.col("hl") - (i - 1))) for i in range(1, longest + 1)), F.lit(0.0)) / longest
     brevity = F.when(F.col("hl") > F.col("rl"), 1.0).otherwise(F.exp(1 - F.col("rl") / F.greatest(F.lit(1), F.col("hl"))))
     return found.select(*keys, F.when(F.coalesce(F.col("m1"), F.lit(0)) == 0, 0.0).otherwise(brevity * F.exp(logs)).alias("bleu"))

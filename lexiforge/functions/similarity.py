@@ -14,29 +14,59 @@ from .text import length_factor, position_ratio
 
 # Sounds and what stands for them, in the order in which they are tried.
 SOUNDS = {
-    "English": "br:bo ham:han a:ya e:yi j:y c:k ch:ke ck:ke x:kesi th:t ph:f gr:ge pr:pu tr:te dr:de fr:fu cr:ke aa:a ee:i oo:u ou:ao ow:ao ey:ei ay:ai oy:ao v:w bb:b cc:k dd:d ff:f gg:g ll:l mm:m nn:n pp:p rr:r ss:s tt:t",
-    "Hebrew": "sh:s ch:he kh:he ts:ci tz:ci ph:f ah:a eh:ai ih:i oh:ao uh:u ai:ai ei:ai oi:ao el:ai al:a im:mu ot:te et:te it:te h: q:ke w:wo y:ya bb:b dd:d gg:g ll:l mm:m nn:n pp:p rr:r tt:t",
-    "Greek": "ch:ke ph:f th:t ps:s ks:ke gh:ge kh:ke rh:r ai:ai ei:ai oi:ao au:ao eu:ao ou:u ui:wei os:si es:si is:si as:si ion:ang tion:xiong bb:b dd:d gg:g ll:l mm:m nn:n pp:p rr:r tt:t",
-    "Latin": "qu:kuo c:k ph:f th:t ch:ke x:ke j:ya ae:ai oe:ao au:ao eu:ao us:si um:mu is:si es:si ius:si tion:xiong tio:xiao bb:b cc:k dd:d ff:f gg:g ll:l mm:m nn:n pp:p rr:r tt:t",
-    "": "ch:ke sh:s th:t ph:f qu:kuo x:ke j:ya w:wo bb:b cc:k dd:d ff:f gg:g ll:l mm:m nn:n pp:p rr:r tt:t",
+    "English": [
+        ("br", "bo"), ("ham", "han"), ("a", "ya"), ("e", "yi"), ("j", "y"), ("c", "k"), ("ch", "ke"), ("ck", "ke"),
+        ("x", "kesi"), ("th", "t"), ("ph", "f"), ("gr", "ge"), ("pr", "pu"), ("tr", "te"), ("dr", "de"), ("fr", "fu"),
+        ("cr", "ke"), ("aa", "a"), ("ee", "i"), ("oo", "u"), ("ou", "ao"), ("ow", "ao"), ("ey", "ei"), ("ay", "ai"),
+        ("oy", "ao"), ("v", "w"), ("bb", "b"), ("cc", "k"), ("dd", "d"), ("ff", "f"), ("gg", "g"), ("ll", "l"),
+        ("mm", "m"), ("nn", "n"), ("pp", "p"), ("rr", "r"), ("ss", "s"), ("tt", "t"),
+    ],
+    "Hebrew": [
+        ("sh", "s"), ("ch", "he"), ("kh", "he"), ("ts", "ci"), ("tz", "ci"), ("ph", "f"), ("ah", "a"), ("eh", "ai"),
+        ("ih", "i"), ("oh", "ao"), ("uh", "u"), ("ai", "ai"), ("ei", "ai"), ("oi", "ao"), ("el", "ai"), ("al", "a"),
+        ("im", "mu"), ("ot", "te"), ("et", "te"), ("it", "te"), ("h", ""), ("q", "ke"), ("w", "wo"), ("y", "ya"),
+        ("bb", "b"), ("dd", "d"), ("gg", "g"), ("ll", "l"), ("mm", "m"), ("nn", "n"), ("pp", "p"), ("rr", "r"),
+        ("tt", "t"),
+    ],
+    "Greek": [
+        ("ch", "ke"), ("ph", "f"), ("th", "t"), ("ps", "s"), ("ks", "ke"), ("gh", "ge"), ("kh", "ke"), ("rh", "r"),
+        ("ai", "ai"), ("ei", "ai"), ("oi", "ao"), ("au", "ao"), ("eu", "ao"), ("ou", "u"), ("ui", "wei"), ("os", "si"),
+        ("es", "si"), ("is", "si"), ("as", "si"), ("ion", "ang"), ("tion", "xiong"), ("bb", "b"), ("dd", "d"), ("gg", "g"),
+        ("ll", "l"), ("mm", "m"), ("nn", "n"), ("pp", "p"), ("rr", "r"), ("tt", "t"),
+    ],
+    "Latin": [
+        ("qu", "kuo"), ("c", "k"), ("ph", "f"), ("th", "t"), ("ch", "ke"), ("x", "ke"), ("j", "ya"), ("ae", "ai"),
+        ("oe", "ao"), ("au", "ao"), ("eu", "ao"), ("us", "si"), ("um", "mu"), ("is", "si"), ("es", "si"), ("ius", "si"),
+        ("tion", "xiong"), ("tio", "xiao"), ("bb", "b"), ("cc", "k"), ("dd", "d"), ("ff", "f"), ("gg", "g"), ("ll", "l"),
+        ("mm", "m"), ("nn", "n"), ("pp", "p"), ("rr", "r"), ("tt", "t"),
+    ],
+    "": [
+        ("ch", "ke"), ("sh", "s"), ("th", "t"), ("ph", "f"), ("qu", "kuo"), ("x", "ke"), ("j", "ya"), ("w", "wo"),
+        ("bb", "b"), ("cc", "k"), ("dd", "d"), ("ff", "f"), ("gg", "g"), ("ll", "l"), ("mm", "m"), ("nn", "n"),
+        ("pp", "p"), ("rr", "r"), ("tt", "t"),
+    ],
 }
-# Rules for the ends of names (where, what, instead), tried in order.
+# Rules for the ends of names (pattern, what stands instead), tried in order.
 ENDS = {
-    "English": "^kn: ^ps:s ^wr:r mb$:m gn$:n bt$:t",
-    "Hebrew": "ah$:a el$:l ^h:",
-    "Greek": "os$:s es$:s ^ps:s",
+    "English": [
+        ("^kn", ""), ("^ps", "s"), ("^wr", "r"), ("mb$", "m"), ("gn$", "n"), ("bt$", "t"),
+    ],
+    "Hebrew": [
+        ("ah$", "a"), ("el$", "l"), ("^h", ""),
+    ],
+    "Greek": [
+        ("os$", "s"), ("es$", "s"), ("^ps", "s"),
+    ],
 }
-_RULES = {k: [tuple(x.split(":")) for x in v.split()] for k, v in ENDS.items()}
-_SOUNDS = {k: [tuple(x.split(":")) for x in v.split()] for k, v in SOUNDS.items()}
 VARIANTS = 5
 
 
 def variants(name: str, language: str) -> list[str]:
     """Ways to spell a name's sounds, the name itself first; at most five at any step."""
-    for pattern, instead in _RULES.get(language, ()):
+    for pattern, instead in ENDS.get(language, []):
         name = re.sub(pattern, instead, name)
     found = [name]
-    for sound, instead in _SOUNDS.get(language, _SOUNDS[""]):
+    for sound, instead in SOUNDS.get(language, SOUNDS[""]):
         if sound in name:
             spelled = ((v, v.replace(sound, instead)) for v in found)
             found = [x for old, new in spelled for x in ((old,) if old == new else (old, new))][:VARIANTS]
@@ -80,6 +110,19 @@ def name_score(source: pd.Series, pinyin: pd.Series, language: pd.Series) -> pd.
     return pd.Series([name_similarity(s, p, x) if s is not None and p is not None else None for s, p, x in zip(source, pinyin, language, strict=True)], dtype="float64")
 
 
+def pieces(c: Column) -> Column:
+    """The different runs of two and three characters of a text, as an array."""
+    n = F.length(c)
+    runs = lambda k: F.transform(F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring(c, i, F.lit(k)))
+    return F.array_distinct(F.concat(runs(2), runs(3)))
+
+
+def shared_pieces(a: Column, b: Column) -> Column:
+    """The share of two texts' pieces that both have; 0 without any."""
+    x, y = pieces(a), pieces(b)
+    return F.coalesce(F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0)), F.lit(0.0))
+
+
 def combined(target: Column, translation: Column, ratio: Column) -> Column:
     """Characters in place, sound and length, weighed 0.4, 0.4 and 0.2."""
     return 0.4 * position_ratio(target, translation) + 0.4 * ratio + 0.2 * length_factor(target, translation)

@@ -27,7 +27,7 @@ def clean_target(c: Column, language: str, compatible: bool = False) -> Column:
 
 def words(c: Column) -> Column:
     """Runs between white space without the non-word characters at their ends; empty ones drop out."""
-    return F.filter(F.transform(F.split(c, r"(?U)\s+"), lambda x: F.regexp_replace(x, r"(?U)^[^\w]+|[^\w]+$", "")), lambda x: x != "")
+    return F.regexp_extract_all(c, F.lit(r"(?U)(\w(?:\S*\w)?)"), F.lit(1))
 
 
 def char_ngrams(c: Column, longest: int = 4) -> Column:

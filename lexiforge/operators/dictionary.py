@@ -44,3 +44,16 @@ def residual_targets(targets: DataFrame, retained: DataFrame, keys: list[str], b
     rows = targets.join(held, keys, "left")
     hit = F.exists(F.coalesce("held", F.array().cast("array<string>")), lambda h: (F.col("term").contains(h) | h.contains(F.col("term"))) if both else F.col("term").contains(h))
     return rows.where(~hit).drop("held")
+
+
+def holding(targets: DataFrame, retained: DataFrame, keys: list[str]) -> DataFrame:
+    """Those targets (keys, term) that equal or hold a retained term of their group, for groups of any size.
+
+    Each target is unfolded to its parts of the lengths that its group's retained terms have, so the join is one of
+    equality and no row carries a group's terms.
+    """
+    lengths = retained.groupBy(*keys).agg(F.collect_set(F.length("target_term")).alias("lengths"))
+    n = F.length("term")
+    parts = F.flatten(F.transform(F.filter("lengths", lambda k: (k > 0) & (k <= n)), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring("term", i, k))))
+    rows = targets.join(lengths, keys).select(*keys, "term", F.explode(F.array_distinct(parts)).alias("target_term"))
+    return rows.join(retained.select(*keys, "target_term").distinct(), [*keys, "target_term"], "left_semi").select(*keys, "term").distinct()

@@ -1,7 +1,10 @@
-"""Splits, samples, training metrics and trends."""
+"""Splits, samples, training metrics, trends, and the places where models are plugged in."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,9 +92,41 @@ def expired(rows: DataFrame, at: str, now: Column, days: int = 7) -> DataFrame:
     return rows.where(F.col(at) < now - F.expr(f"INTERVAL {days} DAYS"))
 
 
+def over_limit(rows: DataFrame, owner: str, size: str, most: float) -> DataFrame:
+    """Owners whose files take more than ``most`` in all, with their total: what the cache rule clears."""
+    return rows.groupBy(owner).agg(F.sum(size).alias("total")).where(F.col("total") > most)
+
+
 def gloss(verses: DataFrame, keys: list[str], text: str, best: DataFrame) -> DataFrame:
-    """A word-by-word translation by each term's best target; words without one stay. The default where no model is plugged in."""
+    """A word-by-word translation by each term's best target; words without one stay, and a verse without words is empty."""
     from .tokens import tokens
 
     rows = tokens(verses, keys, text).join(best.withColumnRenamed("source_term", "term"), "term", "left")
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("best_target", "term").alias("w")))), lambda x: x.w), " ").alias("translation"))
+    glossed = rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("best_target", "term").alias("w")))), lambda x: x.w), " ").alias("translation"))
+    return verses.select(*keys).join(glossed, keys, "left").select(*keys, F.coalesce("translation", F.lit("")).alias("translation"))
+
+
+def translated(verses: DataFrame, keys: list[str], text: str, model: Callable[[list[str]], list[str]]) -> DataFrame:
+    """Translations by a plugged-in model, which gets lists of texts; a null text is empty, and keeps so."""
+    rows = verses.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            own = [i for i, t in enumerate(texts) if t]
+            got = dict(zip(own, model([texts[i] for i in own]) if own else [], strict=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([got.get(i, "") for i in range(len(texts))], pa.string())], names=[*keys, "translation"])
+
+    return rows.mapInArrow(run, rows.select(*keys).schema.add("translation", "string"))
+
+
+def chained(batches: list, tune: Callable[[object, object], tuple[object, dict]], model: object = None) -> tuple[object, list[dict]]:
+    """Tunes a model batch by batch, each time the one that the batch before left; the last model and each batch's metrics.
+
+    ``tune`` gets the model and a batch, and returns the next model and a row of metrics.
+    """
+    rows = []
+    for batch in batches:
+        model, metrics = tune(model, batch)
+        rows.append(metrics)
+    return model, rows

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 METHODS = ("dictionary", "similarity", "dominance", "proper_noun")
 
 
@@ -14,10 +16,12 @@ def learned(events: DataFrame) -> DataFrame:
     A pair once primary stays so; references are those of the term's first and last event; targets count in the order
     in which they were first seen.
     """
-    pairs = events.groupBy("source_term", "target_term").agg(F.round(F.sum("score"), 6).alias("confidence_score"), F.bool_or("is_primary").alias("is_primary"), F.min("seq").alias("first_seq"))
-    ends = events.groupBy("source_term").agg(F.min_by("verse_reference", "seq").alias("first_learned"), F.max_by("verse_reference", "seq").alias("last_updated"))
-    order = Window.partitionBy("source_term").orderBy("first_seq", "target_term")
-    return pairs.withColumn("target_ord", F.row_number().over(order)).drop("first_seq").join(ends, "source_term").select("source_term", "target_term", "confidence_score", "is_primary", "first_learned", "last_updated", "target_ord")
+    first, last = F.min(F.struct("seq", "verse_reference")), F.max(F.struct("seq", "verse_reference"))
+    pairs = events.groupBy("source_term", "target_term").agg(F.round(F.sum("score"), 6).alias("confidence_score"), F.bool_or("is_primary").alias("is_primary"), first.alias("first"), last.alias("last"))
+    # The events are read once; a term's ends are those of its pairs, of which there is one a target.
+    own = Window.partitionBy("source_term")
+    ends = [F.min("first").over(own)["verse_reference"].alias("first_learned"), F.max("last").over(own)["verse_reference"].alias("last_updated")]
+    return pairs.select("source_term", "target_term", "confidence_score", "is_primary", *ends, F.row_number().over(own.orderBy("first.seq", "target_term")).alias("target_ord"))
 
 
 def best_targets(dictionary: DataFrame) -> DataFrame:
@@ -80,11 +84,11 @@ def method_shares(acted: DataFrame) -> DataFrame:
 
 def learning_curve(stats: DataFrame, order: str = "batch_order", width: int = 120) -> DataFrame:
     """Running totals by method over batches, and bars of at most ``width``."""
-    upto = Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     cols = [f"{m}_learned" for m in METHODS] + ["total_learned"]
-    rows = stats.select(order, *[F.sum(c).over(upto).cast("long").alias(f"cumulative_{c}") for c in cols])
-    top = F.max("cumulative_total_learned").over(Window.partitionBy(F.lit(0)))
-    return rows.withColumn("bar", F.when(top > 0, F.floor(F.col("cumulative_total_learned") * width / top)).otherwise(0).cast("long"))
+    rows = running_sums(stats.select(order, *cols), order, {c: f"cumulative_{c}" for c in cols})
+    top = stats.agg(F.sum("total_learned").alias("top"))
+    bar = F.when(F.col("top") > 0, F.floor(F.col("cumulative_total_learned") * width / F.col("top"))).otherwise(0).cast("long")
+    return rows.crossJoin(F.broadcast(top)).withColumn("bar", bar).drop("top")  # one row
 
 
 def metric_pivot(stats: DataFrame, batch: str, values: list, metrics: list[str], mean: bool = False) -> DataFrame:

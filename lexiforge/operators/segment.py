@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_sums
+
 SHORTEST, BATCH, REMAINDER, FIXED = 3, 95, 50, 90
 
 
@@ -96,4 +98,21 @@ def fixed_batches(rows: DataFrame, book: str, order: str, most: int = FIXED) ->
 
 def batch_ordinals(batches: DataFrame) -> DataFrame:
     """Distinct (book, batch) with their ordinal over all books; a row for each batch."""
-    return batches.select("book", "batch").distinct().withColumn("batch_number", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("book", "batch")))
+    rows = batches.select("book", "batch").distinct().withColumn("_place", F.struct("book", "batch")).withColumn("_one", F.lit(1))
+    return running_sums(rows, "_place", {"_one": "batch_number"}).select("_place.book", "_place.batch", F.col("batch_number").cast("int").alias("batch_number"))
+
+
+def pericope_ordinals(packed: DataFrame) -> DataFrame:
+    """``packed`` passages (book, pericope, batch) with their number within the batch, from 1."""
+    return packed.withColumn("pericope_number", F.row_number().over(Window.partitionBy("book", "batch").orderBy("pericope")))
+
+
+def of_book(passages: DataFrame, book: Column) -> DataFrame:
+    """The passages whose reference begins with the book's, up to the mark after it."""
+    return passages.where(F.startswith("pericope_reference", F.concat(book.cast("string"), F.lit("_"))))
+
+
+def batch_texts(verses: DataFrame, batch: str, order: str, text: str) -> DataFrame:
+    """Each batch's texts in order, in one: a batch holds some ninety verses."""
+    rows = verses.groupBy(batch).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("rows"))
+    return rows.select(batch, F.array_join(F.transform("rows", lambda x: x[text]), " ").alias("text"))

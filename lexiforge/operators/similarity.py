@@ -13,15 +13,16 @@ def matches(source: DataFrame, targets: DataFrame, dictionary: DataFrame, keys:
     """keys, source_term, target_term, translation, similarity: for each source and target the most similar translation above the threshold.
 
     ``source`` and ``targets`` are what the dictionary left (term); ``dictionary`` has term, target, pinyin, ord. A
-    native filter keeps pairs whose places and lengths allow a pass, and each different pair of words is scored once.
+    native filter keeps pairs whose places and lengths allow a pass, and each different pair of words is scored once. Of
+    equal scores the entry of the word itself comes before that of "to " and the word, then the earlier entry.
     """
     entries = dictionary.select(F.col("term").alias("k"), F.col("target").alias("translation"), F.col("pinyin").alias("sound"), "ord")
-    known = probes(source).join(entries, "k").select(*keys, F.col("term").alias("source_term"), "translation", "sound", "ord")
+    known = probes(source).join(entries, "k").select(*keys, F.col("term").alias("source_term"), "translation", "sound", "ord", (F.col("k") == F.lower("term")).alias("direct"))
     pairs = known.join(targets.select(*keys, F.col("term").alias("target_term"), F.col("pinyin").alias("target_sound")), keys).where(F.length("target_term") >= 2)
     pairs = pairs.where(may_pass(F.col("target_term"), F.col("translation")))
     words = ["target_term", "translation", "target_sound", "sound"]
     scored = pairs.select(*words).distinct().withColumn("ratio", sequence_ratio("target_sound", "sound"))
     scored = scored.withColumn("similarity", combined(F.col("target_term"), F.col("translation"), F.col("ratio"))).where(passes(F.col("target_term"), F.col("similarity"))).drop("ratio")
     found = pairs.join(scored, words)
-    best = F.max_by(F.struct("translation", "similarity"), F.struct("similarity", -F.col("ord"), "translation")).alias("b")
+    best = F.max_by(F.struct("translation", "similarity"), F.struct("similarity", "direct", -F.col("ord"), "translation")).alias("b")
     return found.groupBy(*keys, "source_term", "target_term").agg(best).select(*keys, "source_term", "target_term", "b.translation", "b.similarity")

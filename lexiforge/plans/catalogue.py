@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..functions.similarity import name_score
+from ..functions.similarity import name_score, shared_pieces
 from ..functions.text import char_ngrams, chinese_punctuation, is_proper, length_factor, mbart_code, position_ratio, stanza_code, words
 from ..operators import cooccurrence, dictionary, dominance, evaluate, learned, proper_nouns, segment, similarity
 from ..operators.tokens import distinct_terms, exploded_counts, term_counts, tokens
@@ -141,19 +139,6 @@ def dictionary_build(spark: SparkSession, sf: str) -> DataFrame:
     return _dictionary(spark, sf)
 
 
-LINES = ["# comment", "", "賽特 赛特 [Sai4 te4] /Seth (name)/", "神 神 [shen2] /God (deity), spirit/unusual/3rd/", "malformed line", "創造 创造 [chuang4 zao4] /to create/to bring about, to produce/creation/", "亞當 亚当 [Ya4 dang1] /Adam/"]
-
-
-@query("""WITH lines AS (SELECT * FROM (VALUES (0, '# comment'), (1, ''), (2, '賽特 赛特 [Sai4 te4] /Seth (name)/'), (3, '神 神 [shen2] /God (deity), spirit/unusual/3rd/'), (4, 'malformed line'), (5, '創造 创造 [chuang4 zao4] /to create/to bring about, to produce/creation/'), (6, '亞當 亚当 [Ya4 dang1] /Adam/')) t(ord, line)),
-good AS (SELECT ord, regexp_extract(line, '^(.+?)\\s+(.+?)\\s+\\[([^\\]]+)\\]\\s+/(.+)/$', ['a', 'target', 'pinyin', 'd']) AS g FROM lines WHERE regexp_matches(line, '^(.+?)\\s+(.+?)\\s+\\[([^\\]]+)\\]\\s+/(.+)/$') AND NOT starts_with(line, '#')),
-keys AS (SELECT ord, g.target AS target, g.pinyin AS pinyin, unnest(string_split(g.d, '/')) AS d FROM good),
-clean AS (SELECT ord, target, pinyin, trim(string_split(trim(regexp_replace(lower(trim(d)), '\\([^)]*\\)', '', 'g')), ',')[1]) AS term FROM keys)
-SELECT term, target, min_by(pinyin, ord) AS pinyin, CAST(min(ord) AS BIGINT) AS ord FROM clean WHERE length(term) >= 2 AND regexp_matches(replace(replace(term, ' ', ''), '-', ''), '^\\p{L}+$') GROUP BY ALL""")
-def dictionary_parse(spark: SparkSession, sf: str) -> DataFrame:
-    lines = spark.createDataFrame(list(enumerate(LINES)), "n long, value string")
-    return dictionaries.parse_entries(lines, "n")
-
-
 @query(f"WITH {VERSES}, {SOURCE}, {TARGETS}, {ENTRIES}, {MATCHES} SELECT book, verse, CAST(src_pos AS INTEGER) AS src_pos, source_term, target_term, rank, rank = 1 AS is_primary, CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS score FROM matches")
 def dictionary_match(spark: SparkSession, sf: str) -> DataFrame:
     v = _verses(spark, sf)
@@ -174,40 +159,6 @@ def dictionary_residual(spark: SparkSession, sf: str) -> DataFrame:
     return left.unionByName(dictionary.residual_targets(targets, found.where("is_primary"), KEYS).select(*KEYS, F.lit("target").alias("side"), "term"))
 
 
-PIVOT = [
-    ("θεός", None, None, None, ["God", "deity"], "theos", None, False),
-    ("Μωυσῆς", None, None, None, ["Moses"], "Mouses", None, True),
-    (None, "deus", None, None, ["God"], None, None, False),
-    (None, None, ["מֹשֶׁה"], ["משה", "משהו"], ["Moses"], None, ["Mosheh", "Moshe"], True),
-    (None, None, ["אֱלֹהִים"], ["אלהים"], ["God"], None, ["elohim"], False),
-    (None, None, ["מֹשֶׁה"], ["משהוו"], ["Moses"], None, ["Moshe"], True),
-]
-KNOWN = [("god", "神", 1), ("god", "上帝", 2), ("moses", "摩西", 3), ("deity", "神明", 4)]
-TERMS = [("Greek", "θεός"), ("Greek", "Μωυσῆς"), ("Hebrew", "משה"), ("Hebrew", "אלהים"), ("Latin", "deus"), ("Latin", "rex")]
-
-
-@query("""WITH forms AS (SELECT * FROM (VALUES ('Greek', 'θεός', 'God'), ('Greek', 'θεός', 'deity'), ('Greek', 'Μωυσῆς', 'Moses'), ('Latin', 'deus', 'God'), ('Hebrew', 'משה', 'Moses'), ('Hebrew', 'משהו', 'Moses'), ('Hebrew', 'משהוו', 'Moses'), ('Hebrew', 'אלהים', 'God')) t(language, form, english)),
-terms AS (SELECT * FROM (VALUES ('Greek', 'θεός'), ('Greek', 'Μωυσῆς'), ('Hebrew', 'משה'), ('Hebrew', 'אלהים'), ('Latin', 'deus'), ('Latin', 'rex')) t(language, term)),
-known AS (SELECT * FROM (VALUES ('god', '神'), ('god', '上帝'), ('moses', '摩西'), ('deity', '神明')) t(term, target))
-SELECT DISTINCT t.language, t.term, f.english, k.target FROM terms t JOIN forms f ON f.language = t.language AND f.form = t.term JOIN known k ON k.term = lower(f.english)""")
-def pivot_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    pivot = spark.createDataFrame(PIVOT, dictionaries.PIVOT)
-    known = spark.createDataFrame(KNOWN, "term string, target string, ord long")
-    terms = spark.createDataFrame(TERMS, "language string, term string")
-    out = None
-    for language in ("Greek", "Hebrew", "Latin"):
-        own = terms.where(F.col("language") == language).select("term")
-        got = dictionaries.pivot_lookup(own, dictionaries.pivot_forms(pivot, language), known).select(F.lit(language).alias("language"), "term", "english", "target")
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-@query("SELECT 'משה' AS pure, CAST(2 AS BIGINT) AS occurrences")
-def hebrew_shortest_pure(spark: SparkSession, sf: str) -> DataFrame:
-    texts = spark.createDataFrame([("וַיֹּאמֶר מֹשֶׁה אֶל",), ("מֹשֶׁה",), ("אֱלֹהִים",)], "text string")
-    return dictionaries.hebrew_name_counts(texts, spark.createDataFrame(PIVOT, dictionaries.PIVOT))
-
-
 # Similarity
 
 
@@ -232,14 +183,12 @@ def similarity_match(spark: SparkSession, sf: str) -> DataFrame:
     return got.withColumn("similarity", F.round("similarity", 6))
 
 
-NAMES = [("Noah", "挪亚", "Nuo2 ya4", "English"), ("Seth", "赛特", "Sai1 te4", "English"), ("Abraham", "亚伯拉罕", "Ya4 bo2 la1 han3", "English"), ("Moses", "摩西", "Mo2 xi1", "English"), ("Mosheh", "摩西", "Mo2 xi1", "Hebrew"), ("Petros", "彼得", "Bi3 de2", "Greek"), ("Iulius", "犹流", "You2 liu2", "Latin")]
-
-
 @query()
 def name_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    ship(spark)
-    rows = spark.createDataFrame(NAMES, "source_term string, target_term string, pinyin string, language string")
-    return rows.withColumn("similarity", F.round(name_score("source_term", "pinyin", "language"), 6))
+    """Each entry's word as a name against its target as a sound, by the rules of four languages in turn."""
+    languages = F.array(*[F.lit(x) for x in ("English", "Hebrew", "Greek", "Latin")])
+    rows = _dictionary(spark, sf).select(F.initcap("term").alias("source_term"), F.col("target").alias("target_term"), F.element_at(languages, (F.pmod("ord", F.lit(4)) + 1).cast("int")).alias("language"))
+    return rows.withColumn("similarity", F.round(name_score("source_term", "target_term", "language"), 6))
 
 
 # Dominance and proper nouns
@@ -254,7 +203,20 @@ def dominance_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return dominance.candidates(_part_counts(spark, sf), ["batch"])
 
 
-@query()
+CLAIMED = """items AS (SELECT batch, source_term, list({{'t': target_term, 'c': cnt}}) AS items, row_number() OVER (PARTITION BY batch ORDER BY source_term) AS i FROM {0} GROUP BY batch, source_term HAVING max(cnt) >= 4),
+claimed AS (
+  SELECT batch, 0::BIGINT AS i, []::VARCHAR[] AS taken, '' AS source_term, []::STRUCT(t VARCHAR, c BIGINT)[] AS top, NULL::BIGINT AS most FROM (SELECT DISTINCT batch FROM items)
+  UNION ALL
+  SELECT batch, i, CASE WHEN ok THEN list_concat(taken, list_transform(top, lambda x: x.t)) ELSE taken END, source_term, CASE WHEN ok THEN top ELSE [] END, most
+  FROM (SELECT *, len(free) >= 2 AND most >= 4 AND len(top) <= 9 AS ok
+    FROM (SELECT *, list_filter(free, lambda x: x.c = most) AS top
+      FROM (SELECT *, list_max(list_transform(free, lambda x: x.c)) AS most
+        FROM (SELECT n.batch, n.i, c.taken, n.source_term, list_filter(n.items, lambda x: NOT list_contains(c.taken, x.t)) AS free FROM claimed c JOIN items n ON n.batch = c.batch AND n.i = c.i + 1))))),
+tops AS (SELECT batch, source_term, most, unnest(top).t AS target_term FROM claimed WHERE len(top) > 0),
+dominated AS (SELECT batch, source_term, target_term, most AS cnt, row_number() OVER (PARTITION BY batch, source_term ORDER BY length(target_term) DESC, target_term) = 1 AS is_primary FROM tops)"""
+
+
+@query(f"WITH RECURSIVE {PART}, {CLAIMED.format('counts')} SELECT batch, source_term, target_term, CAST(cnt AS BIGINT) AS cnt, is_primary, CASE WHEN is_primary THEN 5.0::DOUBLE ELSE 4.0::DOUBLE END AS score FROM dominated")
 def dominance_learn(spark: SparkSession, sf: str) -> DataFrame:
     return dominance.learn(_part_counts(spark, sf), "batch")
 
@@ -273,12 +235,18 @@ def proper_noun_equal_count(spark: SparkSession, sf: str) -> DataFrame:
     return proper_nouns.equal_counts(names, counts, ["book"]).where(F.length("target_term") >= 2)
 
 
-CLAIMS = "claims AS (SELECT batch, source_term, target_term, round(least(1.2, 0.4 + 0.05 * cnt + 0.01 * length(source_term)), 6)::DOUBLE AS similarity FROM counts)"
+PIECES = "list_distinct(list_concat(list_transform(range(1, length({0})), lambda i: {0}[i:i + 1]), list_transform(range(1, length({0}) - 1), lambda i: {0}[i:i + 2])))"
+SHARED_PIECES = f"coalesce(len(list_intersect({PIECES.format('a')}, {PIECES.format('b')}))::DOUBLE / nullif(len(list_distinct(list_concat({PIECES.format('a')}, {PIECES.format('b')}))), 0), 0)"
+#: How alike two terms are: places, pieces and length weighed, and a part for their share of the source's words in the batch.
+CLAIMS = f"""spelt AS (SELECT *, lower(source_term) AS a, lower(target_term) AS b FROM counts),
+claims AS (SELECT batch, source_term, target_term, round(0.4 * {SHARED_PIECES} + 0.3 * (1 - 0.5 * abs(length(a) - length(b)) / greatest(length(a), length(b))) + 0.4 * cnt / max(cnt) OVER (PARTITION BY batch, source_term), 6)::DOUBLE AS similarity FROM spelt)"""
 WON = f"""{CLAIMS}, placed AS (SELECT *, row_number() OVER (PARTITION BY batch, target_term ORDER BY similarity DESC, source_term) AS r FROM claims WHERE similarity >= 0.56), won AS (SELECT batch, source_term, target_term, similarity FROM placed WHERE r = 1)"""
 
 
 def _claims(spark: SparkSession, sf: str) -> DataFrame:
-    score = F.least(F.lit(1.2), 0.4 + 0.05 * F.col("cnt") + 0.01 * F.length("source_term"))
+    a, b = F.lower("source_term"), F.lower("target_term")
+    most = F.max("cnt").over(Window.partitionBy("batch", "source_term"))
+    score = 0.4 * shared_pieces(a, b) + 0.3 * length_factor(a, b) + 0.4 * F.col("cnt") / most
     return _part_counts(spark, sf).select("batch", "source_term", "target_term", F.round(score, 6).alias("similarity"))
 
 
@@ -294,7 +262,17 @@ def conflict_losers(spark: SparkSession, sf: str) -> DataFrame:
     return proper_nouns.losers(names, proper_nouns.resolve(claims, ["batch"]), ["batch"])
 
 
-@query()
+AGAIN = """lost AS (SELECT c.batch, c.source_term, list({'t': c.target_term} ORDER BY c.similarity DESC, c.target_term) AS items, list(c.similarity ORDER BY c.similarity DESC, c.target_term) AS scores, row_number() OVER (PARTITION BY c.batch ORDER BY c.source_term) AS i
+  FROM claims c WHERE c.similarity >= 0.5 AND NOT EXISTS (SELECT 1 FROM won w WHERE w.batch = c.batch AND w.source_term = c.source_term) GROUP BY c.batch, c.source_term),
+again AS (
+  SELECT b.batch, 0::BIGINT AS i, coalesce((SELECT list(target_term) FROM won w WHERE w.batch = b.batch), []) AS taken, '' AS source_term, 0::BIGINT AS hit, NULL::VARCHAR AS target_term, NULL::DOUBLE AS similarity FROM (SELECT DISTINCT batch FROM lost) b
+  UNION ALL
+  SELECT batch, i, CASE WHEN hit > 0 THEN list_append(taken, items[hit].t) ELSE taken END, source_term, hit, items[hit].t, scores[hit]
+  FROM (SELECT *, coalesce(list_position(list_transform(items, lambda x: NOT list_contains(taken, x.t)), true), 0)::BIGINT AS hit
+    FROM (SELECT l.batch, l.i, a.taken, l.source_term, l.items, l.scores FROM again a JOIN lost l ON l.batch = a.batch AND l.i = a.i + 1)))"""
+
+
+@query(f"WITH RECURSIVE {PART}, {WON}, {AGAIN} SELECT batch, source_term, target_term, similarity FROM again WHERE hit > 0")
 def loser_reattribution(spark: SparkSession, sf: str) -> DataFrame:
     claims = _claims(spark, sf)
     return proper_nouns.reattribute(claims, proper_nouns.resolve(claims, ["batch"]), "batch")
@@ -304,13 +282,21 @@ def loser_reattribution(spark: SparkSession, sf: str) -> DataFrame:
 
 #: Batches of parts come after all books.
 AFTER = 10**12
+
+
+def seq_sql(book: str, stage: int = 0, verse: str = "0", part: int = 0, pos: str = "0", source: str = "''", rank: str = "0", target: str = "''") -> str:
+    number = lambda x: f"CAST({x} AS BIGINT)"
+    return f"struct_pack(book := {number(book)}, stage := {stage}, verse := {number(verse)}, part := {part}, pos := {number(pos)}, source := {source}, rank := {number(rank)}, target := {target})"
+
+
+MATCHED = f"SELECT {seq_sql('book', verse='verse', pos='src_pos', rank='rank')} AS seq, 'dictionary' AS method, CAST(book AS VARCHAR) AS batch_reference, book || '_' || verse AS verse_reference, source_term, target_term, CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS score, rank = 1 AS is_primary FROM matches"
 EVENTS = f"""{VERSES}, {SOURCE}, {TARGETS}, {ENTRIES}, {MATCHES}, {PART}, {DOMINANT}, {WON},
 events AS (
-  SELECT CAST(book AS HUGEINT) * 10000000000000000::HUGEINT + verse::HUGEINT * 100000000 + least(src_pos, 99999) * 1000 + least(rank, 999) AS seq, 'dictionary' AS method, CAST(book AS VARCHAR) AS batch_reference, book || '_' || verse AS verse_reference, source_term, target_term, CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS score, rank = 1 AS is_primary FROM matches
+  {MATCHED}
   UNION ALL
-  SELECT CAST({AFTER} + batch AS HUGEINT) * 10000000000000000::HUGEINT + 1000000000000000 + least(rank, 999), 'dominance', 'p' || batch, 'p' || batch, source_term, target_term, CASE WHEN rank = 1 THEN 5.0::DOUBLE ELSE 4.0::DOUBLE END, rank = 1 FROM dominant
+  SELECT {seq_sql(f'{AFTER} + batch', 1, source='source_term', rank='rank', target='target_term')}, 'dominance', 'p' || batch, 'p' || batch, source_term, target_term, CASE WHEN rank = 1 THEN 5.0::DOUBLE ELSE 4.0::DOUBLE END, rank = 1 FROM dominant
   UNION ALL
-  SELECT CAST({AFTER} + batch AS HUGEINT) * 10000000000000000::HUGEINT + 2000000000000000, 'proper_noun', 'p' || batch, 'p' || batch, source_term, target_term, similarity * 6, true FROM won)"""
+  SELECT {seq_sql(f'{AFTER} + batch', 2, source='source_term', target='target_term')}, 'proper_noun', 'p' || batch, 'p' || batch, source_term, target_term, similarity * 6, true FROM won)"""
 PAIRS = """ends AS (SELECT source_term, min_by(verse_reference, seq) AS first_learned, max_by(verse_reference, seq) AS last_updated FROM events GROUP BY ALL),
 scored AS (SELECT source_term, target_term, round(sum(score), 6) AS confidence_score, bool_or(is_primary) AS is_primary, min(seq) AS s FROM events GROUP BY ALL),
 learned AS (SELECT source_term, target_term, confidence_score, is_primary, first_learned, last_updated, CAST(row_number() OVER (PARTITION BY source_term ORDER BY s, target_term) AS INTEGER) AS target_ord FROM scored JOIN ends USING (source_term))"""
@@ -326,13 +312,13 @@ stats AS (SELECT s.batch_reference, CAST(verse_count AS BIGINT) AS verse_count,
 def _events(spark: SparkSession, sf: str) -> DataFrame:
     first = learning.dictionary_events(_verses(spark, sf), _dictionary(spark, sf))
     counts = _part_counts(spark, sf).withColumn("reference", F.concat(F.lit("p"), "batch"))
-    place = lambda stage, rank: learning.sequence(f"({AFTER} + batch)", stage, "0", "0", rank).alias("seq")
+    place = lambda stage, rank=None: learning.sequence(F.col("batch") + AFTER, stage, source=F.col("source_term"), rank=rank, target=F.col("target_term")).alias("seq")
     shared = [F.concat(F.lit("p"), "batch").alias(c) for c in ("batch_reference", "verse_reference")]
     top = dominance.candidates(counts, ["batch"]).withColumn("is_primary", F.col("rank") == 1)
-    second = top.select(place(1, "rank"), F.lit("dominance").alias("method"), *shared, "source_term", "target_term", F.when(F.col("is_primary"), 5.0).otherwise(4.0).alias("score"), "is_primary")
+    second = top.select(place(learning.DOMINANCE, F.col("rank")), F.lit("dominance").alias("method"), *shared, "source_term", "target_term", F.when(F.col("is_primary"), 5.0).otherwise(4.0).alias("score"), "is_primary")
     won = proper_nouns.events(proper_nouns.resolve(_claims(spark, sf), ["batch"]))
-    third = won.select(place(2, "0"), F.lit("proper_noun").alias("method"), *shared, "source_term", "target_term", "score", "is_primary")
-    return first.unionByName(second).unionByName(third)
+    third = won.select(place(learning.NAMES), F.lit("proper_noun").alias("method"), *shared, "source_term", "target_term", "score", "is_primary")
+    return store.cut(first.unionByName(second).unionByName(third))  # reports read events more than once
 
 
 def _sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -415,30 +401,74 @@ def history_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return store.from_json(store.dictionary_json(learned.learned(_events(spark, sf))))
 
 
-@query()
+#: Conversations in five batches, as a run of all stages sees them.
+RUN = f"""verses AS (
+  SELECT u.conv_id % 5 AS book, CAST(u.conv_id * 1000 + u.turn AS BIGINT) AS verse, {STRIP.format('u.text')} AS source_text, {STRIP.format('a.text')} AS target_text
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant' AND length(u.text) > 0 AND length(a.text) > 0),
+{SOURCE}, {TARGETS}, {ENTRIES}, {MATCHES},
+held AS (SELECT DISTINCT book, verse, target_term FROM matches WHERE rank = 1),
+left_source AS (SELECT book, verse, term FROM (SELECT book, verse, term, count(*) AS n FROM source GROUP BY ALL) s WHERE n > 1 OR NOT EXISTS (SELECT 1 FROM matches m WHERE m.book = s.book AND m.verse = s.verse AND m.source_term = s.term)),
+left_target AS (SELECT book, verse, term FROM targets t WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.book = t.book AND h.verse = t.verse AND contains(t.term, h.target_term))),
+counts AS (SELECT s.book AS batch, s.term AS source_term, t.term AS target_term, count(*) AS cnt FROM left_source s JOIN left_target t ON t.book = s.book AND t.verse = s.verse GROUP BY ALL),
+{CLAIMED.format('counts')},
+rest AS (SELECT * FROM counts c WHERE NOT EXISTS (SELECT 1 FROM dominated d WHERE d.batch = c.batch AND d.source_term = c.source_term) AND NOT EXISTS (SELECT 1 FROM dominated d WHERE d.batch = c.batch AND contains(c.target_term, d.target_term))),
+names AS (SELECT book AS batch, term AS source_term, count(*) AS n FROM source WHERE regexp_matches(term, '^\\p{{Lu}}') GROUP BY ALL),
+placed AS (SELECT r.batch, r.source_term, r.target_term, row_number() OVER (PARTITION BY r.batch, r.target_term ORDER BY r.source_term) AS r FROM rest r JOIN names n ON n.batch = r.batch AND n.source_term = r.source_term AND n.n = r.cnt),
+events AS (
+  {MATCHED}
+  UNION ALL
+  SELECT {seq_sql('batch', 1, source='source_term', rank='CASE WHEN is_primary THEN 1 ELSE 2 END', target='target_term')}, 'dominance', CAST(batch AS VARCHAR), CAST(batch AS VARCHAR), source_term, target_term, CASE WHEN is_primary THEN 5.0::DOUBLE ELSE 4.0::DOUBLE END, is_primary FROM dominated
+  UNION ALL
+  SELECT {seq_sql('batch', 2, source='source_term', target='target_term')}, 'proper_noun', CAST(batch AS VARCHAR), CAST(batch AS VARCHAR), source_term, target_term, 3.6::DOUBLE, true FROM placed WHERE r = 1)"""
+
+
+def _run_verses(spark: SparkSession, sf: str) -> DataFrame:
+    return _verses(spark, sf).select(F.pmod("book", F.lit(5)).alias("batch"), (F.col("book") * 1000 + F.col("verse")).alias("verse"), F.col("book").alias("conversation"), "source_text", "target_text").withColumn("book", F.col("batch"))
+
+
+def _run(spark: SparkSession, sf: str) -> DataFrame:
+    return learning.run(_run_verses(spark, sf), _dictionary(spark, sf).withColumn("pinyin", F.col("target")), batch="batch")
+
+
+@query(f"WITH RECURSIVE {RUN}, {PAIRS} SELECT * FROM learned")
 def learning_run(spark: SparkSession, sf: str) -> DataFrame:
-    """The learned dictionary of all four stages over the aligned conversations."""
-    return learned.learned(learning.run(_verses(spark, sf), _dictionary(spark, sf).withColumn("pinyin", F.col("target"))))
+    """The learned dictionary of all stages over the aligned conversations, in five batches."""
+    return learned.learned(store.cut(_run(spark, sf)))
+
+
+@query(f"""WITH RECURSIVE {RUN}, {ACTED}, per AS (SELECT batch_reference, count(*) FILTER (method = 'dictionary') AS d, count(*) FILTER (method = 'dominance') AS m, count(*) FILTER (method = 'proper_noun') AS p FROM acted WHERE action = 'learned' GROUP BY ALL),
+open AS (SELECT batch, count(*) AS u FROM names n WHERE NOT EXISTS (SELECT 1 FROM placed w WHERE w.r = 1 AND w.batch = n.batch AND w.source_term = n.source_term) GROUP BY batch)
+SELECT CAST(book AS VARCHAR) AS batch_reference, count(*) AS verse_count, CAST(coalesce(max(d), 0) AS BIGINT) AS dictionary_learned, 0::BIGINT AS similarity_learned, CAST(coalesce(max(m), 0) AS BIGINT) AS dominance_learned, CAST(coalesce(max(p), 0) AS BIGINT) AS proper_noun_learned, CAST(coalesce(max(u), 0) AS BIGINT) AS proper_noun_unresolved,
+  CAST(coalesce(max(d) + max(m) + max(p), 0) AS BIGINT) AS total_learned, round(coalesce(max(d) + max(m) + max(p), 0) / count(*), 6)::DOUBLE AS avg_learned_per_verse
+FROM verses LEFT JOIN per ON batch_reference = CAST(book AS VARCHAR) LEFT JOIN open ON batch = book GROUP BY book""")
+def learning_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What each batch of that run learned, and the names it left unresolved."""
+    return learning.summary(_run_verses(spark, sf), store.cut(_run(spark, sf)))
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp()}"
-    return f"{base.rstrip('/')}/events-{uuid.uuid4().hex}"
+@query(f"WITH RECURSIVE {RUN} SELECT CAST(n.batch AS VARCHAR) AS batch_reference, n.source_term AS term FROM names n WHERE NOT EXISTS (SELECT 1 FROM placed w WHERE w.r = 1 AND w.batch = n.batch AND w.source_term = n.source_term)")
+def unresolved_names(spark: SparkSession, sf: str) -> DataFrame:
+    return learning.unresolved(_run_verses(spark, sf), store.cut(_run(spark, sf)))
 
 
-@query(f"WITH {VERSES}, {SOURCE}, {TARGETS}, {ENTRIES}, {MATCHES}, events AS (SELECT CAST(book AS HUGEINT) * 10000000000000000::HUGEINT + verse::HUGEINT * 100000000 + least(src_pos, 99999) * 1000 + least(rank, 999) AS seq, book || '_' || verse AS verse_reference, source_term, target_term, CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0.2::DOUBLE END AS score, rank = 1 AS is_primary FROM matches), {PAIRS} SELECT * FROM learned")
+@query(f"WITH {VERSES}, {SOURCE}, {TARGETS}, {ENTRIES}, {MATCHES}, events AS ({MATCHED}), {PAIRS} SELECT * FROM learned")
 def incremental_learning(spark: SparkSession, sf: str) -> DataFrame:
-    """The dictionary stage as a stream over the conversations' files."""
-    at, rows = _folder(spark), _read(spark, sf, "conversations")
-    stream = spark.readStream.schema(rows.schema).parquet(f"{sf}/conversations.parquet*")
-    entries = _dictionary(spark, sf)
-    events = learn_stream(spark, stream, lambda batch: learning.dictionary_events(corpus.conversation_verses(batch), entries), f"{at}/table", f"{at}/progress")
+    """The dictionary stage as a stream over several files, one a micro-batch; turns and their answers lie in different files."""
+    at, rows = store.folder(spark, "stream"), _read(spark, sf, "conversations")
+    rows.repartition(3, "conv_id", "turn").write.parquet(f"{at}/turns")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/turns")
+    entries = store.cut(_dictionary(spark, sf))
+    events = learn_stream(spark, corpus.conversation_verses(stream), lambda verses: learning.dictionary_events(verses, entries), f"{at}/events", f"{at}/progress")
     return learned.learned(events)
 
 
 # Segmentation
 
-SIMS = """placed AS (SELECT label AS book, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, vec_id, CAST(embedding AS DOUBLE[]) AS e, lead(CAST(embedding AS DOUBLE[])) OVER (PARTITION BY label ORDER BY vec_id) AS f FROM embeddings),
+#: A book is a label's vectors of a range of ids, so that books are of bounded size whatever the table's.
+BOOK = "CAST(label AS BIGINT) * 1000000000 + vec_id // 2000"
+SIMS = f"""books AS (SELECT {BOOK} AS book, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+placed AS (SELECT book, row_number() OVER (PARTITION BY book ORDER BY vec_id) - 1 AS pos, vec_id, e, lead(e) OVER (PARTITION BY book ORDER BY vec_id) AS f FROM books),
 sims AS (SELECT book, CAST(pos AS INTEGER) AS pos, vec_id, CASE WHEN f IS NULL THEN NULL ELSE list_cosine_similarity(e, f) END AS sim FROM placed)"""
 LIMITS = """m AS (SELECT avg(sim) AS mean, stddev_pop(sim) AS sd FROM sims WHERE sim IS NOT NULL),
 limits AS (SELECT mean, sd, greatest(0.0::DOUBLE, mean - 2 * sd) AS major, greatest(greatest(0.0::DOUBLE, mean - 2 * sd) + 0.01::DOUBLE, mean - sd) AS minor FROM m)"""
@@ -453,8 +483,13 @@ PERICOPES = """pericopes AS (SELECT book, CAST(row_number() OVER (PARTITION BY b
 passages AS (SELECT * FROM pericopes WHERE verses IS NOT NULL)"""
 
 
+def _books(spark: SparkSession, sf: str) -> DataFrame:
+    book = F.col("label").cast("long") * 1_000_000_000 + F.floor(F.col("vec_id") / 2000)
+    return _read(spark, sf, "embeddings").select(book.alias("book"), "vec_id", "embedding")
+
+
 def _sims(spark: SparkSession, sf: str) -> DataFrame:
-    return segment.consecutive(_read(spark, sf, "embeddings"), "label", "vec_id", "embedding")
+    return segment.consecutive(_books(spark, sf), "book", "vec_id", "embedding")
 
 
 def _passages(spark: SparkSession, sf: str) -> DataFrame:
@@ -501,12 +536,12 @@ def batch_packing(spark: SparkSession, sf: str) -> DataFrame:
     return segment.pack(_passages(spark, sf))
 
 
-@query("SELECT label AS book, vec_id, CAST(floor((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) / 90) + 1 AS INTEGER) AS batch FROM embeddings")
+@query(f"SELECT {BOOK} AS book, vec_id, CAST(floor((row_number() OVER (PARTITION BY {BOOK} ORDER BY vec_id) - 1) / 90) + 1 AS INTEGER) AS batch FROM embeddings")
 def fixed_batches(spark: SparkSession, sf: str) -> DataFrame:
-    return segment.fixed_batches(_read(spark, sf, "embeddings").select(F.col("label").alias("book"), "vec_id"), "book", "vec_id")
+    return segment.fixed_batches(_books(spark, sf).drop("embedding"), "book", "vec_id")
 
 
-@query("WITH b AS (SELECT DISTINCT label AS book, CAST(floor((row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) / 90) + 1 AS INTEGER) AS batch FROM embeddings) SELECT book, batch, CAST(dense_rank() OVER (ORDER BY book, batch) AS INTEGER) AS batch_number FROM b")
+@query(f"WITH b AS (SELECT DISTINCT {BOOK} AS book, CAST(floor((row_number() OVER (PARTITION BY {BOOK} ORDER BY vec_id) - 1) / 90) + 1 AS INTEGER) AS batch FROM embeddings) SELECT book, batch, CAST(dense_rank() OVER (ORDER BY book, batch) AS INTEGER) AS batch_number FROM b")
 def batch_ordinals(spark: SparkSession, sf: str) -> DataFrame:
     return segment.batch_ordinals(fixed_batches(spark, sf))
 
@@ -538,32 +573,51 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     return _verses(spark, sf).select(*KEYS, words(F.lower("target_text")).alias("h"), words(F.lower("source_text")).alias("r"))
 
 
-def _bleu_sql() -> str:
+TOKS = f"toks AS (SELECT book, verse, {WORDS.format('lower(target_text)')} AS hy, {WORDS.format('lower(source_text)')} AS re FROM verses)"
+#: Row by row of the table of longest common subsequences; a row is the running maximum of what it can reach.
+ROUGE = """lcs AS (
+  SELECT book, verse, hy, re, 0::BIGINT AS i, list_transform(hy, lambda x: 0::BIGINT) AS best FROM toks WHERE len(hy) > 0 AND len(re) > 0
+  UNION ALL
+  SELECT book, verse, hy, re, i, list_transform(range(1, len(hy) + 1), lambda j: list_max(reach[1:j]))
+  FROM (SELECT book, verse, hy, re, i + 1 AS i, list_transform(range(1, len(hy) + 1), lambda j: greatest(best[j], CASE WHEN hy[j] = re[i + 1] THEN coalesce(best[j - 1], 0) + 1 ELSE 0 END)) AS reach FROM lcs WHERE i < len(re))),
+rouge AS (SELECT book, verse, 2.0::DOUBLE * best[-1] / (len(hy) + len(re)) AS rouge_l FROM lcs WHERE i = len(re)),
+rouges AS (SELECT t.book, t.verse, coalesce(r.rouge_l, 0)::DOUBLE AS rouge_l FROM toks t LEFT JOIN rouge r ON r.book = t.book AND r.verse = t.verse)"""
+#: The k-th occurrence of a word matches its k-th occurrence on the other side.
+METEOR = """hs AS (SELECT book, verse, i, w, row_number() OVER (PARTITION BY book, verse, w ORDER BY i) AS k FROM (SELECT book, verse, unnest(hy) AS w, generate_subscripts(hy, 1) AS i FROM toks)),
+rs AS (SELECT book, verse, i, w, row_number() OVER (PARTITION BY book, verse, w ORDER BY i) AS k FROM (SELECT book, verse, unnest(re) AS w, generate_subscripts(re, 1) AS i FROM toks)),
+met AS (SELECT h.book, h.verse, h.i, r.i AS m FROM hs h JOIN rs r ON r.book = h.book AND r.verse = h.verse AND r.w = h.w AND r.k = h.k),
+runs AS (SELECT *, coalesce(lag(i) OVER o = i - 1 AND lag(m) OVER o = m - 1, false) AS goes_on FROM met WINDOW o AS (PARTITION BY book, verse ORDER BY i)),
+chunked AS (SELECT book, verse, count(*)::DOUBLE AS n, count(*) FILTER (NOT goes_on) AS chunks FROM runs GROUP BY ALL),
+meteors AS (SELECT t.book, t.verse, coalesce(10 * (n / len(hy)) * (n / len(re)) / (n / len(re) + 9 * (n / len(hy))) * (1 - 0.5 * (chunks / n) ** 3), 0)::DOUBLE AS meteor FROM toks t LEFT JOIN chunked c ON c.book = t.book AND c.verse = t.verse)"""
+
+
+def _bleu_sql(end: str) -> str:
     grams = " UNION ALL ".join(f"SELECT book, verse, {n} AS n, array_to_string({c}[i:i + {n - 1}], ' ') AS g, {h} AS h, {1 - h} AS r FROM (SELECT book, verse, {c}, unnest(range(1, len({c}) - {n} + 2)) AS i FROM toks)" for c, h in (("hy", 1), ("re", 0)) for n in range(1, 5))
     clips = ", ".join(f"coalesce(sum(least(h, r)) FILTER (n = {n}), 0) AS m{n}" for n in range(1, 5))
     logs = " + ".join(f"ln(CASE WHEN m{n} > 0 THEN m{n} ELSE 0.1::DOUBLE END / greatest(1, hl - {n - 1}))" for n in range(1, 5))
-    return f"""WITH {VERSES}, toks AS (SELECT book, verse, {WORDS.format('lower(target_text)')} AS hy, {WORDS.format('lower(source_text)')} AS re FROM verses),
-grams AS ({grams}), counted AS (SELECT book, verse, n, g, sum(h) AS h, sum(r) AS r FROM grams GROUP BY ALL), clipped AS (SELECT book, verse, {clips} FROM counted GROUP BY ALL),
-rows AS (SELECT t.book, t.verse, len(hy) AS hl, len(re) AS rl, coalesce(m1, 0) AS m1, coalesce(m2, 0) AS m2, coalesce(m3, 0) AS m3, coalesce(m4, 0) AS m4 FROM toks t LEFT JOIN clipped c ON c.book = t.book AND c.verse = t.verse)
-SELECT book, verse, round(CASE WHEN m1 = 0 THEN 0.0::DOUBLE ELSE (CASE WHEN hl > rl THEN 1.0::DOUBLE ELSE exp(1 - rl / greatest(1, hl)) END) * exp(({logs}) / 4) END, 6) AS bleu FROM rows"""
+    return f"""WITH RECURSIVE {VERSES}, {TOKS}, {ROUGE}, {METEOR}, grams AS ({grams}), counted AS (SELECT book, verse, n, g, sum(h) AS h, sum(r) AS r FROM grams GROUP BY ALL), clipped AS (SELECT book, verse, {clips} FROM counted GROUP BY ALL),
+rows AS (SELECT t.book, t.verse, len(hy) AS hl, len(re) AS rl, coalesce(m1, 0) AS m1, coalesce(m2, 0) AS m2, coalesce(m3, 0) AS m3, coalesce(m4, 0) AS m4 FROM toks t LEFT JOIN clipped c ON c.book = t.book AND c.verse = t.verse),
+bleus AS (SELECT book, verse, CASE WHEN m1 = 0 THEN 0.0::DOUBLE ELSE (CASE WHEN hl > rl THEN 1.0::DOUBLE ELSE exp(1 - rl / greatest(1, hl)) END) * exp(({logs}) / 4) END AS bleu FROM rows)
+{end}"""
 
 
-@query(_bleu_sql())
+@query(_bleu_sql("SELECT book, verse, round(bleu, 6) AS bleu FROM bleus"))
 def sentence_bleu(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.bleu(_scored(spark, sf), KEYS, "h", "r").withColumn("bleu", F.round("bleu", 6))
 
 
-@query()
+@query(f"WITH RECURSIVE {VERSES}, {TOKS}, {ROUGE} SELECT book, verse, round(rouge_l, 6) AS rouge_l FROM rouges")
 def rouge_l(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf).select(*KEYS, F.round(metrics.rouge_l("h", "r"), 6).alias("rouge_l"))
 
 
-@query()
+@query(f"WITH {VERSES}, {TOKS}, {METEOR} SELECT book, verse, round(meteor, 6) AS meteor FROM meteors")
 def meteor(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf).select(*KEYS, F.round(metrics.meteor("h", "r"), 6).alias("meteor"))
 
 
-@query()
+@query(_bleu_sql("""SELECT b.book, count(*) AS verses_evaluated, round(avg(bleu), 6) AS bleu_score, round(avg(rouge_l), 6) AS rouge_score, round(avg(meteor), 6) AS meteor_score
+FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY md5(book || '_' || verse), book || '_' || verse) AS place FROM bleus) b JOIN rouges r ON r.book = b.book AND r.verse = b.verse JOIN meteors m ON m.book = b.book AND m.verse = b.verse WHERE place <= 15 GROUP BY b.book"""))
 def translation_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Mean scores of each book over a sample of at most 15 verses; 0 where there is none."""
     rows = evaluate.sample(_scored(spark, sf).withColumn("key", F.concat_ws("_", *KEYS)), ["book"], "key").drop("sample_rank", "key")
@@ -571,7 +625,8 @@ def translation_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return scored.groupBy("book").agg(F.count("*").alias("verses_evaluated"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(f"{c}_score") for c in ("bleu", "rouge", "meteor")])
 
 
-@query()
+@query(f"""WITH {VERSES}, {SOURCE}, {TARGETS}, {ENTRIES}, {MATCHES}, events AS ({MATCHED}), {PAIRS}, best AS (SELECT source_term, arg_max(target_term, (confidence_score, target_term)) AS t FROM learned GROUP BY ALL)
+SELECT v.book, v.verse, coalesce(g, '') AS translation FROM verses v LEFT JOIN (SELECT s.book, s.verse, string_agg(coalesce(t, term), ' ' ORDER BY pos) AS g FROM source s LEFT JOIN best ON source_term = term GROUP BY ALL) x ON x.book = v.book AND x.verse = v.verse""")
 def gloss_translation(spark: SparkSession, sf: str) -> DataFrame:
     best = learned.best_targets(learned.learned(learning.dictionary_events(_verses(spark, sf), _dictionary(spark, sf))))
     return evaluate.gloss(_verses(spark, sf), KEYS, "source_text", best)

@@ -1,85 +1,170 @@
-"""The learning plan over aligned verses: dictionary, similarity, dominance and proper nouns, as one event table."""
+"""The learning plan over aligned verses: dictionary, similarity, dominance and proper nouns, as one event table.
+
+A verse's ``book`` is its batch unless ``batch`` names a column that holds one (packed passages, say). Chinese targets,
+which have no blanks, are taken as n-grams; source words can be replaced by their lemmas, and those of ancient languages
+reach the dictionary by way of a pivot.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import cooccurrence, dictionary, dominance, learned, proper_nouns, similarity
-from ..operators.tokens import distinct_terms, tokens
+from ..operators.tokens import chinese_terms, distinct_terms, lemmas, tokens
+from ..sources.dictionaries import pivot_lookup
 from ..sources.store import cut
 
 KEYS = ["book", "verse"]
 EVENT = ["seq", "method", "batch_reference", "verse_reference", "source_term", "target_term", "score", "is_primary"]
+#: Stages of a batch: those that go verse by verse come first, the dictionary before similarity in each verse.
+VERSES, DOMINANCE, NAMES = 0, 1, 2
 
 
-def sequence(book: str, stage: int, verse: str, position: str, rank: str) -> Column:
-    """An event's place in the run as one number: book, stage, verse (7 digits), position (5), rank of the target (3)."""
-    low = F.lit(stage) * 10**15 + F.expr(verse).cast("long") * 10**8 + F.least(F.expr(position).cast("long"), F.lit(99_999)) * 10**3 + F.least(F.expr(rank).cast("long"), F.lit(999))
-    return (F.expr(f"CAST({book} AS DECIMAL(19,0)) * CAST(10000000000000000 AS DECIMAL(17,0))") + low.cast("decimal(17,0)")).cast("decimal(38,0)")
+def sequence(book: Column, stage: int, verse: Column | None = None, part: int = 0, position: Column | None = None, source: Column | None = None, rank: Column | None = None, target: Column | None = None) -> Column:
+    """An event's place in the run: book, stage, verse, dictionary or similarity, position, source term, rank, target term; compared in this order."""
+    zero, empty = F.lit(0), F.lit("")
+    number = lambda c: (zero if c is None else c).cast("long")
+    return F.struct(number(book).alias("book"), F.lit(stage).alias("stage"), number(verse).alias("verse"), F.lit(part).alias("part"), number(position).alias("pos"), F.coalesce(empty if source is None else source, empty).alias("source"), number(rank).alias("rank"), F.coalesce(empty if target is None else target, empty).alias("target"))
 
 
-def _event(rows: DataFrame, method: str, stage: int, verse: str, position: str, rank: str) -> DataFrame:
-    reference = F.concat_ws("_", F.col("book"), F.expr(verse)) if verse != "0" else F.col("book").cast("string")
-    return rows.select(sequence("book", stage, verse, position, rank).alias("seq"), F.lit(method).alias("method"), F.col("book").cast("string").alias("batch_reference"), reference.alias("verse_reference"), "source_term", "target_term", "score", "is_primary")
+def _event(rows: DataFrame, method: str, seq: Column, verse: bool) -> DataFrame:
+    reference = F.concat_ws("_", "book", "verse") if verse else F.col("book").cast("string")
+    return rows.select(seq.alias("seq"), F.lit(method).alias("method"), F.col("book").cast("string").alias("batch_reference"), reference.alias("verse_reference"), "source_term", "target_term", "score", "is_primary")
 
 
 def dictionary_events(verses: DataFrame, entries: DataFrame) -> DataFrame:
     """Dictionary events of aligned verses; a verse's book is its batch."""
     found = dictionary.matches(tokens(verses, KEYS, "source_text"), distinct_terms(verses, KEYS, "target_text"), entries, KEYS)
-    return _event(found, "dictionary", 0, "verse", "src_pos", "rank")
+    return _dictionary(found)
+
+
+def _dictionary(found: DataFrame) -> DataFrame:
+    return _event(found, "dictionary", sequence(F.col("book"), VERSES, F.col("verse"), 0, F.col("src_pos"), rank=F.col("rank")), True)
+
+
+def dominance_events(counts: DataFrame, batch: str, chinese: bool = False) -> DataFrame:
+    got = dominance.learn(counts, batch, chinese).withColumnRenamed(batch, "book")
+    return _dominance(got)
+
+
+def _dominance(got: DataFrame) -> DataFrame:
+    return _event(got, "dominance", sequence(F.col("book"), DOMINANCE, source=F.col("source_term"), rank=F.when(F.col("is_primary"), 1).otherwise(2), target=F.col("target_term")), False)
+
+
+@dataclass(frozen=True)
+class Languages:
+    """What a pair of languages needs: ``source`` and ``target`` by name, and the tables that stand for models.
+
+    ``lexicon`` (surface, lemma, upos) and ``stop`` (term) give source lemmas; ``pivot`` (form, english) leads ancient
+    terms to English ones; ``sounds`` (word, pinyin) spells target terms, ``names`` (name, sound) source names.
+    """
+
+    source: str = "English"
+    target: str = "English"
+    lexicon: DataFrame | None = field(default=None, compare=False)
+    stop: DataFrame | None = field(default=None, compare=False)
+    pivot: DataFrame | None = field(default=None, compare=False)
+    sounds: DataFrame | None = field(default=None, compare=False)
+    names: DataFrame | None = field(default=None, compare=False)
+
+    @property
+    def chinese(self) -> bool:
+        return self.target == "Chinese"
 
 
-def dominance_events(counts: DataFrame, batch: str) -> DataFrame:
-    got = dominance.learn(counts, batch).withColumnRenamed(batch, "book")
-    return _event(got, "dominance", 1, "0", "pmod(crc32(source_term), 90000)", "if(is_primary, 1, 2)")
+def source_tokens(verses: DataFrame, languages: Languages) -> DataFrame:
+    """Source words of each verse, as lemmas where a lexicon is given."""
+    found = tokens(verses, KEYS, "source_text")
+    if languages.lexicon is None:
+        return found
+    return lemmas(found, languages.lexicon, languages.stop, hebrew=languages.source == "Hebrew").select(*KEYS, "pos", "term")
 
 
-def run(verses: DataFrame, entries: DataFrame, language: str = "English", chinese: bool = False, sounds: DataFrame | None = None) -> DataFrame:
-    """All events of a corpus of aligned verses. ``entries``: term, target, pinyin, ord; ``sounds``: word, pinyin of target terms."""
-    source = tokens(verses, KEYS, "source_text")
-    targets = distinct_terms(verses, KEYS, "target_text")
-    source, targets, entries = (cut(x) for x in (source, targets, entries))
+def target_terms(verses: DataFrame, languages: Languages) -> DataFrame:
+    """Different target terms of each verse: n-grams of Chinese, else words in lower case."""
+    return chinese_terms(verses, KEYS, "target_text") if languages.chinese else distinct_terms(verses, KEYS, "target_text")
+
+
+def through_pivot(source: DataFrame, entries: DataFrame, pivot: DataFrame | None) -> DataFrame:
+    """Dictionary entries as the source's own terms find them: by way of English for ancient languages, their order kept."""
+    if pivot is None:
+        return entries
+    found = pivot_lookup(source.select("term").distinct(), pivot, entries)
+    own = entries.groupBy(F.col("term").alias("k"), "target").agg(F.min_by("pinyin", "ord").alias("pinyin"), F.min("ord").alias("ord"))
+    rows = found.withColumn("k", F.lower("english")).join(own, ["k", "target"])
+    return rows.groupBy(F.lower("term").alias("term"), "target").agg(F.min_by("pinyin", "ord").alias("pinyin"), F.min("ord").alias("ord"))
+
+
+def candidates(verses: DataFrame, languages: Languages) -> DataFrame:
+    """How often each proper candidate occurs in a book's texts, counted on the words themselves."""
+    return proper_nouns.source_counts(tokens(verses, KEYS, "source_text"), ["book"])
+
+
+def run(verses: DataFrame, entries: DataFrame, languages: Languages = Languages(), batch: str | None = None) -> DataFrame:  # noqa: B008
+    """All events of a corpus of aligned verses. ``entries``: term, target, pinyin, ord.
+
+    Similarity is learned for Chinese targets only, where words are spelled by sound.
+    """
+    if batch:
+        verses = verses.withColumn("book", F.col(batch).cast("long"))
+    source, targets = cut(source_tokens(verses, languages)), cut(target_terms(verses, languages))
+    entries = cut(through_pivot(source, entries, languages.pivot))
     first = cut(dictionary.matches(source, targets, entries, KEYS))
     left_source = cut(dictionary.residual_sources(source, first, KEYS))
     left_target = cut(dictionary.residual_targets(targets, first.where("is_primary"), KEYS))
-    spelled = left_target.join(sounds.select(F.col("word").alias("term"), "pinyin"), "term", "left") if sounds is not None else left_target.withColumn("pinyin", F.col("term"))
-    second = cut(similarity.matches(left_source, spelled.withColumn("pinyin", F.coalesce("pinyin", "term")), entries, KEYS))
-    left_target = dictionary.residual_targets(left_target, second, KEYS, both=True)
-    left_source = left_source.join(second.select(*KEYS, F.col("source_term").alias("term")).distinct(), [*KEYS, "term"], "left_anti")
+    found = [_dictionary(first)]
+    if languages.chinese:
+        sounds = languages.sounds
+        spelled = left_target.join(sounds.select(F.col("word").alias("term"), "pinyin"), "term", "left") if sounds is not None else left_target.withColumn("pinyin", F.col("term"))
+        second = similarity.matches(left_source, spelled.withColumn("pinyin", F.coalesce("pinyin", "term")), entries, KEYS)
+        places = source.groupBy(*KEYS, F.col("term").alias("source_term")).agg(F.min("pos").alias("pos"))
+        second = cut(second.join(places, [*KEYS, "source_term"]))
+        left_target = cut(dictionary.residual_targets(left_target, second, KEYS, both=True))
+        left_source = cut(left_source.join(second.select(*KEYS, F.col("source_term").alias("term")).distinct(), [*KEYS, "term"], "left_anti"))
+        place = sequence(F.col("book"), VERSES, F.col("verse"), 1, F.col("pos"), F.col("source_term"), -F.length("target_term"), F.col("target_term"))
+        found.append(_event(second.withColumn("score", F.col("similarity")).withColumn("is_primary", F.lit(True)), "similarity", place, True))
     pairs = left_source.select(*KEYS, F.col("term").alias("source_term")).join(left_target.select(*KEYS, F.col("term").alias("target_term")), KEYS)
     counts = cut(pairs.groupBy("book", "source_term", "target_term").agg(F.count("*").alias("cnt")))
-    third = cut(dominance.learn(counts, "book", chinese))
+    third = cut(dominance.learn(counts, "book", languages.chinese))
     rest = counts.join(third.select("book", "source_term").distinct(), ["book", "source_term"], "left_anti")
-    kept = dictionary.residual_targets(rest.select("book", F.col("target_term").alias("term")).distinct(), third, ["book"])
-    rest = rest.join(kept.withColumnRenamed("term", "target_term"), ["book", "target_term"])
-    names = proper_nouns.source_counts(source, ["book"])
-    claims = proper_nouns.equal_counts(names, rest, ["book"])
-    if sounds is not None:
-        claims = claims.join(sounds.select(F.col("word").alias("target_term"), F.col("pinyin").alias("target_sound")), "target_term", "left")
-    else:
-        claims = claims.withColumn("target_sound", F.col("target_term"))
-    claims = proper_nouns.scored(claims.withColumn("sound", F.lower("source_term")), language, chinese).select("book", "source_term", "target_term", "similarity")
-    claims = cut(claims)
+    held = dictionary.holding(rest.select("book", F.col("target_term").alias("term")).distinct(), third, ["book"])
+    rest = rest.join(held.withColumnRenamed("term", "target_term"), ["book", "target_term"], "left_anti")
+    claims = proper_nouns.equal_counts(candidates(verses, languages), rest, ["book"])
+    claims = _sounded(claims, languages)
+    claims = cut(proper_nouns.scored(claims, languages.source, languages.chinese).select("book", "source_term", "target_term", "similarity"))
     won = proper_nouns.resolve(claims, ["book"])
-    again = proper_nouns.reattribute(claims, won, "book")
-    fourth = proper_nouns.events(won.unionByName(again))
-    found = [
-        _event(first, "dictionary", 0, "verse", "src_pos", "rank"),
-        _event(second.withColumn("score", F.col("similarity")).withColumn("is_primary", F.lit(True)), "similarity", 0, "verse", "90000 + pmod(crc32(source_term), 9999)", "pmod(crc32(target_term), 999)"),
-        _event(third, "dominance", 1, "0", "pmod(crc32(source_term), 90000)", "if(is_primary, 1, 2)"),
-        _event(fourth, "proper_noun", 2, "0", "pmod(crc32(source_term), 90000)", "pmod(crc32(target_term), 999)"),
-    ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def unresolved(verses: DataFrame, events: DataFrame) -> DataFrame:
+    fourth = proper_nouns.events(won.unionByName(proper_nouns.reattribute(claims, won, "book")))
+    found.append(_dominance(third))
+    found.append(_event(fourth, "proper_noun", sequence(F.col("book"), NAMES, source=F.col("source_term"), target=F.col("target_term")), False))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _sounded(claims: DataFrame, languages: Languages) -> DataFrame:
+    """Claims with the sounds of both sides: from the tables where they have the word, else the word itself."""
+    rows = claims.withColumn("sound", F.lower("source_term")).withColumn("target_sound", F.col("target_term"))
+    if languages.names is not None:
+        own = languages.names.select(F.col("name").alias("source_term"), F.col("sound").alias("own"))
+        rows = rows.join(own, "source_term", "left").withColumn("sound", F.coalesce("own", "sound")).drop("own")
+    if languages.sounds is not None:
+        other = languages.sounds.select(F.col("word").alias("target_term"), F.col("pinyin").alias("other"))
+        rows = rows.join(other, "target_term", "left").withColumn("target_sound", F.coalesce("other", "target_sound")).drop("other")
+    return rows
+
+
+def unresolved(verses: DataFrame, events: DataFrame, languages: Languages = Languages()) -> DataFrame:  # noqa: B008
     """batch_reference, term of the names that nothing resolved."""
-    names = proper_nouns.source_counts(tokens(verses, KEYS, "source_text"), ["book"]).select(F.col("book").cast("string").alias("batch_reference"), "term")
+    names = candidates(verses, languages).select(F.col("book").cast("string").alias("batch_reference"), "term")
     return names.join(events.where("method = 'proper_noun'").select("batch_reference", F.col("source_term").alias("term")).distinct(), ["batch_reference", "term"], "left_anti")
 
 
-__all__ = ["cooccurrence", "dictionary_events", "dominance_events", "learned", "run", "unresolved"]
+def summary(verses: DataFrame, events: DataFrame, known: DataFrame | None = None, languages: Languages = Languages()) -> DataFrame:  # noqa: B008
+    """What each batch learned, its unresolved names included; ``known``: terms of a restored dictionary."""
+    sizes = verses.groupBy(F.col("book").cast("string").alias("batch_reference")).agg(F.count("*").alias("verse_count"))
+    return learned.batch_stats(learned.actions(events, known), sizes, unresolved(verses, events, languages))
+
+
+__all__ = ["Languages", "cooccurrence", "dictionary_events", "dominance_events", "learned", "run", "summary", "unresolved"]

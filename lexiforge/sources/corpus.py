@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import clean_target, parse_range, reference, simplified, strip
 
@@ -46,6 +47,6 @@ def save_corpus(verses: DataFrame, path: str, by: str | None = None, kind: str =
     (writer.partitionBy(by) if by else writer).save(path)
 
 
-def load_corpus(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
+def load_corpus(spark: SparkSession, path: str, kind: str = "parquet", schema: StructType | str | None = None) -> DataFrame:
     reader = spark.read.format(kind)
     return (reader.schema(schema) if schema else reader).load(path)

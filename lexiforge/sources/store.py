@@ -3,35 +3,62 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-EVENTS = "seq DECIMAL(38,0), method STRING, batch_reference STRING, verse_reference STRING, source_term STRING, target_term STRING, score DOUBLE, is_primary BOOLEAN"
+SEQ = "STRUCT<book: BIGINT, stage: INT, verse: BIGINT, part: INT, pos: BIGINT, source: STRING, rank: BIGINT, target: STRING>"
+EVENTS = f"seq {SEQ}, method STRING, batch_reference STRING, verse_reference STRING, source_term STRING, target_term STRING, score DOUBLE, is_primary BOOLEAN"
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the checkpoint folder, which driver and executors share; a local one only where all runs on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp()}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The table with its lineage cut: written once in the checkpoint folder, so that plans that use it often stay small."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or folder(df.sparkSession, "cut"))
     return df.checkpoint()
 
 
-def append_events(events: DataFrame, path: str) -> None:
-    """Events of whole batches; a batch that is saved again replaces itself."""
-    events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_reference").parquet(path)
+def append_events(events: DataFrame, path: str, number: int) -> None:
+    """Events of one micro-batch; one that is saved again replaces itself."""
+    events.write.mode("overwrite").parquet(f"{path.rstrip('/')}/micro_batch={number}")
 
 
 def restore_events(spark: SparkSession, path: str) -> DataFrame | None:
     """Saved events, or None where there are none."""
     try:
-        return spark.read.schema(EVENTS).parquet(path)
+        return spark.read.schema(f"{EVENTS}, micro_batch LONG").parquet(path).drop("micro_batch")
     except AnalysisException:
         return None
 
 
+def save_state(path: str, events: DataFrame, counts: DataFrame, verses: DataFrame) -> None:
+    """What a run has learned and seen: its events, co-occurrences (book, source_term, target_term, cnt) and verse references."""
+    events.write.mode("overwrite").parquet(f"{path}/events")
+    counts.write.mode("overwrite").parquet(f"{path}/cooccurrences")
+    verses.select("verse_reference").write.mode("overwrite").parquet(f"{path}/verses_processed")
+
+
+def restore_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame] | tuple[None, None, None]:
+    """Events, co-occurrences and verse references of a saved run; three Nones where there is none."""
+    try:
+        return spark.read.schema(EVENTS).parquet(f"{path}/events"), spark.read.parquet(f"{path}/cooccurrences"), spark.read.parquet(f"{path}/verses_processed")
+    except AnalysisException:
+        return None, None, None
+
+
 def dictionary_json(learned: DataFrame) -> DataFrame:
     """A JSON document for each source term: its targets in first-seen order, when it was first learned and last updated."""
     entry = F.struct("target_term", "confidence_score", "is_primary")
@@ -52,11 +79,23 @@ def append_history(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def batches_processed(events: DataFrame) -> DataFrame:
+    """batch_reference of each batch with events, in the order of its first."""
+    first = events.groupBy("batch_reference").agg(F.min("seq").alias("first_seq"))
+    return first.orderBy("first_seq", "batch_reference").select("batch_reference")
+
+
 def history_totals(history: DataFrame) -> DataFrame:
     """Runs saved so far, the first and the last."""
     return history.agg(F.count("*").alias("total"), F.min("created").alias("created"), F.max("created").alias("last_updated"))
 
 
+def append_tuning(rows: DataFrame, path: str) -> DataFrame:
+    """Adds runs (batch, created and their metrics) to a history and returns its totals."""
+    append_history(rows, path)
+    return history_totals(rows.sparkSession.read.schema(rows.schema).parquet(path))
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 

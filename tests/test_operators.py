@@ -3,8 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.operators import cooccurrence, dictionary, dominance, evaluate, learned, proper_nouns, segment
+from lexiforge.operators import cooccurrence, dictionary, dominance, evaluate, learned, proper_nouns, running, segment, similarity
 from lexiforge.operators.tokens import lemmas
+from lexiforge.plans import learning
 from lexiforge.sources import corpus, dictionaries, store
 from lexiforge.streaming.incremental import learn_stream
 
@@ -143,14 +144,146 @@ def test_lemmas(spark):
     assert rows(lemmas(found, lexicon), "pos", "term") == [(0, "god"), (1, "run"), (2, "Paul"), (4, "unknown")]
 
 
-def test_stream(spark, tmp_path):
-    schema = "seq long, method string, batch_reference string, verse_reference string, source_term string, target_term string, score double, is_primary boolean"
-    made = [(i, "m", f"b{i % 2}", f"v{i}", "s", "t", 1.0, True) for i in range(6)]
-    for b in (0, 1):
-        spark.createDataFrame([x for x in made if x[2] == f"b{b}"], schema).write.parquet(str(tmp_path / "in" / str(b)))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in" / "*"))
-    got = learn_stream(spark, stream, lambda x: x.withColumn("seq", F.col("seq").cast("decimal(38,0)")), str(tmp_path / "out"), str(tmp_path / "progress"))
-    assert learned.learned(got).first()["confidence_score"] == pytest.approx(6.0)
-    store.append_events(spark.createDataFrame(made[:1], schema).withColumn("seq", F.col("seq").cast("decimal(38,0)")), str(tmp_path / "out"))
-    assert store.restore_events(spark, str(tmp_path / "out")).count() == 4
+def turns(n):
+    """Conversations whose words the dictionary below knows, as (conv_id, turn, role, text)."""
+    return [(c, t, "user" if t % 2 == 0 else "assistant", f"alpha beta word{c}" if t % 2 == 0 else f"gamma delta{t % 3} end") for c in range(n) for t in range(8)]
+
+
+def entries(spark):
+    return spark.createDataFrame([("alpha", "gamma", 1), ("beta", "delta1", 2), ("beta", "delta0", 3)], "term string, target string, ord long")
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_stream_equals_one_batch(spark, tmp_path, files):
+    rows = spark.createDataFrame(turns(6), "conv_id long, turn long, role string, text string")
+    want = learned.learned(learning.dictionary_events(corpus.conversation_verses(rows), entries(spark)))
+    # Turns are dealt over files one by one, so a turn and its answer lie apart.
+    parts = [[x for i, x in enumerate(turns(6)) if i % files == f] for f in range(files)]
+    at = {name: str(tmp_path / name) for name in ("in", "out", "progress")}
+    learn = lambda v: learning.dictionary_events(v, entries(spark))
+
+    def go():
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at['in']}/*")
+        return learn_stream(spark, corpus.conversation_verses(stream), learn, at["out"], at["progress"])
+
+    for i, part in enumerate(parts):
+        spark.createDataFrame(part, rows.schema).coalesce(1).write.parquet(f"{at['in']}/{i}")
+        if i == files // 2:
+            go()  # a stop and a restart in the middle
+    got = learned.learned(go())
+    assert rows_of(got) == rows_of(want) and want.count() == 3
+    # A micro-batch that runs again replaces its own events.
+    events = store.restore_events(spark, at["out"])
+    before = events.count()
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out").glob("micro_batch=*"))
+    again = spark.read.schema(store.EVENTS).parquet(f"{at['out']}/micro_batch={last}").collect()
+    store.append_events(spark.createDataFrame(again, store.EVENTS), at["out"], last)
+    assert store.restore_events(spark, at["out"]).count() == before
     assert store.restore_events(spark, str(tmp_path / "none")) is None
+
+
+def rows_of(df):
+    return rows(df, *df.columns)
+
+
+def test_events_keep_their_order_in_long_verses(spark):
+    verses = spark.createDataFrame([(10**12, 10**11, "x " * 120_000 + "alpha alpha", "gamma")], "book long, verse long, source_text string, target_text string")
+    events = learning.dictionary_events(verses, spark.createDataFrame([("alpha", "gamma", 1)], "term string, target string, ord long"))
+    assert rows(learned.actions(events), "action") == [("learned",), ("updated",)]
+    assert rows(events.select("seq.book", "seq.verse", "seq.pos"), "book", "verse", "pos") == [(10**12, 10**11, 120_000), (10**12, 10**11, 120_001)]
+
+
+def test_holding(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(rng.randint(1, n)))
+    targets = spark.createDataFrame(sorted({(b, word(9)) for b in (1, 2) for _ in range(60)}), "book int, term string")
+    retained = spark.createDataFrame(sorted({(b, word(5)) for b in (1, 2) for _ in range(3)}), "book int, target_term string")
+    held = dictionary.holding(targets, retained, ["book"])
+    assert rows(targets.join(held, ["book", "term"], "left_anti"), "book", "term") == rows(dictionary.residual_targets(targets, retained, ["book"]), "book", "term")
+
+
+def test_of_equal_similarities_the_words_own_entry_wins(spark):
+    source = spark.createDataFrame([(1, "run")], "verse int, term string")
+    targets = spark.createDataFrame([(1, "abcd", "abcd")], "verse int, term string, pinyin string")
+    known = spark.createDataFrame([("to run", "abcx", "abcx", 1), ("run", "abcy", "abcy", 2)], "term string, target string, pinyin string, ord long")
+    assert rows(similarity.matches(source, targets, known, V), "translation") == [("abcy",)]
+
+
+def test_similarity_against_all_pairs(spark):
+    import difflib
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(2, 5)))
+    own, listed = [word() for _ in range(12)], sorted({word() for _ in range(25)})
+    known = spark.createDataFrame([(f"s{i % 4}", t, t, i) for i, t in enumerate(own)], "term string, target string, pinyin string, ord long")
+    got = similarity.matches(spark.createDataFrame([(1, f"s{i}") for i in range(4)], "verse int, term string"), spark.createDataFrame([(1, t, t) for t in listed], "verse int, term string, pinyin string"), known, V)
+
+    def score(t, d):
+        same = sum(x == y for x, y in zip(t, d, strict=False)) / len(t) if len(t) == len(d) else 0
+        return 0.4 * same + 0.4 * difflib.SequenceMatcher(None, t, d).ratio() + 0.2 * (1 - 0.5 * abs(len(t) - len(d)) / max(len(t), len(d)))
+
+    want = []
+    for s in range(4):
+        for t in listed:
+            best = None
+            for i, d in enumerate(own):
+                x = score(t, d)
+                if i % 4 == s and x > (0.7 if len(t) == 2 else 0.5) and x != 1.0 and (best is None or x > best[0] + 1e-12):
+                    best = (x, d)
+            if best:
+                want.append((f"s{s}", t, best[1], round(best[0], 9)))
+    assert rows(got.withColumn("similarity", F.round("similarity", 9)), "source_term", "target_term", "translation", "similarity") == sorted(want)
+
+
+def test_gloss_keeps_verses_without_words(spark):
+    verses = spark.createDataFrame([(1, "a b"), (2, " .. "), (3, None)], "verse int, text string")
+    got = evaluate.gloss(verses, V, "text", spark.createDataFrame([("a", "x")], "source_term string, best_target string"))
+    assert rows(got, "verse", "translation") == [(1, "x b"), (2, ""), (3, "")]
+
+
+def test_chinese_run_learns(spark):
+    verses = spark.createDataFrame([(1, i, "God made light", "神造光明") for i in range(3)], "book long, verse long, source_text string, target_text string")
+    known = spark.createDataFrame([("god", "神", "shen2", 1), ("light", "光", "guang1", 2)], "term string, target string, pinyin string, ord long")
+    got = learned.learned(learning.run(verses, known, learning.Languages(target="Chinese")))
+    assert {("God", "神", 3.0), ("light", "光", 3.0)} <= set(rows(got, "source_term", "target_term", "confidence_score"))
+
+
+def test_ancient_terms_reach_the_dictionary(spark):
+    verses = spark.createDataFrame([(1, 1, "θεός Μωυσῆς", "神 摩西")], "book long, verse long, source_text string, target_text string")
+    known = spark.createDataFrame([("god", "神", "shen2", 1), ("moses", "摩西", "mo2 xi1", 2)], "term string, target string, pinyin string, ord long")
+    pivot = spark.createDataFrame([("θεός", "God"), ("Μωυσῆς", "Moses")], "form string, english string")
+    got = learning.run(verses, known, learning.Languages(source="Greek", pivot=pivot))
+    assert rows(got.where("method = 'dictionary'"), "source_term", "target_term") == [("Μωυσῆς", "摩西"), ("θεός", "神")]
+
+
+def test_running_sums(spark):
+    made = [(i * 7 % 101, i % 5) for i in range(101)]
+    got = running.running_sums(spark.createDataFrame(made, "k int, n long").repartition(6), "k", {"n": "upto"})
+    total, want = 0, []
+    for k, n in sorted(made):
+        total += n
+        want.append((k, total))
+    assert rows(got, "k", "upto") == want
+
+
+def test_chained_models():
+    assert evaluate.chained([1, 2, 3], lambda model, batch: ((model or 0) + batch, {"batch": batch})) == (6, [{"batch": 1}, {"batch": 2}, {"batch": 3}])
+
+
+def test_state_is_restored(spark, tmp_path):
+    assert store.restore_state(spark, str(tmp_path / "none")) == (None, None, None)
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        store.folder(Session(), "x")
