@@ -2,28 +2,43 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship
 
-__all__ = ["pick", "shared_dir", "ship", "written"]
+__all__ = ["pick", "removed", "shared_dir", "ship", "tidied", "trim", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; only where no such folder is set (tests), one is made locally."""
+    """A new folder name below ``spark.checkpoint.dir``; only where no such folder is set and all runs on one machine (tests), one is made locally."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lexiforge-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/lexiforge-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` written as Parquet at ``path`` and read again: cuts the lineage and survives lost executors."""
     df.write.mode("overwrite").parquet(path)
@@ -33,3 +48,24 @@ def written(df: DataFrame, path: str) -> DataFrame:
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, cast to the named types; any further or clashing columns of a caller's table stay out."""
     return df.select(*[df[name].cast(kind).alias(name) for name, kind in columns.items()])
+
+
+def trim() -> None:
+    """Gives free memory of this process back."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after whose last batch the worker gives its free memory back; workers outlive their tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
