@@ -7,6 +7,7 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def fold(key: Column, folds: int) -> Column:
@@ -18,18 +19,27 @@ def sampled(rows: DataFrame, key: str, label: str, each: int, most_labels: int =
     """About ``each`` rows of every label value, at most ``2 * each`` for each on average, chosen by a hash of the key.
 
     Counting the labels is the only aggregate; the rows are then filtered by a share for each label, so no task holds all
-    rows of one. More than ``most_labels`` values are an error: such a column isn't a label.
+    rows of one. Of more than ``most_labels`` values the most frequent ones are sampled, ties by the value's order.
     """
-    counts = rows.groupBy(label).count().limit(most_labels + 1).collect()
-    if len(counts) > most_labels:
-        raise ValueError(f"{label} has more than {most_labels} values")
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
     if not counts:
         return rows.limit(0)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(label) == F.lit(r[0]), F.lit(min(1.0, each / r["count"]))).otherwise(share)
+    shares = rows.sparkSession.createDataFrame([(r[0], min(1.0, each / r["count"])) for r in counts], StructType([rows.schema[label], StructField("_share", DoubleType())]))
     drawn = F.pmod(F.xxhash64(F.col(key), F.lit(1_234_567)), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(drawn < share).orderBy(drawn, key).limit(2 * each * len(counts))
+    own = rows.join(F.broadcast(shares), label).where(drawn < F.col("_share"))  # at most most_labels rows
+    return own.select(*rows.columns).orderBy(drawn, key, label).limit(2 * each * len(counts))
+
+
+def marked(labels: DataFrame, mark: str, folds: int, out: int) -> DataFrame:
+    """doc_id, label of the documents that may be learned from: 0 or 1, not in fold ``out``, and the same in all rows of a doc_id."""
+    rows = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[mark].cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != out))
+    return rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_other")).where("label = _other").drop("_other")
+
+
+def learned_from(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, label, text of the documents chosen (doc_id, label), and a hash of the text that orders rows of one doc_id."""
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by the sample's size
+    return texts.select("doc_id", "label", F.xxhash64("text").alias("hash"), "text")
 
 
 class Rows:
