@@ -1,11 +1,13 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF of character n-grams.
 
 Document frequencies are counted over all learning documents. The weights are fitted with follow-the-regularised-leader
-and elastic-net penalties on about ``each`` documents a language, and a temperature is fitted on a fifth of those.
+and elastic-net penalties on about ``each`` documents a language, at most ``MOST_ROWS`` in all, and a temperature is
+fitted on a fifth of those.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; learning rows need a non-null language and
-text; without any learning row every text is ``und``; rows that share a key are classified one by one; an empty table
-gives no rows; columns other than those named aren't read.
+text; of more than ``LANGUAGES`` values of lang the most frequent ones are learned, and texts of others get the learned
+one they look most like; without any learning row every text is ``und``; rows that share a key are classified one by
+one; texts of any length are counted whole; an empty table gives no rows; columns other than those named aren't read.
 """
 
 from __future__ import annotations
@@ -14,17 +16,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .learning import fold, sampled
 from .shingles import mixed
-from .work import ship
+from .work import ship, tidied, trim
 
 GRAMS, SIZE, EACH, PASSES = 3, 1 << 14, 700, 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.002, 0.5
 UNKNOWN = "und"
-_STEP = 1 << 20
+#: The most frequent values of lang that are learned, and rows that the weights are fitted on.
+LANGUAGES, MOST_ROWS = 200, 20_000
+#: Characters that are counted at a time.
+_STEP = 1 << 18
 _ALPHA = np.zeros(0x110000, bool)
 
 
@@ -38,21 +43,30 @@ def counts(text: str | None, grams: int = GRAMS, size: int = SIZE) -> np.ndarray
     """How often each hashed n-gram (n from 1 to ``grams``) of letters and word ends occurs; None without a letter."""
     if not text:
         return None
-    total = None
-    for a in range(0, len(text), _STEP):
-        x = np.frombuffer(text[max(0, a - grams + 1) : a + _STEP].lower().encode("utf-32-le"), np.uint32)
+    letters = False
+    total, low, before, place = None, text.lower(), np.zeros(0, np.uint64), 0
+    while place < len(low):
+        x = np.frombuffer(low[place : place + _STEP].encode("utf-32-le", "surrogatepass"), np.uint32)
         x = np.where(_letters()[x], x, 32).astype(np.uint64)
-        x = np.concatenate([[np.uint64(32)], x, [np.uint64(32)]])
-        x = x[~((x == 32) & (np.concatenate([[np.uint64(0)], x[:-1]]) == 32))]
-        if len(x) < 3:
-            continue
+        place += _STEP
+        if place >= len(low):
+            x = np.append(x, np.uint64(32))
+        # Between words stands one mark, also at both ends; pieces share the grams over their seam.
+        last = before[-1] if len(before) else np.uint64(0)
+        if not len(before):
+            x = np.concatenate([[np.uint64(32)], x])
+        x = x[~((x == 32) & (np.concatenate([[last], x[:-1]]) == 32))]
+        both = np.concatenate([before, x])
         for n in range(1, grams + 1):
-            h = np.full(max(0, len(x) - n + 1), n, np.uint64)
+            own = both[max(0, len(before) - n + 1) :]
+            h = np.full(max(0, len(own) - n + 1), n, np.uint64)
             for j in range(n):
-                h = h * np.uint64(0x2545F4914F6CDD1D) + x[j : len(x) - n + 1 + j]
-            own = np.bincount((mixed(h) >> np.uint64(40)).astype(np.int64) & (size - 1), minlength=size)
-            total = own if total is None else total + own
-    return total
+                h = h * np.uint64(0x2545F4914F6CDD1D) + own[j : len(own) - n + 1 + j]
+            found = np.bincount((mixed(h) >> np.uint64(40)).astype(np.int64) & (size - 1), minlength=size)
+            total = found if total is None else total + found
+        before = both[-(grams - 1) :] if grams > 1 else both[-1:]
+        letters = letters or bool((x != 32).any())
+    return total if letters else None
 
 
 def frequencies(texts: DataFrame, size: int = SIZE, grams: int = GRAMS) -> tuple[np.ndarray, int]:
@@ -68,7 +82,7 @@ def frequencies(texts: DataFrame, size: int = SIZE, grams: int = GRAMS) -> tuple
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([[n, *df.tolist()]])], names=["df"])
 
-    found = texts.mapInArrow(run, "df array<long>").select(F.posexplode("df")).groupBy("pos").agg(F.sum("col").alias("n"))
+    found = texts.mapInArrow(tidied(run), "df array<long>").select(F.posexplode("df")).groupBy("pos").agg(F.sum("col").alias("n"))
     out = np.zeros(size + 1, np.int64)
     for r in found.collect():  # one row for each of the features
         out[r["pos"]] = r["n"]
@@ -134,19 +148,20 @@ def learn(rows: DataFrame, each: int = EACH) -> Model:
     ship(rows.sparkSession)
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     df, n = frequencies(rows.select("text"))
-    chosen = sampled(rows.select("doc_id", "lang"), "doc_id", "lang", each).distinct()
+    kinds = rows.select("lang").distinct().limit(LANGUAGES).count()
+    chosen = sampled(rows.select("doc_id", "lang"), "doc_id", "lang", min(each, MOST_ROWS // max(1, kinds)), LANGUAGES).distinct()
     picked = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # bounded by the sample's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(i.as_py(), name.as_py(), c) for i, text, name in zip(*batch.columns, strict=True) if (c := counts(text.as_py())) is not None]
+            out = [(i.as_py(), name.as_py(), key.as_py(), c) for i, text, name, key in zip(*batch.columns, strict=True) if (c := counts(text.as_py())) is not None]
             at = [np.flatnonzero(c) for *_, c in out]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in out], pa.int64()), "lang": pa.array([x[1] for x in out], pa.string()), "at": pa.array(at, pa.list_(pa.int32())), "c": pa.array([c[a].astype(np.int32) for (*_, c), a in zip(out, at, strict=True)], pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([x[0] for x in out], pa.int64()), "lang": pa.array([x[1] for x in out], pa.string()), "hash": pa.array([x[2] for x in out], pa.int64()), "at": pa.array(at, pa.list_(pa.int32())), "c": pa.array([c[a].astype(np.int32) for (*_, c), a in zip(out, at, strict=True)], pa.list_(pa.int32()))})
 
-    got = picked.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, at array<int>, c array<int>").toArrow()
+    got = picked.select("doc_id", "text", "lang", F.xxhash64("text")).mapInArrow(tidied(run), "doc_id long, lang string, hash long, at array<int>, c array<int>").toArrow()
     if not n or not got.num_rows:
         return Model([], np.zeros(SIZE), np.zeros((SIZE + 1, 0)), 1.0)
-    got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("hash", "ascending")])
     idf = np.log((1 + n) / (1 + df)) + 1
     lang = got.column("lang").to_pylist()
     names = sorted(set(lang))
@@ -160,27 +175,28 @@ def learn(rows: DataFrame, each: int = EACH) -> Model:
     held, own = order[: len(made) // 5], order[len(made) // 5 :]
     w = fit([made[i] for i in own], labels[own], len(names))
     logits = np.array([made[i][1] @ w[made[i][0]] + w[-1] for i in held]).reshape(len(held), len(names))
-    return Model(names, idf, w, temperature(logits, labels[held]))
+    heat = temperature(logits, labels[held])
+    del got, made, logits
+    trim()
+    return Model(names, idf, w, heat)
 
 
-def identify(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
-    """``keep`` of each row with lang_pred and score of its text."""
-    spark = docs.sparkSession
+def identify(texts: Column, model: Model, spark: SparkSession) -> Column:
+    """lang_pred and score of each text, as a struct; only the texts go to Python."""
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # its size is that of the feature table
-    rows = docs.select(*keep, docs["text"].cast("string").alias("_text"))
-    kept = rows.drop("_text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                got = [m.predict(t.as_py()) for t in part.column(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*part.schema.names[:-1], "lang_pred", "score"])
+    @F.arrow_udf("lang_pred string, score double")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def scored(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            m = shared.value
+            for column in columns:
+                got = [m.predict(t.as_py()) for t in column]
+                yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang_pred", "score"])
+
+        return tidied(scored)(columns)
 
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return run(texts)
 
 
 def learning_rows(docs: DataFrame, folds: int = 4, out: int = 2) -> DataFrame:
@@ -190,7 +206,8 @@ def learning_rows(docs: DataFrame, folds: int = 4, out: int = 2) -> DataFrame:
 def languages(docs: DataFrame, folds: int = 4, out: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learns from the folds other than ``out``."""
     model = learn(learning_rows(docs, folds, out))
-    return identify(docs, model, docs["doc_id"].cast("long").alias("doc_id"), (fold(docs["doc_id"], folds) == out).alias("held_out"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (fold(docs["doc_id"], folds) == out).alias("held_out"), identify(docs["text"].cast("string"), model, docs.sparkSession).alias("found"))
+    return rows.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -198,7 +215,7 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
     Keeps by position, not by key: the decision travels with its row.
     """
-    model = learn(learning_rows(docs))
-    columns = [docs[c].alias(f"_{i}") for i, c in enumerate(docs.columns)]
-    got = identify(docs, model, *columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return got.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    found = identify(docs["text"].cast("string"), learn(learning_rows(docs)), docs.sparkSession)
+    rows = docs.select(*[docs[c].alias(f"_{i}") for i, c in enumerate(docs.columns)], found.alias("_found"))
+    rows = rows.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least))
+    return rows.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
