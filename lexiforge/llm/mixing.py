@@ -1,28 +1,36 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame functions only.
 
-Documents are shuffled by the hash of their key. Each pass over a document gets a virtual finish time: the words of its
-source up to and with it, over all passes, divided by the source's weight. Serving all sources in the order of finish
-times until the budget is spent gives each source ``min(cap, time * weight)`` words, where the time of the cut is the one
-at which these add up to the budget; a source whose documents may not be repeated further stops at its cap, and what it
-leaves goes to the others by weight.
+Documents are shuffled by the hash of their key and served in packets of at most ``QUANTUM`` words, once for each time a
+document may be taken. A packet's virtual finish time is the number of words of its source up to and with it, over all
+passes, divided by the source's weight. All packets are ordered by finish time and taken until their words add up to the
+budget; the last one is cut there. A source that has served its documents as often as they may be repeated has no
+further packets, so what it leaves goes to the others by weight.
 
-Prefix sums are taken in two steps, over fine ranges of the hash and within each, so no task holds a whole source.
+The order is a range sort in steps: words are summed over ranges of finish times, prefix sums over the ranges tell the
+one that holds the cut, which is split again, and only the packets of its smallest range are sorted. Prefix sums within
+a source are taken in two steps as well, over fine ranges of the hash and within each, so no task holds a whole source.
+The texts are read once; everything else works on a written table of sizes.
 
 Defined cases: a null or blank text has size 0 and is taken with 0 words; a null source is a source of its own, after all
-others; rows that share a key are documents of their own, in the order of their sizes; an empty table gives no rows;
-further columns are ignored by ``mix`` and kept by ``mixed_documents``.
+others; rows that share a key are documents of their own, in the order of their sizes and texts' hashes; an empty table
+gives no rows; further columns are ignored by ``mix`` and kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .work import shared_dir, written
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Hexadecimal digits of the hash that name a range; each source has at most 16 to this power of them.
 RANGE_DIGITS = 3
+#: Words of a packet; ranges of finish times that are told apart in one step.
+QUANTUM, RANGES = 128, 4096
 
 
 def _rank(source: Column) -> Column:
@@ -47,31 +55,111 @@ def targets(sizes: DataFrame, weights: Sequence[float], budget: float, repeats:
     return w.select("s", "source_size", "weight", F.when(F.col("cut").isNull() | (F.col("cut") >= F.col("full_at")), F.col("cap")).otherwise(F.col("cut") * F.col("weight")).alias("target"))
 
 
+@dataclass(frozen=True)
+class Cut:
+    """Where the budget ends: the finish time and source of the last packet, and how many of its words are too many."""
+
+    time: float
+    source: str
+    over: int
+
+
+def _sized(docs: DataFrame, key: str, text: str, source: str, *keep: Column) -> DataFrame:
+    words = F.coalesce(F.regexp_count(docs[text].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), _rank(docs[source].cast("string")).alias("s"), words.alias("size"), F.xxhash64(docs[text].cast("string")).alias("text_hash"), *keep)
+    return rows.withColumn("shuffled", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("part", F.substring("shuffled", 1, RANGE_DIGITS))
+
+
+def _placed(rows: DataFrame, parts: DataFrame, goals: DataFrame) -> DataFrame:
+    """``rows`` with the words of their source before them (start) and what ``goals`` has for it."""
+    before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).join(goals, "s").drop("words")
+    within = Window.partitionBy("s", "part").orderBy("shuffled", "size", "text_hash").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(bases, ["s", "part"]).withColumn("start", F.col("base") + F.sum("size").over(within) - F.col("size")).drop("part", "base", "shuffled", "text_hash")
+
+
+def _packets(placed: DataFrame, repeats: int) -> DataFrame:
+    """s, finish, words of every packet of every pass."""
+    passes = placed.where("size > 0").select("s", "weight", "size", "source_size", "start", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("k"))
+    passes = passes.select("s", "weight", "size", (F.col("start") + F.col("k") * F.col("source_size")).alias("start"), F.explode(F.sequence(F.lit(1), F.ceil(F.col("size") / QUANTUM).cast("int"))).alias("j"))
+    return passes.select("s", _finish(F.col("j")).alias("finish"), F.least(F.lit(QUANTUM), F.col("size") - (F.col("j") - 1) * QUANTUM).alias("words"))
+
+
+def _finish(j: Column) -> Column:
+    """When the j-th packet of a pass that begins at ``start`` is served."""
+    return (F.col("start") + F.least(j.cast("long") * QUANTUM, F.col("size"))) / F.col("weight")
+
+
+def _cut(packets: DataFrame, budget: int, longest: float) -> Cut | None:
+    """The packet at which the words, in the order of finish times, reach the budget; None if they don't. ``longest``: the last finish time."""
+    low, high, before = 0.0, longest, 0
+    for _ in range(2):
+        own = packets.where(F.col("finish").between(low, high))
+        at = F.least(F.lit(RANGES - 1), F.floor((F.col("finish") - low) / (high - low) * RANGES)).cast("int")
+        sums = own.groupBy(at.alias("r")).agg(F.sum("words").alias("words"), F.min("finish").alias("first"), F.max("finish").alias("last"))
+        upto = sums.withColumn("upto", F.sum("words").over(Window.partitionBy(F.lit(0)).orderBy("r")))  # a row a range
+        row = upto.where(F.col("upto") + before >= budget).orderBy("r").first()
+        if row is None:
+            return None
+        before += row["upto"] - row["words"]
+        low, high = row["first"], row["last"]
+        if low == high:
+            break
+    own = packets.where(F.col("finish").between(low, high))
+    ordered = own.withColumn("upto", F.sum("words").over(Window.partitionBy(F.lit(0)).orderBy("finish", "s").rowsBetween(Window.unboundedPreceding, 0)))
+    row = ordered.where(F.col("upto") + before >= budget).orderBy("finish", "s").first()
+    return Cut(row["finish"], row["s"], int(row["upto"] + before - budget))
+
+
+def _taken(cut: Cut | None, repeats: int) -> Column:
+    """Words that the mix takes of a document: those of its packets up to the cut."""
+    if cut is None:
+        return F.col("size") * repeats
+    total = F.lit(0).cast("long")
+    for k in range(repeats):
+        start = F.col("start") + F.col("source_size") * k
+        first, last = start / F.col("weight"), (start + F.col("size")) / F.col("weight")
+        served = lambda t: (t < cut.time) | ((t == cut.time) & (F.col("s") <= cut.source))
+        each = F.sequence(F.lit(1), F.ceil(F.col("size") / QUANTUM).cast("int"))
+        some = F.size(F.filter(each, lambda j: served((start + F.least(j.cast("long") * QUANTUM, F.col("size"))) / F.col("weight")))) * QUANTUM  # noqa: B023
+        words = F.when((F.col("size") == 0) | (first >= cut.time), F.lit(0).cast("long")).when(served(last), F.col("size")).otherwise(some.cast("long"))
+        total = total + words - F.when((F.col("s") == cut.source) & (F.col("size") > 0) & (first < cut.time) & (last >= cut.time), F.lit(cut.over)).otherwise(0)
+    return total.cast("long")
+
+
+def _planned(docs: DataFrame, weights: Sequence[float], budget: float, repeats: int, key: str, text: str, source: str) -> tuple[DataFrame, DataFrame, DataFrame, Cut | None]:
+    """Placed rows, the words of each range of a source, the sources' goals, and the cut."""
+    out = shared_dir(docs.sparkSession)
+    rows = written(_sized(docs, key, text, source), f"{out}/sizes")
+    parts = written(rows.groupBy("s", "part").agg(F.sum("size").alias("words")), f"{out}/parts")
+    goals = written(targets(parts.groupBy("s").agg(F.sum("words").alias("source_size")), weights, budget, repeats), f"{out}/goals")
+    placed = written(_placed(rows, parts, goals), f"{out}/placed")
+    whole = goals.agg(F.floor(F.sum("source_size") * F.lit(float(budget))).alias("budget"), F.max(F.col("source_size") * repeats / F.col("weight")).alias("longest")).first()
+    cut = _cut(_packets(placed, repeats), int(whole["budget"]), float(whole["longest"])) if whole["longest"] else None
+    return placed, parts, goals, cut
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, repeats: int = 2, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """A row for each document, in the order of the mix: doc_id, size, source_size, target, taken, finish.
 
     ``budget`` is the mix's share of all words, ``repeats`` how often a document may be taken, ``finish`` the virtual
-    finish time of the first pass over it. The last document of a source is cut where its target ends.
+    finish time of the first pass over it. ``target`` is what the source's weight and cap give it in the end, which the
+    words taken meet but for the packets in service at the cut.
     """
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), _rank(docs[source].cast("string")).alias("s"), F.coalesce(F.regexp_count(docs[text].cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows = rows.withColumn("shuffled", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("part", F.substring("shuffled", 1, RANGE_DIGITS))
-    parts = rows.groupBy("s", "part").agg(F.sum("size").alias("words"))
-    goals = targets(parts.groupBy("s").agg(F.sum("words").alias("source_size")), weights, budget, repeats)
-    upto = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("base", F.coalesce(F.sum("words").over(upto), F.lit(0))).join(goals, "s").drop("words")
-    within = Window.partitionBy("s", "part").orderBy("shuffled", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.join(parts, ["s", "part"]).withColumn("upto", F.col("base") + F.sum("size").over(within))
-    left = F.floor(F.col("target") + F.lit(1e-6)) - (F.col("upto") - F.col("size"))
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), left - F.col("source_size") * F.lit(k))) for k in range(1, repeats)), F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    placed = placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("upto") / F.col("weight")).alias("finish"))
+    placed, _, _, cut = _planned(docs, weights, budget, repeats, key, text, source)
+    placed = placed.select("doc_id", "size", "source_size", "target", _taken(cut, repeats).alias("taken"), ((F.col("start") + F.col("size")) / F.col("weight")).alias("finish"))
     return placed.orderBy("finish", "doc_id")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), budget: float = 1.5, repeats: int = 2) -> DataFrame:
     """``docs`` as the mix takes them: a row for each pass that takes at least half of a document, with all its columns.
 
-    Documents without words are in no source's target and are left out.
+    Documents without words are in no source's target and are left out. The decision is made on each row as it lies, so
+    rows that share a key each have their own.
     """
-    plan = mix(docs, weights, budget, repeats).where("size > 0").select(F.col("doc_id").alias("_mix_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_mix_n"))
-    plan = plan.groupBy("_mix_id").agg(F.max("_mix_n").alias("_mix_n")).where("_mix_n > 0")
-    return docs.join(plan, docs["doc_id"].eqNullSafe(plan["_mix_id"])).withColumn("_mix_pass", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).drop("_mix_id", "_mix_n", "_mix_pass")
+    _, parts, goals, cut = _planned(docs, weights, budget, repeats, "doc_id", "text", "source")
+    rows = _sized(docs, "doc_id", "text", "source", *[docs[c].alias(f"_{i}") for i, c in enumerate(docs.columns)])
+    placed = _placed(rows.where("size > 0"), parts, goals)
+    times = F.round(_taken(cut, repeats) / F.col("size")).cast("int")
+    taken = placed.withColumn("times", times).where("times > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return taken.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])

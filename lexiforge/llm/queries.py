@@ -62,14 +62,19 @@ timed AS (
   FROM weighted WINDOW before AS (ORDER BY cap / weight, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cut AS (SELECT max(t) AS c FROM timed WHERE t <= full_at),
 goals AS (
-  SELECT s, source_size, CASE WHEN c IS NULL OR c >= full_at THEN cap ELSE c * weight END AS target FROM timed, cut),
+  SELECT s, source_size, weight, CASE WHEN c IS NULL OR c >= full_at THEN cap ELSE c * weight END AS target FROM timed, cut),
 placed AS (
-  SELECT doc_id, size, source_size, target,
-         floor(target + 1e-6) - (sum(size) OVER (PARTITION BY s ORDER BY shuffled, size ROWS UNBOUNDED PRECEDING) - size) AS remaining
-  FROM docs JOIN goals USING (s))
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, remaining)) + greatest(0, least(size, remaining - source_size)) AS BIGINT) AS taken
-FROM placed
+  SELECT row_number() OVER () AS i, doc_id, s, size, source_size, target, weight,
+         sum(size) OVER (PARTITION BY s ORDER BY shuffled, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM docs JOIN goals USING (s)),
+packets AS (
+  SELECT i, s, (start + k * source_size + least(j * 128, size)) / weight AS finish, least(128, size - (j - 1) * 128) AS words
+  FROM (SELECT *, unnest(range(1, CAST(ceil(size / 128.0::DOUBLE) AS BIGINT) + 1)) AS j FROM placed, (VALUES (0), (1)) p(k) WHERE size > 0)),
+served AS (
+  SELECT i, greatest(0, least(words, (SELECT floor(sum(source_size) * 1.5::DOUBLE) FROM goals) - (sum(words) OVER (ORDER BY finish, s ROWS UNBOUNDED PRECEDING) - words))) AS words
+  FROM packets)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM placed LEFT JOIN (SELECT i, sum(words) AS taken FROM served GROUP BY i) USING (i)
 """
 
 
