@@ -11,9 +11,10 @@ every vector is indexed. Buckets aren't capped: a full one is cut into blocks of
 blocks is compared by itself. Queries whose buckets hold fewer than k candidates though the table has more are compared
 with every vector, in blocks as well.
 
-Defined cases: vectors that are null, empty, zero, of another length than most, or hold a null or non-finite component
-take no part, nor do rows without an id; rows that share an id are the same candidate (the best score counts) and the
-same query (one of them is asked); ties go to the smaller id; an empty table gives no rows; columns other than the id
+Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do rows
+without an id; shorter vectors count as if zeros followed up to the longest one's length; rows that share an id count as
+one vector whose product with another is the best among their rows; a product that isn't a number ranks as the least,
+one beyond the doubles as infinite; ties go to the smaller id; an empty table gives no rows; columns other than the id
 and the vector aren't read.
 """
 
@@ -27,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .work import shared_dir, ship, written
+from .work import shared_dir, ship, tidied, written
 
 SAMPLE, FIT_QUERIES, BLOCK_ROWS, OPEN_ROWS, TASK_ROWS = 6000, 100, 512, 2048, 60_000
 
@@ -36,7 +38,7 @@ SAMPLE, FIT_QUERIES, BLOCK_ROWS, OPEN_ROWS, TASK_ROWS = 6000, 100, 512, 2048, 60
 @dataclass
 class Index:
     dim: int
-    norm: float
+    log_norm: float
     width: float
     probes: int
     tables: int = 6
@@ -51,10 +53,13 @@ class Index:
 
     def lifted(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Unit vectors whose distances order inner products; a query's own length doesn't matter."""
-        n = np.linalg.norm(x, axis=1, keepdims=True)
+        # Scaled by the largest component first, so that no finite vector's length overflows.
+        most = np.abs(x).max(axis=1, keepdims=True)
+        u = x / most
+        n = np.sqrt((u * u).sum(axis=1, keepdims=True))
         if query:
-            return np.hstack([x / n, np.zeros_like(n)])
-        y = x / self.norm
+            return np.hstack([u / n, np.zeros_like(n)])
+        y = u * np.exp(np.log(most) - self.log_norm)
         return np.hstack([y, np.sqrt(np.maximum(0, 1 - (y * y).sum(axis=1, keepdims=True)))])
 
     def places(self, x: np.ndarray) -> np.ndarray:
@@ -95,20 +100,20 @@ def dealt(cells: np.ndarray) -> np.ndarray:
     return np.argsort(turn, kind="stable")
 
 
-def fit(sample: np.ndarray, norm: float, k: int, goal: float = 0.97, each: float = 0.9, share: float = 0.95, widths: tuple[float, ...] = (2.0, 2.5, 3.0, 4.0, 6.0, 12.0, 100.0), most: int = 128) -> Index:
+def fit(sample: np.ndarray, log_norm: float, k: int, goal: float = 0.97, each: float = 0.9, share: float = 0.95, widths: tuple[float, ...] = (2.0, 2.5, 3.0, 4.0, 6.0, 12.0, 100.0), most: int = 128) -> Index:
     """The narrowest cells, and for them the fewest probes, whose recall of the k nearest within the sample reaches ``goal`` on average and ``each`` for a ``share`` of the queries.
 
     The queries are dealt over the narrowest cells of one table, one from each cell, then a second, and so on.
     Widths are in deviations of the sample's projections; probes are powers of two or 1.5 times one, at most ``most``.
-    The last width puts nearly everything into one cell, so some width always reaches the goal.
+    If none reaches the goals, one cell holds everything and all vectors are compared.
     """
-    ix = Index(sample.shape[1], norm, 1.0, 16)
+    ix = Index(sample.shape[1], log_norm, 1.0, 16)
     base = ix.lifted(sample, False)
     spread = float((ix.places(base) - ix.shift).std(axis=1).mean())
     ix.width = max(spread * widths[0], 1e-9)
     chosen = dealt(ix.names(np.floor(ix.places(base)[0]).astype(np.int64)))[:FIT_QUERIES]
     asked = ix.lifted(sample[chosen], True)
-    s = asked[:, :-1] @ sample.T
+    s = asked[:, :-1] @ base[:, :-1].T
     s[np.arange(len(asked)), chosen] = -np.inf
     top = np.argsort(-s, axis=1)[:, : min(k, len(sample) - 1)]
     for width in widths:
@@ -128,12 +133,13 @@ def fit(sample: np.ndarray, norm: float, k: int, goal: float = 0.97, each: float
             if ix.probes == most:
                 break
             ix.probes = ix.probes * 3 // 2 if ix.probes & (ix.probes - 1) == 0 else ix.probes * 4 // 3
+    ix.width, ix.probes, ix.shift = 1e9, 1, np.full_like(ix.shift, 0.5)
     return ix
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best distinct ids, best first, ties to the smaller id."""
-    order = np.lexsort((ids, -scores))
+    order = np.lexsort((ids, -np.where(np.isnan(scores), -np.inf, scores)))
     ids, scores = ids[order], scores[order]
     _, first = np.unique(ids, return_index=True)
     first = np.sort(first)[:k]
@@ -143,27 +149,34 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
 def _compare(found: dict, queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray, np.ndarray], k: int) -> None:
     """Puts the k best rows for each query of a pair of blocks into ``found``."""
     (qid, q), (vid, v) = queries, rows
-    s = q @ v.T
-    s[qid[:, None] == vid[None, :]] = -np.inf
+    own = qid[:, None] == vid[None, :]
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = q @ v.T
+        s[np.isnan(s)] = -np.inf
+        # Products in one go differ from those row by row in the last places only.
+        slack = 1e-14 * q.shape[1] * np.sqrt((q * q).sum(axis=1)) * np.sqrt((v * v).sum(axis=1).max())
+    s[own] = -np.inf
     if s.shape[1] > k:
         cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-        keep = s >= (cut - 1e-9 * np.maximum(1, np.abs(cut)))[:, None]
+        with np.errstate(invalid="ignore"):
+            low = np.where(np.isfinite(cut), cut - slack, cut)
+        keep = (s >= low[:, None]) & ~own
     else:
-        keep = np.ones_like(s, bool)
-    keep &= s > -np.inf
+        keep = ~own
     for i in range(len(qid)):
         at = np.flatnonzero(keep[i])
         if len(at):
-            ids, exact = vid[at], (v[at] * q[i]).sum(axis=1)
+            with np.errstate(over="ignore", invalid="ignore"):
+                ids, exact = vid[at], (v[at] * q[i]).sum(axis=1)
             if (old := found.get(qid[i])) is not None:
                 ids, exact = np.concatenate([old[0], ids]), np.concatenate([old[1], exact])
             found[qid[i]] = best(ids, exact, k)
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+def _matrix(column: pa.Array, dim: int, kind: str) -> np.ndarray:
     raw = column.cast(pa.large_binary())
     offsets = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, raw.offset * 8)
-    return np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float64).reshape(-1, dim)
+    return np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).astype(np.float64).reshape(-1, dim)
 
 
 def _numbers(column: pa.Array, dim: int) -> np.ndarray:
@@ -175,17 +188,23 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
     spark = table.sparkSession
     ship(spark)
-    rows = table.select(table[key].cast("long").alias("id"), table[vector].cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    # Single floats travel as such; all products are of doubles.
+    single = table.schema[vector].dataType == ArrayType(FloatType(), True) or table.schema[vector].dataType == ArrayType(FloatType(), False)
+    kind, element = ("<f4", "float") if single else ("<f8", "double")
+    rows = table.select(table[key].cast("long").alias("id"), table[vector].cast(f"array<{element}>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.coalesce(fine, F.lit(False)))
-    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).orderBy(F.desc("n"), F.desc("d")).first()
+    most = F.array_max(F.transform("v", F.abs)).cast("double")
+    length = F.log(most) + F.log(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) / 2
+    whole = rows.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("d"), F.max(length).alias("length")).first()
     schema = "query_id long, rank int, vec_id long, score double"
-    if lengths is None:
+    if not whole["n"]:
         return spark.createDataFrame([], schema)
-    dim, n = lengths["d"], lengths["n"]
-    rows = rows.where(F.size("v") == dim)
-    sample = rows.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(SAMPLE).toArrow()
-    index = fit(_numbers(sample.column("v").combine_chunks(), dim), float(np.sqrt(lengths["most"])), k)
+    dim, n = whole["d"], whole["n"]
+    if whole["least"] < dim:
+        rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast(element), dim - F.size("v"))))
+    sample = rows.orderBy(F.xxhash64("id", F.lit(3)), "id", F.xxhash64("v")).limit(SAMPLE).toArrow()
+    index = fit(_numbers(sample.column("v").combine_chunks(), dim), whole["length"], k)
     kept = "side boolean, t int, b long, id long, v binary"
 
     def hashed(asks: bool, light: bool):
@@ -196,7 +215,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
                     x = _numbers(part.column(1), dim)
                     ids = part.column(0).to_numpy()
                     place = index.places(index.lifted(x, asks))
-                    raw = np.array([r.tobytes() for r in x], dtype=object)
+                    raw = np.array([r.tobytes() for r in x.astype(kind)], dtype=object)
                     for t in range(index.tables):
                         if asks:
                             names = [index.names(index.visits(place[t, i])) for i in range(len(ids))]
@@ -212,7 +231,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x, m = _numbers(batch.column(1), dim), batch.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, asks)), pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int64)), batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["side", "t", "b", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, asks)), pa.array(np.zeros(m, np.int32)), pa.array(np.zeros(m, np.int64)), batch.column(0), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())], names=["side", "t", "b", "id", "v"])
 
         return run
 
@@ -240,7 +259,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
         rest: pa.Table | None = None
 
         def block(part: pa.Table) -> None:
-            side, ids, x = part.column("side").to_numpy(), part.column("id").to_numpy(), _matrix(part.column("v").combine_chunks(), dim)
+            side, ids, x = part.column("side").to_numpy(), part.column("id").to_numpy(), _matrix(part.column("v").combine_chunks(), dim, kind)
             if side.any() and not side.all():
                 _compare(found, (ids[side], x[side]), (ids[~side], x[~side]), k)
 
@@ -258,7 +277,8 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
             yield listed(found)
 
     parts_of = "query_id long, ids array<long>, scores array<double>"
-    groups = max(1, -(-n // (every * 200)))
+    # Many small groups, so that no task has most queries.
+    groups = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (every * 200)))
 
     def merge(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -275,7 +295,7 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
         return parts.withColumn("g", F.pmod(F.xxhash64("query_id"), F.lit(groups))).groupBy("g").applyInArrow(merge, schema)
 
     folder = shared_dir(spark)
-    got = written(merged(placed(vectors, queries, index.tables).mapInArrow(search, parts_of)), f"{folder}/neighbours")
+    got = written(merged(placed(vectors, queries, index.tables).mapInArrow(tidied(search), parts_of)), f"{folder}/neighbours")
     # An id is a candidate once, however many rows share it, and never for itself.
     least = min(k, rows.select("id").distinct().limit(k + 1).count() - 1)
     counts = got.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("found"))
@@ -290,5 +310,5 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
     plain = lambda table, asks: table.mapInArrow(packed(asks), kept)
     left = plain(asked.join(short, "id", "left_semi"), True).withColumn("qp", to(qparts)).withColumn("vp", all_of(vparts))
     every_row = plain(rows, False).withColumn("vp", to(vparts)).withColumn("qp", all_of(qparts))
-    whole = merged(placed(every_row, left, qparts).mapInArrow(search, parts_of))
+    whole = merged(placed(every_row, left, qparts).mapInArrow(tidied(search), parts_of))
     return got.join(short.withColumnRenamed("id", "query_id"), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(whole)
