@@ -8,7 +8,8 @@ each node in it, so no node is kept inside a dropped one.
 The trees are trained on pages that ``training_pages`` makes by rule, with a mark on every node, and are the same at
 each run.
 
-Defined cases: a null or empty page has an empty text; unclosed and stray tags are repaired as browsers do for blocks;
+Defined cases: a null or empty page has an empty text; unclosed and stray tags are repaired as browsers do for blocks; a
+tag or comment that never ends takes all that follows, and nodes nested more than 512 deep stand beside their parents;
 an open head ends at the first tag or text that can't stand in one;
 scripts, styles, form controls, comments and the head never give text; repeated rows are extracted one by one; an empty
 table gives no rows; further columns are kept out of the result.
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .work import ship
+from .work import ship, tidied
 
 # HTML's elements by how they are treated.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt rtc ruby s samp small span strike strong sub sup time tt u var wbr nobr center".split())
@@ -44,8 +45,11 @@ GOOD = "article content post entry main body story text page prose copy read par
 BAD = ["nav menu navbar navigation breadcrumb breadcrumbs crumbs toc pager pagination links", "header masthead top topbar banner logo brand", "footer bottom foot copyright legal colophon", "sidebar side aside widget rail column related recommended more popular trending teaser", "ad ads adv advert advertisement sponsor sponsored promo promotion promoted affiliate dfp", "comment comments reply replies disqus respond discussion thread reader reactions", "cookie consent gdpr notice alert popup modal overlay banner message warning dialog toast privacy", "share social follow subscribe newsletter signup login register form search tools meta byline tags author"]
 _BAD = [frozenset(x.split()) for x in BAD]
 _GOOD = frozenset(GOOD)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_NAMES = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
+#: A tag in the states of HTML's tokenizer: a name, then attributes whose values may be quoted. Nothing is read twice.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++|(?=>)))?+)*+)>""")
+_NAMES = re.compile(r"""(?:class|id|role|itemprop|aria-label)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", re.IGNORECASE)
+#: Nodes deeper than browsers nest them stand beside their parents.
+DEEPEST = 512
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _MARK = re.compile(r'data-y="([01])"')
 
@@ -92,22 +96,36 @@ def parse(source: str | None) -> Page:
             unread -= name in UNREAD
         del stack[upto:], names[upto:]
 
-    at, size = 0, len(source)
+    at = end = 0
+    size = len(source)
     while at < size:
-        m = _TAG.search(source, at)
-        end = m.start() if m else size
+        # The text up to the next tag or comment, and where that ends.
+        end = source.find("<", end)
+        m, stop = None, size
+        if end < 0:
+            end = size
+        else:
+            after = source[end + 1 : end + 2]
+            if after.isascii() and after.isalpha() or after == "/" and source[end + 2 : end + 3].isascii() and source[end + 2 : end + 3].isalpha():
+                m = _TAG.match(source, end)
+                stop = m.end() if m else size  # a tag that never ends takes all that follows
+            elif after in ("!", "?", "/") and after:
+                mark = "-->" if source.startswith("<!--", end) else "]]>" if source.startswith("<![CDATA[", end) else ">"
+                stop = source.find(mark, end + 2)
+                stop = size if stop < 0 else stop + len(mark)
+            else:
+                end += 1
+                continue
         if names[-1] == "head" and end > at and source[at:end].strip(" \t\n\f\r"):
             close(len(names) - 1)
         if end > at and not unread:
             words.append(source[at:end])
             if in_link:
                 linked += end - at
+        at = end = stop
         if not m:
-            break
-        at = m.end()
-        name = m[2]
-        if name is None:
             continue
+        name = m[2]
         name = name.lower()
         if names[-1] == "head" and (name in ("body", "html", "br") if m[1] else name not in IN_HEAD):
             close(len(names) - 1)
@@ -150,6 +168,8 @@ def parse(source: str | None) -> Page:
                     break
             if low is not None:
                 close(low)
+        if len(stack) > DEEPEST:
+            close(len(names) - 1)
         parents.append(stack[-1])
         depth.append(depth[stack[-1]] + 1)
         tags.append(name)
@@ -158,8 +178,9 @@ def parse(source: str | None) -> Page:
         mark = _MARK.search(m[3]) if "data-y" in m[3] else None
         marks.append(int(mark[1]) if mark else marks[stack[-1]])
         if name in RAW:
-            stop = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(source, at)
-            at = stop.end() if stop else size
+            stop = re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE).search(source, at)
+            stop = source.find(">", stop.end()) if stop else -1
+            at = end = stop + 1 if stop >= 0 else size
             continue
         if m[3].endswith("/") and name in UNREAD:
             continue
@@ -171,9 +192,17 @@ def parse(source: str | None) -> Page:
     return page
 
 
-@lru_cache(maxsize=20_000)
 def _attribute(attr: str) -> tuple[int, ...]:
     """How many good tokens, and how many of each bad group, an attribute string has."""
+    return _short(attr) if len(attr) < 300 else _counted(attr)
+
+
+@lru_cache(maxsize=20_000)
+def _short(attr: str) -> tuple[int, ...]:
+    return _counted(attr)
+
+
+def _counted(attr: str) -> tuple[int, ...]:
     tokens = {t.lower() for v in _NAMES.findall(attr) for t in _TOKEN.findall(v)}
     tokens |= {t[:-1] for t in tokens if t.endswith("s") and len(t) > 3}
     return (len(tokens & _GOOD), *(len(tokens & b) for b in _BAD))
@@ -212,14 +241,15 @@ def features(pages: list[Page]) -> np.ndarray:
     roots = base[:-1]
     is_root = np.zeros(total, bool)
     is_root[roots] = True
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.searchsorted(depth[by_depth], np.arange(1, int(depth.max()) + 2 if total else 1))
+    levels = [by_depth[a:b] for a, b in zip(levels[:-1], levels[1:], strict=True)]  # the roots are the level before
     # From the deepest level up, each node's sums go to its parent.
-    for d in range(int(depth.max()) if total else 0, 0, -1):
-        at = np.flatnonzero((depth == d) & ~is_root)
+    for at in levels[::-1]:
         np.add.at(under, parent[at], under[at])
     bad_tag = _BOILER[tag].astype(np.float64)
     above = np.column_stack([attr, bad_tag])
-    for d in range(1, int(depth.max()) + 1 if total else 0):
-        at = np.flatnonzero((depth == d) & ~is_root)
+    for at in levels:
         above[at] = np.maximum(above[at], above[parent[at]])
     chars = np.maximum(1, under[:, 0])
     whole = np.maximum(1, under[roots, 0])[of]
@@ -438,4 +468,4 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
                 texts = extract(part.column(2).to_pylist(), trees)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidied(run), "page_id long, url string, text string, n_chars long")
