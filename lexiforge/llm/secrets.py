@@ -23,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .work import ship
+from .work import ship, tidied
 
 _CANDIDATE = re.compile(r"[A-Za-z0-9_\-./+=:@~%]{12,}")
-_TRIM = re.compile(r"^(?:[A-Za-z_\-.]{2,24}[=:]+)?[\"'=:./]*(.*?)[\"'.:,]*$", re.DOTALL)
+_NAME = re.compile(r"[A-Za-z_\-.]{2,24}+[=:]++")
+#: Marks that close a value only if it holds what opens them.
+_CLOSING = {")": "(", "]": "[", "}": "{", ">": "<"}
 # A name that ends in a word for a secret, and what assigns it; the quote that follows is kept apart.
 _ASSIGNS = r"(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|credentials?|authorization|bearer|api[_-]?key|(?<![a-z])(?:pass|key|auth))(?:[_-]?(?:key|token|value|hash))?[\"'`\])]{0,3}\s{0,4}(?::=|=>|==?|:|\bis\b|\bwas\b)\s{0,4}"
 _ASSIGNED = re.compile(_ASSIGNS + r"(?:(?P<q>[\"'`])(?P<quoted>(?:(?!(?P=q))[^\n\\]|\\.)++)(?P=q)|(?P<plain>(?:(?![&;,]\w+=)\S)+))", re.IGNORECASE)
@@ -60,20 +62,18 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
     for m in _ASSIGNED.finditer(text):
         a, b = m.span("quoted") if m["q"] else m.span("plain")
         if not m["q"]:
-            while a < b and text[a] in "\"'`":
-                a += 1
-            while a < b and (text[b - 1] in "\"'`.:,;" or text[b - 1] in ")]}>" and "([{<"[")]}>".index(text[b - 1])] not in text[a:b]):
-                b -= 1
+            value = text[a:b].lstrip("\"'`")
+            a = b - len(value)
+            b = a + len(value.rstrip("\"'`.:,;" + "".join(c for c, o in _CLOSING.items() if o not in value)))
         if a < b and (a, b) not in assigned:
             assigned.add((a, b))
             yield a, b
     for m in _CANDIDATE.finditer(text):
-        own = _TRIM.match(m[0])
-        if not own:
-            continue
-        value = own[1]
+        name = _NAME.match(m[0])
+        value = m[0][name.end() if name else 0 :].lstrip("=:./")
+        a = m.end() - len(value)
+        value = value.rstrip(".:")
         if len(value) >= 12 and (any(c.isdigit() for c in value) or (value.lower() != value and value.upper() != value and not value.istitle())):
-            a = m.start() + own.start(1)
             if (a, a + len(value)) not in assigned:
                 yield a, a + len(value)
 
@@ -300,4 +300,4 @@ def scan(docs: DataFrame, least: float = 0.5) -> DataFrame:
                     if len(keep):
                         yield pa.RecordBatch.from_arrays([pa.array([found[j][1] for j in keep], pa.int64()), pa.array([found[j][2] for j in keep], pa.int64()), pa.array([found[j][3] for j in keep], pa.int32()), pa.array(s[keep])], names=["doc_id", "start", "length", "score"])
 
-    return rows.mapInArrow(run, "doc_id long, start long, length int, score double")
+    return rows.mapInArrow(tidied(run), "doc_id long, start long, length int, score double")
