@@ -1,12 +1,14 @@
 """Quality: attention-based multiple-instance learning over the passages of a document.
 
-Every passage of ``WORDS`` words of a text is encoded from its statistics; gated attention weighs the passages, and the
-weighted encoding gives the document's score. Only documents have labels. The network is small and is trained in NumPy
-on about ``each`` labelled documents of either label; all passages of all documents are scored.
+Every passage of ``WORDS`` words of a text is encoded from its statistics and, through a learned projection, from the
+shares of its hashed words and letter trigrams of words; gated attention weighs the passages, and the weighted encoding
+gives the document's score. Only documents have labels. The network is small and is trained in NumPy on about ``each``
+labelled documents of either label; all passages of all documents are scored.
 
 Defined cases: a null, empty or blank text is one passage of zeros and gets the network's score for that; null labels
-are left out; rows that share a doc_id are scored one by one; without labels of both values every score is 0.5 (or the
-only label's share); an empty table gives no rows; columns other than those named aren't read.
+are left out, and so are documents whose labels contradict each other; rows that share a doc_id are scored one by one;
+texts of any length are encoded whole, a word of more than 512 kB as several; without labels of both values every score
+is 0.5 (or the only label's share); an empty table gives no rows; columns other than those named aren't read.
 """
 
 from __future__ import annotations
@@ -16,11 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .learning import fold, sampled, sigmoid
+from .learning import fold, learned_from, marked, sampled, sigmoid
 from .shingles import BLOCK, block_words
-from .work import ship
+from .work import ship, tidied
 
 WORDS, EACH, HIDDEN, ROUNDS = 60, 1200, 16, 250
 #: Classes of bytes whose shares are features.
@@ -31,32 +32,57 @@ for _i, _chars in enumerate(_CLASSES):
 _OF[[32, 9, 11, 12, 13]] = len(_CLASSES)
 _KINDS = len(_CLASSES) + 2
 SIZE = _KINDS + 9
+#: Places of hashed words and their beginnings; passages that are encoded at a time.
+HASHED, _AT_ONCE = 128, 2048
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of a text of any length; blocks end at white space where there is any."""
+    hashes, starts, at = [], [], 0
+    while at < len(raw):
+        end = min(len(raw), at + BLOCK)
+        if end < len(raw):
+            blanks = np.flatnonzero(_OF[raw[at:end]] == len(_CLASSES))
+            end = at + int(blanks[-1]) + 1 if len(blanks) else end
+        h, start = block_words(raw[at:end])
+        hashes.append(h)
+        starts.append(start + at)
+        at = end
+    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _repeated(h: np.ndarray) -> np.ndarray:
+    """Which values occurred before in the sequence."""
+    out = np.ones(len(h), bool)
+    out[np.unique(h, return_index=True)[1]] = False
+    return out
 
 
 def passages(text: str | None) -> np.ndarray:
     """A row of features for each passage; one of zeros for a text without words."""
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    if len(raw) > BLOCK:
-        # Blocks end at a blank near their end, so that passages are whole.
-        parts, at = [], 0
-        while at < len(raw):
-            end = min(len(raw), at + BLOCK)
-            blanks = np.flatnonzero((raw[max(at + 1, end - 4096) : end] == 32)) if end < len(raw) else ()
-            end = max(at + 1, end - 4096) + int(blanks[-1]) if len(blanks) else end
-            parts.append(_block(raw[at:end]))
-            at = end
-        return np.concatenate(parts)
-    return _block(raw)
-
-
-def _block(raw: np.ndarray) -> np.ndarray:
-    h, start = block_words(raw) if len(raw) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    h, start = _words(raw)
     if not len(h):
-        return np.zeros((1, SIZE))
-    n = (len(h) + WORDS - 1) // WORDS
-    of = np.arange(len(h)) // WORDS
+        return np.zeros((1, SIZE + HASHED), np.float32)
+    seen = _repeated(h)
+    again = np.concatenate([[False], _repeated(h[:-1] * np.uint64(3) + h[1:])])
+    same = np.concatenate([[False], h[1:] == h[:-1]])
+    # A passage reaches from its first word to the next one's, the first from the text's begin.
     edge = np.append(start[::WORDS], len(raw))
     edge[0] = 0
+    step = WORDS * _AT_ONCE
+    parts = []
+    for a in range(0, len(h), step):
+        b = min(len(h), a + step)
+        low, high = int(edge[a // WORDS]), int(edge[-(-b // WORDS)])
+        parts.append(_encoded(raw[low:high], edge[a // WORDS : -(-b // WORDS) + 1] - low, h[a:b], start[a:b] - low, seen[a:b], again[a:b], same[a:b]))
+    return np.concatenate(parts)
+
+
+def _encoded(raw: np.ndarray, edge: np.ndarray, h: np.ndarray, start: np.ndarray, seen: np.ndarray, again: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Features of neighbouring passages that begin at ``edge``, with their words' hashes, places and marks."""
+    n = len(edge) - 1
+    of = np.arange(len(h)) // WORDS
     passage = np.repeat(np.arange(n), np.diff(edge))
     share = np.bincount(passage * _KINDS + _OF[raw], minlength=n * _KINDS).reshape(n, _KINDS).astype(np.float64)
     length = np.diff(edge).astype(np.float64)
@@ -66,17 +92,9 @@ def _block(raw: np.ndarray) -> np.ndarray:
     first = raw[start]
     last = raw[np.append(start[1:], len(raw)) - 2] if len(start) > 1 else raw[-1:]
     pairs = np.unique(of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ h, return_index=True)[1]
-    seen = np.ones(len(h))
-    seen[np.unique(h, return_index=True)[1]] = 0
-    two = h[:-1] * np.uint64(3) + h[1:] if len(h) > 1 else h[:0]
-    again = np.zeros(len(h))
-    if len(two):
-        fresh = np.ones(len(two), bool)
-        fresh[np.unique(two, return_index=True)[1]] = False
-        again[1:] = fresh
     extra = [
         np.log(length / size) - 1.8,
-        count(np.append(False, h[1:] == h[:-1])),
+        count(same),
         np.bincount(of[pairs], minlength=n) / size,
         count(seen),
         count(again),
@@ -85,7 +103,13 @@ def _block(raw: np.ndarray) -> np.ndarray:
         count((_OF[last] >= 5) & (_OF[last] <= 8)),
         size / WORDS,
     ]
-    return np.column_stack([share / length[:, None] * 4, *extra])
+    # Hashed words, and the first three bytes of words, in halves of the table.
+    word = of * HASHED + (h & np.uint64(HASHED // 2 - 1)).astype(np.int64)
+    place = start[:, None] + np.arange(3)
+    b = np.where(place < edge[of + 1][:, None], raw[np.minimum(place, len(raw) - 1)], 0).astype(np.int64)
+    begin = of * HASHED + HASHED // 2 + ((b[:, 0] * 961 + b[:, 1] * 31 + b[:, 2]) * 2654435761 >> 8) % (HASHED // 2)
+    hashed = np.bincount(np.concatenate([word, begin]), minlength=n * HASHED).reshape(n, HASHED) / np.sqrt(size)[:, None]
+    return np.column_stack([share / length[:, None] * 4, *extra, hashed]).astype(np.float32)
 
 
 def _forward(x: np.ndarray, row: np.ndarray, n: int, p: dict[str, np.ndarray]) -> tuple:
@@ -101,11 +125,16 @@ def _forward(x: np.ndarray, row: np.ndarray, n: int, p: dict[str, np.ndarray]) -
     return h, t, g, a, z, z @ p["c"] + p["cb"]
 
 
+def standardised(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return np.clip((x - mean.astype(np.float32)) / spread.astype(np.float32), -6, 6)
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
     """Parameters of the network by full-batch Adam on the weighted log loss; features are standardised first."""
     x, row, n = np.concatenate(bags), np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = np.clip((x - mean) / spread, -6, 6)
+    spread[SIZE:] *= np.sqrt(HASHED / SIZE)  # all hashed places together weigh what the statistics do
+    x = standardised(x, mean, spread)
     rng = np.random.Generator(np.random.PCG64(17))
     make = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
     d, k = x.shape[1], HIDDEN
@@ -133,20 +162,27 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> dict[str, np.ndarray]:
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, each: int = EACH) -> dict[str, np.ndarray] | float:
     """Parameters from about ``each`` labelled documents of either label, none of the fold left out; a constant without both labels."""
     ship(docs.sparkSession)
-    marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != out))
-    chosen = sampled(marks, "doc_id", "label", each).dropDuplicates(["doc_id"])
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by the sample's size
+    texts = learned_from(docs, sampled(marked(labels, "quality", folds, out), "doc_id", "label", each))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [passages(t.as_py()).astype(np.float32).ravel() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                x = [passages(t.as_py()).ravel() for t in part.column(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "label", "hash", "x"])
 
-    got = texts.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x array<float>").toArrow().sort_by("doc_id")
+    got = texts.mapInArrow(tidied(run), "doc_id long, label int, hash long, x array<float>").toArrow().sort_by([("doc_id", "ascending"), ("hash", "ascending")])
     y = np.array(got.column("label").to_pylist(), dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
         return 0.5 if len(y) == 0 else float(np.clip(y.mean(), 0.01, 0.99))
-    return fit([x.values.to_numpy().astype(np.float64).reshape(-1, SIZE) for x in got.column("x")], y)
+    return fit([x.values.to_numpy().reshape(-1, SIZE + HASHED) for x in got.column("x")], y)
+
+
+def chances(texts: list[str | None], p: dict[str, np.ndarray]) -> np.ndarray:
+    """The chance of label 1 for each text."""
+    bags = [passages(t) for t in texts]
+    x = standardised(np.concatenate(bags), p["mean"], p["spread"])
+    return sigmoid(_forward(x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags), p)[-1]).astype(np.float64)
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray] | float, folds: int, out: int, cut: float) -> DataFrame:
@@ -157,17 +193,12 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | float, folds: int, out
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                if isinstance(p, float):
-                    s = np.full(part.num_rows, p)
-                else:
-                    bags = [passages(t.as_py()) for t in part.column(2)]
-                    x = np.clip((np.concatenate(bags) - p["mean"]) / p["spread"], -6, 6)
-                    s = sigmoid(_forward(x, np.repeat(np.arange(len(bags)), [len(b) for b in bags]), len(bags), p)[-1])
+            for a in range(0, batch.num_rows, 200):
+                part = batch.slice(a, 200)
+                s = np.full(part.num_rows, p) if isinstance(p, float) else chances([t.as_py() for t in part.column(2)], p)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, out: int = 0, cut: float = 0.3) -> DataFrame:
