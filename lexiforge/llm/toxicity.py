@@ -3,11 +3,13 @@
 A text's features are the hashed words it contains and their first 3 to 6 bytes, each once, so length doesn't dilute
 them. For each training text a counterfactual twin is made: a sentence that mentions a group mentions another one
 instead, or, where the text mentions none, a neutral mention is put in. Besides the log loss, squared differences
-between the scores of twins are penalised, as are absolute and squared weights.
+between the scores of twins are penalised, as are absolute and squared weights. Scores are calibrated by a logistic
+curve, fitted with both labels at equal weight on scores of rows that the scoring model hasn't learned from.
 
-Defined cases: a null or empty text has no features and gets the intercept's score; labels that are null are left out;
-rows that share a doc_id are scored one by one; without labels of both values every score is 0.5 (or the only label's
-share); an empty table gives no rows; columns other than those named aren't read.
+Defined cases: a null or empty text has no features and gets the intercept's score; labels that are null are left out,
+and so are documents whose labels contradict each other; rows that share a doc_id are scored one by one; without labels
+of both values every score is 0.5 (or the only label's share); an empty table gives no rows; columns other than those
+named aren't read.
 """
 
 from __future__ import annotations
@@ -18,11 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .learning import Rows, fold, sampled, sigmoid
+from .learning import Rows, fold, learned_from, marked, sampled, sigmoid
 from .shingles import block_words, mixed
-from .work import ship
+from .work import ship, tidied
 
 SIZE, EACH, ROUNDS = 1 << 17, 1500, 150
 L1, L2, TWINS = 2e-4, 1e-5, 1.0
@@ -121,34 +122,78 @@ def fit(rows: Rows, labels: np.ndarray, more: Rows, less: Rows, size: int = SIZE
     return np.append(w, b)
 
 
+def trained(at: list[np.ndarray], more: list[np.ndarray], less: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Weights of all features, the intercept last, from rows' features, what their twins gain and lose, and labels."""
+    ratio = contrast(Rows(at), y)
+    # Features without contrast have no weight, so only the others take part.
+    used = np.flatnonzero(ratio)
+    place = np.full(SIZE, -1, np.int64)
+    place[used] = np.arange(len(used))
+    kept = [[p[p >= 0] for p in (place[x] for x in rows)] for rows in (at, more, less)]
+    w = fit(*_ordered(kept, ratio[used], y), len(used))
+    out = np.zeros(SIZE + 1)
+    out[used], out[-1] = w[:-1] * ratio[used], w[-1]
+    return out
+
+
+def _ordered(kept: list[list[np.ndarray]], ratio: np.ndarray, y: np.ndarray) -> tuple[Rows, np.ndarray, Rows, Rows]:
+    own, more, less = (Rows(rows, [ratio[x] for x in rows]) for rows in kept)
+    return own, y, more, less
+
+
+def calibration(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of the logistic curve that fits labels best, each label's rows weighing the same in all; (1, 0) if it doesn't rise."""
+    yes, no = y.sum(), len(y) - y.sum()
+    goal = np.where(y == 1, (yes + 1) / (yes + 2), 1 / (no + 2))
+    weight = np.where(y == 1, 0.5 / yes, 0.5 / no)
+    x, beta = np.column_stack([logits, np.ones(len(y))]), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = sigmoid(x @ beta)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (weight * (p - goal)))
+        beta = beta - np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(beta[0]), float(beta[1])) if beta[0] > 0 and np.isfinite(beta).all() else (1.0, 0.0)
+
+
+def fitted(at: list[np.ndarray], more: list[np.ndarray], less: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Calibrated weights: those of all rows, scaled by the curve that fits the scores of each third by the other two."""
+    w, logits, third = trained(at, more, less, y), np.zeros(len(y)), np.arange(len(y)) % 3
+    for k in range(3):
+        own = np.flatnonzero(third != k)
+        if y[own].min() == y[own].max():
+            return w
+        v = trained([at[i] for i in own], [more[i] for i in own], [less[i] for i in own], y[own])
+        for i in np.flatnonzero(third == k):
+            logits[i] = v[at[i]].sum() + v[-1]
+    slope, shift = calibration(logits, y)
+    w = w * slope
+    w[-1] += shift
+    return w
+
+
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, each: int = EACH) -> np.ndarray:
     """Weights from about ``each`` labelled documents of either label, none of the fold left out."""
     ship(docs.sparkSession)
-    marks = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("label")).where(F.col("label").isin(0, 1) & (fold(F.col("doc_id"), folds) != out))
-    chosen = sampled(marks, "doc_id", "label", each).dropDuplicates(["doc_id"])
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # bounded by the sample's size
+    texts = learned_from(docs, sampled(marked(labels, "toxic", folds, out), "doc_id", "label", each))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {"doc_id": [], "label": [], "at": [], "more": [], "less": []}
-            for i, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, other = features(text), features(twin(text or "", i or 0))
-                for name, x in zip(rows, (i, label, own, np.setdiff1d(other, own), np.setdiff1d(own, other)), strict=True):
-                    rows[name].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), pa.array(rows["label"], pa.int32()), *(pa.array(rows[x], pa.list_(pa.int32())) for x in ("at", "more", "less"))], names=list(rows))
-
-    got = texts.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, at array<int>, more array<int>, less array<int>").toArrow().sort_by("doc_id")
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                sides: tuple[list, list, list] = ([], [], [])
+                for i, text in zip(part.column(0).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    own, other = features(text), features(twin(text or "", i or 0))
+                    for side, x in zip(sides, (own, np.setdiff1d(other, own), np.setdiff1d(own, other)), strict=True):
+                        side.append(x)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array(x, pa.list_(pa.int32())) for x in sides)], names=["doc_id", "label", "hash", "at", "more", "less"])
+
+    got = texts.mapInArrow(tidied(run), "doc_id long, label int, hash long, at array<int>, more array<int>, less array<int>").toArrow().sort_by([("doc_id", "ascending"), ("hash", "ascending")])
     y = np.array(got.column("label").to_pylist(), dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
         share = 0.5 if len(y) == 0 else np.clip(y.mean(), 0.01, 0.99)
         return np.append(np.zeros(SIZE), np.log(share / (1 - share)))
-    sparse = [Rows(x.values.to_numpy() for x in got.column(c)) for c in ("at", "more", "less")]
-    ratio = contrast(sparse[0], y)
-    for x in sparse:
-        x.values = ratio[x.places]
-    w = fit(sparse[0], y, *sparse[1:])
-    w[:-1] *= ratio
-    return w
+    return fitted(*([x.values.to_numpy().astype(np.int64) for x in got.column(c)] for c in ("at", "more", "less")), y)
 
 
 def score(docs: DataFrame, weights: np.ndarray, folds: int, out: int, cut: float) -> DataFrame:
@@ -164,7 +209,7 @@ def score(docs: DataFrame, weights: np.ndarray, folds: int, out: int, cut: float
                 s = sigmoid(np.array([w[features(t.as_py())].sum() + w[-1] for t in part.column(2)]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 3, out: int = 1, cut: float = 0.7) -> DataFrame:
