@@ -1,5 +1,6 @@
 import re
 import struct
+import time
 import zlib
 from collections import defaultdict
 
@@ -87,6 +88,38 @@ def test_decontamination_of_short_and_unspaced_items(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(docs_of(spark, rows), bench).collect()) == [21, 26]
 
 
+def test_decontamination_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 600)
+    rng = np.random.Generator(np.random.PCG64(21))
+    word = lambda: "".join(rng.choice(list("ab"), 2))
+    items = [(i // 2, " ".join(word() for _ in range(rng.integers(1, 24)))) for i in range(40)]
+    texts = []
+    for i in range(60):
+        w = [word() for _ in range(rng.integers(0, 30))]
+        if i % 2:
+            own = items[int(rng.integers(40))][1].split()
+            for _ in range(int(rng.integers(0, 4))):
+                own.insert(int(rng.integers(len(own) + 1)), word())
+            w[5:5] = own
+        texts.append((i, " ".join(w), "en", "a"))
+    want = {}
+    for doc, text, *_ in texts:
+        for item, own in items:
+            p, last = own.split(), list(range(len(own.split()) + 1))
+            best = last[-1]
+            for c in text.split():
+                now = [0]
+                for j, x in enumerate(p):
+                    now.append(min(last[j + 1] + 1, now[j] + 1, last[j] + (x != c)))
+                last, best = now, min(best, now[-1])
+            if best <= int(0.2 * len(p)):
+                want[doc, item] = min(best, want.get((doc, item), 99))
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.matches(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want
+    kept = {r["doc_id"] for r in decontaminate.clean(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert kept == {i for i, *_ in texts} - {i for i, _ in want}
+
+
 # 2
 
 
@@ -113,6 +146,24 @@ def test_main_text_without_end_of_head(begin):
     assert htmltext.extract([f"{head}{rest}</html>"], htmltext.trained())[0].endswith(f"{prose(1, 40)}.\n{prose(2, 40)}.")
 
 
+@pytest.mark.parametrize("source, want", [("<p title=it's>one</p><p>two</p>", "one\ntwo"), ('<p class="a>b">one</p>', "one"), ("a < b <3 <p>c", "a < b <3\nc"), ("<p>a<a href=x'y\">b</a></p>", "ab"), ("<p>one<p title='x", "one"), ("<p>a</ p>b<? c>d<!doctype x>e", "abde"), ("<script>1</script x>2", "2")])
+def test_markup_never_gives_text(source, want):
+    assert "\n".join(t for _, t, _ in htmltext.parse(source).blocks) == want
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a ", "<p title='", "<!--", "<", "<title>", "<li>", "</div>"])
+def test_odd_markup_takes_linear_time(part):
+    trees = htmltext.trained()
+    began = time.process_time()
+    htmltext.extract([part * (400_000 // len(part))], trees)
+    assert time.process_time() - began < 10
+
+
+def test_deep_nesting_ends(spark):
+    page = htmltext.parse("<div><blockquote>" * 3000 + "deep")
+    assert max(page.depth) <= htmltext.DEEPEST + 1 and [t for _, t, _ in page.blocks] == ["deep"]
+
+
 def test_main_text_held_out():
     pages = [htmltext.parse(s) for s in htmltext.training_pages(120, seed=1234)]
     odds = htmltext.trained().score(htmltext.features(pages))
@@ -158,6 +209,31 @@ def test_secrets_not_assigned():
         assert spans and (secrets.trained().score(np.array([secrets.features(text, a, b) for a, b in spans])) < 0.5).all(), text
 
 
+@pytest.mark.parametrize("text", ["." * 400_000, "password=" + ")" * 400_000, 'password="' * 40_000, "=" * 400_000])
+def test_odd_candidates_take_linear_time(text):
+    began = time.process_time()
+    list(secrets.candidates(text))
+    assert time.process_time() - began < 5
+
+
+def test_secrets_of_other_making(spark):
+    """Findings that the training generator's rules don't make: keys in code, configuration and prose, and look-alikes."""
+    rng = np.random.Generator(np.random.PCG64(99))
+    some = lambda n, letters: "".join(rng.choice(list(letters), n))
+    mixed = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    rows, want = [], {}
+    for i in range(200):
+        value = some(int(rng.integers(20, 40)), mixed)
+        hidden = [f'export API_TOKEN="{value}"', f"curl -H 'Authorization: Bearer {value}' api", f'{{"secret": "{value}", "n": 1}}', f"the password is {value} as agreed"]
+        plain = [f"commit {some(40, '0123456789abcdef')} was merged", f"see /usr/share/doc/python{i}/changelog.Debian.gz there", f"build id {some(8, '0123456789abcdef')}-1234-4abc-8def-{some(12, '0123456789abcdef')}", "a sentence of HyperTextMarkupLanguage and more"]
+        rows.append((i, (hidden if i % 2 else plain)[i // 2 % 4], "en", "a"))
+        if i % 2:
+            want[i] = (rows[-1][1].index(value), len(value))
+    got = {r["doc_id"]: (r["start"], r["length"]) for r in secrets.scan(docs_of(spark, rows)).collect()}
+    right = sum(got.get(i) == x for i, x in want.items())
+    assert right / len(want) > 0.9 and right / len(got) > 0.9
+
+
 def test_secrets_held_out():
     rows = list(secrets.findings(600, seed=5))
     s = secrets.trained().score(np.array([secrets.features(t, a, b) for t, a, b, _ in rows]))
@@ -172,7 +248,7 @@ def test_neighbours(spark):
     x = rng.normal(size=(1500, 16)).astype(np.float32) * rng.uniform(0.5, 2, (1500, 1)).astype(np.float32)
     x[40] = x[60] = x[61]
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
-    rows += [(2000, None), (2020, []), (2040, [0.0] * 16), (2060, [1.0] * 15 + [None]), (2080, [float("nan")] * 16), (2100, [1.0] * 3), (None, [1.0] * 16)]
+    rows += [(2000, None), (2020, []), (2040, [0.0] * 16), (2060, [1.0] * 15 + [None]), (2080, [float("nan")] * 16), (None, [1.0] * 16)]
     df = spark.createDataFrame([(*r, 5, "q") for r in rows], "vec_id long, embedding array<float>, rank int, score string")
     got = defaultdict(list)
     for r in neighbours.nearest(df, k=10).orderBy("query_id", "rank").collect():
@@ -214,7 +290,7 @@ def test_neighbours_of_few_candidates(spark, monkeypatch):
     rng = np.random.Generator(np.random.PCG64(19))
     x = rng.normal(size=(300, 8))
     monkeypatch.setattr(neighbours, "OPEN_ROWS", 7)
-    monkeypatch.setattr(neighbours, "fit", lambda sample, norm, k: neighbours.Index(sample.shape[1], norm, 0.01, 1))
+    monkeypatch.setattr(neighbours, "fit", lambda sample, log_norm, k: neighbours.Index(sample.shape[1], log_norm, 0.01, 1))
     got = neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist())], "vec_id long, embedding array<double>"), k=10).orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["rank"]) for r in got] == [(q, i) for q in range(0, 300, 20) for i in range(1, 11)]
     for q in range(0, 300, 20):
@@ -223,6 +299,21 @@ def test_neighbours_of_few_candidates(spark, monkeypatch):
         assert [r["vec_id"] for r in got if r["query_id"] == q] == np.argsort(-s)[:10].tolist()
 
 
+def test_neighbours_of_any_finite_vectors(spark):
+    rows = [(0, [1e200, 0.0]), (20, [1e200, 1.0]), (1, [1.0, 5.0]), (2, [3.0]), (0, [0.0, 2.0]), (3, [-1e308, 1e308])]
+    got = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == {0: [(3, float("inf")), (20, float("inf")), (2, 3e200)], 20: [(0, float("inf")), (2, 3e200), (1, 1e200)]}
+
+
+def test_neighbours_without_a_good_width():
+    x = np.random.Generator(np.random.PCG64(5)).normal(size=(400, 24))
+    ix = neighbours.fit(x, float(np.log(np.linalg.norm(x, axis=1).max())), 10, goal=1.1)
+    cells = np.floor(ix.places(ix.lifted(x, False)))
+    assert (cells == cells[:, :1]).all() and (np.floor(ix.places(ix.lifted(x, True))) == cells[:, :1]).all()
+
+
 # 5
 
 
@@ -280,6 +371,21 @@ def test_near_duplicates_edges(spark):
     assert neardup.deduplicated(docs_of(spark, ODD), neardup.Plan(k=3, percent=85)).count() == len(ODD) - 1
 
 
+def test_near_duplicates_of_repeated_ids_and_hot_buckets(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT_LEAST", 2)
+    monkeypatch.setattr(neardup, "HOT_KEYS", 10**9)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 4)
+    base, other = prose(1, 80).split(), prose(2, 80).split()
+    rows = [(i, " ".join([*base[:i], "x", *base[i + 1 :]]), "en", "a") for i in range(10, 40)]
+    rows += [(60, " ".join(other), "en", "a"), (61, " ".join([*other[:-1], "y"]), "en", "a"), (61, " ".join(base), "en", "b"), (62, prose(3, 80), "en", "a")]
+    plan = neardup.Plan(k=3, percent=85)
+    got = sorted((r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(docs_of(spark, rows), plan).collect())
+    assert got == [*((i, 10) for i in range(10, 40)), (60, 10), (61, 10), (61, 10), (62, 62)]
+    twice = [(5, "b c d e f", "en", "z"), (5, "a b c d e", "fr", "a"), (5, "a b c d e", "en", "a"), (7, prose(5, 9), "en", "a")]
+    kept = neardup.deduplicated(docs_of(spark, twice), plan)
+    assert sorted((r["doc_id"], r["text"], r["lang"]) for r in kept.collect()) == [(5, "a b c d e", "en"), (7, prose(5, 9), "en")]
+
+
 def test_components(spark, tmp_path):
     rng = np.random.Generator(np.random.PCG64(2))
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(i, i + 1) for i in range(1000, 1060)]
@@ -322,22 +428,39 @@ def test_token_round_trip(spark, tmp_path):
             own = shard.get(i) if i is not None else None
             if own is not None and i != 5:
                 assert own.tolist() == [*t.encode(text or "", add_special_tokens=False).ids, 2]
-        assert shard.get(987654321) is None
+        assert shard.get(987654321) is None and shard.table is None  # lookups read single blocks and slots
+    assert tokenbin.lookup(manifest, out, 32).tolist() == [*t.encode(rows[-1][1], add_special_tokens=False).ids, 2]
+    assert tokenbin.lookup(manifest, out, 33) is None
     assert tokenbin.token_table(spark, docs_of(spark, []), path).isEmpty()
 
 
-@pytest.mark.parametrize("cap", [1, 4, 12])
-def test_tokens_beyond_the_cache(monkeypatch, cap):
+@pytest.mark.parametrize("known, block", [(1, 50), (12, 400), (1_000_000, 3000)])
+def test_tokens_in_blocks(monkeypatch, known, block):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    monkeypatch.setattr(tokenbin, "CACHE_UNITS", cap)
-    blocks = [["one two three", "four  five six\n\nseven eight nine", "one two ten", "a  b c\n\n d e", "ten one, two"], [None, "", "one  more two", "two three"], [prose(3, 50), "x  " + prose(4, 50), prose(3, 50)]]
+    monkeypatch.setattr(tokenbin, "KNOWN_UNITS", known)
+    monkeypatch.setattr(tokenbin, "BLOCK_BYTES", block)
+    rng = np.random.Generator(np.random.PCG64(40))
+    bits = ["a", "don't", "I'll", "'s", "foo(bar)", "2024-01", "é", "中文字", "עִבְ", "  ", "\n", "\n\n", " \n", "\t\t", "\r\n", "\xa0", "\x85", "　", "…", "&&&", "end.", "\x1c", "\x00", "\x01", "<|endoftext|>", "ǅ", "²", "٣", "🙂", "x" * 60, "'"]
+    texts = [None, "", " ", "\n", "a", " a", "a \n"]
+    texts += ["".join(rng.choice(bits) + (" " if rng.random() < 0.6 else "") for _ in range(rng.integers(1, 60))) for _ in range(300)]
+    texts += [prose(3, 400), "x  " + prose(4, 50), prose(3, 50)]
     t, encoder = Tokenizer.from_file(path), tokenbin.Encoder(path)
-    for texts in blocks:
-        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
-        assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    for _ in range(2):
+        ids, lengths = encoder.encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Some words, and  more.", "", prose(1, 30)]
+    ids, lengths = tokenbin.Encoder(path).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [Tokenizer.from_file(path).encode(x, add_special_tokens=False).ids for x in texts]
 
 
 def test_perfect_hash():
@@ -382,7 +505,8 @@ def test_mixing(spark, budget):
         s = by[r["doc_id"], r["size"]]
         assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(goal[s]) and 0 <= r["taken"] <= 2 * r["size"]
         taken[s] += r["taken"]
-    assert all(abs(taken[s] - goal[s]) <= 1 for s in sizes)
+    assert sum(taken.values()) == min(int(budget * sum(sizes.values())), 2 * sum(sizes.values()))
+    assert all(abs(taken[s] - goal[s]) <= mixing.QUANTUM for s in sizes)
     again = {(r["doc_id"], r["size"], r["taken"]) for r in mixing.mix(df.repartition(5), budget=budget).collect()}
     assert again == {(r["doc_id"], r["size"], r["taken"]) for r in got}
     whole = mixing.mixed_documents(df, budget=budget)
@@ -432,6 +556,42 @@ def test_language(spark):
     assert kept.columns == docs_of(spark, []).columns and kept.where("doc_id < 1000").count() == 150
 
 
+def test_language_of_long_texts(monkeypatch):
+    text = " ".join(["Ein Satz, ΣΑΣ", prose(1, 300), "1 2 3 !!", prose(2, 50, "éßx")])
+    whole = langid.counts(text)
+    for step in (1, 2, 7, 100):
+        monkeypatch.setattr(langid, "_STEP", step)
+        assert (langid.counts(text) == whole).all()
+    monkeypatch.setattr(langid, "_STEP", 1 << 18)
+    assert langid.counts(" 12 !") is None
+    padded = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    padded = re.sub(" +", " ", padded)
+    assert whole.sum() == sum(max(0, len(padded) - n + 1) for n in (1, 2, 3))
+
+
+def test_many_values_of_lang(spark):
+    stems = {"en": "abcdef", "de": "ghijkl"}
+    rows = [(i, prose(i, 20, stems["en" if i % 2 else "de"]), "en" if i % 2 else "de", "a") for i in range(60)] + [(1000 + i, "junk", f"x{i}", "a") for i in range(1500)]
+    got = langid.languages(docs_of(spark, rows)).where("doc_id < 1000 AND held_out").collect()
+    assert got and np.mean([r["lang_pred"] == ("en" if r["doc_id"] % 2 else "de") for r in got]) > 0.9
+
+
+def test_quality_of_long_texts(monkeypatch):
+    text = " ".join([prose(i, 150) + (" again" * 40 if i % 3 else "\nA | b.") for i in range(12)])
+    whole = quality.passages(text)
+    assert len(whole) == -(-len(text.split()) // quality.WORDS)
+    monkeypatch.setattr(quality, "_AT_ONCE", 2)
+    monkeypatch.setattr(quality, "BLOCK", 300)
+    assert np.allclose(quality.passages(text), whole, atol=1e-6)
+
+
+def test_contradicting_labels_are_left_out(spark):
+    docs = docs_of(spark, [(i, prose(i, 20) + (" zz" if i % 2 else ""), "en", "a") for i in range(40)] + [(i, "other text", "de", "b") for i in range(5)])
+    labels = [(i, i % 2) for i in range(40)] + [(3, 0), (4, 1)]
+    runs = [[r["score"] for r in op(docs.repartition(n), spark.createDataFrame(labels, f"doc_id long, {mark} int").repartition(n)).orderBy("doc_id", "score").collect()] for n in (1, 4) for op, mark in ((quality.quality, "quality"), (toxicity.toxicity, "toxic"))]
+    assert np.allclose(runs[0], runs[2]) and np.allclose(runs[1], runs[3])
+
+
 def test_toxicity(spark):
     rows, labels = [], []
     for i in range(300):
@@ -459,6 +619,27 @@ def test_neutral_mentions_count_little(spark):
     assert s[3] - s[0] > 2 * abs(s[1] - s[0])
 
 
+def test_swapped_mentions_change_scores_less_with_the_penalty(monkeypatch):
+    texts = [prose(i, 40) + (" zzbad women" if i % 2 else (" men" if i % 3 else "")) for i in range(240)]
+    y = np.array([float(i % 2) for i in range(240)])
+    own, twins = [toxicity.features(t) for t in texts], [toxicity.features(toxicity.twin(t, i)) for i, t in enumerate(texts)]
+    more, less = [np.setdiff1d(b, a) for a, b in zip(own, twins, strict=True)], [np.setdiff1d(a, b) for a, b in zip(own, twins, strict=True)]
+    flagged = []
+    for penalty in (toxicity.TWINS, 0.0):
+        monkeypatch.setattr(toxicity, "TWINS", penalty)
+        w = toxicity.fitted(own, more, less, y)
+        fresh = [f"{prose(9000 + i, 40)} women" for i in range(100)]  # clean, held out, with a mention
+        flagged.append(np.mean([1 / (1 + np.exp(-(w[toxicity.features(t)].sum() + w[-1]))) for t in fresh]))
+    assert flagged[0] < 0.2 and flagged[0] < flagged[1]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs_of(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     item = prose(50, 40)
