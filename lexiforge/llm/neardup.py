@@ -21,7 +21,7 @@ gives no rows; columns other than doc_id and text aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -141,14 +141,15 @@ def components(spark: SparkSession, edges: DataFrame, path: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
 
 
-def _by_key(rows: DataFrame, table: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """``rows`` with what ``table`` has for their key, a row a key; rows of hot keys, of which there are few, are dealt over ``SALTS`` tasks."""
+def _by_key(rows: DataFrame, table: DataFrame, hot: DataFrame | None, keys: Sequence[str] = ("key",)) -> DataFrame:
+    """``rows`` with what ``table`` has for their keys, a row each; rows of hot keys, of which there are few, are dealt over ``SALTS`` tasks."""
+    keys = list(keys)
     if hot is None:
-        return rows.join(table, "key")
+        return rows.join(table, keys)
     hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     own = F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)
     each = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    return rows.join(hot, "key", "left").withColumn("_salt", own).drop("_hot").join(table.join(hot, "key", "left").withColumn("_salt", each).drop("_hot"), ["key", "_salt"]).drop("_salt")
+    return rows.join(hot, keys, "left").withColumn("_salt", own).drop("_hot").join(table.join(hot, keys, "left").withColumn("_salt", each).drop("_hot"), [*keys, "_salt"]).drop("_salt")
 
 
 def _confirmed(pairs: DataFrame, members: DataFrame, plan: Plan) -> DataFrame:
@@ -201,8 +202,14 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     out = shared_dir(spark)
     rows = pick(docs, doc_id="long", text="string")
     sketch = written(sketches(rows, plan), f"{out}/sketch")
-    groups = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    member = sketch.join(groups, ["s1", "s2", "n"], "left").select("doc_id", "n", "s1", F.coalesce("rep", "doc_id").alias("rep"), "keys")
+    known = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    groups = written(sketch.where(known).groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), f"{out}/groups")
+    # Not more than HOT_KEYS groups, and as many buckets, can have so many members.
+    total = sketch.count()
+    copied = groups.where(F.col("c") > max(HOT_LEAST, -(-total // HOT_KEYS)))
+    copied = None if copied.isEmpty() else copied
+    member = _by_key(sketch.where(known), groups.drop("c"), copied.select("s1", "s2", "n") if copied else None, ("s1", "s2", "n")).select("doc_id", "n", "s1", "rep", "keys")
+    member = member.unionByName(sketch.where(~known).select("doc_id", "n", "s1", F.col("doc_id").alias("rep"), "keys"))
     member = written(member, f"{out}/member")
     reps = member.where("doc_id = rep AND n > 0").select("doc_id", "n", "s1", "keys").dropDuplicates(["doc_id", "s1", "n"])
     # Sets of rows that share a doc_id are one node, whatever group each of them is in.
@@ -211,8 +218,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     banded = reps.select("doc_id", F.explode("keys").alias("key"))
     counts = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("c")).where("c > 1")
     hubs = written(counts, f"{out}/hubs")
-    # Not more than HOT_KEYS buckets can have so many members.
-    least = max(HOT_LEAST, -(-plan.bands * member.count() // HOT_KEYS))
+    least = max(HOT_LEAST, -(-plan.bands * total // HOT_KEYS))
     hot = hubs.where(F.col("c") > least).select("key")
     hot = None if hot.isEmpty() else hot
     # A row for each member of a bucket of two or more; the hub's own rows stay for the second look.
@@ -249,7 +255,12 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:  # noqa:
     found = written(rest.select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).distinct(), f"{out}/rest")
     label = _joined(spark, label, found, f"{out}/all")
     removed(spark, *(f"{out}/{x}" for x in ("sketch", "hubs", "near", "pairs", "sets", "links", "open", "able", "held", "middles-of", "middle", "split", "rest")))
-    result = member.select("doc_id", "n", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    own, label = member.select("doc_id", "n", "rep"), label.withColumnRenamed("node", "rep")
+    if copied is None:
+        result = own.join(label, "rep", "left")
+    else:
+        reps = F.broadcast(copied.select("rep").distinct())
+        result = own.join(reps, "rep", "left_anti").join(label, "rep", "left").unionByName(own.join(reps, "rep", "left_semi").join(F.broadcast(label.join(reps, "rep", "left_semi")), "rep", "left"))
     return result.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("component", "rep")).alias("kept"))
 
 
