@@ -523,7 +523,8 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, out: str) -> DataFrame
     """
     ship(spark)
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = placed.select("shard", "path", "base").repartition("shard")
+    # As many tasks as shards: by their bytes, the manifest's rows would all be read in one.
+    placed = placed.select("shard", "path", "base").repartition(max(1, manifest.count()))
     names = ["doc_id", "start", "n_tokens", "ids_crc32", "shard"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
