@@ -43,10 +43,26 @@ def claim(rows: list[tuple[str, str, int]], generic: frozenset[str] = frozenset(
     return out
 
 
+def deciding(counts: DataFrame, batch: str) -> DataFrame:
+    """Those pairs of a batch that claiming depends on.
+
+    Pairs of at least ``LEAST`` can be dominant. Others only tell whether a source has a second free target: one whose
+    target nobody can claim is enough for that, and where there is none, those whose targets others may claim are needed.
+    """
+    rows, source, target = counts.select(batch, "source_term", "target_term", "cnt"), [batch, "source_term"], [batch, "target_term"]
+    strong = rows.where(F.col("cnt") >= LEAST)
+    weak = rows.where(F.col("cnt") < LEAST).join(strong.select(*source).distinct(), source, "left_semi")
+    weak = weak.join(strong.select(*target).distinct().withColumn("contested", F.lit(True)), target, "left")
+    safe = weak.where("contested IS NULL").groupBy(*source).agg(F.min(F.struct("target_term", "cnt")).alias("x")).select(*source, "x.target_term", "x.cnt")
+    contested = weak.where("contested").join(safe, source, "left_anti").select(rows.columns)
+    return strong.unionByName(safe).unionByName(contested)
+
+
 def learn(counts: DataFrame, batch: str, chinese: bool = False) -> DataFrame:
     """Events of a batch's dominance learning: batch, source_term, target_term, cnt, is_primary, score.
 
-    Claiming is ordered, so each batch, of bounded size by its making, is one group.
+    Claiming is ordered, so each batch, of bounded size by its making, is one group; only pairs that can decide a claim
+    go there.
     """
     generic = frozenset(GENERIC_DOMINANCE) if chinese else frozenset()
     kind = counts.schema[batch].dataType.simpleString()
@@ -55,4 +71,4 @@ def learn(counts: DataFrame, batch: str, chinese: bool = False) -> DataFrame:
         got = claim(list(zip(pdf["source_term"], pdf["target_term"], pdf["cnt"], strict=True)), generic)
         return pd.DataFrame([(key[0], s, t, c, p, PRIMARY if p else ALTERNATIVE) for s, t, c, p in got], columns=[batch, "source_term", "target_term", "cnt", "is_primary", "score"])
 
-    return counts.select(batch, "source_term", "target_term", "cnt").groupBy(batch).applyInPandas(run, f"{batch} {kind}, source_term string, target_term string, cnt long, is_primary boolean, score double")
+    return deciding(counts, batch).groupBy(batch).applyInPandas(run, f"{batch} {kind}, source_term string, target_term string, cnt long, is_primary boolean, score double")

@@ -42,12 +42,13 @@ def losers(names: DataFrame, won: DataFrame, batch: list[str]) -> DataFrame:
     return names.join(won.select(*batch, F.col("source_term").alias("term")).distinct(), [*batch, "term"], "left_anti")
 
 
-def assign_again(rows: list[tuple[str, str, float]], taken: set[str]) -> list[tuple[str, str, float]]:
+def assign_again(rows: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
     """Losers in order take their most similar target that is still free, from 0.5 on."""
     by: dict[str, list[tuple[float, str]]] = {}
     for s, t, x in rows:
         by.setdefault(s, []).append((-x, t))
-    taken, out = set(taken), []
+    taken: set[str] = set()
+    out = []
     for s in sorted(by):
         for x, t in sorted(by[s]):
             if t not in taken and -x >= LEAST_AGAIN:
@@ -58,17 +59,19 @@ def assign_again(rows: list[tuple[str, str, float]], taken: set[str]) -> list[tu
 
 
 def reattribute(claims: DataFrame, won: DataFrame, batch: str) -> DataFrame:
-    """batch, source_term, target_term, similarity for losers that find another target; a batch is one group."""
-    lost = claims.join(won.select(batch, "source_term").distinct(), [batch, "source_term"], "left_anti").select(batch, "source_term", "target_term", "similarity", F.lit(False).alias("won"))
-    rows = lost.unionByName(won.select(batch, "source_term", "target_term", "similarity", F.lit(True).alias("won")))
+    """batch, source_term, target_term, similarity for losers that find another target.
+
+    The choice is ordered, so a batch is one group; only losers' claims on targets that nobody has won go there.
+    """
+    lost = claims.where(F.col("similarity") >= LEAST_AGAIN).join(won.select(batch, "source_term").distinct(), [batch, "source_term"], "left_anti")
+    lost = lost.join(won.select(batch, "target_term"), [batch, "target_term"], "left_anti")
     kind = claims.schema[batch].dataType.simpleString()
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[~pdf["won"]]
-        got = assign_again(list(zip(own["source_term"], own["target_term"], own["similarity"], strict=True)), set(pdf.loc[pdf["won"], "target_term"]))
+        got = assign_again(list(zip(pdf["source_term"], pdf["target_term"], pdf["similarity"], strict=True)))
         return pd.DataFrame([(key[0], *x) for x in got], columns=[batch, "source_term", "target_term", "similarity"])
 
-    return rows.groupBy(batch).applyInPandas(run, f"{batch} {kind}, source_term string, target_term string, similarity double")
+    return lost.select(batch, "source_term", "target_term", "similarity").groupBy(batch).applyInPandas(run, f"{batch} {kind}, source_term string, target_term string, similarity double")
 
 
 def events(won: DataFrame) -> DataFrame:

@@ -218,7 +218,7 @@ dominated AS (SELECT batch, source_term, target_term, most AS cnt, row_number()
 
 @query(f"WITH RECURSIVE {PART}, {CLAIMED.format('counts')} SELECT batch, source_term, target_term, CAST(cnt AS BIGINT) AS cnt, is_primary, CASE WHEN is_primary THEN 5.0::DOUBLE ELSE 4.0::DOUBLE END AS score FROM dominated")
 def dominance_learn(spark: SparkSession, sf: str) -> DataFrame:
-    return dominance.learn(_part_counts(spark, sf), "batch")
+    return dominance.learn(store.cut(_part_counts(spark, sf)), "batch")
 
 
 @query(rf"""WITH {VERSES}, {SOURCE}, {TARGETS},
@@ -274,7 +274,7 @@ again AS (
 
 @query(f"WITH RECURSIVE {PART}, {WON}, {AGAIN} SELECT batch, source_term, target_term, similarity FROM again WHERE hit > 0")
 def loser_reattribution(spark: SparkSession, sf: str) -> DataFrame:
-    claims = _claims(spark, sf)
+    claims = store.cut(_claims(spark, sf))
     return proper_nouns.reattribute(claims, proper_nouns.resolve(claims, ["batch"]), "batch")
 
 

@@ -67,6 +67,15 @@ def test_dominance(spark):
     assert rows(dominance.candidates(df, ["batch"]), "target_term", "rank") == [("天堂", 2), ("天堂门", 1)]
 
 
+def test_deciding_pairs_decide_alike(spark):
+    rng = random.Random(11)
+    made = sorted({(b, f"s{rng.randint(0, 6)}", f"t{rng.randint(0, 9)}"): rng.randint(1, 6) for b in range(30) for _ in range(rng.randint(2, 25))}.items())
+    counts = spark.createDataFrame([(*k, c) for k, c in made], "batch int, source_term string, target_term string, cnt long")
+    want = sorted((b, *x) for b in range(30) for x in dominance.claim([(s, t, c) for (own, s, t), c in made if own == b]))
+    assert rows(dominance.learn(counts, "batch"), "batch", "source_term", "target_term", "cnt", "is_primary") == want
+    assert dominance.deciding(counts, "batch").count() < counts.count()
+
+
 def test_conflicts(spark):
     claims = spark.createDataFrame([(1, "A", "x", 0.9), (1, "B", "x", 0.8), (1, "A", "y", 0.7), (1, "B", "z", 0.6), (1, "C", "x", 0.58), (1, "C", "w", 0.52)], "batch int, source_term string, target_term string, similarity double")
     won = proper_nouns.resolve(claims, ["batch"]).cache()
