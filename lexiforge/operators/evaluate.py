@@ -106,18 +106,43 @@ def gloss(verses: DataFrame, keys: list[str], text: str, best: DataFrame) -> Dat
     return verses.select(*keys).join(glossed, keys, "left").select(*keys, F.coalesce("translation", F.lit("")).alias("translation"))
 
 
-def translated(verses: DataFrame, keys: list[str], text: str, model: Callable[[list[str]], list[str]]) -> DataFrame:
-    """Translations by a plugged-in model, which gets lists of texts; a null text is empty, and keeps so."""
-    rows = verses.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+def plugged(rows: DataFrame, keys: list[str], inputs: list[str], model: Callable[..., list], name: str, kind: str) -> DataFrame:
+    """``name`` for each row by a model that the caller gives: it gets a list for each input column and returns one."""
+    given = rows.select(*keys, *inputs)
+    schema = rows.select(*keys).schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            own = [i for i, t in enumerate(texts) if t]
-            got = dict(zip(own, model([texts[i] for i in own]) if own else [], strict=True))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([got.get(i, "") for i in range(len(texts))], pa.string())], names=[*keys, "translation"])
+            got = model(*(c.to_pylist() for c in batch.columns[len(keys) :])) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(got, {"string": pa.string(), "double": pa.float64()}[kind])], names=[*keys, name])
+
+    return given.mapInArrow(run, schema)
+
+
+def translated(verses: DataFrame, keys: list[str], text: str, model: Callable[[list[str]], list[str]]) -> DataFrame:
+    """Translations by a plugged-in model, which gets the texts that aren't null or empty; the others' are empty."""
 
-    return rows.mapInArrow(run, rows.select(*keys).schema.add("translation", "string"))
+    def run(texts: list[str | None]) -> list[str]:
+        own = [i for i, t in enumerate(texts) if t]
+        got = dict(zip(own, model([texts[i] for i in own]) if own else [], strict=True))
+        return [got.get(i, "") for i in range(len(texts))]
+
+    return plugged(verses, keys, [text], run, "translation", "string")
+
+
+def lines(series: DataFrame, by: str, order: str, value: str, step: int = 10, height: int = 100) -> DataFrame:
+    """A drawing of each metric's values in order, as an SVG line from its least to its greatest value.
+
+    A metric has a value a batch, so one row holds a line.
+    """
+    own = Window.partitionBy(by)
+    low, high = F.min(value).over(own), F.max(value).over(own)
+    y = F.when(high > low, F.round(height * (high - F.col(value)) / (high - low))).otherwise(F.lit(height / 2)).cast("int")
+    placed = series.select(by, F.row_number().over(own.orderBy(order)).alias("_i"), y.alias("_y"))
+    points = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_y"))), lambda p: F.concat_ws(",", ((p["_i"] - 1) * step).cast("string"), p["_y"].cast("string")))
+    drawn = placed.groupBy(by).agg(F.array_join(points, " ").alias("points"), F.count("*").alias("n"))
+    head = F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 '), (F.col("n") * step).cast("string"), F.lit(f' {height}"><polyline fill="none" stroke="black" points="'))
+    return drawn.select(by, F.concat(head, "points", F.lit('"/></svg>')).alias("svg"))
 
 
 def chained(batches: list, tune: Callable[[object, object], tuple[object, dict]], model: object = None) -> tuple[object, list[dict]]:

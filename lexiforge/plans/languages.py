@@ -6,6 +6,8 @@ alphabets that hold the characters which the rules are about.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..operators import dictionary, evaluate, learned, segment
 from ..operators.tokens import chinese_terms, lemmas, tokens
 from ..sources import corpus, dictionaries, store
 from . import learning
-from .catalogue import ENTRIES, KEYS, MATCHED, MATCHES, PERICOPES, SIMS, LIMITS, BREAKS, PACKED, PIECES, SHARED_PIECES, SOURCE, TARGETS, VERSES, WORDS, ACTED, PAIRS, _dictionary, _passages, _read, _verses, query
+from .catalogue import DAILY, ENTRIES, _daily, KEYS, MATCHED, MATCHES, PERICOPES, SIMS, LIMITS, BREAKS, PACKED, PIECES, SHARED_PIECES, SOURCE, TARGETS, VERSES, WORDS, ACTED, PAIRS, _dictionary, _passages, _read, _verses, query
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HAN = "神天地光水人山大小中国王子的了是在就也都又與從於為由"
@@ -391,3 +393,34 @@ def token_speed(spark: SparkSession, sf: str) -> DataFrame:
 def plugged_translation(spark: SparkSession, sf: str) -> DataFrame:
     """Translations by a model that the caller gives; here one that turns texts round."""
     return evaluate.translated(_verses(spark, sf), KEYS, "source_text", lambda texts: [t[::-1] for t in texts])
+
+
+@query(f"WITH {VERSES} SELECT book, verse, round(least(length(source_text), length(target_text)) / greatest(length(source_text), length(target_text)), 6)::DOUBLE AS score FROM verses")
+def plugged_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of translations by a model that the caller gives; here the ratio of lengths."""
+    ratio = lambda a, b: [min(len(x), len(y)) / max(len(x), len(y)) for x, y in zip(a, b, strict=True)]
+    return evaluate.plugged(_verses(spark, sf), KEYS, ["source_text", "target_text"], ratio, "score", "double").withColumn("score", F.round("score", 6))
+
+
+@query("WITH b AS (SELECT user_id AS batch, sum(value) AS s, count(*) AS n FROM events WHERE user_id < 8 GROUP BY user_id) SELECT CAST(batch AS BIGINT) AS batch, CAST(sum(n) OVER (ORDER BY batch) AS BIGINT) AS seen, round(sum(s) OVER (ORDER BY batch) / sum(n) OVER (ORDER BY batch), 6) AS mean FROM b")
+def tuning_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """A model tuned batch by batch, saved and loaded in between; here a running mean."""
+    at, rows = store.folder(spark, "model"), _read(spark, sf, "events").where("user_id < 8")
+    batches = [r["user_id"] for r in rows.select("user_id").distinct().orderBy("user_id").collect()]  # the batches' names, at most eight
+
+    def tune(path: str | None, batch: int) -> tuple[str, dict]:
+        total, seen = json.loads(store.load_model(spark, path)) if path else (0.0, 0)
+        own = rows.where(F.col("user_id") == batch).agg(F.sum("value").alias("s"), F.count("*").alias("n")).first()
+        total, seen = total + own["s"], seen + own["n"]
+        store.save_model(spark, json.dumps([total, seen]).encode(), f"{at}/{batch}")
+        return f"{at}/{batch}", {"batch": batch, "seen": seen, "mean": round(total / seen, 6)}
+
+    _, metrics = evaluate.chained(batches, tune)
+    return spark.createDataFrame([(m["batch"], m["seen"], m["mean"]) for m in metrics], "batch long, seen long, mean double")
+
+
+@query(f"""WITH {DAILY}, placed AS (SELECT metric, row_number() OVER (PARTITION BY metric ORDER BY batch) AS i, CASE WHEN max(value) OVER m > min(value) OVER m THEN CAST(round(100 * (max(value) OVER m - value) / (max(value) OVER m - min(value) OVER m)) AS INTEGER) ELSE 50 END AS y FROM daily WINDOW m AS (PARTITION BY metric))
+SELECT metric, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 ' || count(*) * 10 || ' 100"><polyline fill="none" stroke="black" points="' || string_agg((i - 1) * 10 || ',' || y, ' ' ORDER BY i) || '"/></svg>' AS svg FROM placed GROUP BY metric""")
+def metric_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Each metric's values over the batches, drawn as a line."""
+    return evaluate.lines(_daily(spark, sf), "metric", "batch", "value")

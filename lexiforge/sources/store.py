@@ -17,7 +17,7 @@ def folder(spark: SparkSession, name: str) -> str:
     """A new folder in the checkpoint folder, which driver and executors share; a local one only where all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp()}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -96,6 +96,19 @@ def append_tuning(rows: DataFrame, path: str) -> DataFrame:
     return history_totals(rows.sparkSession.read.schema(rows.schema).parquet(path))
 
 
+def save_model(spark: SparkSession, model: bytes, path: str) -> None:
+    """A model's bytes, whatever made them, where the driver and all executors can read them."""
+    spark.createDataFrame([(bytearray(model),)], "model BINARY").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> bytes | None:
+    """A saved model's bytes, or None where there is none."""
+    try:
+        return bytes(spark.read.schema("model BINARY").parquet(path).first()["model"])
+    except AnalysisException:
+        return None
+
+
 def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
 
