@@ -66,7 +66,7 @@ def target_rules(spark: SparkSession, sf: str) -> DataFrame:
     kinds = _read(spark, sf, "part").select(F.col("p_type").alias("source_term")).distinct()
     lengths = kinds.select("source_term", F.length("source_term").alias("length")).groupBy("length").agg(F.collect_list("source_term").alias("sources"))
     # Only a source's length matters, of which there are few.
-    rules = terms.select(F.explode(F.sequence(F.lit(1), F.lit(20))).alias("length"), t).join(F.broadcast(lengths), "length")
+    rules = lengths.join(terms.select(F.explode(F.sequence(F.lit(1), F.lit(20))).alias("length"), t), "length")
     one = rules.select("sources", t, F.element_at("sources", 1).alias("source_term"))
     counted = one.groupBy("sources").agg(F.count("*").alias("targets"), F.count_if(has_generic_edge(t, GENERIC_DOMINANCE)).alias("generic"), F.count_if(has_generic_edge(t, GENERIC_NAMES)).alias("generic_for_names"), F.count_if(starts_with_liaison(t)).alias("liaison"), F.count_if(expected_length(w, t)).alias("of_expected_length"))
     return counted.select(F.explode("sources").alias("source_term"), "targets", "generic", "generic_for_names", "liaison", "of_expected_length")

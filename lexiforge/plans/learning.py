@@ -107,7 +107,8 @@ def candidates(verses: DataFrame, languages: Languages) -> DataFrame:
 def run(verses: DataFrame, entries: DataFrame, languages: Languages = Languages(), batch: str | None = None) -> DataFrame:  # noqa: B008
     """All events of a corpus of aligned verses. ``entries``: term, target, pinyin, ord.
 
-    Similarity is learned for Chinese targets only, where words are spelled by sound.
+    Similarity is learned for Chinese targets only, where words are spelled by sound. ``batch`` names a column of numbers
+    that stands for the book; verse numbers must then tell all verses of a batch apart.
     """
     if batch:
         verses = verses.withColumn("book", F.col(batch).cast("long"))
