@@ -1,3 +1,5 @@
+import html
+import pathlib
 import re
 import struct
 import time
@@ -6,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +167,24 @@ def test_deep_nesting_ends(spark):
     assert max(page.depth) <= htmltext.DEEPEST + 1 and [t for _, t, _ in page.blocks] == ["deep"]
 
 
+def test_main_text_of_the_given_pages():
+    """The article's blocks as a plain rule for these pages' layout finds them."""
+    path = pathlib.Path("/root/testdata/sf0.001/pages.parquet")
+    if not path.exists():
+        pytest.skip("no given pages")
+    sources = pq.read_table(path).column("html").to_pylist()
+
+    def plain(source):
+        body = re.search(r"<article[^>]*>(.*)</article>", source, re.DOTALL)[1]
+        body = re.sub(r"<!--.*?-->", "", body, flags=re.DOTALL)
+        blocks = re.split(r"</?(?:p|h\d)\b[^>]*>", re.sub(r"<br\s*/?>", " ", body))
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in blocks]
+        return "\n".join(x for x in blocks if x)
+
+    got = htmltext.extract(sources, htmltext.trained())
+    assert np.mean([g == (plain(s) if s else "") for s, g in zip(sources, got, strict=True)]) > 0.98
+
+
 def test_main_text_held_out():
     pages = [htmltext.parse(s) for s in htmltext.training_pages(120, seed=1234)]
     odds = htmltext.trained().score(htmltext.features(pages))
@@ -585,6 +606,19 @@ def test_quality_of_long_texts(monkeypatch):
     assert np.allclose(quality.passages(text), whole, atol=1e-6)
 
 
+def test_scores_are_the_models_row_by_row(spark):
+    rows = [(i, prose(i, 30, "abcdef" if i % 2 else "ghijkl") + (" zz" if i % 2 else ""), "en" if i % 2 else "de", "a") for i in range(60)] + [(100, None, None, None), (101, "", None, None), (102, "1 2", None, None)]
+    docs = docs_of(spark, rows).repartition(5)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    network, weights, language = quality.learn(docs, labels), toxicity.learn(docs, labels), langid.learn(langid.learning_rows(docs))
+    want = {i: (quality.chances([t], network)[0], 1 / (1 + np.exp(-(weights[toxicity.features(t)].sum() + weights[-1]))), *language.predict(t)) for i, t, *_ in rows}
+    for k, got in enumerate((quality.score(docs, network, 5, 0, 0.3), toxicity.score(docs, weights, 3, 1, 0.7))):
+        assert {r["doc_id"]: r["score"] for r in got.collect()} == pytest.approx({i: x[k] for i, x in want.items()}, abs=1e-5)
+    found = docs.select("doc_id", langid.identify(docs["text"], language, spark).alias("x")).collect()
+    assert {r["doc_id"]: r["x"]["lang_pred"] for r in found} == {i: x[2] for i, x in want.items()}
+    assert {r["doc_id"]: r["x"]["score"] for r in found} == pytest.approx({i: x[3] for i, x in want.items()})
+
+
 def test_contradicting_labels_are_left_out(spark):
     docs = docs_of(spark, [(i, prose(i, 20) + (" zz" if i % 2 else ""), "en", "a") for i in range(40)] + [(i, "other text", "de", "b") for i in range(5)])
     labels = [(i, i % 2) for i in range(40)] + [(3, 0), (4, 1)]
