@@ -195,7 +195,8 @@ def nearest(table: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id",
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.coalesce(fine, F.lit(False)))
     most = F.array_max(F.transform("v", F.abs)).cast("double")
-    length = F.log(most) + F.log(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) / 2
+    # The largest component is bound to a name, as it would be taken anew for every other one.
+    length = F.transform(F.array(most), lambda m: F.log(m) + F.log(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / m) * (x / m))) / 2)[0]
     whole = rows.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("d"), F.max(length).alias("length")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if not whole["n"]:
