@@ -150,7 +150,8 @@ class Encoder:
                 counts[i] = 1
                 parts.append(-len(whole))
                 continue
-            found = (f" {u[:-1]}", u[-1]) if u[:-1].isalpha() and u[-1] not in "'\n" else _PRE.findall(u if _SPACES.match(u[0]) else f" {u}")
+            mark = not u[-1].isalnum() and u[-1] not in "'\n"  # no pre-token of letters reaches over it
+            found = (f" {u[:-1]}", u[-1]) if mark and u[:-1].isalpha() else _PRE.findall(u if _SPACES.match(u[0]) else f" {u}")
             counts[i] = len(found)
             parts += [at.setdefault(f, len(at)) for f in found]
         words = list(at)

@@ -474,6 +474,26 @@ def test_tokens_in_blocks(monkeypatch, known, block):
         assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
+def test_tokens_of_every_script():
+    import unicodedata
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = np.random.Generator(np.random.PCG64(41))
+    known = [chr(c) for c in range(0x20, 0x600) if unicodedata.category(chr(c)) != "Cn"]
+    scripts = [[c for c in known if a <= ord(c) < b] for a, b in ((0x20, 0x7F), (0xA0, 0x250), (0x250, 0x370), (0x370, 0x400), (0x400, 0x530), (0x530, 0x590), (0x590, 0x600))]
+    texts = ["בראשית ברא אלהים את השמים ואת הארץ", " בhe"]
+    texts += [form.replace("_", c) for c in known for form in ("_", " _", "a_", "_a _", "אב_", "__b_.")]
+    while len(texts) < 100_000:
+        pool = scripts[rng.integers(len(scripts))] + list(" \n.,'!-0123½²") + (scripts[rng.integers(len(scripts))] if rng.random() < 0.3 else [])
+        texts.append("".join(rng.choice(pool, rng.integers(1, 24))))
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    ids, lengths = tokenbin.Encoder(path).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+
+
 def test_other_tokenizers_encode_whole_texts():
     import public_tokenizers
     from tokenizers import Tokenizer
