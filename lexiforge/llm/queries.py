@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, htmltext, langid, mixing, neardup, neighbours, quality, secrets, tokenbin, toxicity
+from . import decontaminate, fillin, htmltext, langid, mixing, neardup, neighbours, quality, secrets, tokenbin, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,10 +90,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fillin.digests(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+  SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS one, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS two,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM docs),
+cut AS (
+  SELECT *, substr(t, 1, least(one, two)) AS prefix, substr(t, least(one, two) + 1, abs(one - two)) AS middle, substr(t, greatest(one, two) + 1) AS suffix FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN least(one, two) END AS prefix_chars, CASE WHEN form <> 'plain' THEN abs(one - two) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM cut
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_main_text, op3_secrets, op4_multiprobe, op5_minmax_dedup, op6_tokens, op7_mixing, op8_quality, op9_language, op10_toxicity)
+    found = (op1_decontaminate, op2_main_text, op3_secrets, op4_multiprobe, op5_minmax_dedup, op6_tokens, op7_mixing, op8_quality, op9_language, op10_toxicity, op13_fill_in_middle)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL}
+    return {"op7_mixing": OP7_SQL, "op13_fill_in_middle": OP13_SQL}
