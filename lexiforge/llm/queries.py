@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fillin, htmltext, langid, mixing, neardup, neighbours, quality, secrets, tokenbin, toxicity
+from . import decontaminate, fillin, htmltext, langid, mixing, neardup, neighbours, quality, secrets, simhash, tokenbin, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fillin.digests(_table(spark, sf_dir, "documents"))
 
@@ -113,7 +117,7 @@ FROM cut
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_main_text, op3_secrets, op4_multiprobe, op5_minmax_dedup, op6_tokens, op7_mixing, op8_quality, op9_language, op10_toxicity, op13_fill_in_middle)
+    found = (op1_decontaminate, op2_main_text, op3_secrets, op4_multiprobe, op5_minmax_dedup, op6_tokens, op7_mixing, op8_quality, op9_language, op10_toxicity, op12_simhash, op13_fill_in_middle)
     return {f.__name__: f for f in found}
 
 
