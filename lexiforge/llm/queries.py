@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fillin, htmltext, langid, mixing, neardup, neighbours, quality, secrets, simhash, tokenbin, toxicity
+from . import decontaminate, fillin, htmltext, langid, mixing, neardup, neighbours, quality, secrets, simhash, tokenbin, toxicity, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,45 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_table(spark, sf_dir, "documents"))
+
+
+#: CRC-32 byte by byte with the table of its reflected polynomial, near words by what is left without one character.
+OP11_SQL = """
+WITH RECURSIVE bits(b, c, k) AS (
+  SELECT b, b, 0 FROM range(256) r(b)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(CAST(c AS BIGINT) ORDER BY b) AS t FROM bits WHERE k = 8),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS named, run, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{C0}-\\x{FF}]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (
+  SELECT run, n, flatten(list_transform(string_split(named, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END)) AS u FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(u, lambda x: CAST(x AS BIGINT))), lambda a, x: xor(a // 256, t[xor(a % 256, x) + 1])), 4294967295) AS h FROM bytes, crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(neg := -m, near := near)) AS b FROM near GROUP BY word),
+formed AS (
+  SELECT word, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, CASE WHEN -b.neg >= 10 * n THEN b.near END AS form, CASE WHEN -b.neg >= 10 * n THEN -b.neg END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain(word, top, k) AS (
+  SELECT word, word, 0 FROM formed
+  UNION ALL SELECT c.word, f.form, k + 1 FROM chain c JOIN formed f ON f.word = c.top WHERE f.form IS NOT NULL)
+SELECT word, form, arg_max(top, k) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n
+FROM formed JOIN chain USING (word) GROUP BY word, form
+"""
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -117,9 +156,9 @@ FROM cut
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_main_text, op3_secrets, op4_multiprobe, op5_minmax_dedup, op6_tokens, op7_mixing, op8_quality, op9_language, op10_toxicity, op12_simhash, op13_fill_in_middle)
+    found = (op1_decontaminate, op2_main_text, op3_secrets, op4_multiprobe, op5_minmax_dedup, op6_tokens, op7_mixing, op8_quality, op9_language, op10_toxicity, op11_spelling_variants, op12_simhash, op13_fill_in_middle)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": OP7_SQL, "op13_fill_in_middle": OP13_SQL}
+    return {"op7_mixing": OP7_SQL, "op11_spelling_variants": OP11_SQL, "op13_fill_in_middle": OP13_SQL}

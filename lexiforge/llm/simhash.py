@@ -33,13 +33,13 @@ from pyspark.sql import functions as F
 
 from .neardup import components
 from .shingles import mixed
-from .work import pick, removed, shared_dir, ship, tidied, written
+from .work import dealt, pick, removed, shared_dir, ship, tidied, written
 
 SEED, PIVOTS = 42, 24
 #: Bytes of text read at a time; members of a block; pairs compared at a time.
 PIECE, BLOCK_ROWS, PAIRS = 1 << 20, 1024, 1 << 20
 #: Unrelated fingerprints that one may meet on average; keys with at least so many members, of which there are few, are dealt over tasks.
-MEETINGS, HOT_KEYS, HOT_LEAST, SALTS = 8, 20_000, 500, 64
+MEETINGS, HOT_KEYS, HOT_LEAST = 8, 20_000, 500
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _EDGE = re.compile(rb"[\t-\r ]")
 _REFERENCES = np.random.Generator(np.random.PCG64(64_221)).integers(0, 2**64, PIVOTS, dtype=np.uint64)
@@ -207,14 +207,6 @@ def _cells(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     return run
 
 
-def _by_key(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, spread: str) -> DataFrame:
-    """``rows`` with what ``table`` has for their keys, a row each; rows of hot keys, of which there are few, are dealt over ``SALTS`` tasks."""
-    hot = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
-    own = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)
-    each = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    return rows.join(hot, key, "left").withColumn("_salt", own).drop("_hot").join(table.join(hot, key, "left").withColumn("_salt", each).drop("_hot"), [key, "_salt"]).drop("_salt")
-
-
 def links(nodes: DataFrame, more: DataFrame, out: str, bits: int = 3) -> DataFrame:
     """(node, component) of fingerprints (``nodes``: fp, c documents) that link with others, or by ``more`` (a, b)."""
     spark = nodes.sparkSession
@@ -234,7 +226,7 @@ def links(nodes: DataFrame, more: DataFrame, out: str, bits: int = 3) -> DataFra
     hubs = written(hubs.select("key", F.col("top.fp").alias("hub"), "members"), f"{out}/hubs")
     # Not more than HOT_KEYS keys can have so many members.
     hot = hubs.where(F.col("members") > max(HOT_LEAST, -(-tables * total // HOT_KEYS)))
-    near = written(_by_key(banded.select("key", "fp"), hubs, hot, "key", "fp"), f"{out}/near")
+    near = written(dealt(banded.select("key", "fp"), hubs, hot, "key", "fp"), f"{out}/near")
     stars = near.where("fp <> hub").select("hub", "fp").distinct().mapInArrow(tidied(_stars(bits)), "a long, b long")
     label = components(spark, stars.unionByName(more), f"{out}/stars")
 
@@ -245,7 +237,7 @@ def links(nodes: DataFrame, more: DataFrame, out: str, bits: int = 3) -> DataFra
     held = written(held, f"{out}/held")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK_ROWS).cast("int")
     opened = written(held.where("outside").groupBy("key").agg(F.count("*").alias("left")).select("key", blocks("left").alias("rows")), f"{out}/open")
-    split = _by_key(held, opened, hot, "key", "fp").withColumn("cols", blocks("members"))
+    split = dealt(held, opened, hot, "key", "fp").withColumn("cols", blocks("members"))
     part, each = lambda n: F.pmod(F.xxhash64("fp", F.lit(5)), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = split.where("outside").withColumn("i", part("rows")).withColumn("j", each("cols")).withColumn("side", F.lit(0))
     every = split.withColumn("j", part("cols")).withColumn("i", each("rows")).withColumn("side", F.lit(1))
@@ -277,5 +269,5 @@ def near_duplicates(docs: DataFrame, k: int = 3, bits: int = 3) -> DataFrame:
     own = written(own.select("fp", "c", F.coalesce("component_id", "least").alias("component_id")), f"{out}/own")
     copied = own.where(F.col("c") > max(HOT_LEAST, -(-prints.count() // HOT_KEYS)))
     removed(spark, *(f"{out}/{x}" for x in ("nodes", "ties")))
-    found = _by_key(known, own.drop("c"), copied, "fp", "doc_id").unionByName(prints.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long")))
+    found = dealt(known, own.drop("c"), copied, "fp", "doc_id").unionByName(prints.where("doc_id IS NULL").withColumn("component_id", F.lit(None).cast("long")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

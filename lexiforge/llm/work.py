@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-__all__ = ["pick", "removed", "shared_dir", "ship", "tidied", "trim", "written"]
+__all__ = ["dealt", "pick", "removed", "shared_dir", "ship", "tidied", "trim", "written"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +51,15 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[name].cast(kind).alias(name) for name, kind in columns.items()])
 
 
+def dealt(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, spread: str, salts: int = 64) -> DataFrame:
+    """``rows`` with what ``table`` has for their keys, a row each; rows of ``hot`` keys, of which the caller knows that there are few, are dealt by ``spread`` over ``salts`` tasks."""
+    hot = F.broadcast(hot.select(key).withColumn("_hot", F.lit(True)))
+    own = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    each = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    salted = rows.join(hot, key, "left").withColumn("_salt", own).drop("_hot")
+    return salted.join(table.join(hot, key, "left").withColumn("_salt", each).drop("_hot"), [key, "_salt"]).drop("_salt")
+
+
 def trim() -> None:
     """Gives free memory of this process back."""
     gc.collect()
