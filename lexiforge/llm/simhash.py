@@ -119,9 +119,9 @@ def survivors(fp: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> tuple[
 
 
 def agreeing(total: int, bits: int) -> int:
-    """How many segments must agree for a fingerprint to meet few unrelated ones of ``total``."""
+    """How many segments, two at least, must agree for a fingerprint to meet few unrelated ones of ``total``: ten keys each up to 40 million, twenty up to 1.7 billion."""
     meets = lambda r: total * comb(bits + r, r) / 2 ** (64 * r / (bits + r))
-    return next((r for r in range(1, 6) if meets(r) <= MEETINGS), 6)
+    return next((r for r in range(2, 6) if meets(r) <= MEETINGS), 6)
 
 
 def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
