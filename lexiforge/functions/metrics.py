@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..shipping import ship
+
 
 def bleu(rows: DataFrame, keys: list[str], hypothesis: str, reference: str, longest: int = 4, smoothing: float = 0.1) -> DataFrame:
     """Sentence BLEU of two columns of token arrays: clipped n-gram precision, a small numerator where nothing matches, 0 without a matching word, brevity penalty."""
@@ -50,8 +52,7 @@ def _harmonic(p: float, r: float) -> float:
 
 
 @F.pandas_udf(DoubleType())
-def rouge_l(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
-    """F-measure of the longest common subsequence of two token arrays; 0 if either is empty."""
+def _rouge_l(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     out = []
     for h, r in zip(hypothesis, reference, strict=True):
         if h is None or r is None or not len(h) or not len(r):
@@ -62,6 +63,12 @@ def rouge_l(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def rouge_l(hypothesis: Column | str, reference: Column | str) -> Column:
+    """F-measure of the longest common subsequence of two token arrays; 0 if either is empty."""
+    ship()
+    return _rouge_l(hypothesis, reference)
+
+
 def exact_meteor(h: list, r: list) -> float:
     """METEOR with exact matches only: recall-weighed mean, less a penalty for scattered matches."""
     places: dict = {}
@@ -77,5 +84,11 @@ def exact_meteor(h: list, r: list) -> float:
 
 
 @F.pandas_udf(DoubleType())
-def meteor(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
+def _meteor(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([exact_meteor(list(h), list(r)) if h is not None and r is not None else 0.0 for h, r in zip(hypothesis, reference, strict=True)], dtype="float64")
+
+
+def meteor(hypothesis: Column | str, reference: Column | str) -> Column:
+    """``exact_meteor`` of two token arrays; 0 where either is null."""
+    ship()
+    return _meteor(hypothesis, reference)

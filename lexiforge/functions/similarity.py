@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..shipping import ship
 from .text import length_factor, position_ratio
 
 # Sounds and what stands for them, in the order in which they are tried.
@@ -100,16 +101,27 @@ def name_similarity(source: str, pinyin: str, language: str) -> float:
 
 
 @F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The matcher's ratio of two texts in lower case; the order of the arguments counts."""
+def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def sequence_ratio(a: Column | str, b: Column | str) -> Column:
+    """The matcher's ratio of two texts in lower case; the order of the arguments counts."""
+    ship()
+    return _sequence_ratio(a, b)
+
+
 @F.pandas_udf(DoubleType())
-def name_score(source: pd.Series, pinyin: pd.Series, language: pd.Series) -> pd.Series:
+def _name_score(source: pd.Series, pinyin: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([name_similarity(s, p, x) if s is not None and p is not None else None for s, p, x in zip(source, pinyin, language, strict=True)], dtype="float64")
 
 
+def name_score(source: Column | str, pinyin: Column | str, language: Column | str) -> Column:
+    """How alike source names and romanised targets sound (``name_similarity``)."""
+    ship()
+    return _name_score(source, pinyin, language)
+
+
 def pieces(c: Column) -> Column:
     """The different runs of two and three characters of a text, as an array."""
     n = F.length(c)

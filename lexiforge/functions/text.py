@@ -12,6 +12,8 @@ LIAISON_FIRST = "子的他憑信為與從在和之了生於而"
 # What a Chinese word may not be, begin or end with, or hold.
 PUNCTUATION = "，。：；！？「」（）、\"…—·"
 EDGE_CHARS, STOP_CHARS = "是就的了又", "的了是在就也都"
+#: Vowel and cantillation marks of Hebrew script.
+HEBREW_MARKS = "[\u0591-\u05BD\u05BF\u05C1\u05C2\u05C4\u05C5\u05C7]"
 #: Unsegmented scripts, whose texts lose their blanks.
 UNSEGMENTED = ("Chinese", "Japanese", "Thai")
 
@@ -25,6 +27,11 @@ def clean_target(c: Column, language: str, compatible: bool = False) -> Column:
     return F.replace(strip(c), F.lit(" "), F.lit("")) if compatible or language in UNSEGMENTED else strip(c)
 
 
+def unmarked(c: Column) -> Column:
+    """Hebrew letters without vowel and cantillation marks."""
+    return F.regexp_replace(c, HEBREW_MARKS, "")
+
+
 def words(c: Column) -> Column:
     """Runs between white space without the non-word characters at their ends; empty ones drop out."""
     return F.regexp_extract_all(c, F.lit(r"(?U)(\w(?:\S*\w)?)"), F.lit(1))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import GENERIC_DOMINANCE, has_generic_edge
+from ..shipping import ship
 
 LEAST, MOST_TIES, PRIMARY, ALTERNATIVE = 4, 9, 5.0, 4.0
 
@@ -66,6 +67,7 @@ def learn(counts: DataFrame, batch: str, chinese: bool = False) -> DataFrame:
     """
     generic = frozenset(GENERIC_DOMINANCE) if chinese else frozenset()
     kind = counts.schema[batch].dataType.simpleString()
+    ship(counts.sparkSession)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got = claim(list(zip(pdf["source_term"], pdf["target_term"], pdf["cnt"], strict=True)), generic)

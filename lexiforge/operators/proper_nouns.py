@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import name_score
 from ..functions.text import GENERIC_NAMES, expected_length, has_generic_edge, is_proper, starts_with_liaison
+from ..shipping import ship
 
 LEAST, LEAST_AGAIN, DEFAULT, WEIGHT = 0.56, 0.5, 0.6, 6.0
 
@@ -66,6 +67,7 @@ def reattribute(claims: DataFrame, won: DataFrame, batch: str) -> DataFrame:
     lost = claims.where(F.col("similarity") >= LEAST_AGAIN).join(won.select(batch, "source_term").distinct(), [batch, "source_term"], "left_anti")
     lost = lost.join(won.select(batch, "target_term"), [batch, "target_term"], "left_anti")
     kind = claims.schema[batch].dataType.simpleString()
+    ship(claims.sparkSession)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got = assign_again(list(zip(pdf["source_term"], pdf["target_term"], pdf["similarity"], strict=True)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import chinese_words, words
+from ..functions.text import chinese_words, unmarked, words
 
 CONTENT = ("NOUN", "VERB", "ADJ", "ADV", "PROPN")
 
@@ -22,6 +22,11 @@ def distinct_terms(rows: DataFrame, keys: list[str], text: str, lower: bool = Tr
     return rows.select(*keys, F.explode(F.array_distinct(F.transform(found, F.lower) if lower else found)).alias("term"))
 
 
+def counted_terms(rows: DataFrame, keys: list[str], text: str, lower: bool = True) -> DataFrame:
+    """keys, each different term and how often it occurs there (``times``)."""
+    return tokens(rows, keys, text, lower).groupBy(*keys, "term").agg(F.count("*").alias("times"))
+
+
 def chinese_terms(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return rows.select(*keys, F.explode(chinese_words(F.col(text))).alias("term"))
 
@@ -30,16 +35,17 @@ def lemmas(found: DataFrame, lexicon: DataFrame | None, stop: DataFrame | None =
     """Tokens replaced by their lemma: content words only, names in their case, others in lower case.
 
     ``lexicon`` has surface, lemma, upos; words that it lacks stay as they are, in lower case, from ``least`` letters on.
+    Hebrew ones lose their marks, so all their spellings with vowels are one term. The word itself stays as ``surface``.
     """
     letters = F.col("term").rlike(r"[֐-׿]" if hebrew else r"^\p{L}+$")
-    rows = found.where(letters)
+    rows = found.where(letters).withColumn("surface", F.col("term"))
     if lexicon is None:
         rows = rows.withColumn("lemma", F.lit(None).cast("string")).withColumn("upos", F.lit(None).cast("string"))
     else:
-        rows = rows.join(lexicon.withColumnRenamed("surface", "term"), "term", "left")
+        rows = rows.join(lexicon, "surface", "left")
     case = F.when(F.col("upos") == "PROPN", F.col("lemma")).otherwise(F.col("lemma") if hebrew else F.lower("lemma"))
     rows = rows.where(F.col("upos").isin(*CONTENT) | (F.col("lemma").isNull() & (F.length("term") >= least)))
-    rows = rows.withColumn("term", F.coalesce(case, F.col("term") if hebrew else F.lower("term")))
+    rows = rows.withColumn("term", F.coalesce(case, unmarked(F.col("term")) if hebrew else F.lower("term")))
     if stop is not None:
         rows = rows.join(stop, "term", "left_anti")
     return rows.drop("lemma")

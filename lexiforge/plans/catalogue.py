@@ -58,7 +58,7 @@ TARGETS = f"""tw AS (SELECT book, verse, {WORDS.format('lower(target_text)')} AS
 targets AS (SELECT DISTINCT book, verse, unnest(w) AS term FROM tw)"""
 ENTRIES = f"""bw AS (SELECT item_id, list_transform({WORDS.format('text')}, lambda x: lower(x)) AS w FROM benchmark),
 bt AS (SELECT item_id, w, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM bw),
-entries AS (SELECT term, w[i + 1] AS target, CAST(min(item_id * 1000000 + i - 1) AS BIGINT) AS ord FROM bt WHERE i < len(w) GROUP BY ALL)"""
+entries AS (SELECT term, w[i + 1] AS target, CAST(min(item_id * 4294967296 + i - 1) AS BIGINT) AS ord FROM bt WHERE i < len(w) GROUP BY ALL)"""
 MATCHES = """found AS (
   SELECT DISTINCT s.book, s.verse, s.pos AS src_pos, s.term AS source_term, e.target AS target_term
   FROM source s JOIN entries e ON e.term IN (lower(s.term), 'to ' || lower(s.term)) JOIN targets t ON t.book = s.book AND t.verse = s.verse AND t.term = e.target),
@@ -401,20 +401,21 @@ def history_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return store.from_json(store.dictionary_json(learned.learned(_events(spark, sf))))
 
 
-#: Conversations in five batches, as a run of all stages sees them.
-RUN = f"""verses AS (
-  SELECT u.conv_id % 5 AS book, CAST(u.conv_id * 1000 + u.turn AS BIGINT) AS verse, {STRIP.format('u.text')} AS source_text, {STRIP.format('a.text')} AS target_text
+#: All stages over conversations, some forty a batch; what languages differ in is left open.
+_RUN = f"""verses AS (
+  SELECT u.conv_id // 40 AS book, CAST(u.conv_id * 4294967296 + u.turn AS BIGINT) AS verse, {STRIP.format('u.text')} AS source_text, {STRIP.format('a.text')} AS target_text
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
   WHERE u.role = 'user' AND a.role = 'assistant' AND length(u.text) > 0 AND length(a.text) > 0),
-{SOURCE}, {TARGETS}, {ENTRIES}, {MATCHES},
+{{SOURCES}}, tw AS (SELECT book, verse, {WORDS.format('lower(target_text)')} AS w FROM verses),
+targets AS (SELECT book, verse, term, count(*) AS times FROM (SELECT book, verse, unnest(w) AS term FROM tw) GROUP BY ALL), {{DICTIONARY}},
 held AS (SELECT DISTINCT book, verse, target_term FROM matches WHERE rank = 1),
 left_source AS (SELECT book, verse, term FROM (SELECT book, verse, term, count(*) AS n FROM source GROUP BY ALL) s WHERE n > 1 OR NOT EXISTS (SELECT 1 FROM matches m WHERE m.book = s.book AND m.verse = s.verse AND m.source_term = s.term)),
-left_target AS (SELECT book, verse, term FROM targets t WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.book = t.book AND h.verse = t.verse AND contains(t.term, h.target_term))),
-counts AS (SELECT s.book AS batch, s.term AS source_term, t.term AS target_term, count(*) AS cnt FROM left_source s JOIN left_target t ON t.book = s.book AND t.verse = s.verse GROUP BY ALL),
+left_target AS (SELECT book, verse, term, times FROM targets t WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.book = t.book AND h.verse = t.verse AND contains(t.term, h.target_term))),
+counts AS (SELECT s.book AS batch, s.term AS source_term, t.term AS target_term, CAST(sum(times) AS BIGINT) AS cnt FROM left_source s JOIN left_target t ON t.book = s.book AND t.verse = s.verse GROUP BY ALL),
 {CLAIMED.format('counts')},
 rest AS (SELECT * FROM counts c WHERE NOT EXISTS (SELECT 1 FROM dominated d WHERE d.batch = c.batch AND d.source_term = c.source_term) AND NOT EXISTS (SELECT 1 FROM dominated d WHERE d.batch = c.batch AND contains(c.target_term, d.target_term))),
-names AS (SELECT book AS batch, term AS source_term, count(*) AS n FROM source WHERE regexp_matches(term, '^\\p{{Lu}}') GROUP BY ALL),
-placed AS (SELECT r.batch, r.source_term, r.target_term, row_number() OVER (PARTITION BY r.batch, r.target_term ORDER BY r.source_term) AS r FROM rest r JOIN names n ON n.batch = r.batch AND n.source_term = r.source_term AND n.n = r.cnt),
+{{NAMES}},
+placed AS (SELECT r.batch, r.source_term, r.target_term, row_number() OVER (PARTITION BY r.batch, r.target_term ORDER BY r.source_term) AS r FROM {{POOL}} r JOIN names n ON n.batch = r.batch AND n.source_term = r.source_term AND n.n = r.cnt),
 events AS (
   {MATCHED}
   UNION ALL
@@ -423,8 +424,19 @@ events AS (
   SELECT {seq_sql('batch', 2, source='source_term', target='target_term')}, 'proper_noun', CAST(batch AS VARCHAR), CAST(batch AS VARCHAR), source_term, target_term, 3.6::DOUBLE, true FROM placed WHERE r = 1)"""
 
 
+NAMES = "names AS (SELECT book AS batch, term AS source_term, count(*) AS n FROM source WHERE regexp_matches(term, '^\\p{Lu}') GROUP BY ALL)"
+
+
+def run_sql(sources: str = SOURCE, entries: str = f"{ENTRIES}, {MATCHES}", names: str = NAMES, pool: str = "rest") -> str:
+    """The SQL of a run, up to its events, for the source terms, dictionary, names and counts of a language."""
+    return _RUN.replace("{SOURCES}", sources).replace("{DICTIONARY}", entries).replace("{NAMES}", names).replace("{POOL}", pool)
+
+
+RUN = run_sql()
+
+
 def _run_verses(spark: SparkSession, sf: str) -> DataFrame:
-    return _verses(spark, sf).select(F.pmod("book", F.lit(5)).alias("batch"), (F.col("book") * 1000 + F.col("verse")).alias("verse"), F.col("book").alias("conversation"), "source_text", "target_text").withColumn("book", F.col("batch"))
+    return _verses(spark, sf).select(F.floor(F.col("book") / 40).alias("batch"), (F.col("book") * 2**32 + F.col("verse")).alias("verse"), F.col("book").alias("conversation"), "source_text", "target_text").withColumn("book", F.col("batch"))
 
 
 def _run(spark: SparkSession, sf: str) -> DataFrame:
@@ -433,7 +445,7 @@ def _run(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {RUN}, {PAIRS} SELECT * FROM learned")
 def learning_run(spark: SparkSession, sf: str) -> DataFrame:
-    """The learned dictionary of all stages over the aligned conversations, in five batches."""
+    """The learned dictionary of all stages over the aligned conversations, forty of them a batch."""
     return learned.learned(store.cut(_run(spark, sf)))
 
 

@@ -17,7 +17,7 @@ from ..operators import dictionary, evaluate, learned, segment
 from ..operators.tokens import chinese_terms, lemmas, tokens
 from ..sources import corpus, dictionaries, store
 from . import learning
-from .catalogue import DAILY, ENTRIES, _daily, KEYS, MATCHED, MATCHES, PERICOPES, SIMS, LIMITS, BREAKS, PACKED, PIECES, SHARED_PIECES, SOURCE, TARGETS, VERSES, WORDS, ACTED, PAIRS, _dictionary, _passages, _read, _verses, query
+from .catalogue import DAILY, ENTRIES, _daily, KEYS, MATCHED, MATCHES, PERICOPES, SIMS, LIMITS, BREAKS, PACKED, PIECES, SHARED_PIECES, SOURCE, TARGETS, VERSES, WORDS, ACTED, PAIRS, _dictionary, _passages, _read, _run_verses, _verses, query, run_sql
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HAN = "神天地光水人山大小中国王子的了是在就也都又與從於為由"
@@ -146,13 +146,29 @@ def _pivot_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(_spelt(w, GREEK).alias("greek"), F.lit(None).cast("string").alias("latin"), F.array(_spelt(w, HEBREW)).alias("hebrew"), pure.alias("hebrew_pure"), F.array(w).alias("english"), F.reverse(w).alias("transliteration"), F.array(F.reverse(w), w).alias("translitterations"), (F.length(w) % 2 == 0).alias("proper_name"))
 
 
-@query(f"""WITH {VERSES}, {SOURCE}, {TARGETS}, {ENTRIES}, {FORMS}, {MATCHES.replace('source s JOIN entries e ON e.term IN (lower(s.term),', 'gsource s JOIN forms f ON f.form = s.term JOIN entries e ON e.term IN (f.english,').replace("'to ' || lower(s.term))", "f.english)").replace('found AS', 'gsource AS (SELECT book, verse, pos, ' + _spelt_sql('term', GREEK) + ' AS term FROM source), found AS')}
+#: Some entries as those of verbs, "to" and the word; and of some words an entry under their Greek letters.
+VERBS = f"""{ENTRIES}, listed AS (SELECT CASE WHEN length(term) % 3 = 0 THEN 'to ' || term ELSE term END AS term, target FROM entries UNION ALL SELECT {_spelt_sql('term', GREEK)}, target FROM entries WHERE length(term) % 4 = 0)"""
+#: A source term finds an entry of its own or of its English ones, each as it is or behind "to".
+PIVOTED = """probe AS (SELECT DISTINCT term, unnest([lower(term), 'to ' || lower(term)]) AS k FROM source UNION SELECT term, unnest([lower(english), 'to ' || lower(english)]) FROM (SELECT DISTINCT term FROM source) JOIN forms ON form = term),
+found AS (
+  SELECT DISTINCT s.book, s.verse, s.pos AS src_pos, s.term AS source_term, e.target AS target_term
+  FROM source s JOIN probe p ON p.term = s.term JOIN listed e ON e.term = p.k JOIN targets t ON t.book = s.book AND t.verse = s.verse AND t.term = e.target),
+matches AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY book, verse, src_pos ORDER BY length(target_term) DESC, target_term) AS INTEGER) AS rank FROM found)"""
+
+
+def _verbs(spark: SparkSession, sf: str) -> DataFrame:
+    entries, t = _dictionary(spark, sf).withColumn("pinyin", F.col("target")), F.col("term")
+    return entries.withColumn("term", F.when(F.length(t) % 3 == 0, F.concat(F.lit("to "), t)).otherwise(t)).unionByName(entries.where(F.length(t) % 4 == 0).withColumn("term", _spelt(t, GREEK)))
+
+
+@query(f"""WITH {VERSES}, {SOURCE.replace('source AS', 'latin AS')}, source AS (SELECT book, verse, pos, {_spelt_sql('term', GREEK)} AS term FROM latin), {TARGETS}, {VERBS}, {FORMS}, {PIVOTED}
 SELECT book, verse, CAST(src_pos AS INTEGER) AS src_pos, source_term, target_term, rank, rank = 1 AS is_primary FROM matches""")
 def pivot_match(spark: SparkSession, sf: str) -> DataFrame:
-    """Matches of an ancient language's terms, which reach the dictionary by way of English."""
+    """Matches of an ancient language's terms: by their own entries and by way of English, as words and as verbs."""
     v = _verses(spark, sf)
     source = tokens(v, KEYS, "source_text").withColumn("term", _spelt(F.col("term"), GREEK))
-    entries = learning.through_pivot(source, _dictionary(spark, sf).withColumn("pinyin", F.col("target")), dictionaries.pivot_forms(_pivot_rows(spark, sf), "Greek"))
+    entries = learning.through_pivot(source, _verbs(spark, sf), dictionaries.pivot_forms(_pivot_rows(spark, sf), "Greek"))
     found = dictionary.matches(source, learning.target_terms(v, learning.Languages()), entries, KEYS)
     return found.drop("score")
 
@@ -198,6 +214,76 @@ def shared_piece_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("a", "b", F.size(pieces(F.col("a"))).cast("long").alias("pieces"), F.round(shared_pieces(F.col("a"), F.col("b")), 6).alias("shared"))
 
 
+# Whole runs from ancient languages
+
+MARKS = "[\u0591-\u05BD\u05BF\u05C1\u05C2\u05C4\u05C5\u05C7]"
+UPPER, GREEK_UPPER = LETTERS.upper(), "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ΄῾"
+
+
+def _vocal(c: Column) -> Column:
+    """Hebrew letters, each vowel's with a mark."""
+    return F.translate(F.regexp_replace(F.lower(c), "([aeiou])", "$1\u05b8"), LETTERS, HEBREW)
+
+
+def _vocal_sql(c: str) -> str:
+    return f"translate(regexp_replace(lower({c}), '([aeiou])', '\\1\u05b8', 'g'), '{LETTERS}', '{HEBREW}')"
+
+
+def _hebrew_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    """A pivot dictionary whose entries have a vocalised form and two pure ones, the longer first."""
+    w = F.col("w")
+    rows = _read(spark, sf, "benchmark").select(F.explode(words(F.lower("text"))).alias("w")).distinct()
+    pure = _spelt(w, HEBREW)
+    return rows.select(F.array(_vocal(w)).alias("hebrew"), F.array(F.concat(pure, F.lit("ה")), pure).alias("hebrew_pure"), F.array(w).alias("english"), (F.length(w) % 2 == 0).alias("proper_name"))
+
+
+def _greek(c: Column) -> Column:
+    return F.translate(c, LETTERS + UPPER, GREEK + GREEK_UPPER)
+
+
+def _greek_sql(c: str) -> str:
+    return f"translate({c}, '{LETTERS + UPPER}', '{GREEK + GREEK_UPPER}')"
+
+
+BWORDS = f"bwords AS (SELECT DISTINCT unnest({WORDS.format('lower(text)')}) AS w FROM benchmark)"
+HEBREW_RUN = run_sql(
+    sources=f"""sw AS (SELECT book, verse, {WORDS.format(_vocal_sql('source_text'))} AS w FROM verses),
+marked AS (SELECT book, verse, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM sw),
+source AS (SELECT book, verse, pos, regexp_replace(term, '{MARKS}', '', 'g') AS term FROM marked WHERE regexp_matches(term, '[֐-׿]'))""",
+    entries=f"""{VERBS}, {BWORDS}, forms AS (SELECT {_spelt_sql('w', HEBREW)} AS form, w AS english FROM bwords UNION ALL SELECT {_spelt_sql('w', HEBREW)} || 'ה', w FROM bwords), {PIVOTED}""",
+    names=f"""named AS (SELECT {_vocal_sql('w')} AS v, arg_min(p, (length(p), p)) AS pure FROM (SELECT w, {_spelt_sql('w', HEBREW)} AS p FROM bwords WHERE length(w) % 2 = 0) GROUP BY v),
+names AS (SELECT book AS batch, pure AS source_term, count(*) AS n FROM (SELECT book, unnest(regexp_extract_all({_vocal_sql('source_text')}, '[֐-׿]+')) AS v FROM verses) JOIN named USING (v) GROUP BY ALL)""",
+    pool="counts",
+)
+GREEK_RUN = run_sql(
+    sources=f"""{LEXICON}, gw AS (SELECT book, verse, {WORDS.format(_greek_sql('source_text'))} AS w FROM verses),
+gs AS (SELECT book, verse, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM gw),
+known AS (SELECT g.*, {_greek_sql('lemma')} AS lemma, upos FROM gs g LEFT JOIN lexicon ON {_greek_sql('surface')} = g.term WHERE regexp_matches(g.term, '^\\p{{L}}+$')),
+source AS (SELECT book, verse, pos, CASE WHEN lemma IS NULL THEN lower(term) WHEN upos = 'PROPN' THEN lemma ELSE lower(lemma) END AS term FROM known WHERE upos IN ('NOUN', 'VERB', 'ADJ', 'ADV', 'PROPN') OR (lemma IS NULL AND length(term) >= 3))""",
+    entries=f"{VERBS}, {FORMS}, {PIVOTED}",
+    names="names AS (SELECT book AS batch, lemma AS source_term, count(*) AS n FROM known WHERE upos = 'PROPN' AND regexp_matches(term, '^\\p{Lu}') AND length(lemma) > 3 GROUP BY ALL)",
+)
+
+
+@query(f"WITH RECURSIVE {HEBREW_RUN}, {PAIRS} SELECT * FROM learned")
+def hebrew_run(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages from Hebrew with vowels: terms without marks, a pivot, and names by their vocalised forms among the counts before dominance."""
+    v, pivot = _run_verses(spark, sf), _hebrew_pivot(spark, sf)
+    languages = learning.Languages(source="Hebrew", pivot=dictionaries.pivot_forms(pivot, "Hebrew"), vocalised=dictionaries.hebrew_pure_forms(pivot))
+    events = learning.run(v.withColumn("source_text", _vocal(F.col("source_text"))), _verbs(spark, sf), languages, batch="batch")
+    return learned.learned(store.cut(events))
+
+
+@query(f"WITH RECURSIVE {GREEK_RUN}, {PAIRS} SELECT * FROM learned")
+def greek_run(spark: SparkSession, sf: str) -> DataFrame:
+    """All stages from Greek: lemmas and flagged names of a lexicon, and a pivot."""
+    v, lexicon = _run_verses(spark, sf), _lexicon(spark, sf)
+    lexicon = lexicon.select(_greek(F.col("surface")).alias("surface"), _greek(F.col("lemma")).alias("lemma"), "upos")
+    languages = learning.Languages(source="Greek", lexicon=lexicon, pivot=dictionaries.pivot_forms(_pivot_rows(spark, sf), "Greek"))
+    events = learning.run(v.withColumn("source_text", _greek(F.col("source_text"))), _verbs(spark, sf), languages, batch="batch")
+    return learned.learned(store.cut(events))
+
+
 # Files
 
 

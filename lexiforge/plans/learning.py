@@ -13,9 +13,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import char_ngrams, chinese_words, is_proper
 from ..operators import cooccurrence, dictionary, dominance, learned, proper_nouns, similarity
-from ..operators.tokens import chinese_terms, distinct_terms, lemmas, tokens
-from ..sources.dictionaries import pivot_lookup
+from ..operators.tokens import chinese_terms, counted_terms, distinct_terms, lemmas, tokens
+from ..sources.dictionaries import hebrew_names, pivot_lookup
 from ..sources.store import cut
 
 KEYS = ["book", "verse"]
@@ -59,17 +60,21 @@ def _dominance(got: DataFrame) -> DataFrame:
 class Languages:
     """What a pair of languages needs: ``source`` and ``target`` by name, and the tables that stand for models.
 
-    ``lexicon`` (surface, lemma, upos) and ``stop`` (term) give source lemmas; ``pivot`` (form, english) leads ancient
-    terms to English ones; ``sounds`` (word, pinyin) spells target terms, ``names`` (name, sound) source names.
+    ``lexicon`` (surface, lemma, upos) and ``stop`` (term) give source lemmas, and Greek and Chinese names by their upos
+    PROPN; ``target_lexicon`` gives target lemmas. ``pivot`` (form, english) leads ancient terms to English ones;
+    ``vocalised`` (vocalized, pure) has the forms of Hebrew names. ``sounds`` (word, pinyin) spells target terms, ``names``
+    (name, sound) source names.
     """
 
     source: str = "English"
     target: str = "English"
     lexicon: DataFrame | None = field(default=None, compare=False)
     stop: DataFrame | None = field(default=None, compare=False)
+    target_lexicon: DataFrame | None = field(default=None, compare=False)
     pivot: DataFrame | None = field(default=None, compare=False)
     sounds: DataFrame | None = field(default=None, compare=False)
     names: DataFrame | None = field(default=None, compare=False)
+    vocalised: DataFrame | None = field(default=None, compare=False)
 
     @property
     def chinese(self) -> bool:
@@ -77,30 +82,51 @@ class Languages:
 
 
 def source_tokens(verses: DataFrame, languages: Languages) -> DataFrame:
-    """Source words of each verse, as lemmas where a lexicon is given."""
+    """Source words of each verse: n-grams of Chinese, else words, as lemmas where a lexicon is given, and Hebrew without marks."""
+    if languages.source == "Chinese":
+        return verses.select(*KEYS, F.posexplode(chinese_words(F.col("source_text"))).alias("pos", "term"))
     found = tokens(verses, KEYS, "source_text")
-    if languages.lexicon is None:
+    hebrew = languages.source == "Hebrew"
+    if languages.lexicon is None and not hebrew:
         return found
-    return lemmas(found, languages.lexicon, languages.stop, hebrew=languages.source == "Hebrew").select(*KEYS, "pos", "term")
+    return lemmas(found, languages.lexicon, languages.stop, least=1 if hebrew else 3, hebrew=hebrew).select(*KEYS, "pos", "term")
 
 
 def target_terms(verses: DataFrame, languages: Languages) -> DataFrame:
-    """Different target terms of each verse: n-grams of Chinese, else words in lower case."""
-    return chinese_terms(verses, KEYS, "target_text") if languages.chinese else distinct_terms(verses, KEYS, "target_text")
+    """Different target terms of each verse and how often each counts (``times``): n-grams of Chinese once, else words in lower case, or lemmas, as often as they occur."""
+    if languages.chinese:
+        return chinese_terms(verses, KEYS, "target_text").withColumn("times", F.lit(1).cast("long"))
+    if languages.target_lexicon is None:
+        return counted_terms(verses, KEYS, "target_text")
+    return lemmas(tokens(verses, KEYS, "target_text"), languages.target_lexicon).groupBy(*KEYS, "term").agg(F.count("*").alias("times"))
 
 
 def through_pivot(source: DataFrame, entries: DataFrame, pivot: DataFrame | None) -> DataFrame:
-    """Dictionary entries as the source's own terms find them: by way of English for ancient languages, their order kept."""
+    """Dictionary entries as the source's own terms find them: their own and, for ancient languages, those by way of English, their order kept."""
     if pivot is None:
         return entries
-    found = pivot_lookup(source.select("term").distinct(), pivot, entries)
-    own = entries.groupBy(F.col("term").alias("k"), "target").agg(F.min_by("pinyin", "ord").alias("pinyin"), F.min("ord").alias("ord"))
-    rows = found.withColumn("k", F.lower("english")).join(own, ["k", "target"])
-    return rows.groupBy(F.lower("term").alias("term"), "target").agg(F.min_by("pinyin", "ord").alias("pinyin"), F.min("ord").alias("ord"))
+    found = pivot_lookup(source.select("term").distinct(), pivot, entries.select("term", "target", "pinyin", "ord"))
+    rows = entries.select("term", "target", "pinyin", "ord").unionByName(found.select(F.lower("term").alias("term"), "target", "pinyin", "ord"))
+    return rows.groupBy("term", "target").agg(F.min_by("pinyin", "ord").alias("pinyin"), F.min("ord").alias("ord"))
 
 
 def candidates(verses: DataFrame, languages: Languages) -> DataFrame:
-    """How often each proper candidate occurs in a book's texts, counted on the words themselves."""
+    """How often each proper candidate occurs in a book's texts: book, term, occurrences.
+
+    Hebrew names are those whose vocalised forms are given, under their pure forms. Greek ones are words with a capital
+    that the lexicon flags, under lemmas of more than three letters, Chinese ones all n-grams that it flags. In other
+    languages a capital makes a candidate, and the words themselves are counted.
+    """
+    if languages.source == "Hebrew" and languages.vocalised is not None:
+        return hebrew_names(verses, ["book"], "source_text", languages.vocalised)
+    if languages.lexicon is not None and languages.source == "Greek":
+        found = lemmas(tokens(verses, KEYS, "source_text"), languages.lexicon)
+        found = found.withColumn("named", (F.col("upos") == "PROPN") & is_proper(F.col("surface")) & (F.length("term") > 3))
+        return proper_nouns.source_counts(found, ["book"], "named")
+    if languages.lexicon is not None and languages.source == "Chinese":
+        flagged = languages.lexicon.where("upos = 'PROPN'").select(F.col("surface").alias("term")).distinct()
+        grams = verses.select("book", F.explode(char_ngrams(F.col("source_text"))).alias("term")).groupBy("book", "term").agg(F.count("*").alias("occurrences"))
+        return grams.join(flagged, "term", "left_semi").select("book", "term", "occurrences")
     return proper_nouns.source_counts(tokens(verses, KEYS, "source_text"), ["book"])
 
 
@@ -128,13 +154,14 @@ def run(verses: DataFrame, entries: DataFrame, languages: Languages = Languages(
         left_source = cut(left_source.join(second.select(*KEYS, F.col("source_term").alias("term")).distinct(), [*KEYS, "term"], "left_anti"))
         place = sequence(F.col("book"), VERSES, F.col("verse"), 1, F.col("pos"), F.col("source_term"), -F.length("target_term"), F.col("target_term"))
         found.append(_event(second.withColumn("score", F.col("similarity")).withColumn("is_primary", F.lit(True)), "similarity", place, True))
-    pairs = left_source.select(*KEYS, F.col("term").alias("source_term")).join(left_target.select(*KEYS, F.col("term").alias("target_term")), KEYS)
-    counts = cut(pairs.groupBy("book", "source_term", "target_term").agg(F.count("*").alias("cnt")))
+    pairs = left_source.select(*KEYS, F.col("term").alias("source_term")).join(left_target.select(*KEYS, F.col("term").alias("target_term"), "times"), KEYS)
+    counts = cut(pairs.groupBy("book", "source_term", "target_term").agg(F.sum("times").alias("cnt")))
     third = cut(dominance.learn(counts, "book", languages.chinese))
     rest = counts.join(third.select("book", "source_term").distinct(), ["book", "source_term"], "left_anti")
     held = dictionary.holding(rest.select("book", F.col("target_term").alias("term")).distinct(), third, ["book"])
     rest = rest.join(held.withColumnRenamed("term", "target_term"), ["book", "target_term"], "left_anti")
-    claims = proper_nouns.equal_counts(candidates(verses, languages), rest, ["book"])
+    # Hebrew names come from a dictionary, so those that dominance has learned stay candidates.
+    claims = proper_nouns.equal_counts(candidates(verses, languages), counts if languages.source == "Hebrew" else rest, ["book"])
     claims = _sounded(claims, languages)
     claims = cut(proper_nouns.scored(claims, languages.source, languages.chinese).select("book", "source_term", "target_term", "similarity"))
     won = proper_nouns.resolve(claims, ["book"])

@@ -13,8 +13,9 @@ from pyspark.sql import SparkSession
 _SHIPPED: set[str] = set()
 
 
-def ship(spark: SparkSession) -> None:
-    """Gives the executors this package's source, once for each application."""
+def ship(spark: SparkSession | None = None) -> None:
+    """Gives the executors this package's source, once for each application; without a session, those of the active one."""
+    spark = spark or SparkSession.active()
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..functions.text import strip, words
+from ..functions.text import strip, unmarked, words
 
 ENTRY = r"^(.+?)\s+(.+?)\s+\[([^\]]+)\]\s+/(.+)/$"
 #: Pairs whose source reads the English dictionary.
@@ -52,9 +52,15 @@ def pivot_forms(pivot: DataFrame, language: str) -> DataFrame:
     return pivot.select(form.alias("form"), "english").where("form IS NOT NULL").select("form", F.explode("english").alias("english"))
 
 
+def probes(term: Column) -> Column:
+    """The forms under which a dictionary may have a term: in lower case, and as a verb's entry has it, after "to "."""
+    return F.array(F.lower(term), F.concat(F.lit("to "), F.lower(term)))
+
+
 def pivot_lookup(terms: DataFrame, forms: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Targets of ancient terms by way of English: term, english, target."""
-    return terms.join(forms, terms["term"] == forms["form"]).select("term", "english", F.lower("english").alias("k")).join(dictionary.select(F.col("term").alias("k"), "target"), "k").select("term", "english", "target").distinct()
+    """Entries of ancient terms by way of English: term, english, target, and what else the dictionary has of an entry."""
+    found = terms.join(forms, terms["term"] == forms["form"]).select("term", "english", F.explode(probes(F.col("english"))).alias("k"))
+    return found.join(dictionary.withColumnRenamed("term", "k"), "k").drop("k").distinct()
 
 
 def transliterations(pivot: DataFrame, language: str, names: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
@@ -75,16 +81,27 @@ def hebrew_pure_forms(pivot: DataFrame) -> DataFrame:
     return rows.groupBy("vocalized").agg(F.min_by("pure", F.struct(F.length("pure"), "pure")).alias("pure"))
 
 
+def name_forms(forms: DataFrame) -> DataFrame:
+    """form, pure: the vocalised forms (vocalized, pure) and, for texts without vowels, what they are without marks; a form that is both goes by its vocalised entry."""
+    rows = forms.select(F.col("vocalized").alias("form"), F.lit(0).alias("bare"), "pure").unionByName(forms.select(unmarked(F.col("vocalized")).alias("form"), F.lit(1).alias("bare"), "pure"))
+    return rows.groupBy("form").agg(F.min_by("pure", F.struct("bare", F.length("pure"), "pure")).alias("pure"))
+
+
+def hebrew_names(texts: DataFrame, keys: list[str], text: str, forms: DataFrame) -> DataFrame:
+    """keys, term, occurrences: how often the names whose vocalised forms are given occur in Hebrew texts, under their pure forms."""
+    found = texts.select(*keys, F.explode(F.regexp_extract_all(text, F.lit(r"([֐-׿]+)"), F.lit(1))).alias("form"))
+    return found.join(name_forms(forms), "form").groupBy(*keys, F.col("pure").alias("term")).agg(F.count("*").alias("occurrences"))
+
+
 def hebrew_name_counts(texts: DataFrame, pivot: DataFrame) -> DataFrame:
     """pure, occurrences of the proper names in a column of Hebrew texts."""
-    found = texts.select(F.explode(F.regexp_extract_all("text", F.lit(r"([֐-׿]+)"), F.lit(1))).alias("vocalized"))
-    return found.join(hebrew_pure_forms(pivot), "vocalized").groupBy("pure").agg(F.count("*").alias("occurrences"))
+    return hebrew_names(texts, [], "text", hebrew_pure_forms(pivot)).withColumnRenamed("term", "pure")
 
 
 def from_sequences(texts: DataFrame, key: str = "item_id") -> DataFrame:
     """A dictionary made of running text: each word leads to the next one; term, target, ord of the first place."""
     rows = texts.select(F.col(key).alias("k"), F.transform(words(F.col("text")), F.lower).alias("w")).select("k", F.posexplode(F.arrays_zip(F.col("w").alias("term"), F.slice("w", F.lit(2), F.greatest(F.lit(0), F.size("w") - 1)).alias("target"))))
-    rows = rows.select((F.col("k") * 1_000_000 + F.col("pos")).alias("ord"), F.col("col.term").alias("term"), F.col("col.target").alias("target")).where("target IS NOT NULL")
+    rows = rows.select((F.col("k") * 2**32 + F.col("pos")).alias("ord"), F.col("col.term").alias("term"), F.col("col.target").alias("target")).where("target IS NOT NULL")
     return rows.groupBy("term", "target").agg(F.min("ord").cast("long").alias("ord"))
 
 

@@ -1,4 +1,8 @@
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -296,3 +300,99 @@ def test_no_local_folder_on_a_cluster(monkeypatch):
 
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         store.folder(Session(), "x")
+
+
+VERSE = "book long, verse long, source_text string, target_text string"
+ENTRY = "term string, target string, pinyin string, ord long"
+
+
+def _events(events, method):
+    return sorted((r["source_term"], r["target_term"], r["score"]) for r in events.where(f"method = '{method}'").collect())
+
+
+def test_a_run_counts_targets_as_often_as_they_occur(spark):
+    verses = spark.createDataFrame([(1, i, "God create", "deus deus creavit") for i in range(4)], VERSE)
+    events = learning.run(verses, spark.createDataFrame([], ENTRY))
+    assert _events(events, "dominance") == [("God", "deus", 5.0)]
+
+
+def test_a_run_finds_hebrew_names(spark):
+    pivot = spark.createDataFrame([(["אַבְרָהָם"], ["אברהמה", "אברהם"], ["abraham"], True), (["דָּבָר"], ["דבר"], ["word"], False)], "hebrew array<string>, hebrew_pure array<string>, english array<string>, proper_name boolean")
+    languages = learning.Languages(source="Hebrew", pivot=dictionaries.pivot_forms(pivot, "Hebrew"), vocalised=dictionaries.hebrew_pure_forms(pivot))
+    for name in ("אַבְרָהָם", "אברהם"):
+        verses = spark.createDataFrame([(1, i, f"{name} דָּבָר", f"abraham w{i}") for i in range(5)], VERSE)
+        events = learning.run(verses, spark.createDataFrame([], ENTRY), languages).cache()
+        # The one target that occurs as often as the name; dominance, which goes first, needs no second one.
+        assert ("אברהם", "abraham") in [x[:2] for x in _events(events, "proper_noun")]
+        assert [tuple(r) for r in learning.candidates(verses, languages).collect()] == [(1, "אברהם", 5)]
+        assert learning.unresolved(verses, events, languages).count() == 0
+    nobody = spark.createDataFrame([(1, 1, "אַבְרָהָם", "a b")], VERSE)
+    assert [r["term"] for r in learning.unresolved(nobody, events.limit(0), languages).collect()] == ["אברהם"]
+
+
+def test_marked_and_bare_forms(spark):
+    forms = spark.createDataFrame([("שָׁלוֹם", "שלום"), ("שלום", "שלם")], "vocalized string, pure string")
+    got = {r["form"]: r["pure"] for r in dictionaries.name_forms(forms).collect()}
+    assert got == {"שָׁלוֹם": "שלום", "שלום": "שלם"}  # a form's own entry goes before what others are without marks
+
+
+def test_a_run_finds_greek_names_by_the_lexicon(spark):
+    lexicon = spark.createDataFrame([("Ἀβραάμ", "Ἀβραάμ", "PROPN"), ("Λόγος", "λόγος", "NOUN"), ("ἐγώ", "ἐγώ", "PRON")], "surface string, lemma string, upos string")
+    languages = learning.Languages(source="Greek", lexicon=lexicon)
+    verses = spark.createDataFrame([(1, 1, "Ἀβραάμ Λόγος ἐγώ", "abraham"), (1, 2, "Ἀβραάμ", "abraham")], VERSE)
+    assert [tuple(r) for r in learning.candidates(verses, languages).collect()] == [(1, "Ἀβραάμ", 2)]
+    assert sorted(r["term"] for r in learning.source_tokens(verses, languages).collect()) == ["λόγος", "Ἀβραάμ", "Ἀβραάμ"]
+
+
+def test_a_run_finds_chinese_names_by_the_lexicon(spark):
+    lexicon = spark.createDataFrame([("亚伯", "亚伯", "PROPN"), ("地方", "地方", "NOUN")], "surface string, lemma string, upos string")
+    languages = learning.Languages(source="Chinese", lexicon=lexicon)
+    verses = spark.createDataFrame([(1, 1, "亚伯地方亚伯", "abel place")], VERSE)
+    assert [tuple(r) for r in learning.candidates(verses, languages).collect()] == [(1, "亚伯", 2)]
+    assert {"亚伯", "地方"} <= {r["term"] for r in learning.source_tokens(verses, languages).collect()}
+
+
+def test_target_lemmas(spark):
+    lexicon = spark.createDataFrame([("walks", "walk", "VERB"), ("walked", "walk", "VERB"), ("the", "the", "DET")], "surface string, lemma string, upos string")
+    verses = spark.createDataFrame([(1, 1, "x", "the walks walked quickly")], VERSE)
+    got = learning.target_terms(verses, learning.Languages(target_lexicon=lexicon)).collect()
+    assert sorted((r["term"], r["times"]) for r in got) == [("quickly", 1), ("walk", 2)]
+
+
+def test_pivots_find_verbs_and_own_entries(spark):
+    source = spark.createDataFrame([("הלך",), ("אב",), ("none",)], "term string")
+    forms = spark.createDataFrame([("הלך", "walk"), ("הלך", "go")], "form string, english string")
+    entries = spark.createDataFrame([("to walk", "走", "zou3", 1), ("go", "去", "qu4", 2), ("to go", "走", "zou2", 0), ("אב", "父", "fu4", 3)], ENTRY)
+    got = {(r["term"], r["target"], r["pinyin"], r["ord"]) for r in learning.through_pivot(source, entries, forms).collect()}
+    assert {("הלך", "走", "zou2", 0), ("הלך", "去", "qu4", 2), ("אב", "父", "fu4", 3)} <= got
+    assert {r["target"] for r in dictionaries.pivot_lookup(source, forms, entries).collect()} == {"走", "去"}
+
+
+def test_executors_get_the_source(tmp_path):
+    """A caller's own tables, another working folder, and no PYTHONPATH: what runs in workers comes from the package itself."""
+    script = tmp_path / "own.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+from lexiforge.functions import metrics, similarity
+from lexiforge.operators import evaluate
+from lexiforge.plans import learning
+from lexiforge.streaming.incremental import learn_stream
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+for n, method in ((2, "proper_noun"), (5, "dominance")):
+    verses = spark.createDataFrame([(1, i, "God create Adam", "deus deus creavit adam") for i in range(n)], {VERSE!r})
+    events = learning.run(verses, spark.createDataFrame([], {ENTRY!r})).collect()
+    assert method in {{e["method"] for e in events}}, events
+two = spark.createDataFrame([("tide", "diet", ["a", "b"], ["a", "c"])], "a string, b string, h array<string>, r array<string>")
+row = two.select(similarity.sequence_ratio("a", "b"), similarity.name_score("a", "b", "a"), metrics.rouge_l("h", "r"), metrics.meteor("h", "r")).first()
+assert abs(row[0] - 0.25) < 1e-9 and abs(row[2] - 0.5) < 1e-9
+assert evaluate.plugged(two, ["a"], ["b"], lambda b: [x[::-1] for x in b], "t", "string").first()["t"] == "teid"
+verses.write.parquet("in")
+stream = spark.readStream.schema(verses.schema).parquet("in")
+learn = lambda rows: learning.run(rows, spark.createDataFrame([], {ENTRY!r}))
+assert learn_stream(spark, stream, learn, "events", "progress").count() == len(events)
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
