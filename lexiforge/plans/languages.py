@@ -11,13 +11,14 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import GENERIC_DOMINANCE, GENERIC_NAMES, clean_target, expected_length, has_generic_edge, reference, simplified, starts_with_liaison, words
+from ..functions import metrics
+from ..functions.text import GENERIC_DOMINANCE, GENERIC_NAMES, chinese_punctuation, clean_target, expected_length, has_generic_edge, reference, simplified, starts_with_liaison, words
 from ..functions.similarity import shared_pieces
-from ..operators import dictionary, evaluate, learned, segment
+from ..operators import dictionary, evaluate, lattice, learned, lemma_rules, segment
 from ..operators.tokens import chinese_terms, lemmas, tokens
 from ..sources import corpus, dictionaries, store
 from . import learning
-from .catalogue import DAILY, ENTRIES, _daily, KEYS, MATCHED, MATCHES, PERICOPES, SIMS, LIMITS, BREAKS, PACKED, PIECES, SHARED_PIECES, SOURCE, TARGETS, VERSES, WORDS, ACTED, PAIRS, _dictionary, _passages, _read, _run_verses, _verses, query, run_sql
+from .catalogue import _bleu_sql, DAILY, ROUGE, TOKS, ENTRIES, _daily, KEYS, MATCHED, MATCHES, PERICOPES, SIMS, LIMITS, BREAKS, PACKED, PIECES, SHARED_PIECES, SOURCE, TARGETS, VERSES, WORDS, ACTED, PAIRS, _dictionary, _passages, _read, _run_verses, _verses, query, run_sql
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HAN = "神天地光水人山大小中国王子的了是在就也都又與從於為由"
@@ -132,6 +133,38 @@ def lemma_terms(spark: SparkSession, sf: str) -> DataFrame:
     return lemmas(tokens(_verses(spark, sf), KEYS, "source_text"), _lexicon(spark, sf)).select(*KEYS, "pos", "term")
 
 
+#: A lexicon with endings: of the benchmark's words, every other one, so that the rest are words that it lacks.
+ENDINGS = [("ing", "", "VERB"), ("ed", "", "VERB"), ("tion", "te", "NOUN"), ("eaux", "eau", "NOUN"), ("mente", "", "ADV"), ("es", "e", "NOUN")]
+
+
+def _inflected(spark: SparkSession, sf: str) -> DataFrame:
+    s = F.col("surface")
+    rows = _read(spark, sf, "benchmark").select(F.explode(words(F.lower("text"))).alias("surface")).distinct().where(F.length(s) > 5)
+    lemma, upos = s, F.lit("NOUN")
+    for end, instead, kind in reversed(ENDINGS):
+        lemma = F.when(F.endswith(s, F.lit(end)), F.concat(F.substring(s, F.lit(1), F.length(s) - len(end)), F.lit(instead))).otherwise(lemma)
+        upos = F.when(F.endswith(s, F.lit(end)), kind).otherwise(upos)
+    return rows.select("surface", lemma.alias("lemma"), upos.alias("upos"))
+
+
+INFLECTED = f"""inflected AS (SELECT DISTINCT w AS surface, CASE {' '.join(f"WHEN suffix(w, '{e}') THEN w[1:length(w) - {len(e)}] || '{i}'" for e, i, _ in ENDINGS)} ELSE w END AS lemma, CASE {' '.join(f"WHEN suffix(w, '{e}') THEN '{k}'" for e, _, k in ENDINGS)} ELSE 'NOUN' END AS upos FROM (SELECT unnest({WORDS.format('lower(text)')}) AS w FROM benchmark) WHERE length(w) > 5)"""
+RULES = """changed AS (SELECT surface, upos, length(surface) - shared AS lost, lemma[shared + 1:] AS got FROM (SELECT *, list_max(list_filter(range(0, least(length(surface), length(lemma)) + 1), lambda k: surface[1:k] = lemma[1:k])) AS shared FROM inflected)),
+voted AS (SELECT CASE WHEN k > 0 THEN surface[length(surface) - k + 1:] ELSE '' END AS suffix, lost, got, upos, count(*) AS votes FROM (SELECT *, unnest(range(lost, least(length(surface), lost + 4) + 1)) AS k FROM changed WHERE lost <= 8) GROUP BY ALL HAVING count(*) >= 2),
+rules AS (SELECT suffix, lost, got, upos FROM voted QUALIFY row_number() OVER (PARTITION BY suffix ORDER BY votes DESC, lost, got, upos) = 1),
+lacking AS (SELECT DISTINCT w AS surface FROM (SELECT unnest({0}) AS w FROM conversations) WHERE w NOT IN (SELECT surface FROM inflected)),
+guessed AS (
+  SELECT l.surface, l.surface[1:length(l.surface) - lost] || got AS lemma, upos FROM lacking l JOIN rules r ON suffix(l.surface, r.suffix) AND (lost < length(l.surface) OR got <> '')
+  QUALIFY row_number() OVER (PARTITION BY l.surface ORDER BY length(r.suffix) DESC) = 1)"""
+
+
+@query(f"WITH {INFLECTED}, {RULES.replace('{0}', WORDS.format('lower(text)'))} SELECT surface, lemma, upos FROM guessed")
+def guessed_lemmas(spark: SparkSession, sf: str) -> DataFrame:
+    """Lemmas of all words of the conversations that a lexicon lacks, by the suffix rules of those that it has."""
+    lexicon = _inflected(spark, sf)
+    listed = _read(spark, sf, "conversations").select(F.explode(words(F.lower("text"))).alias("surface")).distinct()
+    return lemma_rules.guessed(listed.join(lexicon, "surface", "left_anti"), lemma_rules.induced(lexicon))
+
+
 # Pivots and names
 
 FORMS = f"""bwords AS (SELECT DISTINCT unnest({WORDS.format('lower(text)')}) AS w FROM benchmark),
@@ -214,6 +247,72 @@ def shared_piece_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("a", "b", F.size(pieces(F.col("a"))).cast("long").alias("pieces"), F.round(shared_pieces(F.col("a"), F.col("b")), 6).alias("shared"))
 
 
+# Words of Chinese texts
+
+HAN_WORDS = f"""han_words AS (SELECT {_spelt_sql('w', HAN)} AS word, count(*) AS n FROM (SELECT unnest({WORDS.format('lower(text)')}) AS w FROM benchmark) WHERE length(w) <= 8 GROUP BY word)"""
+#: Runs and marks of texts (key, side, text), the edges of each different run by their ends, the least costs up to each character, and the way back.
+LATTICE = """parts AS (SELECT key, side, i, p[i] AS run FROM (SELECT key, side, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT key, side, regexp_extract_all(text, '[一-鿿]+|[A-Za-z0-9À-ɏ]+|[^\\s]') AS p FROM texts))),
+costs AS (SELECT word, CAST(round(1000 * ln(sum(n) OVER () / n)) AS BIGINT) AS cost, CAST(round(1000 * ln(sum(n) OVER ())) AS BIGINT) AS unknown FROM han_words WHERE length(word) <= 8),
+chains AS (SELECT DISTINCT run FROM parts WHERE regexp_matches(run, '^[一-鿿]{2,}$')),
+spans AS (SELECT run, e, k, run[e - k + 1:e] AS word FROM (SELECT run, e, unnest(range(1, least(8, e) + 1)) AS k FROM (SELECT run, unnest(range(1, length(run) + 1)) AS e FROM chains))),
+priced AS (SELECT run, e, list({'k': k, 'cost': coalesce(cost, (SELECT max(unknown) FROM costs))}) AS edges FROM spans LEFT JOIN costs USING (word) WHERE cost IS NOT NULL OR k = 1 GROUP BY run, e),
+lattices AS (SELECT run, list(edges ORDER BY e) AS edges FROM priced GROUP BY run),
+paths AS (
+  SELECT run, edges, 0::BIGINT AS i, [0::BIGINT] AS best, []::BIGINT[] AS back FROM lattices
+  UNION ALL
+  SELECT run, edges, i, list_append(best, top.cost), list_append(back, -top.k)
+  FROM (SELECT run, edges, i + 1 AS i, best, back, list_min(list_transform(edges[i + 1], lambda x: {'cost': CAST(best[i + 2 - x.k] + x.cost AS BIGINT), 'k': CAST(-x.k AS BIGINT)})) AS top FROM paths WHERE i < length(run))),
+ways AS (
+  SELECT run, back, CAST(length(run) AS BIGINT) AS i, []::VARCHAR[] AS tokens FROM paths WHERE i = length(run)
+  UNION ALL
+  SELECT run, back, i - back[i], list_prepend(run[i - back[i] + 1:i], tokens) FROM ways WHERE i > 0),
+cuts AS (SELECT run, tokens FROM ways WHERE i = 0),
+segments AS (SELECT key, side, flatten(list(coalesce(tokens, [run]) ORDER BY i)) AS tokens FROM parts LEFT JOIN cuts USING (run) GROUP BY key, side)"""
+
+
+def _han_words(spark: SparkSession, sf: str) -> DataFrame:
+    """A dictionary of the benchmark's words, as spelt in Han characters, with their counts."""
+    listed = _read(spark, sf, "benchmark").select(F.explode(words(F.lower("text"))).alias("w")).where(F.length("w") <= 8)
+    return listed.groupBy(_spelt(F.col("w"), HAN).alias("word")).agg(F.count("*").alias("n"))
+
+
+def _marked_han(c: Column) -> Column:
+    return F.trim(chinese_punctuation(_spelt(c, HAN)))
+
+
+def _marked_han_sql(c: str) -> str:
+    return f"trim(translate({_spelt_sql(c, HAN)}, ',.?!:; ', '，。？！：；'))"
+
+
+@query(f"WITH RECURSIVE {HAN_WORDS}, texts AS (SELECT item_id AS key, 't' AS side, {_marked_han_sql('text')} AS text FROM benchmark), {LATTICE} SELECT key AS item_id, i AS place, tokens[i] AS token FROM (SELECT key, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM segments)")
+def chinese_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """The words of Chinese texts, by the likeliest path through a lattice."""
+    rows = _read(spark, sf, "benchmark").select("item_id", _marked_han(F.col("text")).alias("t"))
+    found = lattice.segmented(rows, ["item_id"], ["t"], _han_words(spark, sf))
+    return found.select("item_id", F.posexplode("t").alias("place", "token")).select("item_id", (F.col("place") + 1).cast("long").alias("place"), "token")
+
+
+HAN_TOKS = f"""{VERSES}, {HAN_WORDS}, texts AS (SELECT {{'book': book, 'verse': verse}} AS key, 'h' AS side, {_marked_han_sql('target_text')} AS text FROM verses UNION ALL SELECT {{'book': book, 'verse': verse}}, 'r', {_marked_han_sql('source_text')} FROM verses), {LATTICE},
+toks AS (SELECT book, verse, coalesce(h.tokens, []) AS hy, coalesce(r.tokens, []) AS re FROM verses v LEFT JOIN segments h ON h.side = 'h' AND h.key.book = book AND h.key.verse = verse LEFT JOIN segments r ON r.side = 'r' AND r.key.book = book AND r.key.verse = verse)"""
+
+
+def _han_scored(spark: SparkSession, sf: str) -> DataFrame:
+    v = _verses(spark, sf).select(*KEYS, _marked_han(F.col("target_text")).alias("h"), _marked_han(F.col("source_text")).alias("r"))
+    return lattice.segmented(v, KEYS, ["h", "r"], _han_words(spark, sf))
+
+
+@query(_bleu_sql("SELECT book, verse, round(bleu, 6) AS bleu FROM bleus").replace(f"{VERSES}, {TOKS}", HAN_TOKS))
+def chinese_bleu(spark: SparkSession, sf: str) -> DataFrame:
+    """BLEU of Chinese texts over the words that the lattice gives."""
+    return metrics.bleu(_han_scored(spark, sf), KEYS, "h", "r").withColumn("bleu", F.round("bleu", 6))
+
+
+@query(f"WITH RECURSIVE {HAN_TOKS}, {ROUGE} SELECT book, verse, round(rouge_l, 6) AS rouge_l FROM rouges")
+def chinese_rouge(spark: SparkSession, sf: str) -> DataFrame:
+    """ROUGE-L of Chinese texts over such words."""
+    return _han_scored(spark, sf).select(*KEYS, F.round(metrics.rouge_l("h", "r"), 6).alias("rouge_l"))
+
+
 # Whole runs from ancient languages
 
 MARKS = "[\u0591-\u05BD\u05BF\u05C1\u05C2\u05C4\u05C5\u05C7]"

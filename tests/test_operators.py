@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.operators import cooccurrence, dictionary, dominance, evaluate, learned, proper_nouns, running, segment, similarity
+from lexiforge.operators import cooccurrence, dictionary, dominance, evaluate, lattice, learned, lemma_rules, proper_nouns, running, segment, similarity
 from lexiforge.operators.tokens import lemmas
 from lexiforge.plans import learning
 from lexiforge.sources import corpus, dictionaries, store
@@ -396,3 +396,49 @@ assert learn_stream(spark, stream, learn, "events", "progress").count() == len(e
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-3000:]
+
+
+def test_lattice_paths_against_all_paths():
+    rng = random.Random(4)
+    for _ in range(200):
+        n = rng.randint(0, 9)
+        edges = [(e, k, rng.randint(1, 30)) for e in range(1, n + 1) for k in range(1, e + 1) if rng.random() < 0.4]
+        cost = {(e, k): c for e, k, c in edges}
+
+        def paths(left, cost=cost):
+            if not left:
+                yield 0, []
+            for k in range(1, left + 1):
+                if (left, k) in cost or k == 1:
+                    for c, own in paths(left - k):
+                        yield c + cost.get((left, k), 20), [*own, k]
+
+        got = lattice.likeliest(n, edges, 20)
+        assert sum(got) == n
+        ends = [sum(got[: i + 1]) for i in range(len(got))]
+        assert sum(cost.get((e, k), 20) for e, k in zip(ends, got, strict=True)) == min(c for c, _ in paths(n))
+
+
+def test_chinese_words(spark):
+    known = spark.createDataFrame([("北京", 50), ("大学", 40), ("北京大学", 30), ("生", 5), ("大学生", 20), ("活", 1), ("bad", 0)], "word string, n long")
+    texts = spark.createDataFrame([(1, "北京大学生活，ABC 12大学", None), (2, "", "  "), (3, None, "京"), (4, "北京" * 30_000, "大学" * 3)], "id long, a string, b string")
+    got = {r["id"]: (r["a"], r["b"]) for r in lattice.segmented(texts, ["id"], ["a", "b"], known).collect()}
+    assert got[1] == (["北京", "大学生", "活", "，", "ABC", "12", "大学"], []) or got[1] == (["北京大学", "生", "活", "，", "ABC", "12", "大学"], [])
+    assert got[2] == ([], []) and got[3] == ([], ["京"]) and got[4] == (["北京"] * 30_000, ["大学"] * 3)
+    assert lattice.segmented(texts.limit(0), ["id"], ["a", "b"], known).isEmpty()
+    assert lattice.segmented(texts.where("id = 3"), ["id"], ["b"], known.limit(0)).first()["b"] == ["京"]
+
+
+def test_guessed_lemmas_of_held_out_words(spark):
+    rng = random.Random(7)
+    ends = [("ing", "", "VERB"), ("ies", "y", "NOUN"), ("ed", "", "VERB"), ("ly", "", "ADV"), ("", "", "NOUN")]
+    stems = {"".join(rng.choice("bcdfgklmnprt") + rng.choice("aeou") for _ in range(rng.randint(2, 3))) + rng.choice("bdgkmnpt") for _ in range(400)}
+    rows = [(s + e, s + i, u) for s in sorted(stems) for e, i, u in ends]
+    learnt, held = rows[::2], rows[1::2]
+    lexicon = spark.createDataFrame(learnt, "surface string, lemma string, upos string")
+    words = spark.createDataFrame([(w,) for w, _, _ in held] + [("",), (None,), ("x" * 5000,)], "surface string")
+    got = {r["surface"]: (r["lemma"], r["upos"]) for r in lemma_rules.guessed(words, lemma_rules.induced(lexicon)).collect()}
+    assert sum(got.get(w) == (x, u) for w, x, u in held) / len(held) > 0.97
+    whole = lemma_rules.extended(lexicon, words)
+    assert whole.groupBy("surface").count().where("count > 1").isEmpty() and whole.where("surface IS NULL OR surface = ''").isEmpty()
+    assert lemma_rules.guessed(words, lemma_rules.induced(lexicon.limit(0))).isEmpty()
