@@ -14,6 +14,7 @@ from ..operators import cooccurrence, dictionary, dominance, evaluate, learned,
 from ..operators.tokens import distinct_terms, exploded_counts, term_counts, tokens
 from ..shipping import ship
 from ..sources import corpus, dictionaries, store
+from ..streaming import stateful
 from ..streaming.incremental import learn_stream
 from . import learning
 
@@ -475,6 +476,23 @@ def incremental_learning(spark: SparkSession, sf: str) -> DataFrame:
     return learned.learned(events)
 
 
+@query(f"""WITH {VERSES}, {SOURCE}, {TARGETS}, {ENTRIES}, {MATCHES}, events AS ({MATCHED}), told AS (SELECT DISTINCT seq, batch_reference, method, source_term FROM events WHERE is_primary)
+SELECT source_term, 1::BIGINT AS learned, count(*) - 1 AS updated FROM told GROUP BY source_term""")
+def streamed_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """What a stream says of each source term as its events come: turns wait for their answers in keyed state, and a flag tells a term's first event from later ones."""
+    at, rows = store.folder(spark, "told"), _read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    rows.repartition(3, "conv_id", "turn").write.parquet(f"{at}/turns")
+    entries = store.cut(_dictionary(spark, sf))
+    turns = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/turns")
+    stateful.drained(stateful.aligned(turns), f"{at}/verses", f"{at}/pairing")
+    verses = spark.readStream.schema(stateful.VERSE).parquet(f"{at}/verses")
+    learn_stream(spark, verses, lambda v: learning.dictionary_events(v, entries), f"{at}/events", f"{at}/learning")
+    events = spark.readStream.schema(f"{store.EVENTS}, micro_batch LONG").parquet(f"{at}/events")
+    stateful.drained(stateful.told(events), f"{at}/told", f"{at}/telling")
+    acted = spark.read.schema(stateful.ACTION).parquet(f"{at}/told")
+    return acted.groupBy("source_term").agg(F.count_if(F.col("action") == "learned").alias("learned"), F.count_if(F.col("action") == "updated").alias("updated"))
+
+
 # Segmentation
 
 #: A book is a label's vectors of a range of ids, so that books are of bounded size whatever the table's.

@@ -11,6 +11,7 @@ from lexiforge.operators import cooccurrence, dictionary, dominance, evaluate, l
 from lexiforge.operators.tokens import lemmas
 from lexiforge.plans import learning
 from lexiforge.sources import corpus, dictionaries, store
+from lexiforge.streaming import stateful
 from lexiforge.streaming.incremental import learn_stream
 
 V = ["verse"]
@@ -378,6 +379,7 @@ from pyspark.sql import SparkSession
 from lexiforge.functions import metrics, similarity
 from lexiforge.operators import evaluate
 from lexiforge.plans import learning
+from lexiforge.streaming import stateful
 from lexiforge.streaming.incremental import learn_stream
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 for n, method in ((2, "proper_noun"), (5, "dominance")):
@@ -442,3 +444,33 @@ def test_guessed_lemmas_of_held_out_words(spark):
     whole = lemma_rules.extended(lexicon, words)
     assert whole.groupBy("surface").count().where("count > 1").isEmpty() and whole.where("surface IS NULL OR surface = ''").isEmpty()
     assert lemma_rules.guessed(words, lemma_rules.induced(lexicon.limit(0))).isEmpty()
+
+
+def test_state_of_turns_ends_with_their_answers(spark, tmp_path):
+    listed = [*turns(8), (90, 0, "user", "  "), (91, 1, "assistant", "alone"), (92, 0, "system", "x"), (93, 0, "user", None)]
+    rows = spark.createDataFrame(listed, "conv_id long, turn long, role string, text string")
+    at = {name: str(tmp_path / name) for name in ("in", "out", "progress")}
+    held = []
+    for part in range(4):  # a stop and a restart after each file; a turn's answer is in the next one
+        spark.createDataFrame([x for x in listed if (x[0] + x[1]) % 4 == part], rows.schema).coalesce(1).write.parquet(f"{at['in']}/{part}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at['in']}/*")
+        held += stateful.state_rows(stateful.drained(stateful.aligned(stream), at["out"], at["progress"]))
+    got = spark.read.schema(stateful.VERSE).parquet(at["out"])
+    want = corpus.conversation_verses(rows).select("book", "verse", "source_text", "target_text")
+    assert rows_of(got) == rows_of(want)
+    assert len(held) == 4 and held[-1] == 2  # only the two whose other sides never came still wait
+
+
+def test_terms_are_told_as_they_come(spark, tmp_path):
+    rows = spark.createDataFrame(turns(6), "conv_id long, turn long, role string, text string")
+    events = learning.dictionary_events(corpus.conversation_verses(rows), entries(spark)).cache()
+    at = {name: str(tmp_path / name) for name in ("in", "out", "progress")}
+    for part in (0, 1):
+        events.where((F.col("seq.book") >= 3) == bool(part)).write.parquet(f"{at['in']}/{part}")
+        stream = spark.readStream.schema(store.EVENTS).parquet(f"{at['in']}/*")
+        progress = stateful.drained(stateful.told(stream), at["out"], at["progress"])
+    got = spark.read.schema(stateful.ACTION).parquet(at["out"])
+    want = learned.actions(events)
+    count = lambda df: rows_of(df.groupBy("source_term", "batch_reference", "action").count())
+    assert count(got) == count(want)
+    assert stateful.state_rows(progress) == [2]  # a flag for each of the two terms
