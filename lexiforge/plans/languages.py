@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import metrics
 from ..functions.text import GENERIC_DOMINANCE, GENERIC_NAMES, chinese_punctuation, clean_target, expected_length, has_generic_edge, reference, simplified, starts_with_liaison, words
 from ..functions.similarity import shared_pieces
-from ..operators import dictionary, evaluate, lattice, learned, lemma_rules, segment
+from ..operators import cooccurrence, dictionary, dominance, evaluate, lattice, learned, lemma_rules, segment
 from ..operators.tokens import chinese_terms, lemmas, tokens
-from ..sources import corpus, dictionaries, store
+from ..sources import corpus, counts, dictionaries, store
 from . import learning
-from .catalogue import _bleu_sql, DAILY, ROUGE, TOKS, ENTRIES, _daily, KEYS, MATCHED, MATCHES, PERICOPES, SIMS, LIMITS, BREAKS, PACKED, PIECES, SHARED_PIECES, SOURCE, TARGETS, VERSES, WORDS, ACTED, PAIRS, _dictionary, _passages, _read, _run_verses, _verses, query, run_sql
+from .catalogue import _bleu_sql, _part, CLAIMED, PART, DAILY, ROUGE, TOKS, ENTRIES, _daily, KEYS, MATCHED, MATCHES, PERICOPES, SIMS, LIMITS, BREAKS, PACKED, PIECES, SHARED_PIECES, SOURCE, TARGETS, VERSES, WORDS, ACTED, PAIRS, _dictionary, _passages, _read, _run_verses, _verses, query, run_sql
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HAN = "神天地光水人山大小中国王子的了是在就也都又與從於為由"
@@ -540,6 +540,24 @@ def batches_processed(spark: SparkSession, sf: str) -> DataFrame:
     return store.batches_processed(learning.dictionary_events(_verses(spark, sf), _dictionary(spark, sf)))
 
 
+#: Pairs of a batch, taken over a snapshot of the first third, a delta of the second and one of the last.
+GROWN = f"""{PART}, grown AS (SELECT 'p' || batch AS batch_reference, source_term, target_term, cnt FROM counts)"""
+
+
+@query(f"WITH RECURSIVE {GROWN}, {CLAIMED.format('counts')}, d AS (SELECT 'p' || batch AS batch_reference, source_term, target_term, is_primary FROM dominated) SELECT g.batch_reference, g.source_term, g.target_term, CAST(g.cnt AS BIGINT) AS cnt, d.is_primary FROM grown g LEFT JOIN d USING (batch_reference, source_term, target_term)")
+def grown_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Co-occurrences counted in three runs, the first two made one snapshot, and what dominance learns from all: as from one run."""
+    at, rows = store.folder(spark, "counts"), _part(spark, sf)
+    for i in range(3):
+        own = cooccurrence.verse_counts(rows.where(F.pmod("p_partkey", F.lit(3)) == i), ["p_partkey", "batch"], "s", "t")
+        counts.append_delta(own.withColumn("batch_reference", F.concat(F.lit("p"), "batch")), at, i + 1)
+        if i == 1:
+            counts.compacted(spark, at)
+    whole = counts.restored(spark, at)
+    won = dominance.learn(whole, "batch_reference").select("batch_reference", "source_term", "target_term", "is_primary")
+    return whole.join(won, ["batch_reference", "source_term", "target_term"], "left")
+
+
 # Batches, models and limits
 
 PACKS = f"{SIMS}, {LIMITS}, {BREAKS}, {PERICOPES}, {PACKED}"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexiforge.operators import cooccurrence, dictionary, dominance, evaluate, lattice, learned, lemma_rules, proper_nouns, running, segment, similarity
 from lexiforge.operators.tokens import lemmas
 from lexiforge.plans import learning
-from lexiforge.sources import corpus, dictionaries, store
+from lexiforge.sources import corpus, counts, dictionaries, store
 from lexiforge.streaming import stateful
 from lexiforge.streaming.incremental import learn_stream
 
@@ -474,3 +474,24 @@ def test_terms_are_told_as_they_come(spark, tmp_path):
     count = lambda df: rows_of(df.groupBy("source_term", "batch_reference", "action").count())
     assert count(got) == count(want)
     assert stateful.state_rows(progress) == [2]  # a flag for each of the two terms
+
+
+def test_counts_grow_by_deltas(spark, tmp_path):
+    at = str(tmp_path / "counts")
+    own = lambda *rows: spark.createDataFrame(list(rows), counts.COUNTS)
+    assert counts.restored(spark, at).isEmpty() and counts.compacted(spark, at) == 0
+    counts.append_delta(own(("b", "s", "t", 2), ("b", "s", "t", 1), ("c", "s", None, 1)), at, 1)
+    counts.append_delta(own(("b", "s", "u", 5)), at, 2)
+    counts.append_delta(own(("b", "s", "u", 4)), at, 2)  # again
+    assert set(map(tuple, counts.restored(spark, at).collect())) == {("b", "s", "t", 3), ("c", "s", None, 1), ("b", "s", "u", 4)}
+    assert counts.compacted(spark, at) == 2 and counts.compacted(spark, at) == 2
+    assert not list((tmp_path / "counts" / "deltas").glob("number=*"))
+    with pytest.raises(ValueError):
+        counts.append_delta(own(("b", "s", "u", 4)), at, 2)
+    counts.append_delta(own(("b", "s", "t", 10)), at, 3)
+    whole = counts.restored(spark, at)
+    assert set(map(tuple, whole.collect())) == {("b", "s", "t", 13), ("c", "s", None, 1), ("b", "s", "u", 4)}
+    files = {f.split("/counts/")[1].split("/part")[0] for f in whole.inputFiles()}
+    assert files == {"snapshots/2", "deltas/number=3"}  # what the snapshot holds isn't read again
+    assert counts.compacted(spark, at) == 3 and set(map(tuple, counts.restored(spark, at).collect())) == {("b", "s", "t", 13), ("c", "s", None, 1), ("b", "s", "u", 4)}
+    assert [p.name for p in (tmp_path / "counts" / "snapshots").iterdir()] == ["3"]
