@@ -705,3 +705,20 @@ def test_pipeline(spark, tmp_path):
     ids = {r["doc_id"] for r in got.collect()}
     assert not ids & {200, 201, 202, 203} and len(ids) >= 40
     assert got.agg(F.sum("n_tokens")).first()[0] > 0
+
+
+def test_pipeline_with_repeated_ids_and_further_columns(spark, tmp_path):
+    """Clashing columns, rows that share an id, ties and repeated rows go through all stages."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows = [(i, prose(3000 + i, 60), "en", "ab"[i % 2]) for i in range(50)]
+    rows += [(3, rows[3][1], "en", "b"), (4, prose(4000, 60), "en", "a"), (4, rows[4][1], "en", "a"), (None, prose(4001, 60), "en", None), (None, prose(4002, 60), "en", "a"), (60, "", "en", "a"), (61, None, "en", "a")]
+    docs = docs_of(spark, rows).select("doc_id", "text", "lang", "source", "n_chars", "key", "s1", *[F.lit(i).alias(x) for i, x in enumerate(("rep", "component", "size", "finish", "n_tokens", "start", "node", "hub", "lang_pred", "score", "item_id", "kept"))])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r["doc_id"] for r in got]
+    assert not {60, 61} & set(ids) and len({i for i in ids if i is not None and i < 50}) >= 45
+    ordered = sorted(got, key=lambda r: r["start"])
+    ends = [r["start"] + r["n_tokens"] for r in ordered]
+    assert [r["start"] for r in ordered] == [0, *ends[:-1]]
+    assert [r["doc_id"] or -1 for r in ordered] == sorted(i or -1 for i in ids)
