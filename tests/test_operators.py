@@ -425,7 +425,7 @@ def test_chinese_words(spark):
     known = spark.createDataFrame([("北京", 50), ("大学", 40), ("北京大学", 30), ("生", 5), ("大学生", 20), ("活", 1), ("bad", 0)], "word string, n long")
     texts = spark.createDataFrame([(1, "北京大学生活，ABC 12大学", None), (2, "", "  "), (3, None, "京"), (4, "北京" * 30_000, "大学" * 3)], "id long, a string, b string")
     got = {r["id"]: (r["a"], r["b"]) for r in lattice.segmented(texts, ["id"], ["a", "b"], known).collect()}
-    assert got[1] == (["北京", "大学生", "活", "，", "ABC", "12", "大学"], []) or got[1] == (["北京大学", "生", "活", "，", "ABC", "12", "大学"], [])
+    assert got[1] == (["北京", "大学生", "活", "，", "ABC", "12", "大学"], [])  # 3,060 against 4,956 for the two words of the other cut
     assert got[2] == ([], []) and got[3] == ([], ["京"]) and got[4] == (["北京"] * 30_000, ["大学"] * 3)
     assert lattice.segmented(texts.limit(0), ["id"], ["a", "b"], known).isEmpty()
     assert lattice.segmented(texts.where("id = 3"), ["id"], ["b"], known.limit(0)).first()["b"] == ["京"]
