@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
 from .running import running_sums
+from .scan import marked, placed
 
 SHORTEST, BATCH, REMAINDER, FIXED = 3, 95, 50, 90
 
@@ -22,9 +24,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 def consecutive(rows: DataFrame, book: str, order: str, vector: str) -> DataFrame:
     """book, pos (from 0), order, sim: the cosine of each verse and the next of its book; null at its end."""
-    w = Window.partitionBy(book).orderBy(order)
-    placed = rows.withColumn("pos", F.row_number().over(w) - 1).withColumn("next_vector", F.lead(vector).over(w))
-    return placed.select(F.col(book).alias("book"), "pos", F.col(order).alias("ord"), cosine(F.col(vector), F.col("next_vector")).alias("sim"))
+    along = placed(rows.select(F.col(book).alias("book"), F.col(order).alias("ord"), F.col(vector).alias("vector")), "book", "ord", ["vector"])
+    return along.select("book", "pos", "ord", cosine(F.col("vector"), F.col("next_vector")).alias("sim"))
 
 
 def thresholds(sims: DataFrame, *by: str) -> DataFrame:
@@ -44,7 +45,7 @@ def breaks(sims: DataFrame, limits: DataFrame, by: list[str] | None = None, shor
     """book, verses, breaks: positions at which passages start, the first one and the end included.
 
     A break follows a similarity below ``minor`` if the passage has ``shortest`` verses by then. The fold runs along
-    one book, which is a group of bounded size.
+    one row; ``break_places`` gives the same for books of any length.
     """
     rows = _ordered(sims, limits, by or [])
     at = F.when(F.size("sims") > 0, F.sequence(F.lit(0), F.size("sims") - 1)).otherwise(F.array().cast("array<int>"))
@@ -68,6 +69,41 @@ def pericopes(found: DataFrame) -> DataFrame:
     return found.select("book", F.posexplode(pairs).alias("i", "p")).select("book", (F.col("i") + 1).alias("pericope"), F.col("p.a").alias("start"), (F.col("p.b") - 1).alias("end"), (F.col("p.b") - F.col("p.a")).alias("verses"))
 
 
+def break_places(sims: DataFrame, limits: DataFrame, by: list[str] | None = None, shortest: int = SHORTEST) -> DataFrame:
+    """book, place: what ``breaks`` finds, a row each, in books of any length. A null similarity doesn't break."""
+    known = sims.join(limits, by) if by else sims.crossJoin(F.broadcast(limits))  # one row
+    rows = known.select("book", "pos", F.coalesce(F.col("sim") < F.col("minor"), F.lit(False)).alias("low"))
+
+    def step(length: Column, x: Column) -> tuple[Column, Column]:
+        grown = F.least(length + 1, F.lit(shortest))
+        mark = x["low"] & (grown >= shortest)
+        return F.when(mark, 0).otherwise(grown), mark
+
+    inner = marked(rows, "book", "pos", shortest + 1, step).select("book", (F.col("pos") + 1).alias("place"))
+    ends = sims.groupBy("book").agg(F.count("*").cast("int").alias("n")).select("book", F.explode(F.array(F.lit(0), "n")).alias("place"))
+    return inner.unionByName(ends).distinct()
+
+
+def merged_places(places: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """book, place: what ``merged`` keeps, a row each, in books of any length. Places from ``break_places`` are at least ``shortest`` apart but for the last, so all of them stay."""
+    along = placed(places.select("book", "place"), "book", "place", ["place"])
+    along = along.join(places.groupBy(F.col("book").alias("_book")).agg(F.max("place").alias("top")), F.col("book").eqNullSafe(F.col("_book")))
+    after = F.coalesce(F.col("next_place") - F.col("place"), F.lit(0))
+    rows = along.select("book", "place", F.least(after, F.lit(shortest)).alias("after"), ((F.col("pos") == 0) | F.col("next_place").isNull()).alias("edge"), (F.col("next_place") == F.col("top")).alias("last"))
+
+    def step(length: Column, x: Column) -> tuple[Column, Column]:
+        mark = x["edge"] | ((length >= shortest) & ((x["after"] >= shortest) | x["last"]))
+        return F.least(F.when(mark, 0).otherwise(length) + x["after"], F.lit(shortest)), mark
+
+    return marked(rows, "book", "place", shortest + 1, step)
+
+
+def passages(places: DataFrame) -> DataFrame:
+    """book, pericope (from 1), start, end (positions), verses of the passages between neighbouring places."""
+    along = placed(places.select("book", "place"), "book", "place", ["place"]).where("next_place IS NOT NULL")
+    return along.select("book", (F.col("pos") + 1).alias("pericope"), F.col("place").alias("start"), (F.col("next_place") - 1).alias("end"), (F.col("next_place") - F.col("place")).alias("verses"))
+
+
 def tag_verses(verses: DataFrame, passages: DataFrame) -> DataFrame:
     """Verses (book, pos) with the passage that holds them; each passage is unfolded to its positions, so the join is one of equality."""
     held = passages.select("book", "pericope", F.explode(F.sequence("start", "end")).alias("pos"))
@@ -75,25 +111,28 @@ def tag_verses(verses: DataFrame, passages: DataFrame) -> DataFrame:
 
 
 def pack(passages: DataFrame, most: int = BATCH, remainder: int = REMAINDER) -> DataFrame:
-    """Passages with their batch: a batch ends before one that would exceed ``most`` verses, if at least ``remainder`` follow it."""
-    lists = passages.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("pericope", "verses"))).alias("p"))
-    lists = lists.withColumn("total", F.aggregate("p", F.lit(0).cast("int"), lambda s, x: s + x.verses))
+    """Passages with their batch: a batch ends before one that would exceed ``most`` verses, if at least ``remainder`` follow it.
+
+    The state of the fold is the batch's verses so far, which count no further than one beyond ``most``.
+    """
+    totals = passages.groupBy(F.col("book").alias("_book")).agg(F.sum("verses").alias("total"))
+    along = placed(passages.select("book", "pericope", "verses"), "book", "pericope", sums=["verses"]).join(totals, F.col("book").eqNullSafe(F.col("_book")))
+    rows = cut(along.select("book", "pericope", "verses", (F.col("total") - F.col("sum_verses") >= remainder).alias("more")))
 
-    def step(acc: Column, x: Column) -> Column:
-        rest = F.col("total") - acc.seen - x.verses
-        flush = (acc.cur + x.verses > most) & (acc.n > 0) & (rest >= remainder)
-        batch = F.when(flush, acc.batch + 1).otherwise(acc.batch)
-        return F.struct(F.when(flush, x.verses).otherwise(acc.cur + x.verses).alias("cur"), F.when(flush, 1).otherwise(acc.n + 1).alias("n"), (acc.seen + x.verses).alias("seen"), batch.alias("batch"), F.concat(acc.out, F.array(F.struct(x.pericope.alias("pericope"), x.verses.alias("verses"), batch.alias("batch")))).alias("out"))
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        verses = F.greatest(state - 1, F.lit(0)) + x["verses"]  # state 0: no passage yet
+        mark = (state > 0) & x["more"] & (verses > most)
+        return F.least(F.when(mark, x["verses"]).otherwise(verses), F.lit(most + 1)) + 1, mark
 
-    zero = F.struct(F.lit(0).alias("cur"), F.lit(0).alias("n"), F.lit(0).alias("seen"), F.lit(1).alias("batch"), F.array().cast("array<struct<pericope:int,verses:int,batch:int>>").alias("out"))
-    done = lists.select("book", F.explode(F.aggregate("p", zero, step, lambda acc: acc.out)).alias("x"))
-    return done.select("book", "x.pericope", "x.verses", "x.batch")
+    flushed = marked(rows, "book", "pericope", most + 3, step).select(F.col("book").alias("_book"), F.col("pericope").alias("_pericope"), F.lit(1).alias("flushed"))
+    rows = rows.join(flushed, F.col("book").eqNullSafe(F.col("_book")) & (F.col("pericope") == F.col("_pericope")), "left").select("book", "pericope", "verses", F.coalesce("flushed", F.lit(0)).alias("flushed"))
+    return placed(rows, "book", "pericope", sums=["flushed"]).select("book", "pericope", "verses", (F.col("sum_flushed") + 1).cast("int").alias("batch"))
 
 
 def fixed_batches(rows: DataFrame, book: str, order: str, most: int = FIXED) -> DataFrame:
     """Every ``most`` verses of a book make a batch."""
-    n = F.row_number().over(Window.partitionBy(book).orderBy(order))
-    return rows.withColumn("batch", (F.floor((n - 1) / most) + 1).cast("int"))
+    along = placed(rows, book, order)
+    return along.withColumn("batch", (F.floor(F.col("pos") / most) + 1).cast("int")).drop("pos")
 
 
 def batch_ordinals(batches: DataFrame) -> DataFrame:

@@ -523,8 +523,8 @@ def _sims(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _passages(spark: SparkSession, sf: str) -> DataFrame:
-    sims = _sims(spark, sf)
-    return segment.pericopes(segment.merged(segment.breaks(sims, segment.thresholds(sims))))
+    sims = store.cut(_sims(spark, sf))
+    return segment.passages(segment.break_places(sims, segment.thresholds(sims)))
 
 
 @query(f"WITH {SIMS} SELECT book, pos, vec_id, round(sim, 6) AS sim FROM sims WHERE sim IS NOT NULL")
@@ -539,8 +539,8 @@ def break_thresholds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {SIMS}, {LIMITS}, {BREAKS} SELECT book, CAST(place AS INTEGER) AS place FROM cuts")
 def narrative_breaks(spark: SparkSession, sf: str) -> DataFrame:
-    sims = _sims(spark, sf)
-    return segment.breaks(sims, segment.thresholds(sims)).select("book", F.explode(F.array_distinct("breaks")).alias("place"))
+    sims = store.cut(_sims(spark, sf))
+    return segment.break_places(sims, segment.thresholds(sims))
 
 
 @query(f'WITH RECURSIVE {SIMS}, {LIMITS}, {BREAKS}, {PERICOPES} SELECT book, pericope, start, "end", verses FROM passages')
@@ -566,6 +566,15 @@ def batch_packing(spark: SparkSession, sf: str) -> DataFrame:
     return segment.pack(_passages(spark, sf))
 
 
+@query(f"WITH RECURSIVE {SIMS.replace(BOOK, 'label')}, {LIMITS}, {BREAKS}, {PERICOPES}, {PACKED} SELECT p.book, pericope, p.start, p.\"end\", CAST(k.verses AS INTEGER) AS verses, CAST(k.batch AS INTEGER) AS batch FROM pack k JOIN passages p USING (book, pericope)")
+def long_books(spark: SparkSession, sf: str) -> DataFrame:
+    """Passages and batches where a book is a whole label, so books grow with the table."""
+    rows = _read(spark, sf, "embeddings").select(F.col("label").alias("book"), "vec_id", "embedding")
+    sims = store.cut(segment.consecutive(rows, "book", "vec_id", "embedding"))
+    found = store.cut(segment.passages(segment.break_places(sims, segment.thresholds(sims))))
+    return found.join(segment.pack(found).drop("verses"), ["book", "pericope"])
+
+
 @query(f"SELECT {BOOK} AS book, vec_id, CAST(floor((row_number() OVER (PARTITION BY {BOOK} ORDER BY vec_id) - 1) / 90) + 1 AS INTEGER) AS batch FROM embeddings")
 def fixed_batches(spark: SparkSession, sf: str) -> DataFrame:
     return segment.fixed_batches(_books(spark, sf).drop("embedding"), "book", "vec_id")

@@ -12,6 +12,9 @@ from pyspark.sql.utils import AnalysisException
 SEQ = "STRUCT<book: BIGINT, stage: INT, verse: BIGINT, part: INT, pos: BIGINT, source: STRING, rank: BIGINT, target: STRING>"
 EVENTS = f"seq {SEQ}, method STRING, batch_reference STRING, verse_reference STRING, source_term STRING, target_term STRING, score DOUBLE, is_primary BOOLEAN"
 
+#: Where each application's cut tables lie.
+_CUTS: dict[str, str] = {}
+
 
 def folder(spark: SparkSession, name: str) -> str:
     """A new folder in the checkpoint folder, which driver and executors share; a local one only where all runs on one machine."""
@@ -24,11 +27,17 @@ def folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The table with its lineage cut: written once in the checkpoint folder, so that plans that use it often stay small."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or folder(df.sparkSession, "cut"))
-    return df.checkpoint()
+    """The table with its lineage cut: written once, so that plans that use it often stay small and read only the columns they need.
+
+    All tables that an application cuts lie in one folder, ``cut-<application>``, to be removed when it has ended.
+    """
+    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
+    if app not in _CUTS:
+        _CUTS[app] = folder(spark, f"cut-{app}")
+    path = f"{_CUTS[app]}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def append_events(events: DataFrame, path: str, number: int) -> None:

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.operators import cooccurrence, dictionary, dominance, evaluate, lattice, learned, lemma_rules, proper_nouns, running, segment, similarity
+from lexiforge.operators import cooccurrence, dictionary, dominance, evaluate, lattice, learned, lemma_rules, proper_nouns, running, scan, segment, similarity
 from lexiforge.operators.tokens import lemmas
 from lexiforge.plans import learning
 from lexiforge.sources import corpus, counts, dictionaries, store
@@ -122,6 +122,52 @@ def test_packing(spark):
     assert _packed(books[1]) == [[60, 30], [20, 40, 15]] and len(_packed(books[2])) == 1
 
 
+def test_scans_over_long_books(spark, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCK", 4)  # several levels of blocks
+    rng = random.Random(9)
+    books = {b: [rng.choice([0.0, 0.2, 0.8, None]) if rng.random() < 0.9 else 0.1 for _ in range(n)] for b, n in ((None, 21), (1, 1), (2, 3), (3, 16), (4, 17), (5, 150), (6, 400))}
+    sims = spark.createDataFrame([(b, i, None if i == len(x) - 1 else x[i]) for b, x in books.items() for i in range(len(x))], "book int, pos int, sim double")
+    limits = spark.createDataFrame([(0.5,)], "minor double")
+    want = set()
+    for b, x in books.items():
+        places = [0]
+        for i, v in enumerate(x[:-1]):
+            if v is not None and v < 0.5 and i + 1 - places[-1] >= 3:
+                places.append(i + 1)
+        want |= {(b, p) for p in [*places, len(x)]}
+    places = segment.break_places(sims, limits).cache()
+    assert {tuple(r) for r in places.select("book", "place").collect()} == want and places.count() == len(want)
+    # Merging, against the fold along one row, also where places lie closer than passages may be.
+    merged = segment.merged_places(places.where("book IS NOT NULL"))
+    assert rows(merged, "book", "place") == sorted(x for x in want if x[0] is not None)
+    loose = {b: sorted({0, *rng.sample(range(1, 10 * b), min(10 * b - 1, 5 * b))}) for b in range(1, 40)}
+    arrays = spark.createDataFrame([(b, x[-1], x) for b, x in loose.items()], "book int, verses int, breaks array<int>")
+    plain = {(r["book"], p) for r in segment.merged(arrays).collect() for p in r["breaks"]}
+    flat = spark.createDataFrame([(b, p) for b, x in loose.items() for p in x], "book int, place int")
+    assert {tuple(r) for r in segment.merged_places(flat).collect()} == plain
+    assert rows(segment.passages(flat), "book", "pericope", "start", "end", "verses") == sorted((b, i + 1, x[i], x[i + 1] - 1, x[i + 1] - x[i]) for b, x in loose.items() for i in range(len(x) - 1))
+    # Packing books of many passages, some larger than a batch.
+    sizes = {b: [rng.choice([1, 7, 30, 60, 96, 120]) for _ in range(n)] for b, n in ((1, 1), (2, 5), (3, 64), (4, 300))}
+    df = spark.createDataFrame([(b, i + 1, s) for b, x in sizes.items() for i, s in enumerate(x)], "book int, pericope int, verses int")
+    got = {}
+    for r in segment.pack(df).orderBy("book", "pericope").collect():
+        got.setdefault(r["book"], {}).setdefault(r["batch"], []).append(r["verses"])
+    assert {b: list(x.values()) for b, x in got.items()} == {b: _packed(x) for b, x in sizes.items()}
+    assert segment.pack(df.where("false")).isEmpty() and segment.break_places(sims.where("false"), limits).isEmpty()
+
+
+def test_places_across_ranges(spark):
+    rng = random.Random(4)
+    table = [(b, i, rng.choice([None, rng.randint(0, 9)])) for b in (None, 1, 2, 3) for i in rng.sample(range(10_000), 400 if b == 2 else 7)]
+    df = spark.createDataFrame(table, "book int, at int, v int").repartition(7)
+    want = []
+    for b in (None, 1, 2, 3):
+        own = sorted((i, v) for g, i, v in table if g == b)
+        want += [(b, i, v, k, own[k + 1][1] if k + 1 < len(own) else None, sum(x or 0 for _, x in own[: k + 1])) for k, (i, v) in enumerate(own)]
+    got = scan.placed(df, "book", "at", ["v"], ["v"]).select("book", "at", "v", "pos", "next_v", "sum_v").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_fixed_batches_and_split(spark):
     df = spark.range(200).withColumn("book", F.lit(1))
     assert [r["count"] for r in segment.fixed_batches(df, "book", "id").groupBy("batch").count().orderBy("batch").collect()] == [90, 90, 20]
