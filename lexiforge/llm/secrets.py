@@ -32,6 +32,8 @@ _CLOSING = {")": "(", "]": "[", "}": "{", ">": "<"}
 # A name that ends in a word for a secret, and what assigns it; the quote that follows is kept apart.
 _ASSIGNS = r"(?:passw(?:or)?d|passphrase|passcode|pwd|secret|token|credentials?|authorization|bearer|api[_-]?key|(?<![a-z])(?:pass|key|auth))(?:[_-]?(?:key|token|value|hash))?[\"'`\])]{0,3}\s{0,4}(?::=|=>|==?|:|\bis\b|\bwas\b)\s{0,4}"
 _ASSIGNED = re.compile(_ASSIGNS + r"(?:(?P<q>[\"'`])(?P<quoted>(?:(?!(?P=q))[^\n\\]|\\.)++)(?P=q)|(?P<plain>(?:(?![&;,]\w+=)\S)+))", re.IGNORECASE)
+#: What each name that assigns begins with, in small letters.
+_NAMES = ("pass", "pwd", "secret", "token", "credential", "auth", "bearer", "api", "key")
 _LEAD = re.compile(_ASSIGNS + r"[\"'`]?$", re.IGNORECASE)
 _WORD = re.compile(r"[A-Za-z]{2,}")
 # Words that speak for a secret nearby, words that speak against one, common words of prose and code.
@@ -56,10 +58,26 @@ def _kind(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
+def assignments(text: str) -> Iterator[re.Match]:
+    """What ``_ASSIGNED`` finds from left to right; the pattern is tried only where one of ``_NAMES`` stands."""
+    low = text.replace("\u0130", "i").replace("\u0131", "i").replace("\u017f", "s").lower()  # as the pattern ignores case, and no longer than the text
+    at = set()
+    for name in _NAMES:
+        i = low.find(name)
+        while i >= 0:
+            at.add(i)
+            i = low.find(name, i + 1)
+    end = 0
+    for i in sorted(at):
+        if i >= end and (m := _ASSIGNED.match(text, i)):
+            end = m.end()
+            yield m
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Where candidates begin and end, each once; an assignment's name and marks around a value are left out."""
     assigned = set()
-    for m in _ASSIGNED.finditer(text):
+    for m in assignments(text):
         a, b = m.span("quoted") if m["q"] else m.span("plain")
         if not m["q"]:
             value = text[a:b].lstrip("\"'`")
