@@ -255,6 +255,20 @@ def test_secrets_of_other_making(spark):
     assert right / len(want) > 0.9 and right / len(got) > 0.9
 
 
+def test_secrets_against_plain_search(spark):
+    rng = np.random.Generator(np.random.PCG64(17))
+    pool = [*"abk pP=:\"'`;&\\\n.\u0130\u0131\u017f\u212as", "password", "PASSWORD", "pa\u017f\u017fwd", "toKen", "ap\u0131_key", "API-KEY", " is ", "=", "==", ":=", "key", "auth", "secret", "x9!", "Zk81ab04Qm7r", " end "]
+    texts = ["".join(pool[j] for j in rng.integers(0, len(pool), rng.integers(1, 18))) for _ in range(3000)]
+    for t in texts:  # the pattern over all of a text
+        assert [m.span() for m in secrets.assignments(t)] == [m.span() for m in secrets._ASSIGNED.finditer(t)], t
+    want = []
+    for i, t in enumerate(texts):  # every candidate judged alone, and only those that lie in no other kept
+        spans = [(a, b) for a, b in secrets.candidates(t) if secrets.trained().score(np.array([secrets.features(t, a, b)]))[0] >= 0.5]
+        want += [(i, a, b - a) for a, b in spans if not any((c, d) != (a, b) and c <= a and b <= d for c, d in spans)]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start"], r["length"]) for r in got) == sorted(want) and want
+
+
 def test_secrets_held_out():
     rows = list(secrets.findings(600, seed=5))
     s = secrets.trained().score(np.array([secrets.features(t, a, b) for t, a, b, _ in rows]))
