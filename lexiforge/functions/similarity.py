@@ -140,10 +140,41 @@ def combined(target: Column, translation: Column, ratio: Column) -> Column:
     return 0.4 * position_ratio(target, translation) + 0.4 * ratio + 0.2 * length_factor(target, translation)
 
 
-def may_pass(target: Column, translation: Column) -> Column:
-    """Pairs that can reach their threshold whatever their sound: what ``combined`` needs of the other two parts."""
-    best = 0.4 * position_ratio(target, translation) + 0.4 + 0.2 * length_factor(target, translation)
-    return best > F.when(F.length(target) == 2, 0.7).otherwise(0.5)
+#: Letters from rare to common, as most languages in this script have them; an order of search only, no result depends on it.
+RARE_FIRST = "zqjxkvbpygfwmucldrhsnioate"
+
+
+def _characters(c: Column) -> Column:
+    n = F.length(c)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(c, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+
+
+def numbered(sound: Column) -> Column:
+    """A text's characters in lower case, each with how many alike stand before it (s, s1, ...), rare ones first: two texts have as many of them in common as a matcher can pair."""
+    one = lambda ch, i, all_: F.struct((-F.size(F.filter(F.slice(all_, F.lit(1), i), lambda x: x == ch))).alias("o"), F.position(ch, F.lit(RARE_FIRST)).alias("r"), ch.alias("c"))
+    chars = _characters(F.lower(sound))
+    places = F.array_sort(F.transform(chars, lambda ch, i: one(ch, i, chars)))
+    return F.transform(places, lambda x: F.concat(x["c"], F.when(x["o"] < 0, (-x["o"]).cast("string")).otherwise("")))
+
+
+def probes_of(word: Column, numbered_sound: Column) -> Column:
+    """What a pair of words that passes has in common, one at least.
+
+    Either the words are of one length and agree in a place. Or they agree in none, so that the sounds' ratio is above
+    three quarters: then three fifths of a sound's characters are paired, and among the first two fifths and one more of
+    either, in one order for all texts, there is one in common. Two empty sounds are alike.
+    """
+    n = F.size(numbered_sound)
+    places = F.transform(_characters(word), lambda ch, i: F.concat_ws(":", F.length(word), i, ch))
+    first = F.slice(numbered_sound, F.lit(1), n - F.floor((n * 3 + 4) / 5).cast("int") + 1)
+    return F.concat(places, F.when(n == 0, F.array(F.lit("s"))).otherwise(F.transform(first, lambda x: F.concat(F.lit("s"), x))))
+
+
+def may_pass(target: Column, translation: Column, target_sound: Column, sound: Column) -> Column:
+    """Pairs that can pass, by the most that the matcher can pair of their ``numbered`` sounds."""
+    length = F.size(target_sound) + F.size(sound)
+    most = F.when(length > 0, 2.0 * F.size(F.array_intersect(target_sound, sound)) / length).otherwise(1.0)
+    return combined(target, translation, most) > F.when(F.length(target) == 2, 0.7).otherwise(0.5)
 
 
 def passes(target: Column, score: Column) -> Column:

@@ -18,11 +18,13 @@ def matches(source: DataFrame, targets: DataFrame, dictionary: DataFrame, keys:
     """Events of dictionary matches: keys, src_pos, source_term, target_term, rank, is_primary, score.
 
     ``source`` has a row for each occurrence (pos, term), ``targets`` each different target term of a verse. Of an
-    occurrence's translations in the verse the longest is the primary one, ties by code point.
+    occurrence's translations in the verse the longest is the primary one, ties by code point. An occurrence travels to
+    its verse once, with its translations in one array; what follows lies where the verse does.
     """
-    found = probes(source).join(dictionary.select(F.col("term").alias("k"), F.col("target").alias("target_term")), "k")
-    found = found.select(*keys, F.col("pos").alias("src_pos"), F.col("term").alias("source_term"), "target_term")
-    found = found.join(targets.select(*keys, F.col("term").alias("target_term")), [*keys, "target_term"]).distinct()
+    entries = dictionary.groupBy(F.col("term").alias("k")).agg(F.collect_set("target").alias("translations"))
+    held = targets.groupBy(*keys).agg(F.collect_set("term").alias("held"))
+    met = probes(source).join(entries, "k").select(*keys, F.col("pos").alias("src_pos"), F.col("term").alias("source_term"), "translations").join(held, keys)
+    found = met.select(*keys, "src_pos", "source_term", F.explode(F.array_intersect("translations", "held")).alias("target_term")).distinct()
     rank = F.row_number().over(Window.partitionBy(*keys, "src_pos").orderBy(F.length("target_term").desc(), "target_term"))
     found = found.withColumn("rank", rank).withColumn("is_primary", F.col("rank") == 1)
     return found.select(*keys, "src_pos", "source_term", "target_term", "rank", "is_primary", F.when(F.col("is_primary"), PRIMARY).otherwise(ALTERNATIVE).alias("score"))

@@ -5,24 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import combined, may_pass, passes, sequence_ratio
+from ..functions.similarity import combined, may_pass, numbered, passes, probes_of, sequence_ratio
 from .dictionary import probes
 
 
 def matches(source: DataFrame, targets: DataFrame, dictionary: DataFrame, keys: list[str]) -> DataFrame:
     """keys, source_term, target_term, translation, similarity: for each source and target the most similar translation above the threshold.
 
-    ``source`` and ``targets`` are what the dictionary left (term); ``dictionary`` has term, target, pinyin, ord. A
-    native filter keeps pairs whose places and lengths allow a pass, and each different pair of words is scored once. Of
-    equal scores the entry of the word itself comes before that of "to " and the word, then the earlier entry.
+    ``source`` and ``targets`` are what the dictionary left (term); ``dictionary`` has term, target, pinyin, ord. Only
+    words of a verse that share a probe are paired, a native bound keeps pairs that can pass, and each different pair of
+    words is scored once. Of equal scores the entry of the word itself comes before that of "to " and the word, then the
+    earlier entry.
     """
     entries = dictionary.select(F.col("term").alias("k"), F.col("target").alias("translation"), F.col("pinyin").alias("sound"), "ord")
     known = probes(source).join(entries, "k").select(*keys, F.col("term").alias("source_term"), "translation", "sound", "ord", (F.col("k") == F.lower("term")).alias("direct"))
-    pairs = known.join(targets.select(*keys, F.col("term").alias("target_term"), F.col("pinyin").alias("target_sound")), keys).where(F.length("target_term") >= 2)
-    pairs = pairs.where(may_pass(F.col("target_term"), F.col("translation")))
-    words = ["target_term", "translation", "target_sound", "sound"]
+    words = ["target_term", "target_sound", "translation", "sound"]
+    pairs = candidates(known, targets.select(*keys, F.col("term").alias("target_term"), F.col("pinyin").alias("target_sound")), keys).select(*keys, *words).distinct()
     scored = pairs.select(*words).distinct().withColumn("ratio", sequence_ratio("target_sound", "sound"))
     scored = scored.withColumn("similarity", combined(F.col("target_term"), F.col("translation"), F.col("ratio"))).where(passes(F.col("target_term"), F.col("similarity"))).drop("ratio")
-    found = pairs.join(scored, words)
+    found = known.join(pairs.join(scored, words), [*keys, "translation", "sound"])
     best = F.max_by(F.struct("translation", "similarity"), F.struct("similarity", "direct", -F.col("ord"), "translation")).alias("b")
     return found.groupBy(*keys, "source_term", "target_term").agg(best).select(*keys, "source_term", "target_term", "b.translation", "b.similarity")
+
+
+def candidates(known: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of a verse's translations (translation, sound) and targets (target_term, target_sound) that can pass, some more than once.
+
+    Both sides are indexed by their probes, so the join is one of equality on verse and probe.
+    """
+    left = known.select(*keys, "translation", "sound").distinct().withColumn("own", numbered(F.col("sound")))
+    left = left.withColumn("probe", F.explode(probes_of(F.col("translation"), F.col("own"))))
+    right = targets.where(F.length("target_term") >= 2).distinct().withColumn("other", numbered(F.col("target_sound")))
+    right = right.withColumn("probe", F.explode(probes_of(F.col("target_term"), F.col("other"))))
+    return left.join(right, [*keys, "probe"]).where(may_pass(F.col("target_term"), F.col("translation"), F.col("other"), F.col("own")))

@@ -155,7 +155,7 @@ SELECT book, verse, 'target' AS side, term FROM targets t WHERE NOT EXISTS (SELE
 def dictionary_residual(spark: SparkSession, sf: str) -> DataFrame:
     v = _verses(spark, sf)
     source, targets = tokens(v, KEYS, "source_text"), distinct_terms(v, KEYS, "target_text")
-    found = dictionary.matches(source, targets, _dictionary(spark, sf), KEYS)
+    found = store.cut(dictionary.matches(source, targets, _dictionary(spark, sf), KEYS))
     left = dictionary.residual_sources(source, found, KEYS).select(*KEYS, F.lit("source").alias("side"), "term")
     return left.unionByName(dictionary.residual_targets(targets, found.where("is_primary"), KEYS).select(*KEYS, F.lit("target").alias("side"), "term"))
 
@@ -178,7 +178,7 @@ def char_length_similarity(spark: SparkSession, sf: str) -> DataFrame:
 def similarity_match(spark: SparkSession, sf: str) -> DataFrame:
     v = _verses(spark, sf)
     source, targets, entries = tokens(v, KEYS, "source_text"), distinct_terms(v, KEYS, "target_text"), _dictionary(spark, sf).withColumn("pinyin", F.col("target"))
-    found = dictionary.matches(source, targets, entries, KEYS)
+    found = store.cut(dictionary.matches(source, targets, entries, KEYS))
     left = dictionary.residual_targets(targets, found.where("is_primary"), KEYS).withColumn("pinyin", F.col("term"))
     got = similarity.matches(dictionary.residual_sources(source, found, KEYS), left, entries, KEYS)
     return got.withColumn("similarity", F.round("similarity", 6))

@@ -1,3 +1,4 @@
+import difflib
 import os
 import random
 import subprocess
@@ -122,6 +123,27 @@ def test_packing(spark):
     assert _packed(books[1]) == [[60, 30], [20, 40, 15]] and len(_packed(books[2])) == 1
 
 
+def test_similarity_pairs_lose_none_that_passes(spark):
+    rng = random.Random(12)
+    make = lambda pool, most: "".join(rng.choice(pool) for _ in range(rng.randint(0, most)))
+    left = sorted({(make("abz神子", 6), make("abcEz ", 8)) for _ in range(250)} | {("ab", ""), ("abc", "")})
+    right = sorted({(make("abz神子", 6), make("abcEz ", 8)) for _ in range(250)} | {("ab", ""), ("abd", "")})
+    want = set()
+    for u, b in left:
+        for t, a in right:
+            n, m = len(t), len(u)
+            same = sum(x == y for x, y in zip(t, u, strict=True)) / n if n == m and n else 0.0
+            even = 1 - 0.5 * abs(n - m) / max(n, m, 1) if n and m else 0.0
+            score = 0.4 * same + 0.4 * difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() + 0.2 * even
+            if n >= 2 and score > (0.7 if n == 2 else 0.5) + 1e-9:
+                want.add((u, b, t, a))
+    known = spark.createDataFrame([(1, *x) for x in left], "verse int, translation string, sound string")
+    found = similarity.candidates(known, spark.createDataFrame([(1, *x) for x in right], "verse int, target_term string, target_sound string"), V)
+    got = {tuple(r) for r in found.select("translation", "sound", "target_term", "target_sound").collect()}
+    assert len(want) > 500 and want <= got and len(got) < len(left) * len(right) / 2
+    assert similarity.candidates(known.withColumn("sound", F.lit(None).cast("string")), found.select("verse", "target_term", "target_sound"), V).where("sound IS NOT NULL").isEmpty()
+
+
 def test_scans_over_long_books(spark, monkeypatch):
     monkeypatch.setattr(scan, "BLOCK", 4)  # several levels of blocks
     rng = random.Random(9)
