@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import GENERIC_DOMINANCE, has_generic_edge
 from ..shipping import ship
+from ..sources.store import cut
 
 LEAST, MOST_TIES, PRIMARY, ALTERNATIVE = 4, 9, 5.0, 4.0
 
@@ -59,18 +60,59 @@ def deciding(counts: DataFrame, batch: str) -> DataFrame:
     return strong.unionByName(safe).unionByName(contested)
 
 
+def strong_counts(source: DataFrame, targets: DataFrame, keys: list[str], batch: str) -> DataFrame:
+    """batch, source_term, target_term, cnt of the pairs that occur ``LEAST`` times or more.
+
+    ``source`` has each different term of a verse, ``targets`` also how often it counts (``times``). A pair occurs at most
+    as often as its target does in the batch, and as the source's verses' most frequent targets do together, so terms that
+    can't reach ``LEAST`` leave before pairs are made.
+    """
+    most = targets.groupBy(*keys).agg(F.max("times").alias("most"))
+    lead = source.join(most, keys).groupBy(batch, "term").agg(F.sum("most").alias("most")).where(F.col("most") >= LEAST).select(batch, "term")
+    led = targets.groupBy(batch, "term").agg(F.sum("times").alias("all")).where(F.col("all") >= LEAST).select(batch, "term")
+    own = source.join(lead, [batch, "term"], "left_semi").select(*keys, F.col("term").alias("source_term"))
+    other = targets.join(led, [batch, "term"], "left_semi").select(*keys, F.col("term").alias("target_term"), "times")
+    return own.join(other, keys).groupBy(batch, "source_term", "target_term").agg(F.sum("times").alias("cnt")).where(F.col("cnt") >= LEAST)
+
+
+def deciding_in_verses(source: DataFrame, targets: DataFrame, keys: list[str], batch: str) -> DataFrame:
+    """``deciding`` of the co-occurrences of verses, which are never counted as a whole.
+
+    Weak pairs only tell that there is a free target, so one uncontested target a verse stands for all, and their counts,
+    which decide nothing, are given as 1.
+    """
+    own, other = source.select(*keys, F.col("term").alias("source_term")), targets.select(*keys, F.col("term").alias("target_term"))
+    strong = cut(strong_counts(source, targets, keys, batch))
+    places = own.join(strong.select(batch, "source_term").distinct(), [batch, "source_term"], "left_semi")
+    spare = other.join(strong.select(batch, "target_term").distinct(), [batch, "target_term"], "left_anti").groupBy(*keys).agg(F.min("target_term").alias("target_term"))
+    safe = cut(places.join(spare, keys).groupBy(batch, "source_term").agg(F.min("target_term").alias("target_term")))
+    bare = places.join(safe.select(batch, "source_term"), [batch, "source_term"], "left_anti")
+    contested = bare.join(other, keys).select(batch, "source_term", "target_term").distinct().join(strong, [batch, "source_term", "target_term"], "left_anti")
+    return strong.unionByName(safe.unionByName(contested).withColumn("cnt", F.lit(1).cast("long")))
+
+
 def learn(counts: DataFrame, batch: str, chinese: bool = False) -> DataFrame:
-    """Events of a batch's dominance learning: batch, source_term, target_term, cnt, is_primary, score.
+    """Events of a batch's dominance learning: batch, source_term, target_term, cnt, is_primary, score."""
+    return claimed(deciding(counts, batch), batch, chinese)
+
+
+def learn_in_verses(source: DataFrame, targets: DataFrame, keys: list[str], batch: str, chinese: bool = False) -> DataFrame:
+    """``learn`` of the co-occurrences of verses: ``source`` (term) and ``targets`` (term, times) by ``keys``."""
+    return claimed(deciding_in_verses(source, targets, keys, batch), batch, chinese)
+
+
+def claimed(pairs: DataFrame, batch: str, chinese: bool = False) -> DataFrame:
+    """What the sources of each batch claim of the deciding pairs.
 
     Claiming is ordered, so each batch, of bounded size by its making, is one group; only pairs that can decide a claim
     go there.
     """
     generic = frozenset(GENERIC_DOMINANCE) if chinese else frozenset()
-    kind = counts.schema[batch].dataType.simpleString()
-    ship(counts.sparkSession)
+    kind = pairs.schema[batch].dataType.simpleString()
+    ship(pairs.sparkSession)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got = claim(list(zip(pdf["source_term"], pdf["target_term"], pdf["cnt"], strict=True)), generic)
         return pd.DataFrame([(key[0], s, t, c, p, PRIMARY if p else ALTERNATIVE) for s, t, c, p in got], columns=[batch, "source_term", "target_term", "cnt", "is_primary", "score"])
 
-    return deciding(counts, batch).groupBy(batch).applyInPandas(run, f"{batch} {kind}, source_term string, target_term string, cnt long, is_primary boolean, score double")
+    return pairs.groupBy(batch).applyInPandas(run, f"{batch} {kind}, source_term string, target_term string, cnt long, is_primary boolean, score double")

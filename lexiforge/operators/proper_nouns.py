@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import name_score
 from ..functions.text import GENERIC_NAMES, expected_length, has_generic_edge, is_proper, starts_with_liaison
 from ..shipping import ship
+from ..sources.store import cut
 
 LEAST, LEAST_AGAIN, DEFAULT, WEIGHT = 0.56, 0.5, 0.6, 6.0
 
@@ -23,12 +24,37 @@ def equal_counts(names: DataFrame, counts: DataFrame, batch: list[str]) -> DataF
     return counts.join(names.withColumnRenamed("term", "source_term"), [*batch, "source_term"]).where("cnt = occurrences").select(*batch, "source_term", "target_term", "cnt")
 
 
+def equal_counts_in_verses(names: DataFrame, source: DataFrame, targets: DataFrame, keys: list[str], batch: str, chinese: bool) -> DataFrame:
+    """``equal_counts`` of the co-occurrences of verses, which are never counted as a whole, within the rules for Chinese names.
+
+    ``source`` has each different term of a verse, ``targets`` (term, times) also ``total``, how often it counts in the
+    batch. A name of one verse has the targets that count there as often as the name does, so nothing is summed for it;
+    where all claims are alike (targets that aren't Chinese), the first such name of a verse gets all that any would.
+    """
+    placed = source.join(names, [batch, "term"]).select(*keys, F.col("term").alias("source_term"), "occurrences")
+    once = placed.groupBy(batch, "source_term").agg(F.count("*").alias("verses"))
+    placed = cut(placed.join(once, [batch, "source_term"]))
+    single = placed.where("verses = 1")
+    single = single.select(*keys, "source_term", "occurrences") if chinese else single.groupBy(*keys, "occurrences").agg(F.min("source_term").alias("source_term"))
+    other = targets.select(*keys, F.col("term").alias("target_term"), "times", "total")
+    met = lambda rows: rows.join(other.where(may_name(F.col("target_term"))) if chinese else other, keys).where(expected_length(F.col("source_term"), F.col("target_term")) if chinese else F.lit(True))
+    found = met(single).where("times = occurrences").select(batch, "source_term", "target_term", F.col("times").alias("cnt"))
+    pairs = met(placed.where("verses > 1")).where("total >= occurrences")
+    summed = pairs.groupBy(batch, "source_term", "target_term", "occurrences").agg(F.sum("times").alias("cnt")).where("cnt = occurrences")
+    return found.unionByName(summed.select(batch, "source_term", "target_term", "cnt"))
+
+
+def may_name(target: Column) -> Column:
+    """What a Chinese target must be to be a name's, whatever the name."""
+    return (F.length(target) >= 2) & ~has_generic_edge(target, GENERIC_NAMES) & ~starts_with_liaison(target)
+
+
 def scored(pairs: DataFrame, language: str, chinese: bool) -> DataFrame:
     """``similarity`` of candidate pairs (source_term, target_term, sound, target_sound), within the length and edge rules."""
     if not chinese:
         return pairs.withColumn("similarity", F.lit(DEFAULT))
     t = F.col("target_term")
-    rows = pairs.where((F.length(t) >= 2) & ~has_generic_edge(t, GENERIC_NAMES) & expected_length(F.col("source_term"), t) & ~starts_with_liaison(t))
+    rows = pairs.where(may_name(t) & expected_length(F.col("source_term"), t))
     bonus = F.when(F.length(t).between(2, 4), 0.2).otherwise(0.0)
     return rows.withColumn("similarity", name_score("sound", "target_sound", F.lit(language)) + bonus)
 
