@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,26 +12,28 @@ from pyspark.sql.types import DoubleType
 from ..shipping import ship
 
 
+def clipped(h: list, r: list, longest: int) -> list[int]:
+    """How many n-grams of each length up to ``longest`` two lists of tokens share, repeats included."""
+    grams = lambda t, n: Counter(zip(*[t[i:] for i in range(n)], strict=False))
+    return [(grams(h, n) & grams(r, n)).total() for n in range(1, longest + 1)]
+
+
 def bleu(rows: DataFrame, keys: list[str], hypothesis: str, reference: str, longest: int = 4, smoothing: float = 0.1) -> DataFrame:
-    """Sentence BLEU of two columns of token arrays: clipped n-gram precision, a small numerator where nothing matches, 0 without a matching word, brevity penalty."""
-    sizes = F.array(*[F.lit(i) for i in range(1, longest + 1)])
-
-    def grams(c: str):
-        t = F.col(c)
-        return F.flatten(F.transform(sizes, lambda n: F.transform(F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(n.alias("n"), F.array_join(F.slice(t, i, n), " ").alias("g")))))
-
-    def side(c: str, h: int):
-        return F.transform(grams(c), lambda x: F.struct(x.n.alias("n"), x.g.alias("g"), F.lit(h).alias("h")))
-
-    both = F.concat(side(hypothesis, 1), side(reference, 0))
-    # One shuffle, of the rows; all counting happens where a row lies.
-    spread = rows.repartition(*keys).select(*keys, F.size(hypothesis).alias("hl"), F.size(reference).alias("rl"), F.explode_outer(both).alias("x"))
-    counted = spread.groupBy(*keys, "hl", "rl", "x.n", "x.g").agg(F.sum("x.h").alias("h"), F.sum(1 - F.col("x.h")).alias("r"))
-    clipped = [F.sum(F.when(F.col("n") == i, F.least("h", "r")).otherwise(0)).alias(f"m{i}") for i in range(1, longest + 1)]
-    found = counted.groupBy(*keys, "hl", "rl").agg(*clipped)
-    logs = sum((F.ln(F.when(F.coalesce(F.col(f"m{i}"), F.lit(0)) > 0, F.col(f"m{i}")).otherwise(F.lit(smoothing)) / F.greatest(F.lit(1), F.col("hl") - (i - 1))) for i in range(1, longest + 1)), F.lit(0.0)) / longest
+    """Sentence BLEU of two columns of token arrays: clipped n-gram precision, a small numerator where nothing matches, 0 without a matching word, brevity penalty.
+
+    N-grams are counted where a row lies, one row at a time: nothing is shuffled and nothing grows with the table.
+    """
+    ship(rows.sparkSession)
+
+    @F.pandas_udf("array<long>")
+    def shared(h: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([clipped(list(x), list(y), longest) if x is not None and y is not None else [0] * longest for x, y in zip(h, r, strict=True)], dtype="object")
+
+    found = rows.select(*keys, F.size(hypothesis).alias("hl"), F.size(reference).alias("rl"), shared(hypothesis, reference).alias("m"))
+    m = [F.element_at("m", i) for i in range(1, longest + 1)]
+    logs = sum((F.ln(F.when(x > 0, x).otherwise(F.lit(smoothing)) / F.greatest(F.lit(1), F.col("hl") - i)) for i, x in enumerate(m)), F.lit(0.0)) / longest
     brevity = F.when(F.col("hl") > F.col("rl"), 1.0).otherwise(F.exp(1 - F.col("rl") / F.greatest(F.lit(1), F.col("hl"))))
-    return found.select(*keys, F.when(F.coalesce(F.col("m1"), F.lit(0)) == 0, 0.0).otherwise(brevity * F.exp(logs)).alias("bleu"))
+    return found.select(*keys, F.when(m[0] == 0, 0.0).otherwise(brevity * F.exp(logs)).alias("bleu"))
 
 
 def common_subsequence(a: list, b: list) -> int:

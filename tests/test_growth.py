@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.operators import dominance, proper_nouns
+from lexiforge.functions import metrics
+from lexiforge.operators import dominance, lattice, proper_nouns
 from lexiforge.plans import learning
 
 ENTRY = "term string, target string, pinyin string, ord long"
@@ -71,3 +72,19 @@ def test_a_run_does_not_shuffle_all_pairs_of_a_long_verse(spark, language):
     before = shuffled(spark)
     assert learning.run(verses, spark.createDataFrame([], ENTRY), learning.Languages(source=language)).count() == 0
     assert shuffled(spark) - before < 2_000_000  # 2.25 million pairs
+
+
+def test_bleu_shuffles_nothing_and_counts_repeats(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "a", "b"], ["a", "b", "a", "c"]), (2, [], ["a"]), (3, ["x"], [])], "k int, h array<string>, r array<string>")
+    assert metrics.clipped(["a", "b", "a", "b"], ["a", "b", "a", "c"], 4) == [3, 2, 1, 0]
+    found = metrics.bleu(rows, ["k"], "h", "r")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["k"]: r["bleu"] for r in found.collect()}
+    assert got[1] == pytest.approx((3 / 4 * 2 / 3 * 1 / 2 * 0.1) ** 0.25) and got[2] == got[3] == 0.0
+
+
+def test_a_small_dictionary_goes_to_the_edges_of_a_lattice(spark):
+    runs = spark.createDataFrame([("".join(chr(0x4E00 + (i * i + j) % 900) for i in range(2000)),) for j in range(40)], "run string")
+    before = shuffled(spark)
+    assert lattice.cut_runs(runs, spark.createDataFrame([("一丁", 3)], "word string, n long")).count() == 40
+    assert shuffled(spark) - before < 2_000_000  # 640,000 edges
