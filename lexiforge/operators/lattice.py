@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..sources.store import cut
 
 #: Han runs, other letters and digits, and any other character that isn't white space.
 PARTS = r"[一-鿿]+|[A-Za-z0-9À-ɏ]+|[^\s]"
@@ -67,6 +68,7 @@ def cut_runs(runs: DataFrame, words: DataFrame, longest: int = LONGEST) -> DataF
     """run, tokens of each different run (``run``) by a dictionary (word, n)."""
     ship(runs.sparkSession)
     costs, unknown = word_costs(words.where(F.length("word").between(1, longest)))
+    costs = cut(costs)  # its size is known then: the runs' edges, many times their texts, only travel where it is large
     named = runs.select("run").distinct().select("run", F.xxhash64("run").alias("one"), F.xxhash64(F.lit(1), "run").alias("two"))
     n = F.length("run")
     ends = named.select("one", "two", "run", F.explode(F.sequence(F.lit(1), n)).alias("end"))
