@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import combined, may_pass, numbered, passes, probes_of, sequence_ratio
+from ..sources.store import cut
 from .dictionary import probes
 
 
@@ -21,8 +22,10 @@ def matches(source: DataFrame, targets: DataFrame, dictionary: DataFrame, keys:
     known = probes(source).join(entries, "k").select(*keys, F.col("term").alias("source_term"), "translation", "sound", "ord", (F.col("k") == F.lower("term")).alias("direct"))
     words = ["target_term", "target_sound", "translation", "sound"]
     pairs = candidates(known, targets.select(*keys, F.col("term").alias("target_term"), F.col("pinyin").alias("target_sound")), keys).select(*keys, *words).distinct()
+    pairs = cut(pairs)
     scored = pairs.select(*words).distinct().withColumn("ratio", sequence_ratio("target_sound", "sound"))
     scored = scored.withColumn("similarity", combined(F.col("target_term"), F.col("translation"), F.col("ratio"))).where(passes(F.col("target_term"), F.col("similarity"))).drop("ratio")
+    scored = cut(scored)  # its size is known then: pairs only travel to it where it is large
     found = known.join(pairs.join(scored, words), [*keys, "translation", "sound"])
     best = F.max_by(F.struct("translation", "similarity"), F.struct("similarity", "direct", -F.col("ord"), "translation")).alias("b")
     return found.groupBy(*keys, "source_term", "target_term").agg(best).select(*keys, "source_term", "target_term", "b.translation", "b.similarity")
@@ -31,10 +34,18 @@ def matches(source: DataFrame, targets: DataFrame, dictionary: DataFrame, keys:
 def candidates(known: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of a verse's translations (translation, sound) and targets (target_term, target_sound) that can pass, some more than once.
 
-    Both sides are indexed by their probes, so the join is one of equality on verse and probe.
+    Both sides are dealt by verse as they are; probes are made, met and dropped where the verse lies. Nulls meet nothing.
     """
-    left = known.select(*keys, "translation", "sound").distinct().withColumn("own", numbered(F.col("sound")))
-    left = left.withColumn("probe", F.explode(probes_of(F.col("translation"), F.col("own"))))
-    right = targets.where(F.length("target_term") >= 2).distinct().withColumn("other", numbered(F.col("target_sound")))
-    right = right.withColumn("probe", F.explode(probes_of(F.col("target_term"), F.col("other"))))
-    return left.join(right, [*keys, "probe"]).where(may_pass(F.col("target_term"), F.col("translation"), F.col("other"), F.col("own")))
+    pair = lambda word, sound, numbers: F.struct(F.col(word).alias("w"), F.col(sound).alias("s"), numbers.alias("n"))
+    none = F.lit(None).cast("string")
+    left = known.select(*keys, "translation", "sound", none.alias("target_term"), none.alias("target_sound"), F.lit(True).alias("own"))
+    right = targets.where(F.length("target_term") >= 2).select(*keys, none.alias("translation"), none.alias("sound"), "target_term", "target_sound", F.lit(False).alias("own"))
+    dealt = left.unionByName(right).repartition(*keys).distinct()
+    dealt = dealt.select(*keys, "own", F.when(F.col("own"), F.col("translation")).otherwise(F.col("target_term")).alias("word"), F.when(F.col("own"), F.col("sound")).otherwise(F.col("target_sound")).alias("spelt"))
+    dealt = dealt.withColumn("numbers", numbered(F.col("spelt")))
+    dealt = dealt.select("*", F.explode(probes_of(F.col("word"), F.col("numbers"))).alias("probe"))
+    side = lambda own: F.collect_list(F.when(F.col("own") == own, pair("word", "spelt", F.col("numbers"))))
+    met = dealt.groupBy(*keys, "probe").agg(side(True).alias("l"), side(False).alias("r")).where((F.size("l") > 0) & (F.size("r") > 0) & F.col("probe").isNotNull())
+    met = met.select(*keys, F.explode("l").alias("l"), "r").select(*keys, "l", F.explode("r").alias("r"))
+    met = met.where(may_pass(F.col("r.w"), F.col("l.w"), F.col("r.n"), F.col("l.n")))
+    return met.select(*keys, F.col("l.w").alias("translation"), F.col("l.s").alias("sound"), F.col("r.w").alias("target_term"), F.col("r.s").alias("target_sound"))

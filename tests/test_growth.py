@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.functions import metrics
-from lexiforge.operators import dominance, lattice, proper_nouns
+from lexiforge.operators import dominance, lattice, proper_nouns, similarity
 from lexiforge.plans import learning
 
 ENTRY = "term string, target string, pinyin string, ord long"
@@ -88,3 +88,11 @@ def test_a_small_dictionary_goes_to_the_edges_of_a_lattice(spark):
     before = shuffled(spark)
     assert lattice.cut_runs(runs, spark.createDataFrame([("一丁", 3)], "word string, n long")).count() == 40
     assert shuffled(spark) - before < 2_000_000  # 640,000 edges
+
+
+def test_probes_of_words_are_made_after_the_words_are_dealt(spark):
+    known = spark.createDataFrame([(1, "abcd", "abcd"), (1, None, "x"), (1, "y", None)], "verse int, translation string, sound string")
+    targets = spark.createDataFrame([(1, "abce", "abce"), (2, "abcd", "abcd")], "verse int, target_term string, target_sound string")
+    found = similarity.candidates(known, targets, ["verse"]).distinct()
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of the words; not even distinct pairs need another
+    assert [tuple(r) for r in found.collect()] == [(1, "abcd", "abcd", "abce", "abce")]
