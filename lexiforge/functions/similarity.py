@@ -165,9 +165,33 @@ def probes_of(word: Column, numbered_sound: Column) -> Column:
     either, in one order for all texts, there is one in common. Two empty sounds are alike.
     """
     n = F.size(numbered_sound)
-    places = F.transform(_characters(word), lambda ch, i: F.concat_ws(":", F.length(word), i, ch))
     first = F.slice(numbered_sound, F.lit(1), n - F.floor((n * 3 + 4) / 5).cast("int") + 1)
-    return F.concat(places, F.when(n == 0, F.array(F.lit("s"))).otherwise(F.transform(first, lambda x: F.concat(F.lit("s"), x))))
+    return F.concat(places(word), F.when(n == 0, F.array(F.lit("s"))).otherwise(F.transform(first, lambda x: F.concat(F.lit("s"), x))))
+
+
+def bits(tokens: Column) -> Column:
+    """A set of texts as two 64-bit masks of hashes, each with how many texts share another's bit there."""
+    bit = lambda x, seed: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x, F.lit(seed)), F.lit(64)).cast("int"))
+    mask = lambda seed: F.aggregate(tokens, F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(bit(x, seed)))
+    return F.struct(*[x for k, seed in (("a", 1), ("b", 2)) for x in (mask(seed).alias(k), (F.size(tokens) - F.bit_count(mask(seed))).alias(f"{k}_lost"))])
+
+
+def most_in_common(x: Column, y: Column) -> Column:
+    """At least as many as two sets of ``bits`` have in common: what they share keeps a common bit, but for texts that share one's own."""
+    return F.least(*[F.bit_count(x[k].bitwiseAND(y[k])) + x[f"{k}_lost"] for k in "ab"])
+
+
+def places(word: Column) -> Column:
+    """A word's characters with its length and their places."""
+    return F.transform(_characters(word), lambda ch, i: F.concat_ws(":", F.length(word), i, ch))
+
+
+def might_pass(target: Column, translation: Column, target_bits: Column, bits_: Column, target_places: Column, places_: Column, n: Column, m: Column) -> Column:
+    """All pairs that ``may_pass`` keeps, and some more, without a look at the characters; ``n`` and ``m``: lengths of the sounds."""
+    ratio = F.when(n + m > 0, 2.0 * most_in_common(bits_, target_bits) / (n + m)).otherwise(1.0)
+    place = F.when((F.length(target) == F.length(translation)) & (F.length(target) > 0), most_in_common(places_, target_places) / F.length(target)).otherwise(0.0)
+    score = 0.4 * place + 0.4 * ratio + 0.2 * length_factor(target, translation)
+    return score > F.when(F.length(target) == 2, 0.7).otherwise(0.5) - 1e-9
 
 
 def may_pass(target: Column, translation: Column, target_sound: Column, sound: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import combined, may_pass, numbered, passes, probes_of, sequence_ratio
+from ..functions.similarity import bits, combined, may_pass, might_pass, numbered, passes, places, probes_of, sequence_ratio
 from ..sources.store import cut
 from .dictionary import probes
 
@@ -36,16 +36,18 @@ def candidates(known: DataFrame, targets: DataFrame, keys: list[str]) -> DataFra
 
     Both sides are dealt by verse as they are; probes are made, met and dropped where the verse lies. Nulls meet nothing.
     """
-    pair = lambda word, sound, numbers: F.struct(F.col(word).alias("w"), F.col(sound).alias("s"), numbers.alias("n"))
     none = F.lit(None).cast("string")
     left = known.select(*keys, "translation", "sound", none.alias("target_term"), none.alias("target_sound"), F.lit(True).alias("own"))
     right = targets.where(F.length("target_term") >= 2).select(*keys, none.alias("translation"), none.alias("sound"), "target_term", "target_sound", F.lit(False).alias("own"))
     dealt = left.unionByName(right).repartition(*keys).distinct()
     dealt = dealt.select(*keys, "own", F.when(F.col("own"), F.col("translation")).otherwise(F.col("target_term")).alias("word"), F.when(F.col("own"), F.col("sound")).otherwise(F.col("target_sound")).alias("spelt"))
     dealt = dealt.withColumn("numbers", numbered(F.col("spelt")))
-    dealt = dealt.select("*", F.explode(probes_of(F.col("word"), F.col("numbers"))).alias("probe"))
-    side = lambda own: F.collect_list(F.when(F.col("own") == own, pair("word", "spelt", F.col("numbers"))))
+    dealt = dealt.select("*", F.struct(F.col("word").alias("w"), F.col("spelt").alias("s"), F.col("numbers").alias("n"), bits(F.col("numbers")).alias("b"), bits(places(F.col("word"))).alias("p")).alias("pair"))
+    dealt = dealt.select(*keys, "own", "pair", F.explode(probes_of(F.col("pair.w"), F.col("pair.n"))).alias("probe"))
+    side = lambda own: F.collect_list(F.when(F.col("own") == own, F.col("pair")))
     met = dealt.groupBy(*keys, "probe").agg(side(True).alias("l"), side(False).alias("r")).where((F.size("l") > 0) & (F.size("r") > 0) & F.col("probe").isNotNull())
     met = met.select(*keys, F.explode("l").alias("l"), "r").select(*keys, "l", F.explode("r").alias("r"))
+    # Masks tell most pairs apart before characters are compared.
+    met = met.where(might_pass(F.col("r.w"), F.col("l.w"), F.col("r.b"), F.col("l.b"), F.col("r.p"), F.col("l.p"), F.size("r.n"), F.size("l.n")))
     met = met.where(may_pass(F.col("r.w"), F.col("l.w"), F.col("r.n"), F.col("l.n")))
     return met.select(*keys, F.col("l.w").alias("translation"), F.col("l.s").alias("sound"), F.col("r.w").alias("target_term"), F.col("r.s").alias("target_sound"))

@@ -1,11 +1,14 @@
 """Steps whose work must grow with the input: the same results as plain versions, and what is shuffled."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.functions import metrics
+from lexiforge.functions import similarity as alike
+from lexiforge.functions.text import char_ngrams, chinese_words
 from lexiforge.operators import dominance, lattice, proper_nouns, similarity
 from lexiforge.plans import learning
 
@@ -96,3 +99,33 @@ def test_probes_of_words_are_made_after_the_words_are_dealt(spark):
     found = similarity.candidates(known, targets, ["verse"]).distinct()
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of the words; not even distinct pairs need another
     assert [tuple(r) for r in found.collect()] == [(1, "abcd", "abcd", "abce", "abce")]
+
+
+def test_ngrams_of_a_long_text_take_time_in_proportion(spark):
+    text = "".join("神天地光水人山大小中国王子"[(i * i + i // 7) % 13] for i in range(200_000))
+    start = time.time()
+    got = spark.createDataFrame([(text,)], "t string").repartition(1).select(F.size(char_ngrams(F.col("t"))).alias("n"), F.size(chinese_words(F.col("t"))).alias("w")).first()
+    assert got["n"] == 4 * len(text) - 6 and got["w"] == len({text[i : i + k] for k in range(1, 5) for i in range(len(text) - k + 1)})
+    assert time.time() - start < 60  # each substring was sought from the text's start
+
+
+def test_ngrams_are_those_of_slices_in_order(spark):
+    rows = ["", None, "a", "12", "1\n", "是天", "天又山", "\U0001f600天\U0001f600\U0001f600地x", "ab cd，天地就在", "的的", "１２天", '"天"', "天地人天地人"]
+    for r in spark.createDataFrame([(x,) for x in rows], "t string").select("t", char_ngrams(F.col("t")).alias("g"), chinese_words(F.col("t")).alias("w")).collect():
+        t = r["t"] or ""
+        grams = [t[i : i + k] for i in range(len(t)) for k in range(1, 5) if i + k <= len(t)]
+        assert r["g"] == grams
+        bad = lambda g: set(g) & set("，。：；！？「」（）、\"…—·的了是在就也都") or g[0] in "是就的了又" or g[-1] in "是就的了又" or g.rstrip("\n").isdecimal()
+        assert r["w"] == [g for g in dict.fromkeys(grams) if not bad(g)]
+
+
+def test_masks_keep_all_pairs_that_may_pass_and_few_others(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdéfgh神天地光水人") for _ in range(r.randint(0, 6)))
+    rows = [(word(), word(), word(), word()) for _ in range(5000)] + [(w, w, w + "x", w[:-1]) for w in (word() for _ in range(500))]
+    c = F.col
+    pairs = spark.createDataFrame(rows, "w string, s string, t string, u string").withColumn("sn", alike.numbered(c("s"))).withColumn("un", alike.numbered(c("u")))
+    bits = [alike.bits(x) for x in (c("un"), c("sn"), alike.places(c("t")), alike.places(c("w")))]
+    got = pairs.select(alike.might_pass(c("t"), c("w"), *bits, F.size("un"), F.size("sn")).alias("might"), alike.may_pass(c("t"), c("w"), c("un"), c("sn")).alias("may"))
+    n = got.agg(F.count_if("may").alias("may"), F.count_if(c("may") & ~c("might")).alias("lost"), F.count_if("might").alias("might")).first()
+    assert n["may"] > 100 and n["lost"] == 0 and n["might"] < 1500
