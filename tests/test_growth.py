@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions import metrics
 from lexiforge.functions import similarity as alike
 from lexiforge.functions.text import char_ngrams, chinese_words
-from lexiforge.operators import dominance, lattice, proper_nouns, similarity
+from lexiforge.operators import dictionary, dominance, lattice, proper_nouns, similarity
 from lexiforge.plans import learning
 
 ENTRY = "term string, target string, pinyin string, ord long"
@@ -129,3 +129,20 @@ def test_masks_keep_all_pairs_that_may_pass_and_few_others(spark):
     got = pairs.select(alike.might_pass(c("t"), c("w"), *bits, F.size("un"), F.size("sn")).alias("might"), alike.may_pass(c("t"), c("w"), c("un"), c("sn")).alias("may"))
     n = got.agg(F.count_if("may").alias("may"), F.count_if(c("may") & ~c("might")).alias("lost"), F.count_if("might").alias("might")).first()
     assert n["may"] > 100 and n["lost"] == 0 and n["might"] < 1500
+
+
+def test_translations_do_not_travel_to_verses(spark):
+    entries = spark.createDataFrame([(f"s{i}", f"t{j}", "", i) for i in range(10) for j in range(2000)], ENTRY)
+    source = spark.createDataFrame([(v, p, f"S{p}") for v in range(300) for p in range(10)], "verse int, pos int, term string")
+    targets = spark.createDataFrame([(v, f"t{v}") for v in range(300)], "verse int, term string")
+    before = shuffled(spark)
+    found = dictionary.matches(source, targets, entries, ["verse"])
+    assert found.count() == 3000 and shuffled(spark) - before < 1_000_000  # 6 million translations
+
+
+def test_matches_of_words_that_share_a_place(spark):
+    entries = spark.createDataFrame([("a", "xx", "", 1), ("to a", "xxx", "", 2), ("to a", "xx", "", 3), ("b", "yyyy", "", 4), ("to ", "z", "", 5)], ENTRY)
+    source = spark.createDataFrame([(1, 0, "A"), (1, 0, "A"), (1, 0, "b"), (1, 1, None), (2, 0, "a")], "verse int, pos int, term string")
+    targets = spark.createDataFrame([(1, t) for t in ("xx", "xxx", "yyyy", "yyyy", None)], "verse int, term string")
+    got = dictionary.matches(source, targets, entries, ["verse"]).orderBy("rank").collect()
+    assert [tuple(r)[:5] for r in got] == [(1, 0, "b", "yyyy", 1), (1, 0, "A", "xxx", 2), (1, 0, "A", "xx", 3)]
