@@ -11,6 +11,8 @@ from ..shipping import ship
 from ..sources.store import cut
 
 LEAST, MOST_TIES, PRIMARY, ALTERNATIVE = 4, 9, 5.0, 4.0
+#: Pairs that a task counts, about.
+PAIRS = 1 << 20
 
 
 def candidates(counts: DataFrame, batch: list[str], chinese: bool = False) -> DataFrame:
@@ -70,9 +72,28 @@ def strong_counts(source: DataFrame, targets: DataFrame, keys: list[str], batch:
     most = targets.groupBy(*keys).agg(F.max("times").alias("most"))
     lead = source.join(most, keys).groupBy(batch, "term").agg(F.sum("most").alias("most")).where(F.col("most") >= LEAST).select(batch, "term")
     led = targets.groupBy(batch, "term").agg(F.sum("times").alias("all")).where(F.col("all") >= LEAST).select(batch, "term")
-    own = source.join(lead, [batch, "term"], "left_semi").select(*keys, F.col("term").alias("source_term"))
-    other = targets.join(led, [batch, "term"], "left_semi").select(*keys, F.col("term").alias("target_term"), "times")
-    return own.join(other, keys).groupBy(batch, "source_term", "target_term").agg(F.sum("times").alias("cnt")).where(F.col("cnt") >= LEAST)
+    own = source.join(lead, [batch, "term"], "left_semi").select(*keys, "term", F.lit(None).cast("long").alias("times"))
+    other = targets.join(led, [batch, "term"], "left_semi").select(*keys, "term", "times")
+    return _counted(own.unionByName(other), keys, batch).where(F.col("cnt") >= LEAST)
+
+
+def _counted(terms: DataFrame, keys: list[str], batch: str) -> DataFrame:
+    """batch, source_term, target_term, cnt of verses' sources (``times`` null) and targets.
+
+    Terms are dealt, not the pairs that they make: by batch, of which one with more than ``PAIRS`` pairs is dealt in
+    several parts, each with some of its source terms and all its targets.
+    """
+    terms = cut(terms)
+    sizes = terms.groupBy(*keys).agg((F.count_if(F.col("times").isNull()) * F.count("times")).alias("pairs")).groupBy(batch).agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
+    sizes = cut(sizes.select(batch, F.greatest(F.lit(1), F.ceil(F.col("pairs") / PAIRS)).cast("int").alias("parts"), "pairs"))
+    tasks = max(terms.sparkSession.sparkContext.defaultParallelism, -(-(sizes.agg(F.sum("pairs")).first()[0] or 0) // PAIRS))
+    rows = terms.join(sizes.select(batch, "parts"), batch)
+    own = rows.where("times IS NULL").withColumn("part", F.pmod(F.hash("term"), F.col("parts")))
+    other = rows.where("times IS NOT NULL").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = own.unionByName(other).repartition(tasks, batch, "part")
+    met = dealt.groupBy(batch, "part", *[k for k in keys if k != batch]).agg(F.collect_list(F.when(F.col("times").isNull(), F.col("term"))).alias("own"), F.collect_list(F.when(F.col("times").isNotNull(), F.struct("term", "times"))).alias("other"))
+    pairs = met.select(batch, "part", F.explode("own").alias("source_term"), "other").select(batch, "part", "source_term", F.explode("other").alias("x"))
+    return pairs.groupBy(batch, "part", "source_term", F.col("x.term").alias("target_term")).agg(F.sum("x.times").alias("cnt")).select(batch, "source_term", "target_term", "cnt")
 
 
 def deciding_in_verses(source: DataFrame, targets: DataFrame, keys: list[str], batch: str) -> DataFrame:

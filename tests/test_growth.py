@@ -146,3 +146,19 @@ def test_matches_of_words_that_share_a_place(spark):
     targets = spark.createDataFrame([(1, t) for t in ("xx", "xxx", "yyyy", "yyyy", None)], "verse int, term string")
     got = dictionary.matches(source, targets, entries, ["verse"]).orderBy("rank").collect()
     assert [tuple(r)[:5] for r in got] == [(1, 0, "b", "yyyy", 1), (1, 0, "A", "xxx", 2), (1, 0, "A", "xx", 3)]
+
+
+def test_pairs_are_counted_where_their_batch_lies(spark):
+    source = spark.createDataFrame([(b, v, f"s{i}") for b in range(3) for v in range(4) for i in range(250)], "book long, verse long, term string")
+    targets = spark.createDataFrame([(b, v, f"t{i}", 1) for b in range(3) for v in range(4) for i in range(250)], "book long, verse long, term string, times long")
+    before = shuffled(spark)
+    assert dominance.strong_counts(source, targets, KEYS, "book").count() == 3 * 250 * 250
+    assert shuffled(spark) - before < 500_000  # 750,000 pairs
+
+
+def test_a_large_batch_is_counted_in_parts(spark, verses_of_terms, monkeypatch):
+    source, targets = verses_of_terms
+    monkeypatch.setattr(dominance, "PAIRS", 20)
+    got = dominance.strong_counts(source, targets, KEYS, "book")
+    want = counted(source, targets).where(F.col("cnt") >= dominance.LEAST)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) != []
