@@ -11,6 +11,7 @@ from lexiforge.functions import similarity as alike
 from lexiforge.functions.text import char_ngrams, chinese_words
 from lexiforge.operators import dictionary, dominance, lattice, proper_nouns, similarity
 from lexiforge.plans import learning
+from lexiforge.sources import store
 
 ENTRY = "term string, target string, pinyin string, ord long"
 KEYS = ["book", "verse"]
@@ -162,3 +163,16 @@ def test_a_large_batch_is_counted_in_parts(spark, verses_of_terms, monkeypatch):
     got = dominance.strong_counts(source, targets, KEYS, "book")
     want = counted(source, targets).where(F.col("cnt") >= dominance.LEAST)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect())) != []
+
+
+def largest(rows):
+    """The most rows that one task holds."""
+    return rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+
+
+def test_matches_of_many_verses_are_dealt_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(store, "ROWS", 100, raising=False)
+    source = spark.range(4000).select((F.col("id") % 1000).alias("verse"), F.col("id").alias("pos"), F.lit("A").alias("term"))
+    targets = spark.range(1000).select(F.col("id").alias("verse"), F.lit("b").alias("term"))
+    found = dictionary.matches(source, targets, spark.createDataFrame([("a", "b", "", 1)], ENTRY), ["verse"])
+    assert found.count() == 4000 and largest(found) < 400  # as two words and their target take part in a row each
