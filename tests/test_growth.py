@@ -176,3 +176,11 @@ def test_matches_of_many_verses_are_dealt_over_many_tasks(spark, monkeypatch):
     targets = spark.range(1000).select(F.col("id").alias("verse"), F.lit("b").alias("term"))
     found = dictionary.matches(source, targets, spark.createDataFrame([("a", "b", "", 1)], ENTRY), ["verse"])
     assert found.count() == 4000 and largest(found) < 400  # as two words and their target take part in a row each
+
+
+def test_batches_come_in_the_order_of_their_first_events_dealt_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(store, "ROWS", 100, raising=False)
+    verses = spark.range(900).select((F.col("id") % 90).alias("book"), F.col("id").alias("verse"), F.lit("alpha x alpha").alias("source_text"), F.lit("gamma").alias("target_text"))
+    events = learning.dictionary_events(verses, spark.createDataFrame([("alpha", "gamma", "", 1)], ENTRY))
+    assert largest(events) < 300
+    assert [r[0] for r in store.batches_processed(events).collect()] == [str(b) for b in range(90)]
