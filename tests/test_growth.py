@@ -184,3 +184,26 @@ def test_batches_come_in_the_order_of_their_first_events_dealt_over_many_tasks(s
     events = learning.dictionary_events(verses, spark.createDataFrame([("alpha", "gamma", "", 1)], ENTRY))
     assert largest(events) < 300
     assert [r[0] for r in store.batches_processed(events).collect()] == [str(b) for b in range(90)]
+
+
+def test_residuals_are_those_of_plain_sets_dealt_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(store, "ROWS", 100, raising=False)
+    r = random.Random(11)
+    source = [(v, p, r.choice(["A", "a", "B", "c", "d", None])) for v in range(600) for p in range(r.randint(0, 6))]
+    events = [(v, p, s, r.choice(["x", "xy"]), r.random() < 0.5) for v, p, s in source if s and r.random() < 0.4] + [(v, 0, "absent", "z", True) for v in range(0, 600, 7)]
+    targets = [(v, t) for v in range(600) for t in r.sample(["x", "axb", "xy", "axyb", "y", "w"], r.randint(0, 6))]
+    table = spark.createDataFrame(source, "verse int, pos int, term string")
+    found = spark.createDataFrame(events, "verse int, src_pos int, source_term string, target_term string, is_primary boolean")
+    times = {}
+    for v, _, s in source:
+        times[v, s] = times.get((v, s), 0) + 1
+    used = {(v, s) for v, _, s, _, _ in events}
+    left = dictionary.residual_sources(table, found, ["verse"])
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(str(k) for k, n in times.items() if n > 1 or k not in used)
+    held = {}
+    for v, _, _, t, primary in events:
+        if primary:
+            held.setdefault(v, set()).add(t)
+    rest = dictionary.residual_targets(spark.createDataFrame(targets, "verse int, term string"), found.where("is_primary"), ["verse"])
+    assert sorted(map(tuple, rest.collect())) == sorted((v, t) for v, t in targets if not any(h in t for h in held.get(v, ())))
+    assert largest(left) < 300 and largest(rest) < 300
