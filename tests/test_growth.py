@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexiforge.functions import metrics
 from lexiforge.functions import similarity as alike
 from lexiforge.functions.text import char_ngrams, chinese_words
-from lexiforge.operators import dictionary, dominance, lattice, proper_nouns, similarity
+from lexiforge.operators import dictionary, dominance, lattice, learned, proper_nouns, similarity
 from lexiforge.plans import learning
 from lexiforge.sources import store
 
@@ -207,3 +207,25 @@ def test_residuals_are_those_of_plain_sets_dealt_over_many_tasks(spark, monkeypa
     rest = dictionary.residual_targets(spark.createDataFrame(targets, "verse int, term string"), found.where("is_primary"), ["verse"])
     assert sorted(map(tuple, rest.collect())) == sorted((v, t) for v, t in targets if not any(h in t for h in held.get(v, ())))
     assert largest(left) < 300 and largest(rest) < 300
+
+
+def test_first_events_of_terms_are_found_in_their_first_books(spark, monkeypatch):
+    monkeypatch.setattr(store, "ROWS", 100, raising=False)
+    r = random.Random(4)
+    made = [((r.randint(1, 60), r.choice([0, 1]), r.randint(0, 9), 0, i, None, 1, "t"), "dictionary", f"b{i % 7}", "v", f"s{r.randint(0, 40)}", "t", 1.0, r.random() < 0.7) for i in range(2000)]
+    events = spark.createDataFrame(made + made[:50], store.EVENTS)
+    first = {}
+    for e in made:
+        first[e[4]] = min(first.get(e[4], (99,)), e[0][:5])
+    got = learned.actions(events)
+    want = sorted((e[0][4], e[2], e[4], "learned" if first[e[4]] == e[0][:5] else "updated") for e in made if e[7])
+    assert sorted(map(tuple, got.select("seq.pos", "batch_reference", "source_term", "action").collect())) == want
+    assert largest(got) < 400
+    plan = learned.firsts(events)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan[plan.index("SortAggregate") :]  # what is sorted has been met with first books before
+
+
+def test_actions_of_events_in_any_order_column(spark):
+    rows = [(i, "m", "b", "v", s, "t", 1.0, p) for i, (s, p) in enumerate([("a", False), ("a", True), ("b", True), ("b", True)])]
+    got = learned.actions(spark.createDataFrame(rows, store.EVENTS.replace(store.SEQ, "LONG")))
+    assert sorted((x["seq"], x["action"]) for x in got.collect()) == [(1, "updated"), (2, "learned"), (3, "updated")]
