@@ -186,6 +186,22 @@ def test_batches_come_in_the_order_of_their_first_events_dealt_over_many_tasks(s
     assert [r[0] for r in store.batches_processed(events).collect()] == [str(b) for b in range(90)]
 
 
+def test_a_task_reads_few_rows_of_a_table_that_one_task_has_cut(spark, monkeypatch):
+    monkeypatch.setattr(store, "FILE_ROWS", 100, raising=False)
+    rows = spark.range(40_000).coalesce(1).select("id", F.lit("the").alias("term"))
+    got = store.cut(rows)
+    assert largest(got) <= 32 * 100 and got.exceptAll(rows).isEmpty() and got.count() == 40_000
+
+
+def test_batches_are_the_same_from_small_files_and_more_parts_than_are_written_without_a_buffer(spark, monkeypatch):
+    monkeypatch.setattr(store, "FILE_ROWS", 50, raising=False)
+    monkeypatch.setattr(store, "ROWS", 10)
+    verses = spark.range(900).select((F.col("id") % 90).alias("book"), F.col("id").alias("verse"), F.lit("alpha x alpha").alias("source_text"), F.lit("gamma").alias("target_text"))
+    events = learning.dictionary_events(verses, spark.createDataFrame([("alpha", "gamma", "", 1)], ENTRY))
+    assert events.count() == 1800 and largest(events) < 60  # 270 parts
+    assert [r[0] for r in store.batches_processed(events).collect()] == [str(b) for b in range(90)]
+
+
 def test_residuals_are_those_of_plain_sets_dealt_over_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(store, "ROWS", 100, raising=False)
     r = random.Random(11)
