@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import bits, combined, may_pass, might_pass, numbered, passes, places, probes_of, sequence_ratio
+from ..functions.text import lowered
 from ..sources.store import cut
 from .dictionary import probes
 
@@ -19,7 +20,7 @@ def matches(source: DataFrame, targets: DataFrame, dictionary: DataFrame, keys:
     earlier entry.
     """
     entries = dictionary.select(F.col("term").alias("k"), F.col("target").alias("translation"), F.col("pinyin").alias("sound"), "ord")
-    known = probes(source).join(entries, "k").select(*keys, F.col("term").alias("source_term"), "translation", "sound", "ord", (F.col("k") == F.lower("term")).alias("direct"))
+    known = probes(source).join(entries, "k").select(*keys, F.col("term").alias("source_term"), "translation", "sound", "ord", (F.col("k") == lowered("term")).alias("direct"))
     words = ["target_term", "target_sound", "translation", "sound"]
     pairs = candidates(known, targets.select(*keys, F.col("term").alias("target_term"), F.col("pinyin").alias("target_sound")), keys).select(*keys, *words).distinct()
     pairs = cut(pairs)

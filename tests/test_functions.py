@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.functions import metrics, text
 from lexiforge.functions.similarity import combined, name_similarity, passes, sequence_ratio, variants
+from lexiforge.operators.tokens import lemmas
 
 
 def one(spark, column, **values):
@@ -82,3 +83,17 @@ def test_meteor():
 def test_codes(spark):
     assert one(spark, text.mbart_code(F.col("a")), a="Klingon") == "en_XX"
     assert one(spark, text.stanza_code(F.col("a")), a="Hebrew") == "hbo"
+
+
+def test_lower_case_is_that_of_sql(spark):
+    """Java's depends on what stands beside a character; SQL's doesn't."""
+    import duckdb
+
+    for word in ("ΣΣ", "ΛΟΓΟΣ ΑΣ", "SOΣ.", "λόγος", "İş", "ÉÑß"):
+        assert one(spark, text.lowered("a"), a=word) == duckdb.execute("SELECT lower(?)", [word]).fetchone()[0]
+
+
+def test_lemmas_of_capitals_end_like_other_words(spark):
+    found = spark.createDataFrame([("ΣΣ",), ("ΑΣΣ",)], "term string")
+    got = lemmas(found, spark.createDataFrame([("ΣΣ", "ΣΣ", "ADJ")], "surface string, lemma string, upos string"))
+    assert sorted(r["term"] for r in got.collect()) == ["ασσ", "σσ"]
