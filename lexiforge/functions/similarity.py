@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -100,9 +101,14 @@ def name_similarity(source: str, pinyin: str, language: str) -> float:
     return min(1.0, (0.5 * direct + 0.3 * shared + 0.1 * near + 0.1 * most) * (0.5 if far else 1.0))
 
 
+@lru_cache(1 << 16)
+def _ratio(x: str, y: str) -> float:
+    return difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio()
+
+
 @F.pandas_udf(DoubleType())
 def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series([_ratio(x, y) if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def sequence_ratio(a: Column | str, b: Column | str) -> Column:
@@ -157,18 +163,6 @@ def numbered(sound: Column) -> Column:
     return F.transform(places, lambda x: F.concat(x["c"], F.when(x["o"] < 0, (-x["o"]).cast("string")).otherwise("")))
 
 
-def probes_of(word: Column, numbered_sound: Column) -> Column:
-    """What a pair of words that passes has in common, one at least.
-
-    Either the words are of one length and agree in a place. Or they agree in none, so that the sounds' ratio is above
-    three quarters: then three fifths of a sound's characters are paired, and among the first two fifths and one more of
-    either, in one order for all texts, there is one in common. Two empty sounds are alike.
-    """
-    n = F.size(numbered_sound)
-    first = F.slice(numbered_sound, F.lit(1), n - F.floor((n * 3 + 4) / 5).cast("int") + 1)
-    return F.concat(places(word), F.when(n == 0, F.array(F.lit("s"))).otherwise(F.transform(first, lambda x: F.concat(F.lit("s"), x))))
-
-
 def bits(tokens: Column) -> Column:
     """A set of texts as two 64-bit masks of hashes, each with how many texts share another's bit there."""
     bit = lambda x, seed: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x, F.lit(seed)), F.lit(64)).cast("int"))
@@ -191,7 +185,10 @@ def might_pass(target: Column, translation: Column, target_bits: Column, bits_:
     ratio = F.when(n + m > 0, 2.0 * most_in_common(bits_, target_bits) / (n + m)).otherwise(1.0)
     place = F.when((F.length(target) == F.length(translation)) & (F.length(target) > 0), most_in_common(places_, target_places) / F.length(target)).otherwise(0.0)
     score = 0.4 * place + 0.4 * ratio + 0.2 * length_factor(target, translation)
-    return score > F.when(F.length(target) == 2, 0.7).otherwise(0.5) - 1e-9
+    # Without a common place the ratio must be above three quarters; whole numbers tell that sooner.
+    near = 8 * (F.bit_count(bits_["a"].bitwiseAND(target_bits["a"])) + bits_["a_lost"]) >= 3 * (n + m)
+    agree = (places_["a"].bitwiseAND(target_places["a"]) != 0) & (F.length(target) == F.length(translation))
+    return (near | agree) & (score > F.when(F.length(target) == 2, 0.7).otherwise(0.5) - 1e-9)
 
 
 def may_pass(target: Column, translation: Column, target_sound: Column, sound: Column) -> Column:

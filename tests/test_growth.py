@@ -102,6 +102,17 @@ def test_probes_of_words_are_made_after_the_words_are_dealt(spark):
     assert [tuple(r) for r in found.collect()] == [(1, "abcd", "abcd", "abce", "abce")]
 
 
+def test_pairs_of_a_verse_are_compared_where_it_lies(spark):
+    alike_words = [f"abcdefgh{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    entries = spark.createDataFrame([("run", w, w, i) for i, w in enumerate(alike_words)], ENTRY)
+    source = spark.createDataFrame([(1, 1, "run"), (1, 1, "Run")], "book int, verse int, term string")
+    targets = spark.createDataFrame([(1, 1, w + "x", w + "x") for w in alike_words], "book int, verse int, term string, pinyin string")
+    before = shuffled(spark)
+    found = similarity.matches(source, targets, entries, KEYS).collect()
+    assert len(found) == 800 and all(r["target_term"] == r["translation"] + "x" for r in found)
+    assert shuffled(spark) - before < 250_000  # of 160,000 pairs that pass, which were shuffled and sorted
+
+
 def test_ngrams_of_a_long_text_take_time_in_proportion(spark):
     text = "".join("神天地光水人山大小中国王子"[(i * i + i // 7) % 13] for i in range(200_000))
     start = time.time()
